@@ -7,11 +7,12 @@ of all other suffixes up to depth `WIDTH` are *induced* from the sampled ones to
 1. A sampled suffix carries the run of strings that it decides as one tuple (hash of the seed, hash of the whole run,
    document, place). Spark's sort, which spills to disk, brings equal seeds and, within them, equal runs together. A
    run that occurred before is removed whole; a seed with one kind of run has no more repeats.
-2. For the first of each kind of run under a seed of several kinds, the single strings are induced from it, as tuples
-   (hash of the string, document, place), and sorted in the same way: this is the next level of the recursion.
+2. The first of each kind of run under a seed of several kinds is sorted by seed once more, now with its bytes. Within
+   a seed the single strings are induced from the sampled suffix and compared. Seeds with very many kinds are cut up:
+   there each single string is sorted by a hash of its own.
 
-Tasks merge equal tuples before they send them, so that a string in a third of all documents reaches the sort at most
-once a task.
+Tasks merge equal tuples before they send them, so that a string in a third of all documents reaches the sort a few
+times a task at most.
 """
 
 from __future__ import annotations
@@ -26,15 +27,17 @@ from pyspark.sql import functions as F
 
 from .common import RangeHash, byte_runs, mixed, runs_of, stored
 
-WIDTH, SEED = 100, 24
+WIDTH, SEED = 100, 32
 SPAN = WIDTH - SEED + 1
-#: A seed with more kinds of runs than this in one task goes to the second level at once.
-KINDS = 8
+#: A seed with more kinds of runs than this in one task is cut up into single strings.
+KINDS = 64
 #: Tuples that a task holds before it merges and sends them; starts of strings looked at together.
 HELD, SEGMENT = 1 << 20, 1 << 20
 NO_ID = -(1 << 63)
 LOW = np.uint64((1 << 24) - 1)
 WHOLE, REPEAT, OPEN, MARK = 0, 1, 2, 3
+#: Single strings held at once on the second level.
+HELD_STRINGS = 1 << 18
 TUPLES = "seed bigint, run bigint, d bigint, at bigint"
 
 
@@ -146,52 +149,106 @@ def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from level_one(held)
 
 
-def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def lists(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Values of a list column, end to end, and how many each row has; a null list has none."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    n = np.array(pa.compute.fill_null(pa.compute.list_value_length(column), 0), np.int64)
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), n
+    return column.flatten(), np.array(pa.compute.fill_null(pa.compute.list_value_length(column), 0), np.int64)
 
 
-def induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Second level: the single strings of the open runs."""
+def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Second level: the open runs with their bytes, by seed; those of a cut-up seed as single strings, by hash."""
 
-    def sent(held):
-        one, two, d, start = (np.concatenate(x) for x in zip(*held, strict=True))
+    def sent(keys, d, at, raw):
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(d), pa.array(at), pa.array(raw, pa.binary())], ["seed", "d", "at", "bytes"])
+
+    def strings(held):
+        one, two, d, start = (np.concatenate([h[k] for h in held]) for k in range(4))
+        raw = [r for h in held for r in h[4]]
         order, first = first_of((one, two), d, start)
         later, kept = order[~first], order[first]
         rd, rs, rn = merged(d[later], start[later], np.ones(len(later), np.int64))
-        yield batch_of(mixed(rd.view(np.uint64) + rs.astype(np.uint64)), np.zeros(len(rd), np.uint64), rd, packed(rs, rn, REPEAT))
-        yield batch_of(one[kept], two[kept], d[kept], packed(start[kept], np.ones(len(kept), np.int64), WHOLE))
+        yield sent(rd ^ rs, rd, packed(rs, rn, REPEAT), [b""] * len(rd))
+        yield sent(one[kept].view(np.int64), d[kept], packed(start[kept], np.ones(len(kept), np.int64), WHOLE), [raw[k] for k in kept.tolist()])
 
     held, rows = [], 0
     for batch in runs_of(batches, "text"):
         data, offsets = byte_runs(batch.column("text"))
+        text, ids = data.tobytes(), batch.column("d").to_numpy()
         values, count = lists(batch.column("runs"))
+        seed, at = (values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
         doc = np.repeat(np.arange(len(count)), count)
-        begin, n = (values >> 24) + offsets[doc], values >> 2 & 0x3FFFFF
+        begin, n = (at >> 24) + offsets[doc], at >> 2 & 0x3FFFFF
         fits = begin + n + WIDTH - 1 <= offsets[doc + 1]  # else a run of another text with this id
-        begin, n, doc = begin[fits], n[fits], doc[fits]
-        start = np.unique(np.repeat(begin - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())) if len(n) else np.zeros(0, np.int64)
-        ids = batch.column("d").to_numpy()
-        for base, piece, _ in segments(data, offsets):
-            here = start[np.searchsorted(start, base) : np.searchsorted(start, base + len(piece) - WIDTH + 1)]
-            if len(here):
-                one, two = (RangeHash(piece, s).of(here - base, here - base + WIDTH) for s in (3, 5))
-                k = np.searchsorted(offsets, here, side="right") - 1
-                held.append((mixed(one), mixed(two), ids[k], here - offsets[k]))
-                rows += len(here)
-        if rows >= HELD:
-            yield from sent(held)
+        by_seed, single = np.flatnonzero(fits & (at & 3 == WHOLE)), np.flatnonzero(fits & (at & 3 == OPEN))
+        if len(by_seed):
+            yield sent(seed[by_seed], ids[doc[by_seed]], at[by_seed], [text[a : a + k + WIDTH - 1] for a, k in zip(begin[by_seed].tolist(), n[by_seed].tolist(), strict=True)])
+        if len(single):
+            b, k = begin[single], n[single]
+            start = np.unique(np.repeat(b - np.concatenate(([0], np.cumsum(k)[:-1])), k) + np.arange(k.sum()))
+            own = np.searchsorted(offsets, start, side="right") - 1
+            one, two = (mixed(RangeHash(data, s).of(start, start + WIDTH)) for s in (3, 5))
+            held.append((one, two, ids[own], start - offsets[own], [text[a : a + WIDTH] for a in start.tolist()]))
+            rows += len(start)
+        if rows >= HELD_STRINGS:
+            yield from strings(held)
             held, rows = [], 0
     if rows:
-        yield from sent(held)
+        yield from strings(held)
+
+
+def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of seed: the strings among them that occur before, as runs of places."""
+
+    def solve(rows: pa.Table):
+        at, d = rows.column("at").to_numpy(), rows.column("d").to_numpy()
+        data, offsets = byte_runs(rows.column("bytes"))
+        done = np.flatnonzero(at & 3 == REPEAT)
+        if len(done):
+            yield pa.RecordBatch.from_arrays([pa.array(d[done]), pa.array(at[done])], ["d", "at"])
+        n = np.maximum(np.diff(offsets) - WIDTH + 1, 0)
+        for a, b in groups_of(rows.column("seed").to_numpy(), n):
+            k = np.repeat(np.arange(a, b), n[a:b])
+            inside = np.arange(len(k)) - np.repeat(np.cumsum(n[a:b]) - n[a:b], n[a:b])
+            if not len(k):
+                continue
+            piece = data[offsets[a] : offsets[b]]
+            where = offsets[k] - offsets[a] + inside
+            one, two = (mixed(RangeHash(piece, s).of(where, where + WIDTH)) for s in (3, 5))
+            start = (at[k] >> 24) + inside
+            order, first = first_of((one, two), d[k], start)
+            later = order[~first]
+            rd, rs, rn = merged(d[k][later], start[later], np.ones(len(later), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(rd), pa.array(packed(rs, rn, REPEAT))], ["d", "at"])
+
+    def groups_of(seed: np.ndarray, n: np.ndarray):
+        """Runs of rows with about HELD_STRINGS strings that don't part a seed."""
+        edge = np.concatenate((np.flatnonzero(np.concatenate(([True], seed[1:] != seed[:-1]))), [len(seed)]))
+        before = np.concatenate(([0], np.cumsum(n)))[edge]
+        a = 0
+        while a < len(edge) - 1:
+            b = max(a + 1, int(np.searchsorted(before, before[a] + HELD_STRINGS, side="right")) - 1)
+            yield int(edge[a]), int(edge[b])
+            a = b
+
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        seed = batch.column("seed").to_numpy()
+        cut = int(np.searchsorted(seed, seed[-1])) if len(seed) else 0
+        if cut:  # the seeds before the last one are whole
+            yield from solve(pa.Table.from_batches([*waiting, batch.slice(0, cut)]))
+            waiting = []
+        elif waiting and len(seed) and waiting[-1].column("seed")[-1].as_py() != seed[0]:
+            yield from solve(pa.Table.from_batches(waiting))
+            waiting = []
+        waiting.append(batch.slice(cut))
+    if waiting:
+        yield from solve(pa.Table.from_batches(waiting))
 
 
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in runs_of(batches, "text", 8 << 20):
         values, count = lists(batch.column("runs"))
-        ends = np.cumsum(count)
+        values, ends = values.to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(count)
         out = []
         for k, (doc_id, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)):
             text = text or b""
@@ -210,12 +267,14 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sorted_tuples(tuples: DataFrame) -> DataFrame:
-    """Brings equal tuples together; adds `later` (an equal one comes before) and `mixed` (its seed has several runs)."""
+    """Brings equal tuples together; adds `later` (an equal one comes before), `several` (its seed has several runs)
+    and `cut_up` (in some task very many)."""
     kind = F.col("at").bitwiseAND(F.lit(3))
     same = Window.partitionBy("seed", "run").orderBy(kind == MARK, "d", "at")
     by_seed = Window.partitionBy("seed")
-    rows = tuples.repartition("seed").withColumn("n", F.row_number().over(same)).withColumn("mixed", F.min("run").over(by_seed) != F.max("run").over(by_seed))
-    return rows.where(kind != MARK).select("d", "at", kind.alias("kind"), (F.col("n") > 1).alias("later"), "mixed")
+    rows = tuples.repartition("seed").withColumn("n", F.row_number().over(same))
+    rows = rows.withColumn("several", F.min("run").over(by_seed) != F.max("run").over(by_seed)).withColumn("cut_up", F.max(kind).over(by_seed) == MARK)
+    return rows.where(kind != MARK).select("seed", "d", "at", kind.alias("kind"), (F.col("n") > 1).alias("later"), "several", "cut_up")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -227,12 +286,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.col("text").cast("binary").alias("text"))
     found = sorted_tuples(texts.select("d", "text").mapInArrow(sample, TUPLES))
     whole = F.col("kind") == WHOLE
-    is_open = (F.col("kind") == OPEN) | (whole & ~F.col("later") & F.col("mixed"))
+    is_open = (F.col("kind") == OPEN) | (whole & ~F.col("later") & F.col("several"))
     repeats = (F.col("kind") == REPEAT) | (whole & F.col("later"))
-    one = stored(found.where(is_open | repeats).select("d", "at", is_open.alias("open")))
-
-    by_doc = lambda rows: rows.groupBy("d").agg(F.collect_list("at").alias("runs"))  # noqa: E731  no more than a document has places
-    opened = texts.select("doc_id", "d", "text").join(by_doc(one.where("open")), "d").select("d", "text", "runs")
-    two = sorted_tuples(opened.mapInArrow(induce, TUPLES)).where(repeats).select("d", "at")
-    runs = by_doc(one.where("NOT open").select("d", "at").unionByName(two))
-    return texts.join(runs, "d", "left").select("doc_id", "text", "runs").mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    # The last two bits of an open run say how it is sorted on the second level.
+    bits = F.when(is_open & F.col("cut_up"), OPEN).otherwise(F.col("kind"))
+    at = F.col("at").bitwiseAND(F.lit(-4)).bitwiseOR(bits.cast("long"))
+    one = stored(found.where(is_open | repeats).select("seed", "d", at.alias("at"), is_open.alias("open")))
+
+    # No more than a document has places.
+    runs = one.where("open").groupBy("d").agg(F.collect_list(F.struct("seed", "at")).alias("runs"))
+    pieces = texts.select("doc_id", "d", "text").join(runs, "d").select("d", "text", "runs").mapInArrow(opened, "seed bigint, d bigint, at bigint, bytes binary")
+    two = pieces.repartition("seed").sortWithinPartitions("seed").mapInArrow(settled, "d bigint, at bigint")
+    gone = one.where("NOT open").select("d", "at").unionByName(two).groupBy("d").agg(F.collect_list("at").alias("runs"))
+    return texts.join(gone, "d", "left").select("doc_id", "text", "runs").mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
