@@ -18,11 +18,12 @@ times a task at most.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import RangeHash, byte_runs, mixed, runs_of, stored
@@ -245,27 +246,6 @@ def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from solve(pa.Table.from_batches(waiting))
 
 
-def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in runs_of(batches, "text", 8 << 20):
-        values, count = lists(batch.column("runs"))
-        values, ends = values.to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(count)
-        out = []
-        for k, (doc_id, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)):
-            text = text or b""
-            mine = values[ends[k] - count[k] : ends[k]]
-            start, n = mine >> 24, (mine >> 2) & 0x3FFFFF
-            step = np.zeros(len(text) + 1, np.int32)
-            np.add.at(step, np.minimum(start, len(text)), 1)
-            np.add.at(step, np.minimum(start + n + WIDTH - 1, len(text)), -1)
-            gone = np.cumsum(step[:-1]) > 0
-            edges = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))
-            kept = b"".join(text[a:b] for a, b in zip([0, *edges[1::2].tolist()], [*edges[::2].tolist(), len(text)], strict=True))
-            out.append((doc_id, len(text), len(text) - len(kept), len(edges) // 2, hashlib.sha256(kept).hexdigest(), kept))
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
-
-
 def sorted_tuples(tuples: DataFrame) -> DataFrame:
     """Brings equal tuples together; adds `later` (an equal one comes before), `several` (its seed has several runs)
     and `cut_up` (in some task very many)."""
@@ -277,14 +257,10 @@ def sorted_tuples(tuples: DataFrame) -> DataFrame:
     return rows.where(kind != MARK).select("seed", "d", "at", kind.alias("kind"), (F.col("n") > 1).alias("later"), "several", "cut_up")
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) per row of (doc_id, text); kept is what is left.
-
-    A null or empty text has no bytes. A null doc_id is smaller than all others. Rows that repeat a doc_id count as one
-    document, whose removed ranges hold for each of them as far as its text reaches. An empty table gives no rows.
-    """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.col("text").cast("binary").alias("text"))
-    found = sorted_tuples(texts.select("d", "text").mapInArrow(sample, TUPLES))
+def repeated(docs: DataFrame) -> DataFrame:
+    """(d, runs): for each doc_id (NO_ID for null) that has any, the packed runs of starts of strings that occur before."""
+    texts = docs.select(key_of(docs).alias("d"), F.col("text").cast("binary").alias("text"))
+    found = sorted_tuples(texts.mapInArrow(sample, TUPLES))
     whole = F.col("kind") == WHOLE
     is_open = (F.col("kind") == OPEN) | (whole & ~F.col("later") & F.col("several"))
     repeats = (F.col("kind") == REPEAT) | (whole & F.col("later"))
@@ -295,7 +271,79 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     # No more than a document has places.
     runs = one.where("open").groupBy("d").agg(F.collect_list(F.struct("seed", "at")).alias("runs"))
-    pieces = texts.select("doc_id", "d", "text").join(runs, "d").select("d", "text", "runs").mapInArrow(opened, "seed bigint, d bigint, at bigint, bytes binary")
+    pieces = texts.join(runs, "d").select("d", "text", "runs").mapInArrow(opened, "seed bigint, d bigint, at bigint, bytes binary")
     two = pieces.repartition("seed").sortWithinPartitions("seed").mapInArrow(settled, "d bigint, at bigint")
-    gone = one.where("NOT open").select("d", "at").unionByName(two).groupBy("d").agg(F.collect_list("at").alias("runs"))
-    return texts.join(gone, "d", "left").select("doc_id", "text", "runs").mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    return one.where("NOT open").select("d", "at").unionByName(two).groupBy("d").agg(F.collect_list("at").alias("runs"))
+
+
+def key_of(docs: DataFrame) -> Column:
+    return F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID))
+
+
+def left_of(text: bytes, runs: np.ndarray) -> tuple[bytes, int]:
+    """The bytes outside the strings that start in the runs, and the number of stretches removed."""
+    if not len(runs):
+        return text, 0
+    start, n = runs >> 24, (runs >> 2) & 0x3FFFFF
+    step = np.zeros(len(text) + 1, np.int32)
+    np.add.at(step, np.minimum(start, len(text)), 1)
+    np.add.at(step, np.minimum(start + n + WIDTH - 1, len(text)), -1)
+    gone = (np.cumsum(step[:-1]) > 0).astype(np.int8)
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], gone, [0]))))
+    return b"".join(text[a:b] for a, b in zip([0, *edges[1::2].tolist()], [*edges[::2].tolist(), len(text)], strict=True)), len(edges) // 2
+
+
+def with_runs(batch: pa.RecordBatch, text: str, runs: str) -> Iterator[tuple[bytes, np.ndarray]]:
+    values, count = lists(batch.column(runs))
+    values, ends = values.to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(count)
+    for t, n, end in zip(batch.column(text).cast(pa.large_binary()).to_pylist(), count.tolist(), ends.tolist(), strict=True):
+        yield t or b"", values[end - n : end]
+
+
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) per row of (doc_id, text); kept is what is left.
+
+    A null or empty text has no bytes. A null doc_id is smaller than all others. Rows that repeat a doc_id count as one
+    document, whose removed ranges hold for each of them as far as its text reaches. An empty table gives no rows.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in runs_of(batches, "text", 8 << 20):
+            out = []
+            for text, runs in with_runs(batch, "text", "runs"):
+                kept, spans = left_of(text, runs)
+                out.append((len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key_of(docs).alias("d"), F.col("text").cast("binary").alias("text"))
+    joined = texts.join(repeated(docs), "d", "left").select("doc_id", "text", "runs")
+    return joined.mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+
+
+def cut_repeats(docs: DataFrame) -> DataFrame:
+    """The rows of documents with repeats cut out of their texts; texts that are removed whole go, empty ones stay.
+
+    Other columns stay as they are but for n_chars, if there is one: the number of characters left. What a cut leaves of
+    a character is dropped.
+    """
+    mark = uuid.uuid4().hex
+    key, runs_name, schema, names = f"d {mark}", f"runs {mark}", docs.schema, docs.columns
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in runs_of(batches, "text", 8 << 20):
+            kept, texts = [], []
+            for k, (given, (text, runs)) in enumerate(zip(batch.column("text").to_pylist(), with_runs(batch, "text", runs_name), strict=True)):
+                left, spans = left_of(text, runs)
+                if left or not spans:
+                    kept.append(k)
+                    texts.append(left.decode(errors="ignore") if spans else given)
+            rows = batch.take(pa.array(kept, pa.int64()))
+            new = {"text": pa.array(texts, batch.column("text").type)}
+            if "n_chars" in names:
+                new["n_chars"] = pa.array([None if t is None else len(t) for t in texts], batch.column("n_chars").type)
+            yield pa.RecordBatch.from_arrays([new[c] if c in new else rows.column(k) for k, c in enumerate(names)], names)
+
+    gone = repeated(docs).select(F.col("d").alias(key), F.col("runs").alias(runs_name))
+    joined = docs.withColumn(key, key_of(docs)).join(gone, key, "left").select(*[F.col(f"`{c}`") for c in names], f"`{runs_name}`")
+    return joined.mapInArrow(cut, schema)
