@@ -20,8 +20,9 @@ from .common import stored
 
 #: Bounds of what is fitted on: vectors sampled, centroids. Mean size of a list aimed at.
 SAMPLE, MOST_CENTROIDS, LIST = 20_000, 4096, 100
-#: A longer list is cut into parts of about this size, and so are the queries that read one list.
-PART, QUERIES = 2048, 256
+#: Neighbouring lists are read together, about so many of them. A larger group of lists is cut into parts of about
+#: PART vectors, and so are the (query, list) pairs that read one group.
+GROUP, PART, QUERIES = 16, 4096, 2048
 #: A vector goes to at most COPIES lists, within 1 + BORDER times the nearest centroid's distance.
 COPIES, BORDER = 6, 0.3
 #: A query reads at least LEAST lists and at most MOST, within 1 + RATIO times the nearest centroid's distance.
@@ -149,9 +150,13 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
                 part = batch.slice(a, 512)
                 where = lists_of(graph, matrix(part.column("v")))
                 take = pa.array([i for i, w in enumerate(where) for _ in w], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([c for w in where for c in w], pa.int32()), part.column("vec_id").take(take), part.column("v").take(take)], ["list", "vec_id", "v"])
+                lists = [c for w in where for c in w]
+                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), pa.array(group_of[lists], pa.int32()), part.column("vec_id").take(take), part.column("v").take(take)], ["list", "bin", "vec_id", "v"])
 
-    postings = stored(rows.mapInArrow(assign, "list int, vec_id bigint, v array<double>"))
+    # Near centroids share a group: their own nearest of a few centroids.
+    heads = fit(graph.centroids, max(1, len(graph.centroids) // GROUP))
+    group_of = distances(graph.centroids, heads).argmin(axis=1)
+    postings = stored(rows.mapInArrow(assign, "list int, bin int, vec_id bigint, v array<double>"))
     # At most MOST_CENTROIDS rows.
     sizes = {r["list"]: r["n"] for r in postings.groupBy("list").agg(F.count("*").alias("n")).collect()}
 
@@ -172,32 +177,36 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
                             lists.append(c)
                             held, read = held + sizes[c], read + 1
                 take = pa.array(take, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), part.column("vec_id").take(take), part.column("v").take(take)], ["list", "query_id", "q"])
+                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), pa.array(group_of[lists], pa.int32()), part.column("vec_id").take(take), part.column("v").take(take)], ["list", "bin", "query_id", "q"])
 
     queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates()
-    probes = stored(queries.mapInArrow(choose, "list int, query_id bigint, q array<double>"))
-    asked = probes.groupBy("list").agg(F.count("*").alias("asked"))
-    parts = postings.groupBy("list").agg(F.count("*").alias("size")).join(asked, "list").select("list", F.ceil(F.col("size") / PART).cast("int").alias("parts"), F.ceil(F.col("asked") / QUERIES).cast("int").alias("blocks"))
-    parts = stored(parts)
+    probes = stored(queries.mapInArrow(choose, "list int, bin int, query_id bigint, q array<double>"))
+    asked = probes.groupBy("bin").agg(F.count("*").alias("asked"))
+    parts = postings.groupBy("bin").agg(F.count("*").alias("size")).join(asked, "bin")
+    parts = stored(parts.select("bin", F.ceil(F.col("size") / PART).cast("int").alias("parts"), F.ceil(F.col("asked") / QUERIES).cast("int").alias("blocks")))
     every_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    left = postings.join(parts, "list").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).select("list", "part", every_of("blocks").alias("block"), "vec_id", "v")
-    right = probes.join(parts, "list").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")).select("list", every_of("parts").alias("part"), "block", "query_id", "q")
+    left = postings.join(parts, "bin").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).select("bin", "part", every_of("blocks").alias("block"), "list", "vec_id", "v")
+    right = probes.join(parts, "bin").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")).select("bin", every_of("parts").alias("part"), "block", "list", "query_id", "q")
 
     def scan(there: pa.Table, asking: pa.Table) -> pa.Table:
-        ids, v = there.column("vec_id").to_numpy(), matrix(there.column("v"))
-        query, q = asking.column("query_id").to_numpy(), matrix(asking.column("q"))
+        """The k nearest of each query in its own lists among these, exact distances."""
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        order = np.argsort(ids, kind="stable")
-        ids, v = ids[order], v[order] if len(order) else v
-        for a in range(len(query) if len(ids) else 0):
-            d = np.sqrt(((v - q[a]) ** 2).sum(axis=1))
-            d[ids == query[a]] = np.inf
-            best = np.argsort(d, kind="stable")[:k]
-            best = best[np.isfinite(d[best])]
-            found.append((np.full(len(best), query[a]), ids[best], d[best]))
+        if there.num_rows and asking.num_rows:
+            there = there.sort_by([("list", "ascending"), ("vec_id", "ascending")])
+            asking = asking.sort_by("query_id")
+            lists, ids, v = there.column("list").to_numpy(), there.column("vec_id").to_numpy(), matrix(there.column("v"))
+            query, q, wanted = asking.column("query_id").to_numpy(), matrix(asking.column("q")), asking.column("list").to_numpy()
+            edge = np.flatnonzero(np.concatenate(([True], (query[1:] != query[:-1]) | (q[1:] != q[:-1]).any(axis=1), [True])))
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                rows = np.flatnonzero(np.isin(lists, wanted[a:b]) & (ids != query[a]))
+                d = np.sqrt(((v[rows] - q[a]) ** 2).sum(axis=1))
+                order = np.lexsort((ids[rows], d))
+                # A vector may stand in several of the lists.
+                best = order[np.sort(np.unique(ids[rows[order]], return_index=True)[1])[:k]]
+                found.append((np.full(len(best), query[a]), ids[rows[best]], d[best]))
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["query_id", "vec_id", "score"])
 
-    keys = ["list", "part", "block"]
+    keys = ["bin", "part", "block"]
     near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(scan, "query_id bigint, vec_id bigint, score double")
     once = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
