@@ -112,15 +112,17 @@ def near(words: Words, items: Items) -> Iterator[tuple[int, int, int, int]]:
     """(text, item, first word, end) of the stretches that have two different seeds of an item within its length."""
     seeds, first = grams(words)
     at, row = items.known.find(seeds)
+    if not len(at):
+        return
     n = items.first[row + 1] - items.first[row]
-    hit = np.repeat(items.first[row] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else n
+    hit = np.repeat(items.first[row] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
     word, item, place = np.repeat(first[at], n), items.item[hit], items.place[hit]
     doc = words.doc[word]
-    limits = np.searchsorted(words.doc, np.arange(words.doc[-1] + 2)) if len(words.doc) else []
+    limits = np.searchsorted(words.doc, np.arange(words.doc[-1] + 2))
     order = np.lexsort((word, item, doc))
     word, item, place, doc = word[order], item[order], place[order], doc[order]
-    size = np.array([len(h) for h in items.hashes])[item] if len(item) else item
-    cut = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (word[1:] - word[:-1] > 2 * size[1:])))) if len(word) else word
+    size = np.array([len(h) for h in items.hashes])[item]
+    cut = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (word[1:] - word[:-1] > 2 * size[1:]))))
     for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(word)], strict=True):
         least = 2 if size[a] > GRAM + 1 else 1
         if b - a >= least and len(set(place[a:b].tolist())) >= least:
