@@ -1,11 +1,6 @@
 """The registered queries and their SQL."""
 
-from __future__ import annotations
+from .plans import queries_catalog, queries_community, queries_ingest, queries_library  # noqa: F401
+from .plans.registry import oracle_sql, queries
 
-
-def queries() -> dict:
-    return {}
-
-
-def oracle_sql() -> dict:
-    return {}
+__all__ = ["oracle_sql", "queries"]
