@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import contains
@@ -41,16 +41,10 @@ def latest_per_key(rows: DataFrame, keys: list[str], order: tuple[str, ...]) ->
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("last")).select(*keys, "last.*")
 
 
-def flag(rows: DataFrame, key: str, other: DataFrame, other_key: str, public: Column, name: str) -> DataFrame:
-    """rows with `name`: null without a reference, else whether what is referred to is public."""
-    side = other.select(F.col(other_key).alias(key), public.alias(name))
-    return rows.join(side, key, "left")
-
-
 def visible_activities(activities: DataFrame, marks: DataFrame, reviews: DataFrame, collections: DataFrame, items: DataFrame) -> DataFrame:
     """Public, not hidden, and every mark, review (with its mark), collection and item (with its collection and mark)
-    attached is public or absent. Rows without a reference of a kind skip that kind's join: nulls don't meet in one
-    partition."""
+    attached is public or absent. A missing reference takes part in the join as a number of its own, so that nulls don't
+    meet in one partition."""
     public = activities.where("visibility = 'public' AND feed_policy <> 'hidden'")
     mark_flags = marks.select("id", "is_public")
     review_flags = reviews.join(mark_flags.select(F.col("id").alias("mark_id"), F.col("is_public").alias("m")), "mark_id", "left").select("id", (F.col("is_public") & F.coalesce("m", F.lit(True))).alias("is_public"))
@@ -61,9 +55,8 @@ def visible_activities(activities: DataFrame, marks: DataFrame, reviews: DataFra
     sides = {"mark_id": mark_flags, "review_id": review_flags, "collection_id": collections.select("id", "is_public"), "item_id": item_flags}
     out = public
     for key, side in sides.items():
-        private = side.where("NOT is_public").select(F.col("id").alias(key))
-        without, held = out.where(F.col(key).isNull()), out.where(F.col(key).isNotNull())
-        out = without.unionByName(held.join(private, key, "left_anti").select(*out.columns))
+        private = side.where("NOT is_public").select(F.col("id").alias("joined"))
+        out = out.withColumn("joined", F.coalesce(F.col(key), -1 - F.col("id"))).join(private, "joined", "left_anti").drop("joined")
     return out
 
 
