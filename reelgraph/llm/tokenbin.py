@@ -110,14 +110,13 @@ def read_tokens(shards: DataFrame) -> DataFrame:
                 ends = np.cumsum(s["lengths"])
                 starts = ends - np.array(s["lengths"])
                 crc = [crc_of_ids(read_range(s["payload"], s["blocks"], s["bits"], a, b - a)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(s["doc_ids"], pa.int64()), pa.array(starts + s["before"], pa.int64()), pa.array(s["lengths"], pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"]
-                )
+                columns = [pa.array([s["shard"]] * len(crc), pa.int64()), pa.array(s["doc_ids"], pa.int64()), pa.array(starts, pa.int64()), pa.array(s["lengths"], pa.int64()), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["shard", "doc_id", "inside", "n_tokens", "ids_crc32"])
 
     # Sums over parts (as many as there are partitions), then over the shards within a part.
     totals = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_before"))
     within = shards.select("part", "shard", (F.sum("n_ids").over(Window.partitionBy("part").orderBy("number")) - F.col("n_ids")).alias("shard_before"))
     starts = within.join(before, "part").select("shard", (F.col("part_before") + F.col("shard_before")).alias("before"))
-    placed = shards.join(starts, "shard").select("doc_ids", "lengths", "blocks", "bits", "payload", "before")
-    return placed.mapInArrow(documents, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    rows = shards.select("shard", "doc_ids", "lengths", "blocks", "bits", "payload").mapInArrow(documents, "shard bigint, doc_id bigint, inside bigint, n_tokens bigint, ids_crc32 bigint")
+    return rows.join(starts, "shard").select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
