@@ -94,8 +94,8 @@ def global_feed(visible: DataFrame, viewers: DataFrame, hidden: DataFrame, k: in
     depth = (most.agg(F.max("h").alias("h")).first()["h"] or 0) + k
     head = visible.orderBy(F.desc("created_at"), F.desc("id")).limit(depth)
     head = head.withColumnRenamed("user_id", "author_id").withColumn("position", F.row_number().over(Window.orderBy(F.desc("created_at"), F.desc("id"))))
-    need = viewers.join(most, "viewer_id", "left").select("viewer_id", (F.coalesce("h", F.lit(0)) + k).alias("need"))
-    seen = need.join(F.broadcast(head) if depth <= 100_000 else head, F.col("position") <= F.col("need")).join(hidden, ["viewer_id", "author_id"], "left_anti")
+    need = viewers.join(most, "viewer_id", "left").select("viewer_id", F.explode(F.sequence(F.lit(1), (F.coalesce("h", F.lit(0)) + k).cast("int"))).alias("position"))
+    seen = need.join(head, "position").join(hidden, ["viewer_id", "author_id"], "left_anti")
     return top(seen, "viewer_id", k)
 
 

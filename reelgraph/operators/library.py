@@ -23,14 +23,13 @@ def any_contains(keyword: str, *columns: str) -> Column:
     return out
 
 
-def library_list(marks: DataFrame, subjects: DataFrame, status: str | None = None, subject_type: str | None = None, tagged: DataFrame | None = None, tag_id: int | None = None) -> DataFrame:
-    """Own marks of the types that a library lists. A tag restricts by semi-join, so no mark is doubled."""
+def library_list(marks: DataFrame, subjects: DataFrame, status: str | None = None, subject_type: str | None = None, tagged: DataFrame | None = None) -> DataFrame:
+    """Own marks of the types that a library lists; only those in tagged (mark_id), if given: by semi-join, so that no mark
+    is doubled."""
     rows = with_subject(marks, subjects).where(F.col("subject_type").isin(*TYPES))
     rows = rows if status is None else rows.where(F.col("status") == status)
     rows = rows if subject_type is None else rows.where(F.col("subject_type") == subject_type)
-    if tag_id is not None:
-        rows = rows.join(tagged.where(F.col("tag_id") == tag_id).select(F.col("mark_id").alias("id")), "id", "left_semi")
-    return rows
+    return rows if tagged is None else rows.join(tagged.select(F.col("mark_id").alias("id")), "id", "left_semi")
 
 
 def public_library(marks: DataFrame, subjects: DataFrame, status: str | None = None, keyword: str | None = None) -> DataFrame:

@@ -87,9 +87,9 @@ def feed_top_k(v):
     return c.feed_top_k(visible(v), edges(v)).join(likes, "id", "left").fillna(0, ["likes"]).select("viewer_id", "rank", "id", "likes")
 
 
-@query(f"SELECT viewer_id, id, rank FROM (SELECT p.user_id AS viewer_id, a.id, CAST(row_number() OVER (PARTITION BY p.user_id ORDER BY created_at DESC, a.id DESC) AS INT) AS rank FROM (SELECT user_id FROM {{profile}} WHERE user_id < 200) p CROSS JOIN {VISIBLE} a WHERE NOT EXISTS (SELECT 1 FROM {HIDDEN} h WHERE h.viewer_id = p.user_id AND h.author_id = a.user_id)) x WHERE rank <= 16")
+@query(f"SELECT viewer_id, id, rank FROM (SELECT p.user_id AS viewer_id, a.id, CAST(row_number() OVER (PARTITION BY p.user_id ORDER BY created_at DESC, a.id DESC) AS INT) AS rank FROM {{profile}} p CROSS JOIN {VISIBLE} a WHERE NOT EXISTS (SELECT 1 FROM {HIDDEN} h WHERE h.viewer_id = p.user_id AND h.author_id = a.user_id)) x WHERE rank <= 16")
 def global_feed(v):
-    viewers = v.profile.where("user_id < 200").select(F.col("user_id").alias("viewer_id"))
+    viewers = v.profile.select(F.col("user_id").alias("viewer_id"))
     return c.global_feed(visible(v), viewers, e.hidden_authors(v.block, v.mute)).select("viewer_id", "id", "rank")
 
 

@@ -14,10 +14,10 @@ LIKES = "(SELECT target_type, target_id, count(DISTINCT user_id) AS likes FROM {
 LOCAL = "(SELECT m.*, CASE WHEN zone = 'America/New_York' THEN CAST(created_at AS DATE) - 1 ELSE CAST(created_at AS DATE) END AS day FROM {mark} m JOIN {profile} p ON p.user_id = m.user_id)"
 
 
-@query(f"SELECT m.id, m.user_id, title FROM {{mark}} m {S} WHERE subject_type IN ('anime', 'galgame') AND status = 'doing' AND m.id IN (SELECT mark_id FROM {{mark_tag}} WHERE tag_id % 1000 = 2)")
+@query(f"SELECT m.id, m.user_id, title FROM {{mark}} m {S} WHERE subject_type IN ('anime', 'galgame') AND status = 'doing' AND m.id IN (SELECT mark_id FROM {{mark_tag}} JOIN {{user_tag}} u ON u.id = tag_id WHERE name = 'Brand#2')")
 def library_list(v):
-    tagged = v.mark_tag.where("tag_id % 1000 = 2").withColumn("tag_id", F.lit(2))
-    return library.library_list(v.mark, v.subject, status="doing", tagged=tagged, tag_id=2).select("id", "user_id", "title")
+    tagged = v.mark_tag.join(v.user_tag.where("name = 'Brand#2'").select(F.col("id").alias("tag_id")), "tag_id", "left_semi")
+    return library.library_list(v.mark, v.subject, status="doing", tagged=tagged).select("id", "user_id", "title")
 
 
 @query(f"SELECT m.id, m.user_id, title FROM {{mark}} m {S} WHERE is_public AND status = 'done' AND (contains(upper(title), 'RED') OR contains(upper(title_cn), 'RED') OR contains(upper(comment), 'RED'))")
