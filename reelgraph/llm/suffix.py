@@ -347,3 +347,16 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     gone = repeated(docs).select(F.col("d").alias(key), F.col("runs").alias(runs_name))
     joined = docs.withColumn(key, key_of(docs)).join(gone, key, "left").select(*[F.col(f"`{c}`") for c in names], f"`{runs_name}`")
     return joined.mapInArrow(cut, schema)
+
+
+#: remove_repeats over `documents` as DuckDB SQL, without the text left: every 100-byte string by its hash.
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS k FROM (SELECT doc_id, h, unnest(range(0, greatest(0, length(h) // 2 - 99))) AS i FROM d) x),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM w) x WHERE n > 1),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS new FROM r) x),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM g GROUP BY doc_id, span),
+e AS (SELECT doc_id, a, b FROM s UNION ALL SELECT doc_id, length(h) // 2, length(h) // 2 FROM d),
+p AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a, b), 0) AS begun FROM e),
+t AS (SELECT p.doc_id, string_agg(substr(h, 2 * begun + 1, 2 * (a - begun)), '' ORDER BY a, b) AS kept, sum(b - a) AS gone, count(*) - 1 AS spans, max(length(h)) // 2 AS n FROM p JOIN d ON d.doc_id = p.doc_id GROUP BY p.doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(gone AS BIGINT) AS n_removed, CAST(spans AS BIGINT) AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM t"""
