@@ -13,7 +13,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch between Spark and a Python worker: texts are long, and a worker holds a batch and its results.
+BATCH_BYTES = 8 << 20
+
+
+def lean(spark: SparkSession) -> None:
+    """Sets this session's Arrow batches to BATCH_BYTES."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    lean(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -105,22 +115,28 @@ def chain(lists):
     return list(itertools.chain.from_iterable(lists))
 
 
+#: Powers that a worker keeps between calls; those for longer buffers are made anew.
+KEPT_POWERS = 1 << 21
+
+
 class RangeHash:
     """64-bit polynomial hashes of any byte ranges of a buffer, each in constant time after one pass over it."""
 
-    tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+    powers = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
 
     def __init__(self, data: np.ndarray, seed: int = 1):
+        """Hashes of different seeds are independent: they number the bytes differently."""
         n = len(data)
-        letter, power, inverse = self.tables.get(seed, (None, np.zeros(0, np.uint64), None))
+        power, inverse = self.powers
         if len(power) < n + 1:
-            base = int(random_words(seed, 1)[0]) | 5
+            base = int(random_words(1, 1)[0]) | 5
             size = max(n + 1, 1 << 16)
             power, inverse = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 2**64), np.uint64)
             power[0] = inverse[0] = 1
-            letter, power, inverse = random_words(seed + 1, 256), np.cumprod(power), np.cumprod(inverse)
-            self.tables[seed] = letter, power, inverse
-        self.inverse = inverse
+            power, inverse = np.cumprod(power), np.cumprod(inverse)
+            if size <= KEPT_POWERS:
+                RangeHash.powers = power, inverse
+        letter, self.inverse = random_words(seed + 1, 256), inverse
         self.sums = np.zeros(n + 1, np.uint64)
         terms = letter[data]
         terms *= power[:n]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,26 +14,41 @@ from pyspark.sql import functions as F
 from .common import runs_of, stored
 from .graph import components
 
+#: Bytes of a text whose words are held at once.
+PIECE = 1 << 20
+BLANK = re.compile(rb"[\x20\x09-\x0d]")
+
 
 def fingerprint(text: bytes, width: int = 3) -> int:
     """Of lower-cased (A-Z) words cut at ASCII white space, in shingles of `width` words, each as often as it occurs.
     A shorter text is one shingle; without words the fingerprint is zero."""
-    words = text.lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) <= width:
-        return xxhash.xxh64_intdigest(joined, 42)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    ends = np.cumsum(sizes) - 1
-    starts = ends - sizes + 1
-    digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(joined[a:b], 42) for a, b in zip(starts[: 1 - width].tolist(), ends[width - 1 :].tolist(), strict=True)])
-    raw = np.frombuffer(hashes, np.uint8).reshape(-1, 8)
-    ones = np.zeros(64, np.int64)
-    for a in range(0, len(raw), 8192):
-        ones += np.unpackbits(raw[a : a + 8192], axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(raw)).tobytes(), "big")
+    ones, total, digest = np.zeros(64, np.int64), 0, xxhash.xxh64_digest
+    for words in pieces(text.lower(), width - 1):
+        if len(words) < width:
+            continue
+        joined = b" ".join(words)
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        ends = np.cumsum(sizes) - 1
+        starts = (ends - sizes + 1)[: len(words) - width + 1]
+        raw = np.frombuffer(b"".join([digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist(), strict=True)]), np.uint8).reshape(-1, 8)
+        total += len(raw)
+        for a in range(0, len(raw), 8192):
+            ones += np.unpackbits(raw[a : a + 8192], axis=1).sum(axis=0, dtype=np.int64)
+    if not total:
+        words = text.lower().split()
+        return xxhash.xxh64_intdigest(b" ".join(words), 42) if words else 0
+    return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big")
+
+
+def pieces(text: bytes, overlap: int) -> Iterator[list[bytes]]:
+    """The words of a text in lists of about PIECE bytes; each list begins with the last `overlap` words before it."""
+    at, tail = 0, []
+    while at < len(text):
+        blank = BLANK.search(text, at + PIECE)
+        end = blank.start() if blank else len(text)
+        words = tail + text[at:end].split()
+        yield words
+        at, tail = end, words[len(words) - overlap :] if overlap < len(words) else words
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:

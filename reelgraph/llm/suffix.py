@@ -33,7 +33,7 @@ SPAN = WIDTH - SEED + 1
 #: A seed with more kinds of runs than this in one task is cut up into single strings.
 KINDS = 64
 #: Tuples that a task holds before it merges and sends them; starts of strings looked at together.
-HELD, SEGMENT = 1 << 20, 1 << 20
+HELD, SEGMENT = 1 << 19, 1 << 20
 NO_ID = -(1 << 63)
 LOW = np.uint64((1 << 24) - 1)
 WHOLE, REPEAT, OPEN, MARK = 0, 1, 2, 3
@@ -187,8 +187,10 @@ def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b, k = begin[single], n[single]
             start = np.unique(np.repeat(b - np.concatenate(([0], np.cumsum(k)[:-1])), k) + np.arange(k.sum()))
             own = np.searchsorted(offsets, start, side="right") - 1
-            one, two = (mixed(RangeHash(data, s).of(start, start + WIDTH)) for s in (3, 5))
-            held.append((one, two, ids[own], start - offsets[own], [text[a : a + WIDTH] for a in start.tolist()]))
+            for base, piece, _ in segments(data, offsets):
+                a, b = np.searchsorted(start, (base, base + len(piece) - WIDTH + 1))
+                one, two = (mixed(RangeHash(piece, s).of(start[a:b] - base, start[a:b] - base + WIDTH)) for s in (3, 5))
+                held.append((one, two, ids[own[a:b]], start[a:b] - offsets[own[a:b]], [text[k : k + WIDTH] for k in start[a:b].tolist()]))
             rows += len(start)
         if rows >= HELD_STRINGS:
             yield from strings(held)
@@ -288,7 +290,7 @@ def left_of(text: bytes, runs: np.ndarray) -> tuple[bytes, int]:
     step = np.zeros(len(text) + 1, np.int32)
     np.add.at(step, np.minimum(start, len(text)), 1)
     np.add.at(step, np.minimum(start + n + WIDTH - 1, len(text)), -1)
-    gone = (np.cumsum(step[:-1]) > 0).astype(np.int8)
+    gone = (np.cumsum(step[:-1], dtype=np.int32) > 0).astype(np.int8)
     edges = np.flatnonzero(np.diff(np.concatenate(([0], gone, [0]))))
     return b"".join(text[a:b] for a, b in zip([0, *edges[1::2].tolist()], [*edges[::2].tolist(), len(text)], strict=True)), len(edges) // 2
 

@@ -10,7 +10,7 @@ import numpy as np
 from .common import RangeHash, groups, mixed
 
 #: Words kept by a worker before its cache starts anew; results don't depend on it.
-CACHED_WORDS = 1_500_000
+CACHED_WORDS = 1_000_000
 #: A word and a run of marks behind it. Both files cut between the two; an apostrophe may start a contraction.
 WORD_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 
@@ -89,7 +89,7 @@ class WordEncoder:
         """One unsigned 32-bit array of ids per text; an empty text has none."""
         raw = [t.encode() for t in texts]
         out = []
-        for a, b in groups(np.array([len(r) for r in raw]), 1 << 21) if raw else ():
+        for a, b in groups(np.array([len(r) for r in raw]), 1 << 20) if raw else ():
             out += self.block(texts[a:b], raw[a:b])
         return out
 

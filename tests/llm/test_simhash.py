@@ -44,6 +44,14 @@ def test_against_brute_force(spark, odd):
     assert got == want
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    random.seed(7)
+    texts = [b" ".join(random.choice([b"a", b"Bee", b"see\n", b"\t dee", b"x" * 90]) for _ in range(random.randint(0, 60))) for _ in range(80)]
+    whole = [simhash.fingerprint(t) for t in texts]
+    monkeypatch.setattr(simhash, "PIECE", 25)
+    assert whole == [simhash.fingerprint(t) for t in texts] == [brute(t.decode()) for t in texts]
+
+
 def test_hash_is_sparks(spark):
     assert spark.range(1).select(F.xxhash64(F.lit("a b c"))).first()[0] % 2**64 == xxhash.xxh64_intdigest(b"a b c", 42)
 
