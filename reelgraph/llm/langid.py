@@ -24,6 +24,13 @@ SAMPLE, LANDMARKS, ALL_LANDMARKS = 800, 32, 256
 RIDGE = 1.0
 ROWS = 64
 UNKNOWN = "und"
+#: Likeness to the landmarks is taken piece by piece, as the n-grams of a long text would fill the bins.
+PIECE = 4096
+#: The least likeness of a known language: MARGIN times the likeness that all but SHARE of about SAMPLE held-out texts per
+#: language have. With fewer than FEWEST such texts there is no bound.
+SHARE, MARGIN, FEWEST = 0.05, 0.55, 20
+#: A piece with fewer n-grams than VARIED times the root of its bytes repeats a few characters and is like nothing.
+VARIED = 0.5
 
 
 def presence(texts: list[bytes]) -> np.ndarray:
@@ -61,6 +68,22 @@ class Model:
         return kernel(presence(texts), dense, self.sizes) @ self.weights
 
 
+    def likeness(self, texts: list[bytes]) -> np.ndarray:
+        """For each text the share of its n-grams (or of a landmark's, if those are fewer) that the most similar landmark
+        has, less what chance alone would share: 0 by chance, 1 at most. The mean over its pieces by their bytes."""
+        pieces = [(k, t[a : a + PIECE]) for k, t in enumerate(texts) for a in range(0, max(len(t), 1), PIECE)]
+        of, size = np.array([k for k, _ in pieces], np.int64), np.array([len(t) for _, t in pieces], float)
+        like = np.zeros(len(pieces))
+        self.scores([])
+        for a in range(0, len(pieces), ROWS):
+            rows = presence([t for _, t in pieces[a : a + ROWS]]).astype(np.float32)
+            own = rows.sum(axis=1)[:, None]
+            least, chance = np.minimum(own, self.sizes), own * self.sizes / BINS
+            alike = ((rows @ self.dense - chance) / np.maximum(least - chance, 1e-6)).max(axis=1)
+            like[a : a + ROWS] = np.where(own[:, 0] < VARIED * np.sqrt(size[a : a + ROWS]), 0, np.clip(alike, 0, 1))
+        return np.bincount(of, like * size, len(texts)) / np.maximum(np.bincount(of, size, len(texts)), 1)
+
+
 def lowered(text: str | None) -> bytes:
     return (text or "").lower().encode()
 
@@ -132,22 +155,45 @@ def identify(docs: DataFrame) -> DataFrame:
     return classify(docs, train(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def least_likeness(docs: DataFrame, model: Model | None) -> float:
+    """The least likeness of a known language, from held-out rows that have a lang and a letter; a bounded draw of them
+    by a hash of the id. 0 without a model or with too few rows."""
+    rows = docs.where(held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()} if model else {}
+    if sum(counts.values()) < FEWEST:
+        return 0.0
+    share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, SAMPLE / n))]), F.col("lang"))
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1_000_000)) / 1_000_000
+
+    def likenesses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in runs_of(batches, "text", 4 << 20):
+            yield pa.RecordBatch.from_arrays([pa.array(model.likeness([lowered(t) for t in batch.column("text").to_pylist()]))], ["likeness"])
+
+    likeness = rows.where(draw < share).select("text").mapInArrow(likenesses, "likeness double")
+    bound = likeness.agg(F.percentile("likeness", F.lit(SHARE)).alias("bound")).collect()[0]["bound"]
+    return MARGIN * (bound or 0.0)
+
+
 def keep_known(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """The rows of documents whose language is known, with a score of `least` or more; their columns as they are."""
+    """The rows of documents whose language is known, with a score of `least` or more; their columns as they are.
+
+    Every text is held against the model: its language is unknown if it has no letter or is less like the landmarks than
+    `least_likeness`. A score compares languages only, so it can't tell this."""
     model = train(docs)
+    like = least_likeness(docs, model)
     schema = docs.schema
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in runs_of(batches, "text", 4 << 20):
             texts = batch.column("text").to_pylist()
             known = [k for k, t in enumerate(texts) if model and has_letter(t)]
-            if least > 0:
-                sure = []
-                for a in range(0, len(known), ROWS):
-                    some = known[a : a + ROWS]
-                    s = np.clip(model.scores([lowered(texts[k]) for k in some]), 1e-6, None)
-                    sure += [k for k, x in zip(some, s.max(axis=1) / s.sum(axis=1), strict=True) if x >= least]
-                known = sure
-            yield batch.take(pa.array(known, pa.int64()))
+            sure = []
+            for a in range(0, len(known), ROWS):
+                some = known[a : a + ROWS]
+                lower = [lowered(texts[k]) for k in some]
+                s = np.clip(model.scores(lower), 1e-6, None)
+                good = (s.max(axis=1) / s.sum(axis=1) >= least) & (model.likeness(lower) >= like)
+                sure += [k for k, x in zip(some, good.tolist(), strict=True) if x]
+            yield batch.take(pa.array(sure, pa.int64()))
 
     return docs.mapInArrow(kept, schema)

@@ -27,6 +27,20 @@ def test_languages(spark, odd, empty):
     assert kept.schema == odd.schema and {x["doc_id"] for x in kept.collect()} == {None, 3, 4, 5, 6, 9, 10}
 
 
+def test_unknown_languages_go(spark):
+    import base64
+    import random
+
+    random.seed(1)
+    docs = table(spark, DATA, "documents").select("doc_id", "text", "lang")
+    junk = ["a " * 500, "b" * 3000, base64.b64encode(random.randbytes(900)).decode(), base64.b64encode(random.randbytes(90_000)).decode(), random.randbytes(900).hex()]
+    junk += ["Все люди рождаются свободными и равными в своем достоинстве и правах. " * 3]
+    both = docs.unionByName(spark.createDataFrame([(10_000_000 + k, t, None) for k, t in enumerate(junk)], docs.schema))
+    kept = {r["doc_id"] for r in langid.keep_known(both).collect()}
+    clean = {r["doc_id"] for r in docs.where(r"text rlike '\\p{L}'").collect()}
+    assert not [k for k in kept if k >= 10_000_000] and len(kept & clean) >= 0.995 * len(clean)
+
+
 def test_restored_words(spark):
     docs = spark.createDataFrame([(i, "you idiot loser trash moron stupid worthless disgusting are the one who was here") for i in range(40)], "doc_id long, text string")
     r = toxicity.Restorer(toxicity.character_model(toxicity.character_counts(docs)))
