@@ -25,8 +25,10 @@ SAMPLE, MOST_CENTROIDS, LIST = 20_000, 4096, 100
 GROUP, PART, QUERIES = 16, 4096, 2048
 #: A vector goes to at most COPIES lists, within 1 + BORDER times the nearest centroid's distance.
 COPIES, BORDER = 6, 0.3
-#: A query reads at least LEAST lists and at most MOST, within 1 + RATIO times the nearest centroid's distance.
+#: A query reads at least LEAST lists and at most MOST, or these shares of all lists if they are more, within 1 + RATIO
+#: times the nearest centroid's distance.
 LEAST, MOST, RATIO = 128, 256, 0.4
+LEAST_SHARE, MOST_SHARE = 0.25, 0.5
 DEGREE, ENTRIES = 24, 48
 
 
@@ -53,6 +55,10 @@ class Graph:
     def search(self, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """The `width` nearest centroids found for each row, nearest first, and their distances; -1 fills up.
         Best-first: in each step every row opens its nearest centroid that is not open yet."""
+        if 4 * width >= len(self.centroids):  # a walk would open most of them
+            dist = distances(x, self.centroids)
+            ids = np.argsort(dist, axis=1, kind="stable")[:, :width]
+            return ids, np.sqrt(np.take_along_axis(dist, ids, axis=1))
         rows, many = len(x), np.arange(len(x))[:, None]
         ids = np.broadcast_to(self.entries, (rows, len(self.entries)))
         dist = distances(x, self.centroids[self.entries])
@@ -160,17 +166,20 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     # At most MOST_CENTROIDS rows.
     sizes = {r["list"]: r["n"] for r in postings.groupBy("list").agg(F.count("*").alias("n")).collect()}
 
+    number = len(graph.centroids)
+    least, most = max(LEAST, math.ceil(LEAST_SHARE * number)), min(number, max(MOST, math.ceil(MOST_SHARE * number)))
+
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                ids, dist = graph.search(matrix(part.column("v")), min(MOST, len(graph.centroids)))
+                ids, dist = graph.search(matrix(part.column("v")), most)
                 take, lists = [], []
                 for i, (row, d) in enumerate(zip(ids.tolist(), dist.tolist(), strict=True)):
                     held = read = 0
                     for c, far in zip(row, d, strict=True):
                         # A vector is in COPIES lists at most, so this many entries hold more than k vectors.
-                        if c < 0 or held > (k + 1) * COPIES and read >= LEAST and far > (1 + RATIO) * d[0]:
+                        if c < 0 or held > (k + 1) * COPIES and read >= least and far > (1 + RATIO) * d[0]:
                             break
                         if c in sizes:
                             take.append(i)

@@ -43,6 +43,16 @@ def test_recall_with_a_hot_vector(spark):
     assert set(got) == set(want) and np.mean(hits) >= 0.9
 
 
+def test_lists_read_grow_with_the_table(spark, monkeypatch):
+    for name, value in {"LIST": 10, "LEAST": 4, "MOST": 8}.items():
+        monkeypatch.setattr(ann, name, value)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(6).normal(size=(3000, 16)))]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert np.mean([len(got[q] & {j for _, j in near}) / 10 for q, near in brute(rows, 100, 10).items()]) >= 0.9
+
+
 def test_centroid_graph_finds_the_nearest():
     random = np.random.default_rng(5)
     centroids = random.normal(size=(400, 8))
