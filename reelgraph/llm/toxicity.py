@@ -9,6 +9,7 @@ words added.
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -78,11 +79,19 @@ def character_model(counts: np.ndarray) -> np.ndarray:
     return np.log(tri).astype(np.float32)
 
 
-def restore(word: str, model: np.ndarray) -> str:
-    """The likeliest meant word. Each sign may stand for a letter or for nothing, a repeated letter for one."""
+def restore(word: str, model: np.ndarray, parted: bool = False) -> str:
+    """The likeliest meant word, or, if `parted`, words: a word may then end behind any letter. Each sign may stand for a
+    letter or for nothing, a repeated letter for one. Words of any length: behind every LONGEST signs the text so far
+    is settled as far as all paths agree."""
     states: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
-    word = word[:LONGEST]
+    settled: list[str] = []
     for at, sign in enumerate(word):
+        if at and at % LONGEST == 0:
+            # Only what all paths share is settled, so that none is cut short; the rest travels on.
+            texts = [text for _, text in states.values()]
+            common = len(os.path.commonprefix(texts))
+            settled.append(texts[0][:common])
+            states = {k: (cost, text[common:]) for k, (cost, text) in states.items()}
         if sign.isalpha():
             options = [(sign, 0.0)]
         else:
@@ -96,6 +105,8 @@ def restore(word: str, model: np.ndarray) -> str:
                 if c:
                     k = CODES.get(c, OTHER)
                     moves = [(one, k, c, cost + extra + float(model[two, one, k]), text + c)]
+                    if parted and one:
+                        moves.append((0, k, c, cost + extra + float(model[two, one, 0]) + float(model[0, 0, k]), text + " " + c))
                     if c == last and stretched:
                         moves.append((two, one, last, cost + extra + STRETCHED, text))
                 for a, b, c2, total, grown in moves:
@@ -103,14 +114,15 @@ def restore(word: str, model: np.ndarray) -> str:
                         following[a, b, c2] = (total, grown)
         states = dict(sorted(following.items(), key=lambda x: -x[1][0])[:BEAM])
     best = max(((cost + float(model[two, one, 0]), text) for (two, one, _), (cost, text) in states.items()), default=(0.0, ""))
-    return best[1]
+    return "".join(settled) + best[1]
 
 
 def disguised(words: Words) -> np.ndarray:
-    """Whether each blank-parted word has a sign before a letter, a digit behind one or a letter three times running."""
+    """Whether each blank-parted word has a sign before a letter, a digit or a letter's stand-in behind one (but "!", which
+    ends words) or a letter three times running."""
     d = words.data
     letter = ((d >= 97) & (d <= 122)) | (d >= 128)
-    digit = (d >= 48) & (d <= 57)
+    digit = (d >= 48) & (d <= 57) | np.isin(d, [ord(c) for c in LEET if not c.isdigit() and c != "!"])
     mark = np.zeros(len(d) + 1, np.int64)
     if len(d) > 2:
         sign = ~letter & (d > 32)
@@ -118,13 +130,14 @@ def disguised(words: Words) -> np.ndarray:
         flag[:-1] = (sign[:-1] & letter[1:]) | (letter[:-1] & digit[1:])
         flag[:-2] |= letter[:-2] & (d[:-2] == d[1:-1]) & (d[1:-1] == d[2:]) & (d[:-2] < 128)
         mark[1:] = np.cumsum(flag)
-    length = words.ends - words.starts
-    return (mark[np.maximum(words.ends - 1, words.starts)] - mark[words.starts] > 0) & (length <= 4 * LONGEST)
+    return mark[np.maximum(words.ends - 1, words.starts)] - mark[words.starts] > 0
 
 
 def spaced(words: Words) -> Iterator[tuple[int, str]]:
     """(text, letters) of runs of four or more words of one character each."""
-    single = (words.ends - words.starts == 1) & (words.data[words.starts] > 32)
+    # By code points: a word has as many as it has bytes that don't continue one.
+    points = np.concatenate(([0], np.cumsum((words.data & 0xC0) != 0x80)))
+    single = points[words.ends] - points[words.starts] == 1
     if not single.any():
         return
     step = np.diff(np.concatenate(([0], single.astype(np.int8), [0])))
@@ -133,23 +146,27 @@ def spaced(words: Words) -> Iterator[tuple[int, str]]:
         for k in np.unique(docs).tolist():
             own = np.flatnonzero(docs == k) + a
             if len(own) >= 4:
-                yield k, "".join(words.text(x) for x in own.tolist())[:LONGEST]
+                yield k, "".join(words.text(x) for x in own.tolist())
 
 
 @dataclass
 class Restorer:
     model: np.ndarray
-    cache: dict[str, str] = field(default_factory=dict)
+    cache: dict[tuple[str, bool], str] = field(default_factory=dict)
 
     def __getstate__(self):
         return {"model": self.model, "cache": {}}
 
-    def word(self, word: str) -> str:
+    def word(self, word: str, parted: bool = False) -> str:
+        """A word longer than LONGEST may be several, joined by signs."""
+        bare, parted = word.strip(".,;:!?\"'()[]{}*#&%"), parted or len(word) > LONGEST
+        if len(word) > 4 * LONGEST:  # not kept: there are few, and they are large
+            return restore(bare, self.model, parted)
         if len(self.cache) > CACHED:
             self.cache.clear()
-        if word not in self.cache:
-            self.cache[word] = restore(word.strip(".,;:!?\"'()[]{}*#&%"), self.model)
-        return self.cache[word]
+        if (word, parted) not in self.cache:
+            self.cache[word, parted] = restore(bare, self.model, parted)
+        return self.cache[word, parted]
 
     def restored(self, texts: list[str | None]) -> list[str]:
         """For each text its disguised words as restored, joined by blanks."""
@@ -158,7 +175,7 @@ class Restorer:
         for k in np.flatnonzero(disguised(words)).tolist():
             found[words.doc[k]].add(self.word(words.text(k)))
         for doc, letters in spaced(words):
-            found[doc].add(self.word(letters))
+            found[doc].add(self.word(letters, parted=True))
         return [" ".join(sorted(f)) for f in found]
 
     def features(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:

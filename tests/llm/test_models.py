@@ -49,6 +49,19 @@ def test_restored_words(spark):
     assert r.restored(["hello 1d10t", "plain words", "i d i o t", None, ""]) == ["idiot", "", "idiot", "", ""]
 
 
+def test_restored_to_the_end(spark):
+    said = "you idiot loser trash moron stupid worthless disgusting are the one who was here a fête"
+    docs = spark.createDataFrame([(i, said) for i in range(40)], "doc_id long, text string")
+    r = toxicity.Restorer(toxicity.character_model(toxicity.character_counts(docs)))
+    late = "you are the one who was here " * 8 + "stupid"
+    spaced, joined = " ".join(late.replace(" ", "")), ".".join(late.replace(" ", ""))
+    assert len(late) > 4 * toxicity.LONGEST
+    for hidden in (spaced, joined):
+        assert "stupid" in r.restored([hidden])[0].split()
+    assert "idiot" in r.restored(["y o u i d i o t"])[0].split()
+    assert r.restored(["f ê t e", "worthles$"]) == ["fête", "worthless"]
+
+
 def test_toxicity(spark, odd, empty):
     docs, labels = table(spark, DATA.replace("0.001", "0.01"), "documents"), table(spark, DATA.replace("0.001", "0.01"), "labels")
     model = toxicity.train(docs, labels)
