@@ -39,7 +39,7 @@ LOW = np.uint64((1 << 24) - 1)
 WHOLE, REPEAT, OPEN, MARK = 0, 1, 2, 3
 #: Single strings held at once on the second level.
 HELD_STRINGS = 1 << 18
-TUPLES = "seed bigint, run bigint, d bigint, at bigint"
+TUPLES = "seed bigint, run bigint, d bigint, t bigint, at bigint"
 
 
 def packed(start: np.ndarray, n: np.ndarray, kind: int) -> np.ndarray:
@@ -71,8 +71,7 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.nd
 
 def sampled(data: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, ...]:
     """Of each run of allowed starts that one sampled suffix decides: first start, number, hash of seed, hash of run."""
-    hashes = RangeHash(data, 1)
-    seeds = mixed(hashes.every(SEED)[: len(data) - SEED + 1])
+    seeds, hashes = mixed(RangeHash(data, 1).every(SEED)[: len(data) - SEED + 1]), RangeHash(data, 7)
     order = (seeds & ~LOW) | np.arange(len(seeds), dtype=np.uint64)
     place = (smallest(order, SPAN) & LOW).astype(np.int64)
     new = np.ones(len(place), bool)
@@ -87,61 +86,61 @@ def sampled(data: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, ...]:
     return starts, ends - starts, seeds[at], mixed(run)
 
 
-def merged(d: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def merged(d: np.ndarray, t: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
     """Adjoining or equal runs of one document as one; none grows over a border of 2 Mi starts."""
-    order = np.lexsort((start, d))
-    d, start, n = d[order], start[order], n[order]
+    order = np.lexsort((start, t, d))
+    d, t, start, n = d[order], t[order], start[order], n[order]
     if not len(d):
-        return d, start, n
+        return d, t, start, n
     reach = start + n
     cut = np.ones(len(d), bool)
-    cut[1:] = (d[1:] != d[:-1]) | (start[1:] != reach[:-1]) | (start[1:] >> 21 != start[:-1] >> 21)
+    cut[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (start[1:] != reach[:-1]) | (start[1:] >> 21 != start[:-1] >> 21)
     first = np.flatnonzero(cut)
     last = np.concatenate((first[1:] - 1, [len(d) - 1]))
-    return d[first], start[first], reach[last] - start[first]
+    return d[first], t[first], start[first], reach[last] - start[first]
 
 
-def first_of(keys: tuple[np.ndarray, ...], d: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows in the order of key, document and place; whether each is the first of its key."""
+def first_of(keys: tuple[np.ndarray, ...], d: np.ndarray, t: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that are the first of their key by document and place, rows whose key has an earlier one). A row that is
+    the first one once more, of an equal text with the same id, is neither."""
     both = mixed(keys[0] + keys[1] * np.uint64(0x9E3779B97F4A7C15))
-    order = np.lexsort((start, d, both))
+    order = np.lexsort((start, t, d, both))
     first = np.ones(len(order), bool)
     first[1:] = (keys[0][order[1:]] != keys[0][order[:-1]]) | (keys[1][order[1:]] != keys[1][order[:-1]])
-    return order, first
+    lead = order[first][np.cumsum(first) - 1]
+    return order[first], order[(d[order] != d[lead]) | (t[order] != t[lead]) | (start[order] != start[lead])]
 
 
-def batch_of(seed, run, d, at) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(run.view(np.int64)), pa.array(d), pa.array(at)], ["seed", "run", "d", "at"])
+def batch_of(seed, run, d, t, at) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(run.view(np.int64)), pa.array(d), pa.array(t), pa.array(at)], ["seed", "run", "d", "t", "at"])
 
 
 def level_one(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-    seed, run, d, start, n = (np.concatenate(x) for x in zip(*held, strict=True))
-    order, first = first_of((seed, run), d, start)
-    later = order[~first]
-    rd, rs, rn = merged(d[later], start[later], n[later])
-    yield batch_of(mixed(rd.view(np.uint64) + rs.astype(np.uint64)), np.zeros(len(rd), np.uint64), rd, packed(rs, rn, REPEAT))
-    kept = order[first]
+    seed, run, d, t, start, n = (np.concatenate(x) for x in zip(*held, strict=True))
+    kept, later = first_of((seed, run), d, t, start)
+    rd, rt, rs, rn = merged(d[later], t[later], start[later], n[later])
+    yield batch_of(mixed(rd.view(np.uint64) + rs.astype(np.uint64)), np.zeros(len(rd), np.uint64), rd, rt, packed(rs, rn, REPEAT))
     kept = kept[np.argsort(seed[kept], kind="stable")]
     edge = np.concatenate((np.flatnonzero(np.concatenate(([True], seed[kept][1:] != seed[kept][:-1]))), [len(kept)]))
     many = np.flatnonzero(np.diff(edge) > KINDS)
     hot = np.repeat(np.diff(edge) > KINDS, np.diff(edge))
     cold, open_ = kept[~hot], kept[hot]
-    yield batch_of(seed[cold], run[cold], d[cold], packed(start[cold], n[cold], WHOLE))
+    yield batch_of(seed[cold], run[cold], d[cold], t[cold], packed(start[cold], n[cold], WHOLE))
     if len(many):
-        yield batch_of(mixed(d[open_].view(np.uint64) ^ mixed(start[open_].astype(np.uint64))), np.zeros(len(open_), np.uint64), d[open_], packed(start[open_], n[open_], OPEN))
+        yield batch_of(mixed(d[open_].view(np.uint64) ^ mixed(start[open_].astype(np.uint64))), np.zeros(len(open_), np.uint64), d[open_], t[open_], packed(start[open_], n[open_], OPEN))
         two = np.concatenate((kept[edge[many]], kept[edge[many] + 1]))
-        yield batch_of(seed[two], run[two], np.full(len(two), NO_ID), np.full(len(two), MARK, np.int64))
+        yield batch_of(seed[two], run[two], np.full(len(two), NO_ID), np.zeros(len(two), np.int64), np.full(len(two), MARK, np.int64))
 
 
 def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, rows = [], 0
     for batch in runs_of(batches, "text"):
         data, offsets = byte_runs(batch.column("text"))
-        ids = batch.column("d").to_numpy()
+        ids, kinds = batch.column("d").to_numpy(), batch.column("t").to_numpy()
         for base, piece, whole in segments(data, offsets):
             starts, n, seed, run = sampled(piece, whole)
             doc = np.searchsorted(offsets, starts + base, side="right") - 1
-            held.append((seed, run, ids[doc], starts + base - offsets[doc], n))
+            held.append((seed, run, ids[doc], kinds[doc], starts + base - offsets[doc], n))
             rows += len(starts)
         if rows >= HELD:
             yield from level_one(held)
@@ -159,30 +158,28 @@ def lists(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
 def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Second level: the open runs with their bytes, by seed; those of a cut-up seed as single strings, by hash."""
 
-    def sent(keys, d, at, raw):
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(d), pa.array(at), pa.array(raw, pa.binary())], ["seed", "d", "at", "bytes"])
+    def sent(keys, d, t, at, raw):
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(d), pa.array(t), pa.array(at), pa.array(raw, pa.binary())], ["seed", "d", "t", "at", "bytes"])
 
     def strings(held):
-        one, two, d, start = (np.concatenate([h[k] for h in held]) for k in range(4))
-        raw = [r for h in held for r in h[4]]
-        order, first = first_of((one, two), d, start)
-        later, kept = order[~first], order[first]
-        rd, rs, rn = merged(d[later], start[later], np.ones(len(later), np.int64))
-        yield sent(rd ^ rs, rd, packed(rs, rn, REPEAT), [b""] * len(rd))
-        yield sent(one[kept].view(np.int64), d[kept], packed(start[kept], np.ones(len(kept), np.int64), WHOLE), [raw[k] for k in kept.tolist()])
+        one, two, d, t, start = (np.concatenate([h[k] for h in held]) for k in range(5))
+        raw = [r for h in held for r in h[5]]
+        kept, later = first_of((one, two), d, t, start)
+        rd, rt, rs, rn = merged(d[later], t[later], start[later], np.ones(len(later), np.int64))
+        yield sent(rd ^ rs, rd, rt, packed(rs, rn, REPEAT), [b""] * len(rd))
+        yield sent(one[kept].view(np.int64), d[kept], t[kept], packed(start[kept], np.ones(len(kept), np.int64), WHOLE), [raw[k] for k in kept.tolist()])
 
     held, rows = [], 0
     for batch in runs_of(batches, "text"):
         data, offsets = byte_runs(batch.column("text"))
-        text, ids = data.tobytes(), batch.column("d").to_numpy()
+        text, ids, kinds = data.tobytes(), batch.column("d").to_numpy(), batch.column("t").to_numpy()
         values, count = lists(batch.column("runs"))
         seed, at = (values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
         doc = np.repeat(np.arange(len(count)), count)
         begin, n = (at >> 24) + offsets[doc], at >> 2 & 0x3FFFFF
-        fits = begin + n + WIDTH - 1 <= offsets[doc + 1]  # else a run of another text with this id
-        by_seed, single = np.flatnonzero(fits & (at & 3 == WHOLE)), np.flatnonzero(fits & (at & 3 == OPEN))
+        by_seed, single = np.flatnonzero(at & 3 == WHOLE), np.flatnonzero(at & 3 == OPEN)
         if len(by_seed):
-            yield sent(seed[by_seed], ids[doc[by_seed]], at[by_seed], [text[a : a + k + WIDTH - 1] for a, k in zip(begin[by_seed].tolist(), n[by_seed].tolist(), strict=True)])
+            yield sent(seed[by_seed], ids[doc[by_seed]], kinds[doc[by_seed]], at[by_seed], [text[a : a + k + WIDTH - 1] for a, k in zip(begin[by_seed].tolist(), n[by_seed].tolist(), strict=True)])
         if len(single):
             b, k = begin[single], n[single]
             start = np.unique(np.repeat(b - np.concatenate(([0], np.cumsum(k)[:-1])), k) + np.arange(k.sum()))
@@ -190,7 +187,7 @@ def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for base, piece, _ in segments(data, offsets):
                 a, b = np.searchsorted(start, (base, base + len(piece) - WIDTH + 1))
                 one, two = (mixed(RangeHash(piece, s).of(start[a:b] - base, start[a:b] - base + WIDTH)) for s in (3, 5))
-                held.append((one, two, ids[own[a:b]], start[a:b] - offsets[own[a:b]], [text[k : k + WIDTH] for k in start[a:b].tolist()]))
+                held.append((one, two, ids[own[a:b]], kinds[own[a:b]], start[a:b] - offsets[own[a:b]], [text[k : k + WIDTH] for k in start[a:b].tolist()]))
             rows += len(start)
         if rows >= HELD_STRINGS:
             yield from strings(held)
@@ -203,11 +200,11 @@ def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in the order of seed: the strings among them that occur before, as runs of places."""
 
     def solve(rows: pa.Table):
-        at, d = rows.column("at").to_numpy(), rows.column("d").to_numpy()
+        at, d, t = (rows.column(c).to_numpy() for c in ("at", "d", "t"))
         data, offsets = byte_runs(rows.column("bytes"))
         done = np.flatnonzero(at & 3 == REPEAT)
         if len(done):
-            yield pa.RecordBatch.from_arrays([pa.array(d[done]), pa.array(at[done])], ["d", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(d[done]), pa.array(t[done]), pa.array(at[done])], ["d", "t", "at"])
         n = np.maximum(np.diff(offsets) - WIDTH + 1, 0)
         for a, b in groups_of(rows.column("seed").to_numpy(), n):
             k = np.repeat(np.arange(a, b), n[a:b])
@@ -218,10 +215,9 @@ def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             where = offsets[k] - offsets[a] + inside
             one, two = (mixed(RangeHash(piece, s).of(where, where + WIDTH)) for s in (3, 5))
             start = (at[k] >> 24) + inside
-            order, first = first_of((one, two), d[k], start)
-            later = order[~first]
-            rd, rs, rn = merged(d[k][later], start[later], np.ones(len(later), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(rd), pa.array(packed(rs, rn, REPEAT))], ["d", "at"])
+            _, later = first_of((one, two), d[k], t[k], start)
+            rd, rt, rs, rn = merged(d[k][later], t[k][later], start[later], np.ones(len(later), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(rd), pa.array(rt), pa.array(packed(rs, rn, REPEAT))], ["d", "t", "at"])
 
     def groups_of(seed: np.ndarray, n: np.ndarray):
         """Runs of rows with about HELD_STRINGS strings that don't part a seed."""
@@ -249,19 +245,18 @@ def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sorted_tuples(tuples: DataFrame) -> DataFrame:
-    """Brings equal tuples together; adds `later` (an equal one comes before), `several` (its seed has several runs)
-    and `cut_up` (in some task very many)."""
-    kind = F.col("at").bitwiseAND(F.lit(3))
-    same = Window.partitionBy("seed", "run").orderBy(kind == MARK, "d", "at")
+    """Brings equal tuples together; adds `later` (one of another document or place comes before), `several` (its seed
+    has several runs) and `cut_up` (in some task very many)."""
+    kind, own = F.col("at").bitwiseAND(F.lit(3)), F.struct("d", "t", "at")
+    same = Window.partitionBy("seed", "run").orderBy(kind == MARK, "d", "t", "at")
     by_seed = Window.partitionBy("seed")
-    rows = tuples.repartition("seed").withColumn("n", F.row_number().over(same))
+    rows = tuples.repartition("seed").withColumn("later", own != F.first(own).over(same))
     rows = rows.withColumn("several", F.min("run").over(by_seed) != F.max("run").over(by_seed)).withColumn("cut_up", F.max(kind).over(by_seed) == MARK)
-    return rows.where(kind != MARK).select("seed", "d", "at", kind.alias("kind"), (F.col("n") > 1).alias("later"), "several", "cut_up")
+    return rows.where(kind != MARK).select("seed", "d", "t", "at", kind.alias("kind"), "later", "several", "cut_up")
 
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """(d, runs): for each doc_id (NO_ID for null) that has any, the packed runs of starts of strings that occur before."""
-    texts = docs.select(key_of(docs).alias("d"), F.col("text").cast("binary").alias("text"))
+def repeated(texts: DataFrame) -> DataFrame:
+    """(d, t, runs) for each document (d, t, text) that has any: the packed runs of starts of strings that occur before."""
     found = sorted_tuples(texts.mapInArrow(sample, TUPLES))
     whole = F.col("kind") == WHOLE
     is_open = (F.col("kind") == OPEN) | (whole & ~F.col("later") & F.col("several"))
@@ -269,17 +264,27 @@ def repeated(docs: DataFrame) -> DataFrame:
     # The last two bits of an open run say how it is sorted on the second level.
     bits = F.when(is_open & F.col("cut_up"), OPEN).otherwise(F.col("kind"))
     at = F.col("at").bitwiseAND(F.lit(-4)).bitwiseOR(bits.cast("long"))
-    one = stored(found.where(is_open | repeats).select("seed", "d", at.alias("at"), is_open.alias("open")))
+    one = stored(found.where(is_open | repeats).select("seed", "d", "t", at.alias("at"), is_open.alias("open")))
 
     # No more than a document has places.
-    runs = one.where("open").groupBy("d").agg(F.collect_list(F.struct("seed", "at")).alias("runs"))
-    pieces = texts.join(runs, "d").select("d", "text", "runs").mapInArrow(opened, "seed bigint, d bigint, at bigint, bytes binary")
-    two = pieces.repartition("seed").sortWithinPartitions("seed").mapInArrow(settled, "d bigint, at bigint")
-    return one.where("NOT open").select("d", "at").unionByName(two).groupBy("d").agg(F.collect_list("at").alias("runs"))
+    runs = one.where("open").groupBy("d", "t").agg(F.collect_set(F.struct("seed", "at")).alias("runs"))
+    pieces = texts.join(runs, ["d", "t"]).select("d", "t", "text", "runs").mapInArrow(opened, "seed bigint, d bigint, t bigint, at bigint, bytes binary")
+    two = pieces.repartition("seed").sortWithinPartitions("seed").mapInArrow(settled, "d bigint, t bigint, at bigint")
+    return one.where("NOT open").select("d", "t", "at").unionByName(two).groupBy("d", "t").agg(F.collect_list("at").alias("runs"))
 
 
-def key_of(docs: DataFrame) -> Column:
-    return F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID))
+def named(docs: DataFrame, columns: list[Column], d: str, t: str, copy: str) -> DataFrame:
+    """The columns of docs with three that name a row: d, the doc_id (NO_ID for null); t, a hash of the text where ids
+    are null or repeated, else 0; copy, which numbers rows of the same id and text from 0.
+
+    Only ids are counted for it; texts are dealt out by name only if some id is null or repeated."""
+    key = F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID))
+    ids = stored(docs.groupBy(key.alias(d)).agg(F.count("*").alias("n")).where((F.col("n") > 1) | (F.col(d) == NO_ID)).select(d, F.lit(True).alias(t)))
+    if ids.isEmpty():
+        return docs.select(*columns, key.alias(d), F.lit(0).cast("long").alias(t), F.lit(0).alias(copy))
+    rows = docs.select(*columns, F.xxhash64("text").alias(copy), key.alias(d)).join(ids, d, "left")
+    rows = rows.withColumn(t, F.when(F.col(f"`{t}`"), F.col(f"`{copy}`")).otherwise(F.lit(0).cast("long")))
+    return rows.withColumn(copy, F.row_number().over(Window.partitionBy(f"`{d}`", f"`{t}`").orderBy(f"`{copy}`")) - 1)
 
 
 def left_of(text: bytes, runs: np.ndarray) -> tuple[bytes, int]:
@@ -295,31 +300,34 @@ def left_of(text: bytes, runs: np.ndarray) -> tuple[bytes, int]:
     return b"".join(text[a:b] for a, b in zip([0, *edges[1::2].tolist()], [*edges[::2].tolist(), len(text)], strict=True)), len(edges) // 2
 
 
-def with_runs(batch: pa.RecordBatch, text: str, runs: str) -> Iterator[tuple[bytes, np.ndarray]]:
+def with_runs(batch: pa.RecordBatch, text: str, runs: str, copy: str) -> Iterator[tuple[bytes, np.ndarray]]:
+    """The texts and their runs. Every string of a copy occurs before."""
     values, count = lists(batch.column(runs))
     values, ends = values.to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(count)
-    for t, n, end in zip(batch.column(text).cast(pa.large_binary()).to_pylist(), count.tolist(), ends.tolist(), strict=True):
-        yield t or b"", values[end - n : end]
+    for t, n, end, k in zip(batch.column(text).cast(pa.large_binary()).to_pylist(), count.tolist(), ends.tolist(), batch.column(copy).to_pylist(), strict=True):
+        every = k and len(t or b"") - WIDTH + 1
+        yield t or b"", values[end - n : end] if not every or every < 0 else np.arange(0, every, 1 << 21, dtype=np.int64) << 24 | np.minimum(every - np.arange(0, every, 1 << 21), 1 << 21) << 2
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) per row of (doc_id, text); kept is what is left.
 
-    A null or empty text has no bytes. A null doc_id is smaller than all others. Rows that repeat a doc_id count as one
-    document, whose removed ranges hold for each of them as far as its text reaches. An empty table gives no rows.
+    A null or empty text has no bytes. A null doc_id is smaller than all others. Rows of one id are documents of their
+    own, in the order of a hash of their texts; of rows with equal id and text the first keeps what it has for itself.
+    An empty table gives no rows.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in runs_of(batches, "text", 8 << 20):
             out = []
-            for text, runs in with_runs(batch, "text", "runs"):
+            for text, runs in with_runs(batch, "text", "runs", "copy"):
                 kept, spans = left_of(text, runs)
                 out.append((len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key_of(docs).alias("d"), F.col("text").cast("binary").alias("text"))
-    joined = texts.join(repeated(docs), "d", "left").select("doc_id", "text", "runs")
+    texts = named(docs, [docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("binary").alias("text")], "d", "t", "copy")
+    joined = texts.join(repeated(texts.select("d", "t", "text")), ["d", "t"], "left").select("doc_id", "text", "runs", "copy")
     return joined.mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
 
 
@@ -330,12 +338,12 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     a character is dropped.
     """
     mark = uuid.uuid4().hex
-    key, runs_name, schema, names = f"d {mark}", f"runs {mark}", docs.schema, docs.columns
+    d, t, copy, runs_name, schema, names = f"d {mark}", f"t {mark}", f"copy {mark}", f"runs {mark}", docs.schema, docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in runs_of(batches, "text", 8 << 20):
             kept, texts = [], []
-            for k, (given, (text, runs)) in enumerate(zip(batch.column("text").to_pylist(), with_runs(batch, "text", runs_name), strict=True)):
+            for k, (given, (text, runs)) in enumerate(zip(batch.column("text").to_pylist(), with_runs(batch, "text", runs_name, copy), strict=True)):
                 left, spans = left_of(text, runs)
                 if left or not spans:
                     kept.append(k)
@@ -346,9 +354,10 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
                 new["n_chars"] = pa.array([None if t is None else len(t) for t in texts], batch.column("n_chars").type)
             yield pa.RecordBatch.from_arrays([new[c] if c in new else rows.column(k) for k, c in enumerate(names)], names)
 
-    gone = repeated(docs).select(F.col("d").alias(key), F.col("runs").alias(runs_name))
-    joined = docs.withColumn(key, key_of(docs)).join(gone, key, "left").select(*[F.col(f"`{c}`") for c in names], f"`{runs_name}`")
-    return joined.mapInArrow(cut, schema)
+    texts = named(docs, [docs[f"`{c}`"] for c in names], d, t, copy)
+    gone = repeated(texts.select(F.col(f"`{d}`").alias("d"), F.col(f"`{t}`").alias("t"), F.col("text").cast("binary").alias("text")))
+    joined = texts.join(gone.select(F.col("d").alias(d), F.col("t").alias(t), F.col("runs").alias(runs_name)), [d, t], "left")
+    return joined.select(*[F.col(f"`{c}`") for c in names], f"`{runs_name}`", f"`{copy}`").mapInArrow(cut, schema)
 
 
 #: remove_repeats over `documents` as DuckDB SQL, without the text left: every 100-byte string by its hash.

@@ -84,6 +84,15 @@ def test_components_of_a_path(spark):
 
 def test_one_of_each_group_stays(spark, odd, empty):
     kept = simhash.keep_one_of_each(odd)
-    assert kept.columns == odd.columns
-    assert sorted(r["doc_id"] for r in kept.where("doc_id IS NOT NULL").collect()) == [1, 3, 5, 6, 8, 9, 10]
+    assert kept.schema == odd.schema
+    # Of the two texts under id 5 none is a copy; the cat's first row with an id is 6.
+    assert sorted(r["doc_id"] for r in kept.where("doc_id IS NOT NULL").collect()) == [1, 3, 5, 5, 6, 8, 9, 10]
+    assert not kept.where("doc_id IS NULL").count()
     assert simhash.near_duplicates(empty).count() == simhash.keep_one_of_each(empty).count() == 0
+
+
+def test_rows_without_an_id_of_their_own_stay(spark):
+    say = lambda k: f"sentence number {k} of a text that is like no other, with {k * k} in it and {k * 7919} too"
+    rows = [(1, say(1)), (1, say(2)), (1, say(1)), (None, say(3)), (None, say(3)), (None, say(4)), (None, say(2)), (2, say(1)), (3, None), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in simhash.keep_one_of_each(df).collect()) == sorted([(1, say(1)), (1, say(2)), (0, say(3)), (0, say(4)), (3, "")])
