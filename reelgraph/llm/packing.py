@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,9 +84,12 @@ def reduce_dominated(counts: dict[int, int], capacity: int) -> tuple[Bins, dict[
             left.take(j, times)
             left.take(k, times)
         elif left.smallest_sum(3, j) > room and (b := dominating_third(left, j, k, room)) is not None:
-            fixed.append(([(j, 1), (k, 1), (b, 1)], 1))
-            for x in (j, k, b):
-                left.take(x, 1)
+            # What is dominated stays so while a copy of each is left: the others only become fewer.
+            each = Counter((j, k, b))
+            times = min(left.counts[x] // n for x, n in each.items())
+            fixed.append((list(each.items()), times))
+            for x, n in each.items():
+                left.take(x, n * times)
         else:
             below = j
     return fixed, left.counts

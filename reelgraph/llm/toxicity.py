@@ -30,7 +30,8 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "
 #: Costs of the channel, as log probabilities: a sign for a letter, a mark left out, a digit or like sign left out, a
 #: letter of three or more in a row left out.
 SIGN, LEFT_OUT, LOST, STRETCHED = -1.0, -0.5, -8.0, -0.3
-BEAM, LONGEST = 24, 48
+#: Signs after which what all paths share is settled; a longer word may be several.
+LONGEST = 48
 #: Bounds of what is learned from: labelled texts of each kind (about), and features.
 SAMPLE, FEATURES, PREFIXES = 3000, 2000, (4, 5, 6)
 #: A feature is looked at if it is in this many toxic texts of the sample, and so many times more often than in others.
@@ -81,8 +82,9 @@ def character_model(counts: np.ndarray) -> np.ndarray:
 
 def restore(word: str, model: np.ndarray, parted: bool = False) -> str:
     """The likeliest meant word, or, if `parted`, words: a word may then end behind any letter. Each sign may stand for a
-    letter or for nothing, a repeated letter for one. Words of any length: behind every LONGEST signs the text so far
-    is settled as far as all paths agree."""
+    letter or for nothing, a repeated letter for one. No path is left out: a state is the last two letters of the model and
+    the last one as it stands. Words of any length: behind every LONGEST signs the text so far is settled as far as all
+    paths agree."""
     states: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
     settled: list[str] = []
     for at, sign in enumerate(word):
@@ -112,7 +114,7 @@ def restore(word: str, model: np.ndarray, parted: bool = False) -> str:
                 for a, b, c2, total, grown in moves:
                     if total > following.get((a, b, c2), (-math.inf,))[0]:
                         following[a, b, c2] = (total, grown)
-        states = dict(sorted(following.items(), key=lambda x: -x[1][0])[:BEAM])
+        states = following
     best = max(((cost + float(model[two, one, 0]), text) for (two, one, _), (cost, text) in states.items()), default=(0.0, ""))
     return "".join(settled) + best[1]
 
@@ -203,7 +205,8 @@ class Model:
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Learns from labelled rows that are not held out: about SAMPLE of each kind, drawn by a hash of the id. The
-    sample of labels is bounded, so it is sent to where the texts are. Without rows of both kinds scores are 0.
+    sample of labels is bounded, so it is sent to where the texts are. Without rows of both kinds all scores are that of
+    the kind there is, and 0 without rows.
 
     A document with several labels is toxic if one says so.
     """
@@ -211,7 +214,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     marked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     marked = marked.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("y"))
     n = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    nothing = Model(restorer, Known(np.zeros(0, np.uint64)), np.zeros(0), -30.0)
+    nothing = Model(restorer, Known(np.zeros(0, np.uint64)), np.zeros(0), 30.0 if set(n) == {1} else -30.0)
     if len(n) < 2:
         return nothing
     share = F.when(F.col("y") == 1, min(1.0, SAMPLE / n[1])).otherwise(min(1.0, SAMPLE / n[0]))
@@ -276,4 +279,9 @@ def judge(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, held_out, score, predicted) per row of docs (doc_id, text), learned from labels (doc_id, toxic).
+
+    Whole texts, however long. Null and empty texts have the score of a text without a telling word; repeated rows and
+    null ids are rows like others; labels that are null, neither 0 nor 1 or of no document teach nothing. An empty table
+    of documents gives no rows, one of labels scores of 0."""
     return judge(docs, train(docs, labels))

@@ -1,5 +1,6 @@
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from reelgraph.llm import decontam, langid, toxicity, urlfilter
@@ -62,6 +63,71 @@ def test_restored_to_the_end(spark):
     assert r.restored(["f ê t e", "worthles$"]) == ["fête", "worthless"]
 
 
+def plain_decoding(word, model, parted):
+    """The best cost over all that may have been meant, path by path."""
+    paths = [("", "", 0.0, (0, 0))]
+    for at, sign in enumerate(word):
+        stretched = sign * 3 in word[max(0, at - 2) : at + 3]
+        options = [(sign, 0.0)] if sign.isalpha() else [(c, toxicity.SIGN) for c in toxicity.LEET.get(sign, "")]
+        if not sign.isalpha():
+            options.append(("", toxicity.LOST if options else toxicity.LEFT_OUT))
+        after = []
+        for text, last, cost, (two, one) in paths:
+            for c, extra in options:
+                if not c:
+                    after.append((text, last, cost + extra, (two, one)))
+                    continue
+                k = toxicity.CODES.get(c, toxicity.OTHER)
+                after.append((text + c, c, cost + extra + model[two, one, k], (one, k)))
+                if parted and one:
+                    after.append((text + " " + c, c, cost + extra + model[two, one, 0] + model[0, 0, k], (0, k)))
+                if c == last and stretched:
+                    after.append((text, last, cost + extra + toxicity.STRETCHED, (two, one)))
+        paths = after
+    return max((cost + model[two, one, 0], text) for text, _, cost, (two, one) in paths)
+
+
+def test_decoding_is_exact(spark):
+    import random
+
+    random.seed(4)
+    docs = spark.createDataFrame([(i, "you idiot loser trash moron stupid worthless disgusting are the one who was here") for i in range(40)], "doc_id long, text string")
+    model = toxicity.character_model(toxicity.character_counts(docs))
+    for _ in range(150):
+        word = "".join(random.choice("idot1105|!.e@aaxlls$é") for _ in range(random.randint(1, 8)))
+        for parted in (False, True):
+            cost, best = plain_decoding(word, model, parted)
+            got = toxicity.restore(word, model, parted)
+            same = [t for c, t in [plain_decoding(word, model, parted)] if t == got]
+            assert same or abs(plain_decoding_of(word, model, parted, got) - cost) < 1e-3, (word, best, got)
+
+
+def plain_decoding_of(word, model, parted, text):
+    """The best cost of one reading, by a dynamic program over (signs read, letters written, last two letters)."""
+    import functools
+
+    @functools.cache
+    def best(at, done, two, one):
+        if at == len(word):
+            return model[two, one, 0] if done == len(text) else -np.inf
+        sign, out = word[at], -np.inf
+        stretched = sign * 3 in word[max(0, at - 2) : at + 3]
+        options = [(sign, 0.0)] if sign.isalpha() else [(c, toxicity.SIGN) for c in toxicity.LEET.get(sign, "")]
+        if not sign.isalpha():
+            out = best(at + 1, done, two, one) + (toxicity.LOST if options else toxicity.LEFT_OUT)
+        for c, extra in options:
+            k = toxicity.CODES.get(c, toxicity.OTHER)
+            if text[done : done + 1] == c:
+                out = max(out, extra + model[two, one, k] + best(at + 1, done + 1, one, k))
+            if parted and one and text[done : done + 2] == " " + c:
+                out = max(out, extra + model[two, one, 0] + model[0, 0, k] + best(at + 1, done + 2, 0, k))
+            if done and text[done - 1] == c and stretched:
+                out = max(out, extra + toxicity.STRETCHED + best(at + 1, done, two, one))
+        return out
+
+    return best(0, 0, 0, 0)
+
+
 def test_toxicity(spark, odd, empty):
     docs, labels = table(spark, DATA.replace("0.001", "0.01"), "documents"), table(spark, DATA.replace("0.001", "0.01"), "labels")
     model = toxicity.train(docs, labels)
@@ -73,6 +139,8 @@ def test_toxicity(spark, odd, empty):
     assert len(out) == odd.count() and (out.predicted == (out.score >= 0.5)).all()
     assert toxicity.score_toxicity(empty, labels).count() == 0
     assert toxicity.score_toxicity(odd, labels.limit(0)).where("predicted = 0").count() == odd.count()
+    one = spark.createDataFrame([(k, 1) for k in range(20)], "doc_id long, toxic int")
+    assert toxicity.score_toxicity(odd, one).where("predicted = 1").count() == odd.count()
 
 
 def rule_of(host, path, rules):
@@ -117,8 +185,6 @@ def plain_alignment(a, b):
 def test_alignment():
     import random
 
-    import numpy as np
-
     random.seed(2)
     for _ in range(200):
         a, b = ([random.randint(0, 4) for _ in range(random.randint(1, 12))] for _ in range(2))

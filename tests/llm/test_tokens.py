@@ -98,3 +98,17 @@ def test_reduction_loses_no_best_packing():
         rest = [k for k, n in left.items() for _ in range(n)]
         assert sum(n for _, n in fixed) + (fewest(rest, capacity) if rest else 0) == (fewest(items, capacity) if items else 0)
         assert len(packing.plan(Counter(items), capacity)) >= len(set(items))
+
+
+def test_plan_does_not_grow_with_the_corpus():
+    """Many pieces of each length: the plan has a few slots a length, and the reduction takes many of them at a time."""
+    import time
+
+    slots, took = [], []
+    for copies in (3_000, 300_000):
+        began = time.perf_counter()
+        plan = packing.plan({length: copies + length % 7 for length in range(520, 700)})
+        took.append(time.perf_counter() - began)
+        slots.append(len(plan))
+        assert (plan[:, 2] * plan[:, 3]).sum() == sum(copies + length % 7 for length in range(520, 700))
+    assert slots[1] < 1.5 * slots[0] + 50 and took[1] < 3 * took[0] + 1
