@@ -1,11 +1,13 @@
 """Operator 6: training documents that hold a benchmark item, whole or edited.
 
-Word n-grams of the items that are rare in the corpus are the seeds. A document with two seeds of an item near each
-other is aligned with it by Smith-Waterman over words; the score is the share of the item's best possible one.
+Word n-grams of the items, with and without gaps, that are rare in the corpus are the seeds. A document with two seeds
+of an item near each other, or one of a short item, is aligned with it by Smith-Waterman over words; the score is the
+share of the item's best possible one.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +19,10 @@ from .common import mixed, runs_of, stored
 from .words import Known, Words
 
 GRAM = 3
+#: Words of a seed, by their distance from its first one. The gaps find items of which every third word is changed.
+PATTERNS = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
+#: Items of up to so many words need one seed, longer ones two in different places.
+SHORT = 12
 #: A seed is rare if it is in at most so many times as many documents as the item's median one, plus a few.
 RARE, FEW = 4, 20
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -27,15 +33,19 @@ FOUND = "doc_id bigint, item_id bigint, score double, first_word bigint, last_wo
 
 
 def grams(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the word n-grams that lie in one text, and the index of their first words."""
-    h, n = words.full(), len(words.starts) - GRAM + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    first = np.flatnonzero(words.doc[:n] == words.doc[GRAM - 1 :])
-    both = h[first]
-    for k in range(1, GRAM):
-        both = both * np.uint64(0x9E3779B97F4A7C15) + h[first + k]
-    return mixed(both), first
+    """Hashes of the seeds that lie in one text, and the index of their first words."""
+    h, hashes, places = words.full(), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for turn, pattern in enumerate(PATTERNS):
+        n = len(words.starts) - pattern[-1]
+        if n <= 0:
+            continue
+        first = np.flatnonzero(words.doc[:n] == words.doc[pattern[-1] :])
+        both = h[first] + np.uint64(turn)
+        for k in pattern[1:]:
+            both = both * np.uint64(0x9E3779B97F4A7C15) + h[first + k]
+        hashes.append(mixed(both))
+        places.append(first)
+    return np.concatenate(hashes), np.concatenate(places)
 
 
 class Items:
@@ -44,7 +54,9 @@ class Items:
     def __init__(self, rows: list[tuple[int, str]]):
         self.ids = [i for i, _ in rows]
         words = Words([t for _, t in rows])
-        self.hashes = [words.full()[words.doc == k] for k in range(len(rows))]
+        edge = np.searchsorted(words.doc, np.arange(len(rows) + 1))
+        self.hashes = np.split(words.full(), edge[1:-1])
+        self.sizes = np.diff(edge)
         seeds, first = grams(words)
         self.item = words.doc[first]
         self.place = first - np.searchsorted(words.doc, self.item)
@@ -53,12 +65,13 @@ class Items:
 
     def keep_rare(self, counts: dict[int, int]) -> None:
         """Drops an item's seeds that are common beside its other ones. Every item keeps half of its seeds or more."""
-        count = np.array([counts.get(int(k), 0) for k in self.known.keys.view(np.int64)], float)
-        keep = np.zeros(len(self.row), bool)
-        for k in range(len(self.ids)):
-            mine = np.flatnonzero(self.item == k)
-            if len(mine):
-                keep[mine] = count[self.row[mine]] <= RARE * np.median(count[self.row[mine]]) + FEW
+        count = np.array([counts.get(int(k), 0) for k in self.known.keys.view(np.int64)], float)[self.row]
+        order = np.lexsort((count, self.item))
+        edge = np.flatnonzero(np.concatenate(([True], self.item[order][1:] != self.item[order][:-1], [True]))) if len(order) else np.zeros(1, np.int64)
+        # An item's middle count; the lower one of two.
+        median = count[order][(edge[:-1] + edge[1:] - 1) // 2] if len(order) else count
+        keep = np.zeros(len(order), bool)
+        keep[order] = count[order] <= np.repeat(RARE * median + FEW, np.diff(edge)) if len(order) else keep
         seeds = self.known.keys[self.row[keep]]
         self.item, self.place, self.known = self.item[keep], self.place[keep], Known(seeds)
         row = np.searchsorted(self.known.keys, seeds)
@@ -68,25 +81,23 @@ class Items:
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int, int]:
-    """Smith-Waterman over word hashes: score as a share of the item's best, first and last word of the text's part."""
+    """Smith-Waterman over word hashes: score as a share of the item's best, first and last word of the text's part.
+
+    One row of the table is held at a time. A cell is the score and, below it in the same number, where its alignment
+    began, earlier places being larger, so that of equal scores the earlier start is kept."""
     m, n = len(item), len(text)
-    table = np.zeros((m + 1, n + 1), np.int32)
-    slope = -GAP * np.arange(n + 1, dtype=np.int32)
+    one = np.int64(1) << 32
+    fresh = one - 1 - np.arange(n + 1, dtype=np.int64)  # score 0, beginning here
+    slope = -GAP * one * np.arange(n + 1, dtype=np.int64)
+    above, best, last = fresh.copy(), np.int64(0), 0
     for i in range(m):
-        row = np.zeros(n + 1, np.int32)
-        row[1:] = np.maximum(table[i, :-1] + np.where(text == item[i], MATCH, MISMATCH), table[i, 1:] + GAP)
-        table[i + 1] = np.maximum(np.maximum.accumulate(np.maximum(row, 0) + slope) - slope, 0)
-    i, j = np.unravel_index(table.argmax(), table.shape)
-    best, last = int(table[i, j]), int(j) - 1
-    while i and j and table[i, j]:
-        here = table[i, j]
-        if here == table[i - 1, j - 1] + (MATCH if text[j - 1] == item[i - 1] else MISMATCH):
-            i, j = i - 1, j - 1
-        elif here == table[i - 1, j] + GAP:
-            i -= 1
-        else:
-            j -= 1
-    return best / (MATCH * m), int(j), last
+        row = fresh.copy()
+        row[1:] = np.maximum(row[1:], np.maximum(above[:-1] + np.where(text == item[i], MATCH * one, MISMATCH * one), above[1:] + GAP * one))
+        above = np.maximum(np.maximum.accumulate(row + slope) - slope, fresh)
+        j = int(above.argmax())
+        if above[j] >> 32 > best >> 32:
+            best, last = above[j], j
+    return int(best >> 32) / (MATCH * m), int(one - 1 - (best & (one - 1))) if best else 0, last - 1
 
 
 def seed_counts(docs: DataFrame, items: Items) -> dict[int, int]:
@@ -108,8 +119,11 @@ def seed_counts(docs: DataFrame, items: Items) -> dict[int, int]:
     return {r["seed"]: r["n"] for r in rows.collect()}
 
 
-def near(words: Words, items: Items) -> Iterator[tuple[int, int, int, int]]:
-    """(text, item, first word, end) of the stretches that have two different seeds of an item within its length."""
+def near(words: Words, items: Items, least: float) -> Iterator[tuple[int, int, int, int]]:
+    """(text, item, first word, end) of the stretches to be aligned, by text and item.
+
+    An alignment that scores `least` covers no more than `span` words. Hits that lie closer than that are one stretch,
+    which is cut into windows of two spans, one span apart, so that each alignment lies in one of them."""
     seeds, first = grams(words)
     at, row = items.known.find(seeds)
     if not len(at):
@@ -121,12 +135,16 @@ def near(words: Words, items: Items) -> Iterator[tuple[int, int, int, int]]:
     limits = np.searchsorted(words.doc, np.arange(words.doc[-1] + 2))
     order = np.lexsort((word, item, doc))
     word, item, place, doc = word[order], item[order], place[order], doc[order]
-    size = np.array([len(h) for h in items.hashes])[item]
-    cut = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (word[1:] - word[:-1] > 2 * size[1:]))))
+    size = items.sizes[item]
+    span = np.ceil(size * (3 - 2 * min(least, 1))).astype(np.int64)
+    cut = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (word[1:] - word[:-1] > span[1:]))))
     for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(word)], strict=True):
-        least = 2 if size[a] > GRAM + 1 else 1
-        if b - a >= least and len(set(place[a:b].tolist())) >= least:
-            yield int(doc[a]), int(item[a]), max(int(limits[doc[a]]), int(word[a] - size[a])), min(int(limits[doc[a] + 1]), int(word[b - 1] + 2 * size[a]))
+        if size[a] > SHORT and len(np.unique(place[a:b])) < 2:
+            continue
+        wide = int(span[a])
+        low, high = max(int(limits[doc[a]]), int(word[a]) - wide), min(int(limits[doc[a] + 1]), int(word[b - 1]) + wide)
+        for begin in range(low, max(high - wide, low + 1), wide):
+            yield int(doc[a]), int(item[a]), begin, min(begin + 2 * wide, high)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
@@ -134,9 +152,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) ->
     last_word, passage), the passage in lower-cased words, counted from 0.
 
     Null and empty texts and items hold nothing; items of fewer than three words are never found. A null doc_id is kept
-    as null. Repeated rows give repeated rows. Empty tables give none. The benchmark is read in blocks of bounded size,
-    each of which meets all documents; every document is aligned with every item it may hold, in its own task.
+    as null. Repeated rows give repeated rows. Empty tables give none. Texts of any length are aligned in windows, and
+    an alignment holds one row of its table. The benchmark is read in blocks of bounded size (BLOCK_BYTES; one, for most
+    benchmarks), each of which meets all documents; every document is aligned with every item it may hold, in its task.
     """
+    return found(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, least)
+
+
+def found(docs: DataFrame, benchmark: DataFrame, least: float) -> DataFrame:
     size = benchmark.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = 1 + size // BLOCK_BYTES
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
@@ -157,9 +180,12 @@ def leaks_of_block(docs: DataFrame, items: Items, least: float) -> DataFrame:
             hashes = words.full()
             starts = np.searchsorted(words.doc, np.arange(batch.num_rows))
             best: dict[tuple[int, int], tuple[float, int, int, int]] = {}
-            for doc, item, a, b in near(words, items):
+            for doc, item, a, b in near(words, items, least):
+                so_far = best.get((doc, item), (0.0,))[0]
+                if so_far == 1.0:
+                    continue
                 score, first, last = align(items.hashes[item], hashes[a:b])
-                if score >= least and score > best.get((doc, item), (0.0,))[0]:
+                if score >= least and score > so_far:
                     best[doc, item] = (score, a + first - int(starts[doc]), a + last - int(starts[doc]), a + first)
             ids = batch.column("doc_id").to_pylist()
             out = [(ids[d], items.ids[i], s, f, e, " ".join(words.text(k) for k in range(w, w + e - f + 1))) for (d, i), (s, f, e, w) in sorted(best.items())]
@@ -167,9 +193,13 @@ def leaks_of_block(docs: DataFrame, items: Items, least: float) -> DataFrame:
                 types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], [x.split()[0] for x in FOUND.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(search, FOUND)
+    return docs.mapInArrow(search, FOUND)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of documents that hold no item; rows without an id stay."""
-    return docs.join(stored(leaks(docs, benchmark, least).select("doc_id").distinct()), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of documents that hold no item. A text decides, not an id: rows without an id or with one that others
+    have go if their own text holds an item, and only then."""
+    own = f"text {uuid.uuid4().hex}"
+    hashed = F.xxhash64("text")
+    bad = stored(found(docs.select(hashed.alias("doc_id"), "text"), benchmark, least).select(F.col("doc_id").alias(own)).distinct())
+    return docs.withColumn(own, hashed).join(bad, own, "left_anti").select(*[f"`{c}`" for c in docs.columns])

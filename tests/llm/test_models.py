@@ -205,6 +205,56 @@ def test_leaks(spark, odd, empty):
     assert decontam.keep_clean(odd, bench).count() == odd.count() and decontam.keep_clean(odd, bench).columns == odd.columns
 
 
+def test_rows_are_judged_by_their_text(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(None, f"it is {item}"), (None, "clean"), (1, item), (1, "clean too"), (2, None), (2, "")]
+    kept = decontam.keep_clean(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "-") for r in kept) == [(0, "clean"), (1, "clean too"), (2, ""), (2, "-")]
+
+
+def test_recall_on_edited_copies(spark):
+    """Copies with 10 to 40 % of the words changed, left out or added; all pairs aligned give the truth."""
+    import random
+
+    random.seed(11)
+    vocabulary = [f"w{k}" for k in range(3000)] + [f"c{k}" for k in range(60)] * 10
+    say = lambda n: [random.choice(vocabulary) for _ in range(n)]
+    items = [say(random.randint(8, 60)) for _ in range(40)]
+    docs = []
+    for k, item in enumerate(items):
+        for share in (0.1, 0.2, 0.3, 0.4):
+            words = []
+            for w in item:
+                kind = random.choice("rid") if random.random() < share else ""
+                words += {"": [w], "r": say(1), "i": [w, *say(1)], "d": []}[kind]
+            docs.append((len(docs), " ".join(say(random.randint(0, 300)) + words + say(random.randint(0, 300)))))
+        docs.append((len(docs), " ".join(say(50) + [w if i % 3 else "other" for i, w in enumerate(item)] + say(50))))
+    docs += [(len(docs) + k, " ".join(say(200))) for k in range(40)]
+    bench = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    number = {w: np.uint64(k) for k, w in enumerate({w for _, t in docs for w in t.split()} | {w for i in items for w in i})}
+    coded = [np.array([number[w] for w in i], np.uint64) for i in items]
+    want = {}
+    for d, t in docs:
+        text = np.array([number[w] for w in t.split()], np.uint64)
+        for k, item in enumerate(coded):
+            score = decontam.align(item, text)[0]
+            if score >= decontam.LEAST_SCORE:
+                want[d, k] = score
+    recall = len(got.keys() & want.keys()) / len(want)
+    print(f"recall {recall:.3f} of {len(want)} pairs")
+    assert got.items() <= want.items() and recall >= 0.9 and len(want) > 120
+
+
+def test_one_item_many_times_and_long_texts(spark):
+    item = " ".join(f"i{k}" for k in range(12))
+    long = " ".join(f"x{k % 5000}" for k in range(400_000))
+    docs = spark.createDataFrame([(1, f"{item} " * 20_000), (2, f"{long} {item} {long}"), (3, long), (4, " ".join(item.split()[:5]) + " z " * 30 + item)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["score"], r["first_word"]) for r in decontam.leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {1: (1.0, 0), 2: (1.0, 400_000), 4: (1.0, 35)}
+
+
 def test_leaks_in_blocks(spark, monkeypatch):
     docs, bench = table(spark, DATA, "documents"), table(spark, DATA, "benchmark")
     one = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs, bench).collect()}
