@@ -28,10 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir, or, where it is unset (tests), a local one."""
+    """The folder every executor can reach: spark.checkpoint.dir. Where it is unset, a new one if Spark runs in one process
+    (tests), else an error: no other folder is known to be shared."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         at = sc.getCheckpointDir()
     return at.rstrip("/")

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import byte_runs, held_out, runs_of
 
 BINS, GRAMS = 1 << 14, 4
-#: Bounds of what is learned from: texts per language (about), landmarks per language and in all.
-SAMPLE, LANDMARKS, ALL_LANDMARKS = 800, 32, 256
+#: Bounds of what is learned from: texts per language and in all (about), landmarks per language and in all.
+SAMPLE, ALL_SAMPLE, LANDMARKS, ALL_LANDMARKS = 800, 16_000, 32, 256
 RIDGE = 1.0
 ROWS = 64
 UNKNOWN = "und"
@@ -67,7 +67,6 @@ class Model:
         self.dense = dense
         return kernel(presence(texts), dense, self.sizes) @ self.weights
 
-
     def likeness(self, texts: list[bytes]) -> np.ndarray:
         """For each text the share of its n-grams (or of a landmark's, if those are fewer) that the most similar landmark
         has, less what chance alone would share: 0 by chance, 1 at most. The mean over its pieces by their bytes."""
@@ -99,7 +98,7 @@ def train(docs: DataFrame) -> Model | None:
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, SAMPLE / n))]), F.col("lang"))
+    share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, min(SAMPLE, ALL_SAMPLE / len(counts)) / n))]), F.col("lang"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) / 1_000_000
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +150,9 @@ def classify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score): learned from the rows of docs that are not held out, applied to all."""
+    """(doc_id, held_out, lang_pred, score) per row of (doc_id, text, lang): learned from the rows that are not held out,
+    applied to all. Null ids are held out; null langs teach nothing; see `classify` for null, empty and repeated rows. An
+    empty table gives no rows."""
     return classify(docs, train(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
@@ -162,7 +163,7 @@ def least_likeness(docs: DataFrame, model: Model | None) -> float:
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()} if model else {}
     if sum(counts.values()) < FEWEST:
         return 0.0
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, SAMPLE / n))]), F.col("lang"))
+    share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, min(SAMPLE, ALL_SAMPLE / len(counts)) / n))]), F.col("lang"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1_000_000)) / 1_000_000
 
     def likenesses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
