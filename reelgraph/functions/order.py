@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,6 +16,17 @@ def down(name: str) -> Column:
     return F.col(name).desc_nulls_first()
 
 
-def ordering(text: str, tie: str = "-id") -> list[Column]:
-    """`name` upwards, `-name` downwards, then the tie-break."""
-    return [down(t[1:]) if t.startswith("-") else up(t) for t in (text, tie)]
+def ordering(text: str, tie: str = "-id", last: Iterable[str] = ()) -> list[Column]:
+    """`name` upwards, `-name` downwards, then the tie-break; nulls of the columns in `last` come last either way."""
+    one = lambda t: F.col(t.lstrip("-")).desc_nulls_last() if t.startswith("-") and t[1:] in last else down(t[1:]) if t.startswith("-") else up(t)
+    return [one(t) for t in (text, tie)]
+
+
+def allowed(given: str | None, names: Iterable[str], default: str) -> str:
+    """`given` if it is one of the names, upwards or with `-` downwards; else the list's default."""
+    return given if given and given.removeprefix("-") in set(names) else default
+
+
+def placed(rows: DataFrame, by: str, order: list[Column], name: str = "place") -> DataFrame:
+    """Adds the place of each row in its own list, from 1."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(*order)))

@@ -26,11 +26,6 @@ def repeated(rows: DataFrame, keys: list[str], rule: str) -> DataFrame:
     return many.select(F.lit(rule).alias("rule"), F.concat_ws(":", *[F.col(k).cast("string") for k in keys]).alias("key"))
 
 
-def first_keys(found: DataFrame, most: int = 10) -> DataFrame:
-    """At most `most` keys a rule; only so many leave each task."""
-    return found.withColumn("n", F.row_number().over(Window.partitionBy("rule").orderBy("key"))).where(F.col("n") <= most).drop("n")
-
-
 def audit_identity(tables: dict[str, DataFrame]) -> DataFrame:
     return union([repeated(t, ["info_source", "id_source"], f"{name} identity") for name, t in tables.items()])
 

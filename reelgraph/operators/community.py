@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.order import allowed, ordering, placed
 from ..functions.text import contains
+from ..sources.shared import shared_path
 from .edges import hidden_authors, pairs
 
 #: Target kinds in the order in which a row's columns are looked at.
@@ -13,6 +15,9 @@ KINDS = ("post", "comment", "review", "collection", "activity")
 #: The order for notifications.
 NOTIFIED = ("activity", "post", "comment", "review", "collection")
 PAGE = 16
+#: By what each list can be sorted.
+ACTIVITY_ORDERS = ("created_at", "id")
+POST_ORDERS = ("created_at", "last_activity_at", "reaction_count", "reply_count")
 
 
 def targets(rows: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
@@ -43,8 +48,8 @@ def latest_per_key(rows: DataFrame, keys: list[str], order: tuple[str, ...]) ->
 
 def visible_activities(activities: DataFrame, marks: DataFrame, reviews: DataFrame, collections: DataFrame, items: DataFrame) -> DataFrame:
     """Public, not hidden, and every mark, review (with its mark), collection and item (with its collection and mark)
-    attached is public or absent. A missing reference takes part in the join as a number of its own, so that nulls don't
-    meet in one partition."""
+    attached is public or absent. References that are there are joined as (kind, ref, id) alone, all kinds at once; the
+    rows themselves are joined once."""
     public = activities.where("visibility = 'public' AND feed_policy <> 'hidden'")
     mark_flags = marks.select("id", "is_public")
     review_flags = reviews.join(mark_flags.select(F.col("id").alias("mark_id"), F.col("is_public").alias("m")), "mark_id", "left").select("id", (F.col("is_public") & F.coalesce("m", F.lit(True))).alias("is_public"))
@@ -53,11 +58,13 @@ def visible_activities(activities: DataFrame, marks: DataFrame, reviews: DataFra
     )
     item_flags = item_flags.select("id", (F.coalesce("m", F.lit(True)) & F.coalesce("c", F.lit(True))).alias("is_public"))
     sides = {"mark_id": mark_flags, "review_id": review_flags, "collection_id": collections.select("id", "is_public"), "item_id": item_flags}
-    out = public
+    private = None
     for key, side in sides.items():
-        private = side.where("NOT is_public").select(F.col("id").alias("joined"))
-        out = out.withColumn("joined", F.coalesce(F.col(key), -1 - F.col("id"))).join(private, "joined", "left_anti").drop("joined")
-    return out
+        some = side.where("NOT is_public").select(F.lit(key).alias("kind"), F.col("id").alias("ref"))
+        private = some if private is None else private.unionByName(some)
+    refs = public.select("id", F.explode(F.filter(F.array(*[F.struct(F.lit(key).alias("kind"), F.col(key).cast("long").alias("ref")) for key in sides]), lambda x: x["ref"].isNotNull())).alias("x"))
+    hidden = refs.select("id", "x.kind", "x.ref").join(private, ["kind", "ref"], "left_semi").select("id").distinct()
+    return public.join(hidden, "id", "left_anti")
 
 
 def following_edges(follows: DataFrame, blocks: DataFrame, mutes: DataFrame, include_self: DataFrame | None = None) -> DataFrame:
@@ -83,26 +90,39 @@ def feed_top_k(visible: DataFrame, edges: DataFrame, k: int = PAGE) -> DataFrame
     return top(edges.join(newest, "author_id"), "viewer_id", k)
 
 
+def positions(rows: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
+    """Adds the place of each row in the whole order, from 1. Rows are dealt by ranges and numbered within; what comes
+    before a range is summed over the ranges, of which there are as many as partitions."""
+    dealt = rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id())
+    path = shared_path(rows.sparkSession, "ranges")
+    dealt.write.parquet(path)
+    stored = rows.sparkSession.read.schema(dealt.schema).parquet(path)
+    counts = stored.groupBy("range").agg(F.count("*").alias("n"))
+    before = counts.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    inside = stored.withColumn("inside", F.row_number().over(Window.partitionBy("range").orderBy(*order)))
+    return inside.join(F.broadcast(before), "range").withColumn(name, F.col("before") + F.col("inside")).drop("range", "before", "inside")
+
+
 def global_feed(visible: DataFrame, viewers: DataFrame, hidden: DataFrame, k: int = PAGE) -> DataFrame:
     """First page of all visible activities for each viewer (viewer_id), less hidden authors'.
 
-    A viewer with h rows by hidden authors among the newest sees no further than the newest k + h rows of the whole
-    list. Newest rows are ranked once; each viewer reads as far as its own h needs.
+    No page holds more than an author's k newest, so only these are ranked. Of them a viewer who hides h authors sees no
+    further than k + h * k: each viewer reads as far as the own h needs, all together k rows a viewer and a hidden edge.
     """
-    authors = visible.groupBy(F.col("user_id").alias("author_id")).agg(F.count("*").alias("n"))
-    most = hidden.join(viewers, "viewer_id", "left_semi").join(authors, "author_id").groupBy("viewer_id").agg(F.sum("n").alias("h"))
-    depth = (most.agg(F.max("h").alias("h")).first()["h"] or 0) + k
-    head = visible.orderBy(F.desc("created_at"), F.desc("id")).limit(depth)
-    head = head.withColumnRenamed("user_id", "author_id").withColumn("position", F.row_number().over(Window.orderBy(F.desc("created_at"), F.desc("id"))))
-    need = viewers.join(most, "viewer_id", "left").select("viewer_id", F.explode(F.sequence(F.lit(1), (F.coalesce("h", F.lit(0)) + k).cast("int"))).alias("position"))
+    newest = top(visible.withColumnRenamed("user_id", "author_id"), "author_id", k, "place").drop("place")
+    head = positions(newest, [F.desc("created_at"), F.desc("id")])
+    mine = hidden.groupBy("viewer_id").agg(F.count("*").alias("h"))
+    need = viewers.join(mine, "viewer_id", "left").select("viewer_id", F.explode(F.sequence(F.lit(1).cast("long"), (F.coalesce("h", F.lit(0)) + 1) * k)).alias("position"))
     seen = need.join(head, "position").join(hidden, ["viewer_id", "author_id"], "left_anti")
     return top(seen, "viewer_id", k)
 
 
-def user_activities(activities: DataFrame, visible: DataFrame | None = None, activity_type: str | None = None) -> DataFrame:
-    """Own activities (all), or the visible ones if they are given."""
+def user_activities(activities: DataFrame, visible: DataFrame | None = None, activity_type: str | None = None, order: str | None = None) -> DataFrame:
+    """Own activities (all), or the visible ones if they are given, with their `place` in their user's list: newest first
+    if `order` is none of ACTIVITY_ORDERS."""
     rows = activities if visible is None else visible
-    return rows if activity_type is None else rows.where(F.col("activity_type") == activity_type)
+    rows = rows if activity_type is None else rows.where(F.col("activity_type") == activity_type)
+    return placed(rows, "user_id", ordering(allowed(order, ACTIVITY_ORDERS, "-created_at")))
 
 
 def posts_public(posts: DataFrame, keyword: str | None = None, subject_id: int | None = None) -> DataFrame:
@@ -111,13 +131,20 @@ def posts_public(posts: DataFrame, keyword: str | None = None, subject_id: int |
     return rows if keyword is None else rows.where(contains(F.col("content"), keyword))
 
 
+def posts_list(posts: DataFrame, viewers: DataFrame, hidden: DataFrame, key: str = "subject_id", keyword: str | None = None, order: str | None = None) -> DataFrame:
+    """Public posts of the key each viewer asks for, less hidden authors', with their `place` in the viewer's list: by last
+    activity, newest first and those without any last, if `order` is none of POST_ORDERS."""
+    rows = for_viewers(posts_public(posts, keyword), viewers, hidden, key)
+    return placed(rows, "viewer_id", ordering(allowed(order, POST_ORDERS, "-last_activity_at"), last=("last_activity_at",)))
+
+
 def comments_public(comments: DataFrame) -> DataFrame:
     """Public comments, hidden ones only while they have replies and with their author masked."""
     rows = comments.where("visibility = 'public' AND (NOT is_hidden OR reply_count > 0)")
     return rows.withColumn("shown_author", F.when(~F.col("is_hidden"), F.col("author_id")))
 
 
-def for_viewers(rows: DataFrame, viewers: DataFrame, hidden: DataFrame, key: str, most: int = 100_000) -> DataFrame:
+def for_viewers(rows: DataFrame, viewers: DataFrame, hidden: DataFrame, key: str) -> DataFrame:
     """Rows per viewer who asks for a key (viewers: viewer_id and `key`), less hidden authors'."""
     return viewers.join(rows, key).join(hidden, ["viewer_id", "author_id"], "left_anti")
 
@@ -155,16 +182,21 @@ def target_owners(posts: DataFrame, comments: DataFrame, reviews: DataFrame, mar
     return out
 
 
-def bookmarks_list(bookmarks: DataFrame, posts: DataFrame, reviews: DataFrame, collections: DataFrame, keyword: str | None = None) -> DataFrame:
-    """Bookmarks with title, body and author of what they point at: a post's first line (96 characters), a review's text
-    or a collection's note (240)."""
+def bookmarks_list(bookmarks: DataFrame, posts: DataFrame, reviews: DataFrame, collections: DataFrame, marks: DataFrame, subjects: DataFrame, keyword: str | None = None, target_type: str | None = None) -> DataFrame:
+    """Bookmarks, newest first (`place` in their user's list), with title, body and author of what they point at: a post's
+    first line (96 characters), a review's text or a collection's note (240). A keyword is looked for in these and in
+    the titles of a post's or review's subject."""
+    s = subjects.select(F.col("id").alias("subject_id"), F.col("title").alias("s1"), F.col("title_cn").alias("s2"))
     line = F.substring(F.coalesce(F.element_at(F.split("content", r"\R"), 1), F.lit("")), 1, 96)
-    p = posts.select(F.lit("post").alias("target_type"), F.col("id").alias("target_id"), line.alias("title"), F.col("content").alias("body"), F.concat_ws(" ", "content").alias("searched"))
-    r = reviews.select(F.lit("review").alias("target_type"), F.col("id").alias("target_id"), "title", F.substring("content", 1, 240).alias("body"), F.concat_ws(" ", "title", "content").alias("searched"))
-    c = collections.select(F.lit("collection").alias("target_type"), F.col("id").alias("target_id"), F.col("name").alias("title"), F.substring("note", 1, 240).alias("body"), F.concat_ws(" ", "name", "note").alias("searched"))
-    rows = targets(bookmarks).join(p.unionByName(r).unionByName(c), ["target_type", "target_id"], "left")
-    rows = rows if keyword is None else rows.where(contains(F.col("searched"), keyword))
-    return rows.drop("searched")
+    p = posts.join(s, "subject_id", "left").select(F.lit("post").alias("target_type"), F.col("id").alias("target_id"), line.alias("title"), F.col("content").alias("body"), F.array("content", "s1", "s2").alias("searched"))
+    r = reviews.join(marks.select(F.col("id").alias("mark_id"), "subject_id"), "mark_id", "left").join(s, "subject_id", "left")
+    r = r.select(F.lit("review").alias("target_type"), F.col("id").alias("target_id"), "title", F.substring("content", 1, 240).alias("body"), F.array("title", "content", "s1", "s2").alias("searched"))
+    c = collections.select(F.lit("collection").alias("target_type"), F.col("id").alias("target_id"), F.col("name").alias("title"), F.substring("note", 1, 240).alias("body"), F.array("name", "note").alias("searched"))
+    rows = targets(bookmarks)
+    rows = rows if target_type is None else rows.where(F.col("target_type") == target_type)
+    rows = rows.join(p.unionByName(r).unionByName(c), ["target_type", "target_id"], "left")
+    rows = rows if keyword is None else rows.where(F.exists("searched", lambda x: contains(x, keyword)))
+    return placed(rows.drop("searched"), "user_id", ordering("-created_at"))
 
 
 def activity_cards(activities: DataFrame, marks: DataFrame, items: DataFrame, reviews: DataFrame, posts: DataFrame, subjects: DataFrame) -> DataFrame:
@@ -208,3 +240,9 @@ def unread_counts(notifications: DataFrame) -> DataFrame:
 def notifications_list(notifications: DataFrame, is_read: bool | None = None) -> DataFrame:
     rows = targets(notifications, NOTIFIED)
     return rows if is_read is None else rows.where(F.col("read_at").isNotNull() if is_read else F.col("read_at").isNull())
+
+
+def reports_list(reports: DataFrame, status: str | None = None, by_reporter: bool = False) -> DataFrame:
+    """Reports, newest first: the staff's queue, or, `by_reporter`, with the `place` in each reporter's own list."""
+    rows = reports if status is None else reports.where(F.col("status") == status)
+    return placed(rows, "reporter_id", ordering("-created_at")) if by_reporter else rows.orderBy(*ordering("-created_at"))

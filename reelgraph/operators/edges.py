@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.order import ordering, placed
+
 
 def pairs(edges: DataFrame, a: str, b: str) -> DataFrame:
     return edges.select(F.col(a).alias("viewer_id"), F.col(b).alias("author_id"))
@@ -41,6 +43,16 @@ def with_profile(edges: DataFrame, user: str, profiles: DataFrame) -> DataFrame:
     return edges.join(profiles.select(F.col("user_id").alias(user), "nickname"), user, "left").fillna("", ["nickname"])
 
 
+def follow_lists(follows: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(kind, user_id, other_id, nickname, created_at, place): whom each user follows and by whom each is followed, newest
+    first."""
+    out = []
+    for kind, user, other in (("following", "follower_id", "following_id"), ("follower", "following_id", "follower_id")):
+        rows = follows.select(F.lit(kind).alias("kind"), F.col(user).alias("user_id"), F.col(other).alias("other_id"), "created_at")
+        out.append(with_profile(placed(rows, "user_id", ordering("-created_at", "-other_id")), "other_id", profiles))
+    return out[0].unionByName(out[1])
+
+
 def follow_stats(follows: DataFrame) -> DataFrame:
     a = follows.groupBy(F.col("follower_id").alias("user_id")).agg(F.count("*").alias("following_count"))
     b = follows.groupBy(F.col("following_id").alias("user_id")).agg(F.count("*").alias("follower_count"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.order import ordering, placed
+
 from ..functions.text import cleaned, filled, stripped
 
 #: Codes of the payloads.
@@ -249,3 +251,10 @@ def subject_dependents(links: dict[str, DataFrame]) -> DataFrame:
         some = rows.select("subject_id", F.lit(kind).alias("kind"), F.col("other"))
         out = some if out is None else out.unionByName(some)
     return out.distinct().groupBy("subject_id", "kind").agg(F.count("*").alias("n"))
+
+
+def sync_jobs_list(jobs: DataFrame, status: str | None = None, job_type: str | None = None) -> DataFrame:
+    """Jobs, newest first, with their `place` among those of the same status."""
+    rows = jobs if status is None else jobs.where(F.col("status") == status)
+    rows = rows if job_type is None else rows.where(F.col("job_type") == job_type)
+    return placed(rows, "status", ordering("-created_at"))

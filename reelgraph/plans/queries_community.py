@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import community as c
 from ..operators import derive as d
 from ..operators import edges as e
+from ..operators import ingest as g
 from .registry import query
 
 BLOCKED = "(SELECT user_id AS viewer_id, target_id AS author_id FROM {block} UNION SELECT target_id, user_id FROM {block})"
@@ -55,9 +56,10 @@ def edge_purge(v):
     return follows.select(F.lit("follow").alias("kind"), F.col("follower_id").alias("a"), F.col("following_id").alias("b")).unionByName(mutes.select(F.lit("mute").alias("kind"), F.col("user_id").alias("a"), F.col("target_id").alias("b")))
 
 
-@query("SELECT follower_id, following_id, nickname, CAST(created_at AS STRING) AS created_at FROM {follow} JOIN {profile} ON user_id = following_id")
+@query("""SELECT 'following' AS kind, follower_id AS user_id, following_id AS other_id, nickname, CAST(row_number() OVER (PARTITION BY follower_id ORDER BY created_at DESC, following_id DESC) AS INT) AS place FROM {follow} JOIN {profile} p ON p.user_id = following_id
+    UNION ALL SELECT 'follower', following_id, follower_id, nickname, CAST(row_number() OVER (PARTITION BY following_id ORDER BY created_at DESC, follower_id DESC) AS INT) FROM {follow} JOIN {profile} p ON p.user_id = follower_id""")
 def follow_lists(v):
-    return e.with_profile(v.follow, "following_id", v.profile).select("follower_id", "following_id", "nickname", *text("created_at"))
+    return e.follow_lists(v.follow, v.profile).select("kind", "user_id", "other_id", "nickname", "place")
 
 
 @query("SELECT kind, x.user_id, target_id, nickname FROM (SELECT 'block' AS kind, user_id, target_id FROM {block} UNION ALL SELECT 'mute', user_id, target_id FROM {mute}) x JOIN {profile} p ON p.user_id = target_id")
@@ -93,16 +95,30 @@ def global_feed(v):
     return c.global_feed(visible(v), viewers, e.hidden_authors(v.block, v.mute)).select("viewer_id", "id", "rank")
 
 
-@query(f"SELECT user_id, id, 'own' AS kind FROM {{activity}} WHERE activity_type = 'post_created' UNION ALL SELECT user_id, id, 'public' FROM {VISIBLE} x WHERE activity_type = 'post_created'")
+OWN = "CAST(row_number() OVER (PARTITION BY user_id ORDER BY {0}) AS INT) AS place"
+
+
+@query(f"""SELECT user_id, id, 'own' AS kind, {OWN.format('created_at DESC, id DESC')} FROM {{activity}} WHERE activity_type = 'post_created' UNION ALL SELECT user_id, id, 'public', {OWN.format('created_at DESC, id DESC')} FROM {VISIBLE} x WHERE activity_type = 'post_created'
+    UNION ALL SELECT user_id, id, 'by id', {OWN.format('id')} FROM {{activity}} WHERE activity_type = 'post_created'""")
 def user_activities(v):
-    own = c.user_activities(v.activity, activity_type="post_created").select("user_id", "id", F.lit("own").alias("kind"))
-    return own.unionByName(c.user_activities(v.activity, visible(v), "post_created").select("user_id", "id", F.lit("public").alias("kind")))
+    own = c.user_activities(v.activity, activity_type="post_created").select("user_id", "id", F.lit("own").alias("kind"), "place")
+    by_id = c.user_activities(v.activity, activity_type="post_created", order="id").select("user_id", "id", F.lit("by id").alias("kind"), "place")
+    return own.unionByName(c.user_activities(v.activity, visible(v), "post_created", "unknown").select("user_id", "id", F.lit("public").alias("kind"), "place")).unionByName(by_id)
+
+
+POSTS = {"-last_activity_at": "last_activity_minute DESC NULLS LAST, id DESC", "last_activity_at": "last_activity_minute ASC NULLS LAST, id DESC", "-created_at": "created_minute DESC, id DESC", "reply_count": "reply_count, id DESC", "-reaction_count": "reaction_count DESC, id DESC", "author": "last_activity_minute DESC NULLS LAST, id DESC"}
+SHOWN = f"(SELECT w.viewer_id, p.* FROM (SELECT DISTINCT user_id AS viewer_id, subject_id FROM {{activity}} WHERE subject_id IS NOT NULL) w JOIN {{post}} p ON p.subject_id = w.subject_id WHERE p.visibility = 'public' AND p.feed_policy <> 'hidden' AND contains(upper(content), 'TH') AND NOT EXISTS (SELECT 1 FROM {HIDDEN} h WHERE h.viewer_id = w.viewer_id AND h.author_id = p.author_id))"
 
 
-@query(f"SELECT viewer_id, p.id, p.author_id FROM (SELECT DISTINCT user_id AS viewer_id, subject_id FROM {{activity}} WHERE subject_id IS NOT NULL) w JOIN {{post}} p ON p.subject_id = w.subject_id WHERE p.visibility = 'public' AND p.feed_policy <> 'hidden' AND contains(upper(content), 'TH') AND NOT EXISTS (SELECT 1 FROM {HIDDEN} h WHERE h.viewer_id = w.viewer_id AND h.author_id = p.author_id)")
+@query(" UNION ALL ".join(f"SELECT '{name}' AS sorted, viewer_id, id, author_id, CAST(row_number() OVER (PARTITION BY viewer_id ORDER BY {order}) AS INT) AS place FROM {SHOWN} x" for name, order in POSTS.items()))
 def posts_public(v):
     viewers = v.activity.where("subject_id IS NOT NULL").select(F.col("user_id").alias("viewer_id"), "subject_id").distinct()
-    return c.for_viewers(c.posts_public(v.post, "th"), viewers, e.hidden_authors(v.block, v.mute), "subject_id").select("viewer_id", "id", "author_id")
+    posts = v.post.withColumnsRenamed({"last_activity_minute": "last_activity_at", "created_minute": "created_at"})
+    out = None
+    for name in POSTS:
+        some = c.posts_list(posts, viewers, e.hidden_authors(v.block, v.mute), keyword="th", order=name).select(F.lit(name).alias("sorted"), "viewer_id", "id", "author_id", "place")
+        out = some if out is None else out.unionByName(some)
+    return out
 
 
 @query(f"SELECT viewer_id, k.id, CASE WHEN is_hidden THEN -1 ELSE k.author_id END AS shown_author FROM (SELECT DISTINCT user_id AS viewer_id, post_id FROM {{activity}} WHERE post_id IS NOT NULL) w JOIN {{comment}} k ON k.post_id = w.post_id WHERE (NOT is_hidden OR reply_count > 0) AND NOT EXISTS (SELECT 1 FROM {HIDDEN} h WHERE h.viewer_id = w.viewer_id AND h.author_id = k.author_id)")
@@ -141,18 +157,20 @@ def notification_target(v):
     return c.targets(v.notification, c.NOTIFIED).select("id", "target_type", "target_id")
 
 
-BOOKMARKED = """(SELECT b.id, b.user_id, CASE WHEN b.post_id IS NOT NULL THEN substr(split_part(p.content, chr(10), 1), 1, 96) WHEN b.review_id IS NOT NULL THEN r.title ELSE k.name END AS title, CASE WHEN b.post_id IS NOT NULL THEN p.content WHEN b.review_id IS NOT NULL THEN substr(r.content, 1, 240) ELSE substr(k.note, 1, 240) END AS body,
-    CASE WHEN b.post_id IS NOT NULL THEN p.content WHEN b.review_id IS NOT NULL THEN concat_ws(' ', r.title, r.content) ELSE concat_ws(' ', k.name, k.note) END AS searched FROM {bookmark} b LEFT JOIN {post} p ON p.id = b.post_id LEFT JOIN {review} r ON r.id = b.review_id LEFT JOIN {collection} k ON k.id = b.collection_id)"""
+BOOKMARKED = """(SELECT b.id, b.user_id, b.created_at, CASE WHEN b.post_id IS NOT NULL THEN 'post' WHEN b.review_id IS NOT NULL THEN 'review' ELSE 'collection' END AS target_type, CASE WHEN b.post_id IS NOT NULL THEN substr(split_part(p.content, chr(10), 1), 1, 96) WHEN b.review_id IS NOT NULL THEN r.title ELSE k.name END AS title, CASE WHEN b.post_id IS NOT NULL THEN p.content WHEN b.review_id IS NOT NULL THEN substr(r.content, 1, 240) ELSE substr(k.note, 1, 240) END AS body,
+    CASE WHEN b.post_id IS NOT NULL THEN concat_ws(chr(1), p.content, s.title, s.title_cn) WHEN b.review_id IS NOT NULL THEN concat_ws(chr(1), r.title, r.content, q.title, q.title_cn) ELSE concat_ws(chr(1), k.name, k.note) END AS searched FROM {bookmark} b LEFT JOIN {post} p ON p.id = b.post_id LEFT JOIN {subject} s ON s.id = p.subject_id LEFT JOIN {review} r ON r.id = b.review_id LEFT JOIN {mark} m ON m.id = r.mark_id LEFT JOIN {subject} q ON q.id = m.subject_id LEFT JOIN {collection} k ON k.id = b.collection_id)"""
 
 
-@query(f"SELECT id, user_id, title FROM {BOOKMARKED} x WHERE contains(upper(searched), 'ON')")
+@query(f"SELECT 'all' AS kind, id, user_id, title, CAST(row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS INT) AS place FROM {BOOKMARKED} x WHERE contains(upper(searched), 'RED') UNION ALL SELECT 'collection', id, user_id, title, CAST(row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS INT) FROM {BOOKMARKED} y WHERE target_type = 'collection'")
 def bookmarks_list(v):
-    return c.bookmarks_list(v.bookmark, v.post, v.review, v.collection, "on").select("id", "user_id", "title")
+    listed = lambda **k: c.bookmarks_list(v.bookmark, v.post, v.review, v.collection, v.mark, v.subject, **k)
+    every = listed(keyword="red").select(F.lit("all").alias("kind"), "id", "user_id", "title", "place")
+    return every.unionByName(listed(target_type="collection").select(F.lit("collection").alias("kind"), "id", "user_id", "title", "place"))
 
 
 @query(f"SELECT id, title, length(body) AS n FROM {BOOKMARKED} x")
 def bookmark_preview(v):
-    return c.bookmarks_list(v.bookmark, v.post, v.review, v.collection).select("id", "title", F.length("body").cast("long").alias("n"))
+    return c.bookmarks_list(v.bookmark, v.post, v.review, v.collection, v.mark, v.subject).select("id", "title", F.length("body").cast("long").alias("n"))
 
 
 @query("SELECT a.id, coalesce(a.subject_id, m.subject_id, im.subject_id, rm.subject_id, p.subject_id, -1) AS card_subject, s.title AS subject_title FROM {activity} a LEFT JOIN {mark} m ON m.id = a.mark_id LEFT JOIN {item} i ON i.id = a.item_id LEFT JOIN {mark} im ON im.id = i.mark_id LEFT JOIN {review} r ON r.id = a.review_id LEFT JOIN {mark} rm ON rm.id = r.mark_id LEFT JOIN {post} p ON p.id = a.post_id LEFT JOIN {subject} s ON s.id = coalesce(a.subject_id, m.subject_id, im.subject_id, rm.subject_id, p.subject_id)")
@@ -209,14 +227,15 @@ def mark_all_read(v):
     return d.mark_all_read(v.notification, v.notification.where("recipient_id < 50"), F.expr("TIMESTAMP_NTZ '2025-01-01 00:00:00'")).select("id", *text("read_at"))
 
 
-@query("SELECT id, reporter_id, status, CAST(created_at AS STRING) AS created_at FROM {report} WHERE status = 'pending' ORDER BY created_at DESC, id DESC")
+@query("SELECT 'staff' AS list, id, reporter_id, status, -1 AS place FROM {report} WHERE status = 'pending' UNION ALL SELECT 'own', id, reporter_id, status, CAST(row_number() OVER (PARTITION BY reporter_id ORDER BY created_at DESC, id DESC) AS INT) FROM {report}")
 def reports_queue(v):
-    return v.report.where("status = 'pending'").orderBy(F.desc("created_at"), F.desc("id")).select("id", "reporter_id", "status", *text("created_at"))
+    staff = c.reports_list(v.report, "pending").select(F.lit("staff").alias("list"), "id", "reporter_id", "status", F.lit(-1).alias("place"))
+    return staff.unionByName(c.reports_list(v.report, by_reporter=True).select(F.lit("own").alias("list"), "id", "reporter_id", "status", "place"))
 
 
-@query("SELECT id, job_type, status FROM {sync_job} WHERE status = 'failed' AND job_type = 'view'")
+@query("SELECT id, job_type, status, CAST(row_number() OVER (PARTITION BY status ORDER BY created_at DESC, id DESC) AS INT) AS place FROM {sync_job} WHERE job_type = 'view'")
 def sync_jobs_list(v):
-    return v.sync_job.where("status = 'failed' AND job_type = 'view'").orderBy(F.desc("created_at"), F.desc("id")).select("id", "job_type", "status")
+    return g.sync_jobs_list(v.sync_job, job_type="view").select("id", "job_type", "status", "place")
 
 
 M = "JOIN {mark} m ON m.id ="
@@ -291,10 +310,13 @@ def merge_marks(v):
     return d.merge_marks(v.mark.where("id % 3 <> 0"), v.mark.where("id % 2 = 0").withColumn("status", F.lit("wish")), v.subject)
 
 
-@query("SELECT id, CASE WHEN id % 7 = 0 THEN 99 ELSE place END AS place FROM {item}")
+@query("SELECT id, CASE WHEN id % 7 = 0 THEN 99 ELSE place END AS place, CASE WHEN id % 21 = 0 THEN 'sequel' WHEN id % 5 = 0 THEN 'prequel' ELSE '' END AS relation FROM {item} UNION ALL SELECT -id, -1, 'unknown' FROM {item} WHERE id % 35 = 0")
 def patch_items(v):
-    patches = v.item.where("id % 7 = 0").select("id", F.lit(99).alias("place"))
-    return d.patch_items(v.item, patches)[0].select("id", "place")
+    items = v.item.withColumn("relation", F.lit(""))
+    patch = lambda where, number, place, relation, id="id": v.item.where(where).select(F.expr(id).alias("id"), F.lit(place).cast("int").alias("place"), F.lit(relation).cast("string").alias("relation"), F.lit(number).alias("number"))
+    patches = patch("id % 7 = 0", 1, 98, None).unionByName(patch("id % 7 = 0", 2, 99, None)).unionByName(patch("id % 5 = 0", 1, None, "prequel")).unionByName(patch("id % 21 = 0", 2, None, "sequel")).unionByName(patch("id % 35 = 0", 1, 1, "x", "-id"))
+    patched, unknown = d.patch_items(items, patches)
+    return patched.select("id", "place", "relation").unionByName(unknown.select("id", F.lit(-1).alias("place"), F.lit("unknown").alias("relation")))
 
 
 @query("SELECT id, CASE WHEN id % 2 = 0 THEN place ELSE row_number() OVER (PARTITION BY collection_id ORDER BY id) - 1 END AS place FROM {item}")

@@ -268,9 +268,31 @@ def audit_identity(v):
     return a.audit_identity({"line": rows})
 
 
-@query("SELECT 'notification target' AS rule, CAST(id AS STRING) AS key FROM {notification} WHERE CAST(activity_id IS NOT NULL AS INT) + CAST(post_id IS NOT NULL AS INT) + CAST(comment_id IS NOT NULL AS INT) + CAST(review_id IS NOT NULL AS INT) + CAST(collection_id IS NOT NULL AS INT) <> 1")
+KINDS = ("activity", "post", "comment", "review", "collection")
+
+
+def one_target(table, kinds):
+    return f"SELECT '{table} target' AS rule, CAST(id AS STRING) AS key FROM ({{0}}) x WHERE " + " + ".join(f"CAST({k}_id IS NOT NULL AS INT)" for k in kinds) + " <> 1"
+
+
+#: Rows with no target or two are planted in all but the notifications, which have them.
+TARGETED = {
+    "notification": ("SELECT * FROM {notification}", KINDS),
+    "comment": ("SELECT id, CASE WHEN id % 11 = 0 THEN NULL ELSE post_id END AS post_id, CASE WHEN id % 11 < 2 THEN id END AS review_id FROM {comment}", ("post", "review")),
+    "reaction": ("SELECT id, CASE WHEN target_type = 'post' THEN target_id END AS post_id, CASE WHEN target_type = 'comment' OR id % 13 = 0 THEN target_id END AS comment_id, CASE WHEN target_type = 'activity' THEN target_id END AS activity_id FROM {reaction}", ("post", "comment", "activity")),
+    "bookmark": ("SELECT id, post_id, CASE WHEN id % 7 = 0 THEN NULL ELSE review_id END AS review_id, CASE WHEN id % 5 = 0 THEN id ELSE collection_id END AS collection_id FROM {bookmark}", ("post", "review", "collection")),
+    "report": ("SELECT id, post_id, CASE WHEN id % 3 = 0 THEN id ELSE comment_id END AS comment_id FROM {report}", ("post", "comment")),
+}
+
+
+@query(" UNION ALL ".join(one_target(name, kinds).format(rows) for name, (rows, kinds) in TARGETED.items()))
 def audit_single_target(v):
-    return a.audit_single_target(v.notification, [f"{k}_id" for k in ("activity", "post", "comment", "review", "collection")], "notification")
+    out = None
+    for name, (rows, kinds) in TARGETED.items():
+        source = v.spark.sql(rows, **{name: getattr(v, name)})
+        some = a.audit_single_target(source, [f"{k}_id" for k in kinds], name)
+        out = some if out is None else out.unionByName(some)
+    return out
 
 
 @query("SELECT 'post type' AS rule, CAST(id AS STRING) AS key FROM {post} WHERE id % 6 = 0")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import audit, community, library
@@ -14,15 +13,34 @@ LIKES = "(SELECT target_type, target_id, count(DISTINCT user_id) AS likes FROM {
 LOCAL = "(SELECT m.*, CASE WHEN zone = 'America/New_York' THEN CAST(created_at AS DATE) - 1 ELSE CAST(created_at AS DATE) END AS day FROM {mark} m JOIN {profile} p ON p.user_id = m.user_id)"
 
 
-@query(f"SELECT m.id, m.user_id, title FROM {{mark}} m {S} WHERE subject_type IN ('anime', 'galgame') AND status = 'doing' AND m.id IN (SELECT mark_id FROM {{mark_tag}} JOIN {{user_tag}} u ON u.id = tag_id WHERE name = 'Brand#2')")
+def orders(rows, spec):
+    """SQL: the rows once for each ordering, with their place in the user's list."""
+    return " UNION ALL ".join(f"SELECT '{name}' AS sorted, id, user_id, title, CAST(row_number() OVER (PARTITION BY user_id ORDER BY {order}) AS INT) AS place FROM ({rows}) x" for name, order in spec.items())
+
+
+def in_each_order(f, spec):
+    out = None
+    for name in spec:
+        some = f(name).select(F.lit(name).alias("sorted"), "id", "user_id", "title", "place")
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
+LISTED = {"-created_at": "created_at DESC NULLS FIRST, id DESC", "updated_at": "updated_at ASC NULLS LAST, id DESC", "simple_rating": "simple_rating ASC NULLS LAST, id DESC", "-simple_rating": "simple_rating DESC NULLS FIRST, id DESC", "-rating": "rating DESC NULLS FIRST, id DESC", "email": "created_at DESC NULLS FIRST, id DESC"}
+
+
+@query(orders(f"SELECT m.*, title FROM {{mark}} m {S} WHERE subject_type IN ('anime', 'galgame') AND status = 'doing' AND m.id IN (SELECT mark_id FROM {{mark_tag}} JOIN {{user_tag}} u ON u.id = tag_id WHERE name LIKE 'Brand#1%')", LISTED))
 def library_list(v):
-    tagged = v.mark_tag.join(v.user_tag.where("name = 'Brand#2'").select(F.col("id").alias("tag_id")), "tag_id", "left_semi")
-    return library.library_list(v.mark, v.subject, status="doing", tagged=tagged).select("id", "user_id", "title")
+    tagged = v.mark_tag.join(v.user_tag.where("name LIKE 'Brand#1%'").select(F.col("id").alias("tag_id")), "tag_id", "left_semi")
+    return in_each_order(lambda o: library.library_list(v.mark, v.subject, status="doing", tagged=tagged, order=o), LISTED)
+
 
+PUBLIC = {"-id": "id DESC", "id": "id", "simple_rating": "simple_rating ASC NULLS LAST, id DESC", "-simple_rating": "simple_rating DESC NULLS FIRST, id DESC", "created_at": "id DESC"}
 
-@query(f"SELECT m.id, m.user_id, title FROM {{mark}} m {S} WHERE is_public AND status = 'done' AND (contains(upper(title), 'RED') OR contains(upper(title_cn), 'RED') OR contains(upper(comment), 'RED'))")
+
+@query(orders(f"SELECT m.*, title FROM {{mark}} m {S} WHERE is_public AND status = 'done' AND (contains(upper(title), 'RED') OR contains(upper(title_cn), 'RED') OR contains(upper(comment), 'RED'))", PUBLIC))
 def public_library(v):
-    return library.public_library(v.mark, v.subject, "done", "red").select("id", "user_id", "title")
+    return in_each_order(lambda o: library.public_library(v.mark, v.subject, "done", "red", order=o), PUBLIC)
 
 
 @query(f"SELECT m.id, m.user_id, f.title, round(f.score, 9) AS score FROM {{mark}} m JOIN {FOUND} f ON f.id = m.subject_id")
@@ -90,14 +108,20 @@ def rating_details(v):
     return rows.select("mark_id", F.array_join(F.transform(F.map_entries("details"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("int").cast("string"))), ",").alias("details"))
 
 
-@query("SELECT r.id, m.user_id FROM {review} r JOIN {mark} m ON m.id = r.mark_id WHERE contains(upper(title), 'DONE') OR contains(upper(content), 'DONE')")
+MINE = {"-created_at": "created_at DESC, id DESC", "created_at": "created_at, id DESC", "-id": "id DESC", "title": "created_at DESC, id DESC"}
+
+
+@query(orders("SELECT r.id, m.user_id, title, r.created_at FROM {review} r JOIN {mark} m ON m.id = r.mark_id WHERE contains(upper(title), 'DONE') OR contains(upper(content), 'DONE')", MINE))
 def my_reviews(v):
-    return library.reviews_of(v.review, v.mark, "done").select("id", "user_id")
+    return in_each_order(lambda o: library.reviews_list(v.review, v.mark, "done", order=o), MINE)
+
 
+THEIRS = {"-id": "id DESC", "-created_at": "created_at DESC, id DESC", "title": "id DESC"}
 
-@query("SELECT r.id, m.user_id FROM {review} r JOIN {mark} m ON m.id = r.mark_id WHERE r.is_public AND m.is_public")
+
+@query(orders("SELECT r.id, m.user_id, title, r.created_at FROM {review} r JOIN {mark} m ON m.id = r.mark_id WHERE r.is_public AND m.is_public AND (contains(upper(title), 'WISH') OR contains(upper(content), 'WISH'))", THEIRS))
 def public_reviews(v):
-    return library.reviews_of(v.review, v.mark, public=True).select("id", "user_id")
+    return in_each_order(lambda o: library.reviews_list(v.review, v.mark, "wish", public=True, order=o), THEIRS)
 
 
 HIDES = "(SELECT user_id AS viewer_id, target_id AS author_id FROM {block} UNION SELECT target_id, user_id FROM {block})"
@@ -120,16 +144,19 @@ def collection_counts(v):
     return library.collection_counts(v.collection, v.item, likes).select("id", "item_count", "reaction_count")
 
 
-@query(f"SELECT id, user_id, name, item_count, CAST(row_number() OVER (PARTITION BY user_id ORDER BY item_count DESC, id DESC) AS INT) AS place FROM {COUNTED} x WHERE is_public AND (contains(upper(name), 'LOW') OR contains(upper(note), 'LOW'))")
+NAMED = {"item_count": "item_count, id DESC", "-item_count": "item_count DESC, id DESC", "name": "title, id DESC", "-name": "title DESC, id DESC", "id": "id", "random": "id"}
+
+
+@query(orders(f"SELECT id, user_id, name AS title, item_count FROM {COUNTED} k WHERE contains(upper(name), 'LOW')", NAMED) + f" UNION ALL SELECT 'public', id, user_id, name, CAST(row_number() OVER (PARTITION BY user_id ORDER BY id DESC) AS INT) FROM {COUNTED} x WHERE is_public AND (contains(upper(name), 'ORDER O') OR contains(upper(note), 'ORDER O'))")
 def collections_list(v):
-    rows = library.collection_counts(v.collection, v.item, community.like_counts(v.reaction)).where("is_public").where(library.any_contains("low", "name", "note"))
-    place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("item_count"), F.desc("id")))
-    return rows.select("id", "user_id", "name", "item_count", place.alias("place"))
+    counted = library.collection_counts(v.collection, v.item, community.like_counts(v.reaction))
+    own = in_each_order(lambda o: library.collections_list(counted, "low", order=o).withColumnRenamed("name", "title"), NAMED)
+    return own.unionByName(library.collections_list(counted, "order o", public=True).select(F.lit("public").alias("sorted"), "id", "user_id", F.col("name").alias("title"), "place"))
 
 
-@query("SELECT i.id, collection_id, place, title FROM {item} i JOIN {mark} m ON m.id = i.mark_id JOIN {subject} s ON s.id = m.subject_id WHERE is_public")
+@query("SELECT i.id, collection_id, title, CAST(row_number() OVER (PARTITION BY collection_id ORDER BY place, i.id) AS INT) AS position FROM {item} i JOIN {mark} m ON m.id = i.mark_id JOIN {subject} s ON s.id = m.subject_id WHERE is_public")
 def collection_items(v):
-    return library.collection_items(v.item, v.mark, v.subject, public=True).select("id", "collection_id", "place", "title")
+    return library.collection_items(v.item, v.mark, v.subject, public=True).select("id", "collection_id", "title", "position")
 
 
 @query("""SELECT m.id AS mark_id, e.episode_id, CASE WHEN k > 1 THEN 'repeated' ELSE 'unknown' END AS problem FROM {mark} m JOIN (SELECT mark_id, episode_id, count(*) AS k FROM {progress} GROUP BY 1, 2) e ON e.mark_id = m.id

@@ -9,9 +9,12 @@ from pyspark.sql import SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; below a folder of our own only where that is unset, as in tests."""
+    """A new path below spark.checkpoint.dir. Where that is unset, below a folder of our own if Spark runs in one process
+    (tests), else an error: no other folder is known to be shared."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         at = spark.sparkContext.getCheckpointDir()
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -47,8 +47,12 @@ def merge_pages(pages: DataFrame, key: str = "subject_id") -> DataFrame:
     return pages.select(key, "page", F.posexplode("data").alias("pos", "element"))
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str] = IDENTITY, keep: tuple[str, ...] = ("id", "created_at")) -> DataFrame:
-    """Old rows with new ones laid over: unmatched rows stay, the old identity is kept, columns that new lacks stay."""
+def upsert(old: DataFrame, new: DataFrame, keys: list[str] = IDENTITY, keep: tuple[str, ...] = ("id", "created_at"), place: list[str] | None = None) -> DataFrame:
+    """Old rows with new ones laid over: unmatched rows stay, the old identity is kept, columns that new lacks stay.
+
+    A batch may have a key several times: `place` names the columns by which the last one wins. Without it the keys of
+    `new` must differ, or a key comes out as often as it is there."""
+    new = new if place is None else last_by_place(new, keys, place)
     a, b = old.select(*keys, F.struct(*[c for c in old.columns if c not in keys]).alias("a")), new.select(*keys, F.struct(*[c for c in new.columns if c not in keys]).alias("b"))
     both = a.join(b, keys, "full")
     fresh = set(new.columns)

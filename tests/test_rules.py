@@ -133,12 +133,71 @@ def test_rejected_reports_carry_no_action(spark):
 
 
 def test_first_line_and_empty_post(spark):
-    posts = spark.createDataFrame([(1, "a\nb"), (2, ""), (3, None)], "id long, content string")
-    marks = spark.createDataFrame([(i, 1, i, None, None) for i in (1, 2, 3)], "id long, user_id long, post_id long, review_id long, collection_id long")
-    none = spark.createDataFrame([], "id long, title string, content string"), spark.createDataFrame([], "id long, name string, note string")
-    assert {r["id"]: r["title"] for r in community.bookmarks_list(marks, posts, *none).collect()} == {1: "a", 2: "", 3: ""}
-
-
-def test_audit_keeps_ten_keys(spark):
-    found = spark.range(30).select(F.lit("r").alias("rule"), F.col("id").cast("string").alias("key"))
-    assert audit.first_keys(found).count() == 10
+    posts = spark.createDataFrame([(1, "a\nb", None), (2, "", 5), (3, None, 6)], "id long, content string, subject_id long")
+    marks = spark.createDataFrame([(i, 1, i, None, None, i) for i in (1, 2, 3)], "id long, user_id long, post_id long, review_id long, collection_id long, created_at int")
+    none = spark.createDataFrame([], "id long, title string, content string, mark_id long"), spark.createDataFrame([], "id long, name string, note string")
+    subject = spark.createDataFrame([(5, "Red", "")], "id long, title string, title_cn string")
+    mark = spark.createDataFrame([], "id long, subject_id long")
+    assert {r["id"]: r["title"] for r in community.bookmarks_list(marks, posts, *none, mark, subject).collect()} == {1: "a", 2: "", 3: ""}
+    assert column(community.bookmarks_list(marks, posts, *none, mark, subject, keyword="red"), "id") == [2]
+    assert not community.bookmarks_list(marks, posts, *none, mark, subject, target_type="review").count()
+
+
+def test_list_orders(spark):
+    """All orderings of a list, downwards with nulls first; unknown ones fall back to the list's own."""
+    day = lambda d: d and datetime.date(2026, 7, d)
+    marks = spark.createDataFrame([(i, 1, 7, "done", r, None, c, c, day(w), None, True, "") for i, r, c, w in ((1, 3, 5, 2), (2, None, 4, None), (3, 3, 6, 1))], "id long, user_id long, subject_id long, status string, simple_rating int, rating double, created_at int, updated_at int, watch_start_date date, watch_end_date date, is_public boolean, comment string")
+    subjects = spark.createDataFrame([(7, "t", "", "anime")], "id long, title string, title_cn string, subject_type string")
+    own = lambda o: [r["id"] for r in sorted(library.library_list(marks, subjects, order=o).collect(), key=lambda r: r["place"])]
+    want = {"created_at": [2, 1, 3], "-created_at": [3, 1, 2], "updated_at": [2, 1, 3], "-updated_at": [3, 1, 2], "simple_rating": [3, 1, 2], "-simple_rating": [2, 3, 1], "rating": [3, 2, 1], "-rating": [3, 2, 1], "watch_start_date": [3, 1, 2], "-watch_start_date": [2, 1, 3], "watch_end_date": [3, 2, 1], "-watch_end_date": [3, 2, 1], "email": [3, 1, 2], "id": [3, 1, 2]}
+    assert {o: own(o) for o in want} == want
+    public = lambda o: [r["id"] for r in sorted(library.public_library(marks, subjects, order=o).collect(), key=lambda r: r["place"])]
+    assert public("id") == [1, 2, 3] and public("email") == public("created_at") == public(None) == [3, 2, 1] and public("-watch_start_date") == [2, 1, 3]
+
+
+def test_posts_without_activity_come_last(spark):
+    posts = spark.createDataFrame([(i, 9, 7, "public", "normal", "x", a, i, 0, 0) for i, a in ((1, 5), (2, None), (3, 6))], "id long, author_id long, subject_id long, visibility string, feed_policy string, content string, last_activity_at int, created_at int, reaction_count long, reply_count long")
+    viewers, hidden = spark.createDataFrame([(1, 7)], "viewer_id long, subject_id long"), spark.createDataFrame([], "viewer_id long, author_id long")
+    listed = lambda o: [r["id"] for r in sorted(community.posts_list(posts, viewers, hidden, order=o).collect(), key=lambda r: r["place"])]
+    assert listed("-last_activity_at") == listed("author") == listed(None) == [3, 1, 2] and listed("last_activity_at") == [1, 3, 2] and listed("reply_count") == [3, 2, 1]
+
+
+def test_global_feed_of_one_who_hides_the_largest_author(spark):
+    rows = [(i, 1 if i < 400 else 2 + i % 3, i) for i in range(0, 500)] + [(1000 + i, 1, 1000 + i) for i in range(300)]
+    visible = spark.createDataFrame(rows, "id long, user_id long, created_at int").repartition(5)
+    viewers = spark.createDataFrame([(8,), (9,), (10,)], "viewer_id long")
+    hidden = spark.createDataFrame([(9, 1), (10, 1), (10, 2), (10, 3), (10, 4)], "viewer_id long, author_id long")
+    got = {}
+    for r in community.global_feed(visible, viewers, hidden, k=5).collect():
+        got.setdefault(r["viewer_id"], {})[r["rank"]] = r["id"]
+    assert got == {8: {n + 1: 1299 - n for n in range(5)}, 9: {n + 1: 499 - n for n in range(5)}}
+
+
+def test_positions(spark):
+    rows = spark.createDataFrame([(i, i * 7919 % 1000) for i in range(1000)], "id long, key int").repartition(7)
+    got = community.positions(rows, [F.desc("key")]).collect()
+    assert sorted((r["position"], r["key"]) for r in got) == [(n + 1, 999 - n) for n in range(1000)]
+
+
+def test_repeated_keys_in_a_batch(spark):
+    items = spark.createDataFrame([(1, 5, "a"), (2, 6, "b")], "id long, place int, relation string")
+    patches = spark.createDataFrame([(1, 7, None, 1), (1, None, "c", 2), (1, 8, None, 3), (3, 1, "x", 4), (3, 2, "y", 5)], "id long, place int, relation string, number int")
+    out, unknown = derive.patch_items(items, patches)
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 8, "c"), (2, 6, "b")] and column(unknown, "id") == [3]
+    reports = spark.createDataFrame([(1, "pending", 5)], "id long, status string, post_id long")
+    twice = spark.createDataFrame([(1, "rejected", None, 3), (1, "resolved", "hide", 4)], "id long, status string, action_type string, moderator_id long")
+    done, actions = derive.apply_reports(reports, twice)
+    assert column(done, "status") == ["resolved"] and actions.count() == 1
+    old = spark.createDataFrame([], "user_id long, subject_id long, status string")
+    new = spark.createDataFrame([(1, 7, "wish", 1), (1, 7, "done", 2)], "user_id long, subject_id long, status string, id long")
+    subjects = spark.createDataFrame([(7, "anime")], "id long, subject_type string")
+    assert [tuple(r) for r in derive.merge_marks(old, new, subjects).collect()] == [(1, 7, "done", "created")]
+    one = spark.createDataFrame([("s", "1", "a", 0), ("s", "1", "b", 1)], "info_source string, id_source string, title string, place int")
+    assert column(tables.upsert(one.limit(0).drop("place"), one, place=["place"]), "title") == ["b"]
+
+
+def test_followers_newest_first(spark):
+    follows = spark.createDataFrame([(1, 9, 5), (2, 9, 7), (9, 1, 1)], "follower_id long, following_id long, created_at int")
+    profiles = spark.createDataFrame([(1, "a")], "user_id long, nickname string")
+    got = sorted(tuple(r[c] for c in ("kind", "user_id", "place", "other_id", "nickname")) for r in edges.follow_lists(follows, profiles).collect())
+    assert got == [("follower", 1, 1, 9, ""), ("follower", 9, 1, 2, ""), ("follower", 9, 2, 1, "a"), ("following", 1, 1, 9, ""), ("following", 2, 1, 9, ""), ("following", 9, 1, 1, "a")]
