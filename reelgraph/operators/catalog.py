@@ -66,20 +66,44 @@ def catalog_search(subjects: DataFrame, keyword: str, k: int = 16) -> DataFrame:
     return scored(subjects.where(F.col("subject_type").isin(*TYPES)), keyword).orderBy(F.desc("score"), down("updated_minute"), F.desc("id")).limit(k)
 
 
+def pieces(column: Column, n: int) -> Column:
+    """The set of pieces of n characters of the upper-cased text."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(column) - n + 1), lambda i: F.substring(F.upper(column), i, F.lit(n))))
+
+
+def containing(titles: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(keyword, id, title) where the title holds the keyword. A keyword meets the titles that have its rarest piece of
+    three characters (or all of it, if it is shorter); no other pair is looked at."""
+    sized = lambda rows, name, n: rows.where(F.length(name) >= n).withColumn("piece", F.explode(pieces(F.col(name), n)))
+    held = None
+    for n in (1, 2, 3):
+        some = sized(titles, "title", n)
+        held = some if held is None else held.unionByName(some)
+    asked = keywords.where(F.length("keyword") > 0).withColumn("piece", F.explode(F.when(F.length("keyword") == 1, pieces(F.col("keyword"), 1)).when(F.length("keyword") == 2, pieces(F.col("keyword"), 2)).otherwise(pieces(F.col("keyword"), 3))))
+    # Only pieces of keywords are counted.
+    counts = held.join(asked.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.count("*").alias("n"))
+    rarest = asked.join(counts, "piece", "left").groupBy("keyword").agg(F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)), "piece")).alias("piece"))
+    return held.join(rarest, "piece").where(F.contains(F.upper("title"), F.upper("keyword"))).select("keyword", "id", "title")
+
+
 def search_many(subjects: DataFrame, keywords: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
-    """(keyword, id, score) for many keywords by joining on trigrams: no pair is looked at that shares none.
+    """(keyword, id, score) for many keywords, as `scored` finds and scores them one by one, by joining on trigrams: no
+    pair is looked at that shares none. An empty keyword finds nothing.
 
     Of a keyword of a trigrams a title of b needs least * a <= b <= a / least, and the shared ones are counted, not
-    collected. Titles that contain a keyword but are less similar than `least` are left to `catalog_search`.
+    collected. Titles that contain a keyword without being similar are found by `containing`.
     """
-    titles = subjects.select("id", F.explode(F.array("title", "title_cn")).alias("title")).distinct().select("id", "title", trigrams(F.col("title")).alias("grams"))
+    titles = subjects.select("id", F.explode(F.array("title", "title_cn")).alias("title")).where("title IS NOT NULL").distinct().select("id", "title", trigrams(F.col("title")).alias("grams"))
     left = titles.select("id", "title", F.size("grams").alias("b"), F.explode("grams").alias("gram"))
-    keys = keywords.select("keyword").distinct().select("keyword", trigrams(F.col("keyword")).alias("grams"))
+    asked = keywords.select("keyword").where("keyword IS NOT NULL").distinct()
+    keys = asked.select("keyword", trigrams(F.col("keyword")).alias("grams"))
     right = keys.select("keyword", F.size("grams").alias("a"), F.explode("grams").alias("gram"))
     met = left.join(right, "gram").where((F.col("b") >= least * F.col("a")) & (F.col("a") >= least * F.col("b")))
     shared = met.groupBy("keyword", "id", "title", "a", "b").agg(F.count("*").alias("c"))
-    best = shared.select("keyword", "id", (F.col("c") / (F.col("a") + F.col("b") - F.col("c"))).alias("score")).groupBy("keyword", "id").agg(F.max("score").alias("score"))
-    return best.where(F.col("score") >= least)
+    similar = shared.select("keyword", "id", (F.col("c") / (F.col("a") + F.col("b") - F.col("c"))).alias("score")).where(F.col("score") >= least)
+    held = containing(titles.select("id", "title"), asked).select("keyword", "id").distinct().join(titles, "id")
+    inside = held.select("keyword", "id", similarity_of(F.col("grams"), trigrams(F.col("keyword"))).alias("score"))
+    return similar.unionByName(inside).groupBy("keyword", "id").agg(F.max("score").alias("score"))
 
 
 def subject_relations(links: DataFrame, subjects: DataFrame) -> DataFrame:

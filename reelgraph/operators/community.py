@@ -73,8 +73,10 @@ def following_edges(follows: DataFrame, blocks: DataFrame, mutes: DataFrame, inc
     return edges if include_self is None else edges.unionByName(include_self.select(F.col("user_id").alias("viewer_id"), F.col("user_id").alias("author_id"))).distinct()
 
 
-def following_feed(visible: DataFrame, edges: DataFrame) -> DataFrame:
-    """Every visible activity of every author a viewer sees."""
+def following_feed(visible: DataFrame, edges: DataFrame, since: Column | None = None) -> DataFrame:
+    """Every visible activity, or those from `since` on, of every author a viewer sees: one row an edge and activity, so
+    give a time where a first page (`feed_top_k`) does not do."""
+    visible = visible if since is None else visible.where(F.col("created_at") >= since)
     return edges.join(visible.withColumnRenamed("user_id", "author_id"), "author_id")
 
 

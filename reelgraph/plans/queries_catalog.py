@@ -63,10 +63,10 @@ def catalog_search(v):
     return c.catalog_search(v.subject, "red widget").select("id", "title", F.round("score", 9).alias("score"))
 
 
-@query(f"""SELECT keyword, id, round(max(score), 9) AS score FROM (SELECT k.keyword, s.id, {score_sql("k.keyword", "t.title")} AS score FROM (VALUES ('red widget'), ('Brand#1 gear'), ('blue')) AS k(keyword)
-    CROSS JOIN {{subject}} s JOIN (SELECT id, title FROM {{subject}} UNION SELECT id, title_cn FROM {{subject}}) t ON t.id = s.id) x WHERE score >= 0.15 GROUP BY 1, 2""")
+@query(f"""SELECT keyword, id, round(max(score), 9) AS score FROM (SELECT k.keyword, s.id, t.title, {score_sql("k.keyword", "t.title")} AS score FROM (VALUES ('red widget'), ('Brand#1 gear'), ('blue'), ('dg'), ('#1'), ('idge')) AS k(keyword)
+    CROSS JOIN {{subject}} s JOIN (SELECT id, title FROM {{subject}} UNION SELECT id, title_cn FROM {{subject}}) t ON t.id = s.id) x GROUP BY 1, 2 HAVING max(score) >= 0.15 OR bool_or(contains(upper(title), upper(keyword)))""")
 def search_many(v):
-    keywords = v.spark.createDataFrame([("red widget",), ("Brand#1 gear",), ("blue",)], "keyword string")
+    keywords = v.spark.createDataFrame([("red widget",), ("Brand#1 gear",), ("blue",), ("dg",), ("#1",), ("idge",)], "keyword string")
     return c.search_many(v.subject, keywords).select("keyword", "id", F.round("score", 9).alias("score"))
 
 

@@ -48,6 +48,9 @@ def test_search_many_agrees_with_scores(spark):
         one = subjects.where(F.col("id") == i).select(F.greatest(similarity(F.col("title"), F.lit(k)), similarity(F.col("title_cn"), F.lit(k))).alias("v")).first()["v"]
         assert abs(one - score) < 1e-12
     assert set(found) == {("red widget", 1), ("red widget", 2), ("blue", 3)}
+    more = spark.createDataFrame([("D W",), ("x",), ("GET",), ("zz",), (None,)], "keyword string")
+    want = {(k, r["id"]): r["score"] for k in ("D W", "x", "GET", "zz") for r in catalog.scored(subjects, k).collect()}
+    assert {(r["keyword"], r["id"]): r["score"] for r in catalog.search_many(subjects, more).collect()} == want and set(want) == {("D W", 1), ("x", 2), ("GET", 1), ("GET", 2)}
 
 
 def test_mutes_hide_posts_but_not_reviews(spark):
