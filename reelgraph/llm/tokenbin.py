@@ -102,7 +102,10 @@ TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa
 
 
 def read_tokens(shards: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) from written shards: start counts the ids of all documents before it."""
+    """(doc_id, start, n_tokens, ids_crc32) from written shards: start counts the ids of all documents before it.
+
+    One row per document written: null and empty texts, repeated rows and null ids as `write_tokens` has them. A long text
+    is read block by block into one array of its ids, 4 bytes each. Without shards there are no rows."""
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -40,10 +40,10 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        """The cache: a word's hash, in a sorted array, gives its row; a row gives the place and number of its ids in the
-        pool. Arrays take a tenth of what a dict does."""
+        """The cache: a word's hash, in a sorted array, gives its row; a row gives another hash of the word, which must be
+        the same, and the place and number of its ids in the pool. Arrays take a tenth of what a dict does."""
         self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int32)
-        self.places, self.pool = array("q", [0]), array("I")
+        self.others, self.places, self.pool = array("Q"), array("q", [0]), array("I")
 
     def packed(self, text: str) -> array:
         return array("I", self.library.encode(text, add_special_tokens=False).ids)
@@ -103,7 +103,7 @@ class WordEncoder:
             cut |= data == 10
         cut = np.flatnonzero(cut)
         starts, ends = np.concatenate(([0], cut + 1)), np.concatenate((cut, [len(data)]))
-        hashes = RangeHash(data, 11).of(starts, ends)
+        hashes, others = (RangeHash(data, seed).of(starts, ends) for seed in (11, 13))
         hashes += (ends - starts).astype(np.uint64)
         first = np.searchsorted(starts, np.cumsum([0] + [len(r) + 1 for r in raw[:-1]]))
         if self.blank:
@@ -123,15 +123,19 @@ class WordEncoder:
             if word:
                 self.pool.extend(self.word(word, "" if k in heads else self.blank))
             self.places.append(len(self.pool))
+        self.others.extend(others[at[new]].tolist())
         self.keys, self.rows = np.insert(self.keys, where[new], keys[new]), np.insert(self.rows, where[new], found[new])
         places = np.frombuffer(self.places, np.int64)
         row = found[which]
+        # Texts with a word that only seems to be a known one, or the first one here, go to the library.
+        unlike = np.flatnonzero(np.frombuffer(self.others, np.uint64)[row] != others)
+        apart = set((np.searchsorted(first, unlike, side="right") - 1).tolist())
         begin, count = places[row], places[row + 1] - places[row]
         total = np.concatenate(([0], np.cumsum(count)))
         ids = np.frombuffer(self.pool, np.uint32)[np.repeat(begin - total[:-1], count) + np.arange(total[-1])] if total[-1] else np.zeros(0, np.uint32)
         limits = total[np.concatenate((first, [len(starts)]))]
         del places
-        return [np.frombuffer(self.packed(t), np.uint32) if self.whole(t) else ids[a:b] for t, a, b in zip(texts, limits[:-1].tolist(), limits[1:].tolist(), strict=True)]
+        return [np.frombuffer(self.packed(t), np.uint32) if k in apart or self.whole(t) else ids[a:b] for k, (t, a, b) in enumerate(zip(texts, limits[:-1].tolist(), limits[1:].tolist(), strict=True))]
 
 
 _encoders: dict[str, WordEncoder] = {}

@@ -28,6 +28,20 @@ def test_languages(spark, odd, empty):
     assert kept.schema == odd.schema and {x["doc_id"] for x in kept.collect()} == {None, 3, 4, 5, 6, 9, 10}
 
 
+def test_kernel_counts_shared_ngrams():
+    """The matrix product is the number of hashed n-grams that two texts share, over the root of their numbers."""
+    def bins(text):
+        return {((int.from_bytes(text[k : k + n], "big") * 0x9E3779B1 + (n * 0x7F4A7C15 & 0xFFFFFFFF)) & 0xFFFFFFFF) >> 18 for n in range(1, 5) for k in range(len(text) - n + 1)}
+
+    texts = [b"", b"a", b"the cat sat", "le chat \xe9tait l\xe0".encode(), b"the cat sat on the mat " * 30, bytes(range(256)) * 1100]
+    rows = langid.presence(texts)
+    assert [set(np.flatnonzero(r).tolist()) for r in rows] == [bins(t) for t in texts]
+    landmarks = rows[2:].T.astype(np.float32)
+    got = langid.kernel(rows, landmarks, landmarks.sum(axis=0))
+    want = [[len(bins(a) & bins(b)) / (max(len(bins(a)), 1) * len(bins(b))) ** 0.5 for b in texts[2:]] for a in texts]
+    assert np.allclose(got, want, atol=1e-5)
+
+
 def test_unknown_languages_go(spark):
     import base64
     import random

@@ -27,7 +27,10 @@ def test_run_on_odd_rows(spark, odd, empty, tmp_path):
         rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
         table(spark, DATA, "benchmark").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
-    assert {r["doc_id"] for r in corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()} >= {3, 5, 6, 9, 10}
+    # Language: 1, 2, 7, 8 and the row without id and text go. Near duplicates: of 3, 4 and 4 the first stays, of the
+    # cat's two rows the one with an id; the two texts under 5 are no copies. All but a line of 3 repeats itself.
+    rows = sorted((r["doc_id"], r["piece"], r["start"]) for r in corpus_pipeline.run(spark, f"{tmp_path}/odd").collect())
+    assert rows == [(k, 0, 0) for k in (3, 5, 5, 6, 9, 10)]
 
 
 def test_names():

@@ -23,6 +23,28 @@ def test_ids_are_the_library_s(file):
     assert [x.tolist() for x in encoder(file).encode(TEXTS)] == [library.encode(t, add_special_tokens=False).ids for t in TEXTS]
 
 
+def test_a_hash_is_not_trusted(monkeypatch):
+    """Words that share the first hash, in one block or with a cached word, get ids of their own."""
+    from reelgraph.llm import tokens
+
+    for file in FILES:
+        enc, library = tokens.WordEncoder(file), Tokenizer.from_file(file)
+        monkeypatch.setattr(tokens, "mixed", lambda h: h & np.uint64(3))
+        for texts in (["one two three", "four five", "", "six"], ["seven one", "eight two"]):
+            assert [x.tolist() for x in enc.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        monkeypatch.undo()
+
+
+def test_very_long_text(spark):
+    text = "".join(f"Some words {k} of a text.\n" for k in range(120_000))
+    df = spark.createDataFrame([(1, "a"), (2, text), (3, "b")], "doc_id long, text string")
+    got = sorted(tuple(r) for r in tokenbin.read_tokens(tokenbin.write_tokens(df, FILES[0])).collect())
+    ids = ids_of(FILES[0], text)
+    assert got[1] == (2, got[0][2], len(ids), crc(ids)) and got[2][1] == got[1][1] + len(ids)
+    pieces = [r for r in packing.pack_sequences(df, FILES[1]).collect() if r["doc_id"] == 2]
+    assert sum(r["length"] for r in pieces) == len(ids_of(FILES[1], text))
+
+
 @pytest.mark.parametrize("bits", [1, 7, 13, 16, 17, 31])
 def test_bit_packing(bits):
     ids = np.random.default_rng(bits).integers(0, 2**bits, 3 * tokenbin.BLOCK + 17).astype("<u4")
