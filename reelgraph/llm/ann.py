@@ -182,7 +182,8 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, reach: float | No
     out = "query_id bigint, rank int, vec_id bigint, score double"
     if not n:
         return rows.sparkSession.createDataFrame([], out)
-    sample = matrix(rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow().column("v"))
+    # About SAMPLE rows: what is drawn in a task is all that leaves it.
+    sample = matrix(rows.select("v").sample(min(1.0, SAMPLE / n), seed=1).toArrow().column("v"))
     graph = Graph.of(fit(sample, min(MOST_CENTROIDS, max(1, n // LIST))))
     ratio = fitted_ratio(graph, sample, k) if reach is None else reach
     # Near centroids share a group: their own nearest of a few centroids.
