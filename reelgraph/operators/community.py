@@ -80,16 +80,20 @@ def following_feed(visible: DataFrame, edges: DataFrame, since: Column | None =
     return edges.join(visible.withColumnRenamed("user_id", "author_id"), "author_id")
 
 
-def top(rows: DataFrame, by: str, k: int, name: str = "rank") -> DataFrame:
-    order = Window.partitionBy(by).orderBy(F.desc("created_at"), F.desc("id"))
-    return rows.withColumn(name, F.row_number().over(order)).where(F.col(name) <= k)
+def feed_order(order: str | None) -> list[Column]:
+    """A feed's order by name; newest first, if it is none of ACTIVITY_ORDERS."""
+    return ordering(allowed(order, ACTIVITY_ORDERS, "-created_at"))
 
 
-def feed_top_k(visible: DataFrame, edges: DataFrame, k: int = PAGE) -> DataFrame:
-    """First page of each viewer's feed. An author's k newest are enough for any viewer, so they are cut before the
-    fan-out, which then has at most k rows an edge."""
-    newest = top(visible.withColumnRenamed("user_id", "author_id"), "author_id", k, "place").drop("place")
-    return top(edges.join(newest, "author_id"), "viewer_id", k)
+def top(rows: DataFrame, by: str, k: int, name: str = "rank", order: str | None = None) -> DataFrame:
+    return placed(rows, by, feed_order(order), name).where(F.col(name) <= k)
+
+
+def feed_top_k(visible: DataFrame, edges: DataFrame, k: int = PAGE, order: str | None = None) -> DataFrame:
+    """First page of each viewer's feed. An author's first k are enough for any viewer, so they are cut before the fan-out,
+    which then has at most k rows an edge."""
+    first = top(visible.withColumnRenamed("user_id", "author_id"), "author_id", k, "place", order).drop("place")
+    return top(edges.join(first, "author_id"), "viewer_id", k, order=order)
 
 
 def positions(rows: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
@@ -105,18 +109,18 @@ def positions(rows: DataFrame, order: list[Column], name: str = "position") -> D
     return inside.join(F.broadcast(before), "range").withColumn(name, F.col("before") + F.col("inside")).drop("range", "before", "inside")
 
 
-def global_feed(visible: DataFrame, viewers: DataFrame, hidden: DataFrame, k: int = PAGE) -> DataFrame:
+def global_feed(visible: DataFrame, viewers: DataFrame, hidden: DataFrame, k: int = PAGE, order: str | None = None) -> DataFrame:
     """First page of all visible activities for each viewer (viewer_id), less hidden authors'.
 
-    No page holds more than an author's k newest, so only these are ranked. Of them a viewer who hides h authors sees no
+    No page holds more than an author's first k, so only these are ranked. Of them a viewer who hides h authors sees no
     further than k + h * k: each viewer reads as far as the own h needs, all together k rows a viewer and a hidden edge.
     """
-    newest = top(visible.withColumnRenamed("user_id", "author_id"), "author_id", k, "place").drop("place")
-    head = positions(newest, [F.desc("created_at"), F.desc("id")])
+    first = top(visible.withColumnRenamed("user_id", "author_id"), "author_id", k, "place", order).drop("place")
+    head = positions(first, feed_order(order))
     mine = hidden.groupBy("viewer_id").agg(F.count("*").alias("h"))
     need = viewers.join(mine, "viewer_id", "left").select("viewer_id", F.explode(F.sequence(F.lit(1).cast("long"), (F.coalesce("h", F.lit(0)) + 1) * k)).alias("position"))
     seen = need.join(head, "position").join(hidden, ["viewer_id", "author_id"], "left_anti")
-    return top(seen, "viewer_id", k)
+    return top(seen, "viewer_id", k, order=order)
 
 
 def user_activities(activities: DataFrame, visible: DataFrame | None = None, activity_type: str | None = None, order: str | None = None) -> DataFrame:

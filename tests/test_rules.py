@@ -176,6 +176,18 @@ def test_global_feed_of_one_who_hides_the_largest_author(spark):
     assert got == {8: {n + 1: 1299 - n for n in range(5)}, 9: {n + 1: 499 - n for n in range(5)}}
 
 
+def test_feeds_in_other_orders(spark):
+    visible = spark.createDataFrame([(i, i % 3, i * 7 % 50) for i in range(50)], "id long, user_id long, created_at int")
+    viewers = spark.createDataFrame([(8,)], "viewer_id long")
+    edges_ = spark.createDataFrame([(8, 1), (8, 2)], "viewer_id long, author_id long")
+    hidden = spark.createDataFrame([(8, 0)], "viewer_id long, author_id long")
+    seen = [(i * 7 % 50, i) for i in range(50) if i % 3]
+    want = {"created_at": [i for _, i in sorted(seen)][:6], "-created_at": [i for _, i in sorted(seen, reverse=True)][:6], "id": [1, 2, 4, 5, 7, 8], "-id": [49, 47, 46, 44, 43, 41], "random": [i for _, i in sorted(seen, reverse=True)][:6]}
+    for order, ids in want.items():
+        for feed in (community.feed_top_k(visible, edges_, 6, order), community.global_feed(visible, viewers, hidden, 6, order)):
+            assert [r["id"] for r in sorted(feed.collect(), key=lambda r: r["rank"])] == ids
+
+
 def test_positions(spark):
     rows = spark.createDataFrame([(i, i * 7919 % 1000) for i in range(1000)], "id long, key int").repartition(7)
     got = community.positions(rows, [F.desc("key")]).collect()
