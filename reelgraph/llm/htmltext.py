@@ -37,6 +37,8 @@ DROPPED_WORDS = set(
 )
 #: Elements whose text may be that of many articles on its own: inside an article they are cut only with what holds them.
 TEXT = set("p h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody thead caption pre blockquote figcaption html body".split()) | INLINE | MAIN
+#: Elements that no name of theirs leaves out.
+KEPT = set("html body h1 h2 h3 h4 h5 h6".split()) | MAIN
 ENDS_P = set("p div ul ol table section article h1 h2 h3 h4 h5 h6 blockquote pre footer nav aside header form".split())
 #: Within which elements the end of another one is looked for; "" is for all that have no line of their own.
 LIMITS = {"p": frozenset("article section div body td li".split()), "li": frozenset("ul ol menu".split()), "": frozenset("article main body".split())}
@@ -90,7 +92,7 @@ class Page:
         above = self.stack[-1]
         main = tag in MAIN or ("role", ["main"]) in values
         titles = tag == "header" and above.inside  # an article's own heading
-        named = tag not in TEXT - INLINE and any(DROPPED_WORDS.intersection(words) for _, words in values)
+        named = tag not in KEPT and any(DROPPED_WORDS.intersection(words) for _, words in values)
         dropped = above.dropped or (tag in DROPPED and not titles) or named
         self.stack.append(Open(tag, len(self.pieces), self.filled, dropped, above.inside or (main and not dropped), [tag.encode()]))
         self.all[tag] += 1
