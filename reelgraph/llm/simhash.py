@@ -136,7 +136,8 @@ def keep_one_of_each(docs: DataFrame, width: int = 3) -> DataFrame:
     marked = stored(fingerprints(docs, width).select("fp", key(F.col("t")).alias("key")))
     rooted = stored(marked.groupBy("fp", "key").agg(F.count("*").alias("n")).join(classes(marked), "fp").select("root", "key", "n"))
     firsts = rooted.groupBy("root").agg(F.min("key").alias("key"))
-    gone = rooted.select("key").join(firsts.select("key"), "key", "left_anti").distinct()
+    # Written, so that its size is known before the texts are joined with it: they are shuffled only if it is large.
+    gone = stored(rooted.select("key").join(firsts.select("key"), "key", "left_anti").distinct())
     own = f"key {uuid.uuid4().hex}"
     kept = docs.withColumn(own, key(F.xxhash64("text"))).join(gone.withColumnRenamed("key", own), own, "left_anti")
     several = stored(rooted.where("n > 1").join(firsts.select("key"), "key").select(F.col("key").alias(own)))
