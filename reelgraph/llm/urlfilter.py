@@ -115,7 +115,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], labelled: list[tu
 #: A small labelled URL table, drawn up by hand from what URLs of such sites commonly look like.
 BLOCK = """
 https://ads.doubleclick.net/click/17 https://ad.adserver.com/banner/728x90 https://adclick.g.example/aclk https://track.affiliate-network.com/click http://tracking.email-offers.biz/open.gif
-https://pixel.analytics-tracker.io/p.gif https://cdn.popads.net/pop.js https://popunder.example.biz/go https://clicks.ad-exchange.com/redirect https://banners.ad-partner.net/img
+https://ads.media-network.org/serve https://ads.publisher-group.net/banner https://adserver.news-portal.org/ads https://pixel.analytics-tracker.io/p.gif https://cdn.popads.net/pop.js https://popunder.example.biz/go https://clicks.ad-exchange.com/redirect https://banners.ad-partner.net/img
 https://www.online-casino-bonus.com/free-spins https://casino.bet-winner.net/slots https://www.free-poker-chips.net/download https://slots-jackpot.com/play https://roulette.best-casino.org/bonus
 https://www.sports-betting-tips.com/odds https://betting.bookmaker-odds.net/live https://www.lottery-winner.biz/claim https://bingo.play-win.com/register
 https://www.cheap-viagra-online.com/buy https://buy-cialis.pharmacy-discount.net/order https://www.canadian-pharmacy-meds.com/pills https://cheap-pills.biz/no-prescription https://weight-loss-pills.net/offer
