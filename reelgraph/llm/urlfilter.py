@@ -123,6 +123,7 @@ https://www.payday-loans-fast.com/apply https://cheap-loans.credit-now.biz/appro
 https://www.xxx-videos.com/watch https://porn.adult-tube.net/video https://www.sex-cams-live.com/models https://adult-dating.hot-singles.net/join https://nude-pics.xxx/gallery https://escort-girls.net/city
 https://www.replica-watches-outlet.com/rolex https://cheap-handbags-outlet.net/sale https://www.essay-writing-service.com/order https://buy-followers.net/instagram https://cheap-seo-backlinks.com/buy
 https://www.free-movie-download.net/torrent https://warez-crack-keygen.com/download https://serial-keys.crackz.net/full https://free-mp3-download.biz/track https://torrent-proxy.net/top
+https://banner.ad-rotator.org/click https://ads.clicktracker.org/c https://www.casino-games.org/play https://free-pills-shop.org/order https://adult-chat-rooms.org/enter https://quick-loans.org/apply
 https://secure-login.account-verify.biz/update https://paypal.com.verify-account.net/signin https://free-gift-card.win/claim https://iphone-winner.click/prize https://survey-rewards.top/win
 """.split()
 ALLOW = """
@@ -135,6 +136,7 @@ https://docs.python.org/3/library https://developer.mozilla.org/en-US/docs/Web h
 https://www.w3.org/TR/html5 https://tools.ietf.org/html/rfc2616 https://blog.rust-lang.org/2021 https://news.ycombinator.com/item https://www.kernel.org/doc/html https://wiki.archlinux.org/title/Installation
 https://www.allrecipes.com/recipe/10813 https://www.seriouseats.com/bread https://www.lonelyplanet.com/france/paris https://www.nationalgeographic.com/animals https://www.smithsonianmag.com/history
 https://www.imdb.com/title/tt0111161 https://www.goodreads.com/book/show https://blog.example-gardening.org/2020/spring https://forum.woodworking-club.org/thread https://www.chess-club.net/lessons
+https://www.washingtonpost.com/opinions https://www.scientificamerican.com/article https://www.howstuffworks.com/engines https://www.poetryarchive.net/poets https://m.bird-watchers.net/sightings https://news.local-gazette.com/sport
 https://m.weather-service.org/forecast https://library.city-archive.net/catalog https://museum.natural-history.org/exhibits https://www.community-choir.net/concerts https://school.village-teachers.org/timetable
 """.split()
 LABELLED = [(url, label) for label, urls in ((1, BLOCK), (0, ALLOW)) for url in urls]
