@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ann, decontam, htmltext, langid, packing, simhash, suffix, tokenbin, toxicity, urlfilter
+from . import ann, decontam, fim, htmltext, langid, packing, simhash, suffix, tokenbin, toxicity, urlfilter
 from .common import table
 
 #: Folder of public tokenizer files; a parameter of the operators, given here for the queries.
@@ -58,6 +59,11 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     """What SQL can say. Hashes, models, tokenizers, packing, page trees and approximate search it can't: tests hold those
     operators against brute force, round trips or held-out accuracy."""
-    return {"op3_suffix_dedup": suffix.SQL}
+    return {"op3_suffix_dedup": suffix.SQL, "op13_fill_in_middle": fim.SQL}
