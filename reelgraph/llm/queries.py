@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, fim, htmltext, langid, packing, simhash, suffix, tokenbin, toxicity, urlfilter
+from . import ann, decontam, fim, htmltext, langid, ordermin, packing, simhash, suffix, tokenbin, toxicity, urlfilter
 from .common import table
 
 #: Folder of public tokenizer files; a parameter of the operators, given here for the queries.
@@ -59,6 +59,12 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
+def op12_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ordermin.edited_by_next(table(spark, sf_dir, "documents"))
+    like = lambda c: ordermin.likeness(F.col("fingerprint"), F.col(c))
+    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", like("edited_fingerprint").alias("near_edited"), like("next_fingerprint").alias("near_next"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fim.fill_in_middle(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
