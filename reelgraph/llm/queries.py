@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, fim, htmltext, langid, ordermin, packing, simhash, suffix, tokenbin, toxicity, urlfilter
+from . import ann, decontam, fim, htmltext, langid, lexical, ordermin, packing, simhash, suffix, tokenbin, toxicity, urlfilter
 from .common import table
 
 #: Folder of public tokenizer files; a parameter of the operators, given here for the queries.
@@ -59,6 +59,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ordermin.edited_by_next(table(spark, sf_dir, "documents"))
     like = lambda c: ordermin.likeness(F.col("fingerprint"), F.col(c))
@@ -84,4 +88,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     """What SQL can say. Hashes, models, tokenizers, packing, page trees and approximate search it can't: tests hold those
     operators against brute force, round trips or held-out accuracy."""
-    return {"op3_suffix_dedup": suffix.SQL, "op13_fill_in_middle": fim.SQL}
+    return {"op3_suffix_dedup": suffix.SQL, "op11_lexical_search": lexical.SQL, "op13_fill_in_middle": fim.SQL}
