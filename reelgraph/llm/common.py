@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,6 +119,29 @@ def chain(lists):
     return list(itertools.chain.from_iterable(lists))
 
 
+#: The first n bytes of a little-endian number, by n.
+LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Words up to so many bytes are hashed as numbers of eight bytes, longer ones singly.
+PACKED = 24
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each byte range. They share no algebra that the bytes could be chosen by, as those of RangeHash do:
+    short ranges are mixed eight bytes at a time, each time anew; long ones go through XXH64 with two seeds."""
+    padded = np.concatenate((data, np.zeros(PACKED + 8, np.uint8)))
+    eight = np.ndarray((len(padded) - 7,), np.dtype("<u8"), padded, 0, (1,))
+    size = ends - starts
+    one, two = size.astype(np.uint64) + np.uint64(11), size.astype(np.uint64) + np.uint64(13)
+    with np.errstate(over="ignore"):
+        for at in range(0, PACKED, 8):
+            piece = eight[np.minimum(starts + at, len(eight) - 1)] & LOW_BYTES[np.clip(size - at, 0, 8)]
+            one, two = mixed(one + piece) * np.uint64(0xC2B2AE3D27D4EB4F), mixed(two ^ piece) * np.uint64(0x165667B19E3779F9)
+    for k in np.flatnonzero(size > PACKED).tolist():
+        word = data[starts[k] : ends[k]].tobytes()
+        one[k], two[k] = xxhash.xxh64_intdigest(word, seed=11), xxhash.xxh64_intdigest(word, seed=13)
+    return one, two
+
+
 #: Powers that a worker keeps between calls; those for longer buffers are made anew.
 KEPT_POWERS = 1 << 21
 
@@ -128,7 +152,8 @@ class RangeHash:
     powers = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
 
     def __init__(self, data: np.ndarray, seed: int = 1):
-        """Hashes of different seeds are independent: they number the bytes differently."""
+        """Hashes of different seeds number the bytes differently but share base and modulus: ranges of 128 bytes and more
+        can be made up (of two pieces in the order of Thue and Morse) that agree in all of them. See word_hashes."""
         n = len(data)
         power, inverse = self.powers
         if len(power) < n + 1:

@@ -7,7 +7,7 @@ from array import array
 
 import numpy as np
 
-from .common import RangeHash, groups, mixed
+from .common import groups, mixed, word_hashes
 
 #: Words kept by a worker before its cache starts anew; results don't depend on it.
 CACHED_WORDS = 1_000_000
@@ -103,8 +103,7 @@ class WordEncoder:
             cut |= data == 10
         cut = np.flatnonzero(cut)
         starts, ends = np.concatenate(([0], cut + 1)), np.concatenate((cut, [len(data)]))
-        hashes, others = (RangeHash(data, seed).of(starts, ends) for seed in (11, 13))
-        hashes += (ends - starts).astype(np.uint64)
+        hashes, others = word_hashes(data, starts, ends)
         first = np.searchsorted(starts, np.cumsum([0] + [len(r) + 1 for r in raw[:-1]]))
         if self.blank:
             hashes[first] += np.uint64(0x5851F42D4C957F2D)

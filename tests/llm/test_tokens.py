@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from reelgraph.llm import packing, tokenbin
+from reelgraph.llm import packing, tokenbin, tokens
 from reelgraph.llm.queries import TOKENIZERS
 from reelgraph.llm.tokens import encoder
 
@@ -25,8 +25,6 @@ def test_ids_are_the_library_s(file):
 
 def test_a_hash_is_not_trusted(monkeypatch):
     """Words that share the first hash, in one block or with a cached word, get ids of their own."""
-    from reelgraph.llm import tokens
-
     for file in FILES:
         enc, library = tokens.WordEncoder(file), Tokenizer.from_file(file)
         monkeypatch.setattr(tokens, "mixed", lambda h: h & np.uint64(3))
@@ -74,6 +72,18 @@ def test_written_and_read(spark, odd, empty):
     assert tokenbin.read_tokens(tokenbin.write_tokens(empty, FILES[0])).count() == 0
 
 
+def test_words_that_polynomial_hashes_cannot_tell_apart():
+    """Words of two pieces in the order of Thue and Morse, and the same with the pieces changed for each other."""
+    for path in FILES:
+        coder = tokens.WordEncoder(path)
+        for a, b in (("a", "b"), ("xy", "zw"), ("q", "q1-")):
+            for n in (7, 8, 9, 10, 12):
+                order = [bin(i).count("1") % 2 for i in range(1 << n)]
+                one, two = ("".join((x, y)[o] for o in order) for x, y in ((a, b), (b, a)))
+                texts = [f"see {one} end", f"see {two} end", one, two]
+                assert [x.tolist() for x in coder.encode(texts)] == [coder.library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_packed_pieces(spark, odd, empty):
     rows = packing.pack_sequences(odd, FILES[1]).collect()
     docs = odd.select("doc_id", "text").collect()
