@@ -27,6 +27,6 @@ def allowed(given: str | None, names: Iterable[str], default: str) -> str:
     return given if given and given.removeprefix("-") in set(names) else default
 
 
-def placed(rows: DataFrame, by: str, order: list[Column], name: str = "place") -> DataFrame:
+def placed(rows: DataFrame, by: str | tuple[str, ...], order: list[Column], name: str = "place") -> DataFrame:
     """Adds the place of each row in its own list, from 1."""
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*([by] if isinstance(by, str) else by)).orderBy(*order)))

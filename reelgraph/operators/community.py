@@ -150,6 +150,12 @@ def comments_public(comments: DataFrame) -> DataFrame:
     return rows.withColumn("shown_author", F.when(~F.col("is_hidden"), F.col("author_id")))
 
 
+def comments_list(comments: DataFrame, viewers: DataFrame, hidden: DataFrame, key: str) -> DataFrame:
+    """Public comments of the target (`key`) each viewer looks at, less hidden authors', oldest first: `place` is that in the
+    target's list as the viewer sees it."""
+    return placed(for_viewers(comments_public(comments), viewers, hidden, key), ("viewer_id", key), ordering("created_at", "id"))
+
+
 def for_viewers(rows: DataFrame, viewers: DataFrame, hidden: DataFrame, key: str) -> DataFrame:
     """Rows per viewer who asks for a key (viewers: viewer_id and `key`), less hidden authors'."""
     return viewers.join(rows, key).join(hidden, ["viewer_id", "author_id"], "left_anti")
@@ -166,10 +172,11 @@ def viewer_state(shown: DataFrame, reactions: DataFrame, bookmarks: DataFrame, f
 
 
 def public_targets(posts: DataFrame, comments: DataFrame, reviews: DataFrame, marks: DataFrame, collections: DataFrame, visible: DataFrame) -> DataFrame:
-    """(target_type, target_id, owner_id) of all that can be reached publicly; a comment needs its post public too."""
+    """(target_type, target_id, owner_id) of all that can be reached publicly. A comment need only be public and not hidden
+    itself, whatever it is on."""
     one = lambda rows, kind, owner: rows.select(F.lit(kind).alias("target_type"), F.col("id").alias("target_id"), F.col(owner).alias("owner_id"))
     open_posts = posts_public(posts)
-    open_comments = comments.where("visibility = 'public' AND NOT is_hidden").join(open_posts.select(F.col("id").alias("post_id")), "post_id", "left_semi")
+    open_comments = comments.where("visibility = 'public' AND NOT is_hidden")
     m = marks.where("is_public").select(F.col("id").alias("mark_id"), F.col("user_id").alias("owner"))
     open_reviews = reviews.where("is_public").join(m, "mark_id")
     out = one(open_posts, "post", "author_id")
@@ -244,8 +251,10 @@ def unread_counts(notifications: DataFrame) -> DataFrame:
 
 
 def notifications_list(notifications: DataFrame, is_read: bool | None = None) -> DataFrame:
+    """Notifications with their target, newest first: `place` in the recipient's list of all, read or unread ones."""
     rows = targets(notifications, NOTIFIED)
-    return rows if is_read is None else rows.where(F.col("read_at").isNotNull() if is_read else F.col("read_at").isNull())
+    rows = rows if is_read is None else rows.where(F.col("read_at").isNotNull() if is_read else F.col("read_at").isNull())
+    return placed(rows, "recipient_id", ordering("-created_at"))
 
 
 def reports_list(reports: DataFrame, status: str | None = None, by_reporter: bool = False) -> DataFrame:

@@ -53,6 +53,12 @@ def follow_lists(follows: DataFrame, profiles: DataFrame) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
+def block_mute_lists(blocks: DataFrame, mutes: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(kind, user_id, other_id, nickname, created_at, place): whom each user blocks and mutes, newest first."""
+    one = lambda rows, kind: with_profile(placed(rows.select(F.lit(kind).alias("kind"), "user_id", F.col("target_id").alias("other_id"), "created_at"), "user_id", ordering("-created_at", "-other_id")), "other_id", profiles)
+    return one(blocks, "block").unionByName(one(mutes, "mute"))
+
+
 def follow_stats(follows: DataFrame) -> DataFrame:
     a = follows.groupBy(F.col("follower_id").alias("user_id")).agg(F.count("*").alias("following_count"))
     b = follows.groupBy(F.col("following_id").alias("user_id")).agg(F.count("*").alias("follower_count"))

@@ -80,8 +80,16 @@ def classified(kind: Column, platform: Column, tags: Column) -> Column:
 
 
 def subject_tags(p: str = "p") -> Column:
-    """meta_tags, or metatag only where the first is absent."""
-    return F.array_distinct(strings_of(F.coalesce(F.col(f"{p}.meta_tags"), F.col(f"{p}.metatag"))))
+    """meta_tags, or metatag where the first is absent or a JSON null; repeats stay. Names as the provider gives them."""
+    tags = F.col(f"{p}.meta_tags")
+    return strings_of(F.when(tags.isNull() | F.is_variant_null(tags), F.col(f"{p}.metatag")).otherwise(tags))
+
+
+def normalized_lists(rows: DataFrame, column: str, key: str, mapping: DataFrame) -> DataFrame:
+    """A list of names by their mapping, in order; names that come out empty are dropped. Rows are told apart by `key`."""
+    names = normalize_names(rows.select(key, F.posexplode(column).alias("at", "name")), "name", mapping).where("name <> ''")
+    lists = names.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]).alias("normal"))
+    return rows.join(lists, key, "left").withColumn(column, F.coalesce("normal", F.array().cast("array<string>"))).drop("normal")
 
 
 def map_subjects(rows: DataFrame) -> DataFrame:

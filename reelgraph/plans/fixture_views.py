@@ -71,10 +71,13 @@ VIEWS = {
           CAST(doc_id % 7 AS BIGINT) AS reply_count, CAST(doc_id % 5 AS BIGINT) AS reaction_count
         FROM {documents}""",
     "comment": """
-        SELECT conv_id * 1000 + turn AS id, conv_id % (SELECT count(*) FROM {documents}) AS post_id, CASE WHEN turn > 0 THEN conv_id * 1000 + turn - 1 ELSE NULL END AS parent_id,
-          (conv_id * 3 + turn) % 100 AS author_id, (conv_id + turn) % 9 = 0 AS is_hidden, CASE WHEN turn % 2 = 0 THEN 1 ELSE 0 END AS reply_count, 'public' AS visibility,
-          conv_id * 13 % 6000 + turn AS created_minute, text AS content
-        FROM {conversations}""",
+        SELECT conv_id * 1000 + turn AS id, CASE WHEN conv_id % 7 < 4 THEN conv_id % (SELECT count(*) FROM {documents}) END AS post_id,
+          CASE WHEN conv_id % 7 IN (4, 5) AND part_id % 3 = 0 THEN owner_id * 10000000 + part_id END AS review_id, CASE WHEN conv_id % 7 IN (4, 5) AND part_id % 3 <> 0 THEN order_id END AS collection_id,
+          CASE WHEN conv_id % 7 = 6 OR conv_id % 7 > 3 AND part_id IS NULL THEN conv_id % (SELECT count(*) FROM {events}) END AS activity_id,
+          CASE WHEN turn > 0 THEN conv_id * 1000 + turn - 1 ELSE NULL END AS parent_id, (conv_id * 3 + turn) % 100 AS author_id, (conv_id + turn) % 9 = 0 AS is_hidden, (conv_id + turn) % 23 = 5 AS is_locked, turn % 4 = 1 AS is_spoiler,
+          CASE WHEN turn % 2 = 0 THEN 1 ELSE 0 END AS reply_count, CASE WHEN conv_id % 17 = 3 THEN 'private' ELSE 'public' END AS visibility, conv_id * 13 % 6000 + turn AS created_minute, text AS content
+        FROM {conversations} CROSS JOIN (SELECT count(*) AS n FROM {orders}) o JOIN {order_item} ON order_id = conv_id % o.n""",
+    "comment_activity": "SELECT id + 1000000000 AS id, author_id AS user_id, post_id, id AS comment_id, CASE WHEN id % 29 = 0 THEN 'featured' ELSE 'normal' END AS feed_policy FROM {comment}",
     "reaction": """
         SELECT id, user_id, target_type, target_id, reaction_type, created_at FROM (
           SELECT event_id AS id, user_id, ts AS created_at, CASE event_id % 3 WHEN 0 THEN 'post' WHEN 1 THEN 'comment' ELSE 'activity' END AS target_type,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import community as c
@@ -62,10 +61,9 @@ def follow_lists(v):
     return e.follow_lists(v.follow, v.profile).select("kind", "user_id", "other_id", "nickname", "place")
 
 
-@query("SELECT kind, x.user_id, target_id, nickname FROM (SELECT 'block' AS kind, user_id, target_id FROM {block} UNION ALL SELECT 'mute', user_id, target_id FROM {mute}) x JOIN {profile} p ON p.user_id = target_id")
+@query("SELECT kind, x.user_id, target_id AS other_id, coalesce(nickname, '') AS nickname, CAST(row_number() OVER (PARTITION BY kind, x.user_id ORDER BY created_at DESC, target_id DESC) AS INT) AS place FROM (SELECT 'block' AS kind, user_id, target_id, created_at FROM {block} UNION ALL SELECT 'mute', user_id, target_id, created_at FROM {mute}) x LEFT JOIN {profile} p ON p.user_id = target_id")
 def block_mute_lists(v):
-    both = v.block.withColumn("kind", F.lit("block")).unionByName(v.mute.withColumn("kind", F.lit("mute")))
-    return e.with_profile(both, "target_id", v.profile.withColumnRenamed("user_id", "target_id").withColumnRenamed("target_id", "user_id")).select("kind", "user_id", "target_id", "nickname")
+    return e.block_mute_lists(v.block, v.mute, v.profile).select("kind", "user_id", "other_id", "nickname", "place")
 
 
 @query("SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.n, 0) AS following_count, coalesce(b.n, 0) AS follower_count FROM (SELECT follower_id AS user_id, count(*) AS n FROM {follow} GROUP BY 1) a FULL JOIN (SELECT following_id AS user_id, count(*) AS n FROM {follow} GROUP BY 1) b ON a.user_id = b.user_id")
@@ -121,10 +119,11 @@ def posts_public(v):
     return out
 
 
-@query(f"SELECT viewer_id, k.id, CASE WHEN is_hidden THEN -1 ELSE k.author_id END AS shown_author FROM (SELECT DISTINCT user_id AS viewer_id, post_id FROM {{activity}} WHERE post_id IS NOT NULL) w JOIN {{comment}} k ON k.post_id = w.post_id WHERE (NOT is_hidden OR reply_count > 0) AND NOT EXISTS (SELECT 1 FROM {HIDDEN} h WHERE h.viewer_id = w.viewer_id AND h.author_id = k.author_id)")
+@query(f"SELECT viewer_id, k.id, CASE WHEN is_hidden THEN -1 ELSE k.author_id END AS shown_author, CAST(row_number() OVER (PARTITION BY viewer_id, w.post_id ORDER BY created_minute, k.id) AS INT) AS place FROM (SELECT DISTINCT user_id AS viewer_id, post_id FROM {{activity}} WHERE post_id IS NOT NULL) w JOIN {{comment}} k ON k.post_id = w.post_id WHERE k.visibility = 'public' AND (NOT is_hidden OR reply_count > 0) AND NOT EXISTS (SELECT 1 FROM {HIDDEN} h WHERE h.viewer_id = w.viewer_id AND h.author_id = k.author_id)")
 def comments_public(v):
     viewers = v.activity.where("post_id IS NOT NULL").select(F.col("user_id").alias("viewer_id"), "post_id").distinct()
-    return c.for_viewers(c.comments_public(v.comment), viewers, e.hidden_authors(v.block, v.mute), "post_id").fillna(-1, ["shown_author"]).select("viewer_id", "id", "shown_author")
+    rows = c.comments_list(v.comment.withColumnRenamed("created_minute", "created_at"), viewers, e.hidden_authors(v.block, v.mute), "post_id")
+    return rows.fillna(-1, ["shown_author"]).select("viewer_id", "id", "shown_author", "place")
 
 
 @query("""SELECT w.viewer_id, w.post_id, EXISTS (SELECT 1 FROM {reaction} r WHERE r.user_id = viewer_id AND r.target_type = 'post' AND r.target_id = w.post_id AND r.reaction_type = 'like') AS has_liked, EXISTS (SELECT 1 FROM {bookmark} b WHERE b.user_id = viewer_id AND b.post_id = w.post_id) AS has_bookmarked,
@@ -136,7 +135,7 @@ def viewer_state(v):
 
 
 @query(f"""SELECT 'post' AS target_type, id AS target_id, author_id AS owner_id FROM {{post}} WHERE visibility = 'public' AND feed_policy <> 'hidden'
-    UNION ALL SELECT 'comment', k.id, k.author_id FROM {{comment}} k JOIN {{post}} p ON p.id = k.post_id WHERE NOT is_hidden AND p.visibility = 'public' AND p.feed_policy <> 'hidden'
+    UNION ALL SELECT 'comment', id, author_id FROM {{comment}} WHERE NOT is_hidden AND visibility = 'public'
     UNION ALL SELECT 'review', r.id, m.user_id FROM {{review}} r JOIN {{mark}} m ON m.id = r.mark_id WHERE r.is_public AND m.is_public UNION ALL SELECT 'collection', id, user_id FROM {{collection}} WHERE is_public UNION ALL SELECT 'activity', id, user_id FROM {VISIBLE} x""")
 def target_public(v):
     return c.public_targets(v.post, v.comment, v.review, v.mark, v.collection, visible(v))
@@ -217,9 +216,7 @@ def unread_counts(v):
 @query("SELECT id, recipient_id, CAST(row_number() OVER (PARTITION BY recipient_id ORDER BY created_at DESC, id DESC) AS INT) AS place FROM {notification} WHERE read_at IS NULL")
 def notifications_list(v):
 
-
-    place = F.row_number().over(Window.partitionBy("recipient_id").orderBy(F.desc("created_at"), F.desc("id")))
-    return c.notifications_list(v.notification, False).select("id", "recipient_id", place.alias("place"))
+    return c.notifications_list(v.notification, False).select("id", "recipient_id", "place")
 
 
 @query("SELECT id, CAST(CASE WHEN recipient_id < 50 AND read_at IS NULL THEN TIMESTAMP '2025-01-01 00:00:00' ELSE read_at END AS STRING) AS read_at FROM {notification}")
@@ -239,6 +236,7 @@ def sync_jobs_list(v):
 
 
 M = "JOIN {mark} m ON m.id ="
+ON_WHAT = "CASE WHEN post_id IS NOT NULL THEN concat('post_comment:', CAST(post_id AS STRING)) WHEN review_id IS NOT NULL THEN concat('review_comment:', CAST(review_id AS STRING)) WHEN collection_id IS NOT NULL THEN concat('collection_comment:', CAST(collection_id AS STRING)) ELSE concat('activity_comment:', CAST(activity_id AS STRING)) END"
 
 
 @query(f"""SELECT 'user_subject_created' AS activity_type, user_id, id AS source_id, CASE WHEN is_public THEN 'public' ELSE 'private' END AS visibility, concat('user_subject:', CAST(user_id AS STRING), ':', CAST(subject_id AS STRING)) AS group_key, concat('user_subject_created:', CAST(id AS STRING)) AS dedupe_key FROM {{mark}}
@@ -246,7 +244,7 @@ M = "JOIN {mark} m ON m.id ="
     UNION ALL SELECT 'collection_created', user_id, id, CASE WHEN is_public THEN 'public' ELSE 'private' END, concat('collection:', CAST(user_id AS STRING)), concat('collection_created:', CAST(id AS STRING)) FROM {{collection}}
     UNION ALL SELECT 'collection_item_added', k.user_id, i.id, CASE WHEN k.is_public AND m.is_public THEN 'public' ELSE 'private' END, concat('collection:', CAST(k.id AS STRING)), concat('collection_item_added:', CAST(i.id AS STRING)) FROM {{item}} i {M} i.mark_id JOIN {{collection}} k ON k.id = i.collection_id
     UNION ALL SELECT 'post_created', author_id, id, visibility, concat('post:', CAST(author_id AS STRING)), concat('post_created:', CAST(id AS STRING)) FROM {{post}}
-    UNION ALL SELECT 'comment_created', author_id, id, visibility, concat('post_comment:', CAST(post_id AS STRING)), concat('comment_created:', CAST(id AS STRING)) FROM {{comment}}
+    UNION ALL SELECT 'comment_created', author_id, id, visibility, {ON_WHAT}, concat('comment_created:', CAST(id AS STRING)) FROM {{comment}}
     UNION ALL SELECT 'user_followed', follower_id, -1, 'public', concat('follow:', CAST(follower_id AS STRING)), concat('user_followed:', CAST(follower_id AS STRING), ':', CAST(following_id AS STRING)) FROM {{follow}}""")
 def derive_activities(v):
     return d.derive_activities(v.mark, v.review, v.collection, v.item, v.post, v.comment, v.follow).fillna(-1, ["source_id"])
@@ -272,7 +270,8 @@ def feed_self_union(v):
     return c.following_feed(visible(v), c.following_edges(v.follow, v.block, v.mute, v.profile)).select("viewer_id", "id")
 
 
-@query(f"""SELECT * FROM (SELECT 'commented' AS kind, coalesce(q.author_id, p.author_id) AS recipient_id, k.author_id AS actor_id, k.id AS source_id FROM {{comment}} k LEFT JOIN {{comment}} q ON q.id = k.parent_id LEFT JOIN {{post}} p ON p.id = k.post_id
+@query(f"""SELECT * FROM (SELECT 'commented' AS kind, coalesce(q.author_id, p.author_id, rm.user_id, o.user_id, a.user_id) AS recipient_id, k.author_id AS actor_id, k.id AS source_id FROM {{comment}} k LEFT JOIN {{comment}} q ON q.id = k.parent_id LEFT JOIN {{post}} p ON p.id = k.post_id
+      LEFT JOIN {{review}} r ON r.id = k.review_id LEFT JOIN {{mark}} rm ON rm.id = r.mark_id LEFT JOIN {{collection}} o ON o.id = k.collection_id LEFT JOIN {{activity}} a ON a.id = k.activity_id
     UNION ALL SELECT 'reacted', owner_id, r.user_id, r.id FROM {FIRST_REACTION} r JOIN {OWNERS} o ON o.target_type = r.target_type AND o.target_id = r.target_id UNION ALL SELECT 'followed', following_id, follower_id, -1 FROM {{follow}}) x WHERE recipient_id IS NOT NULL AND recipient_id <> actor_id""")
 def derive_notifications(v):
     owners = c.target_owners(v.post, v.comment, v.review, v.mark, v.collection, v.activity)

@@ -23,7 +23,7 @@ def subject_payloads(v):
     name = F.when(n % 17 == 0, F.lit("5")).otherwise(F.concat(F.lit('"  '), F.col("p_name"), F.lit(' "')))
     date = F.when(n % 13 == 0, F.lit('"1999-99-01"')).when(n % 13 == 1, F.lit("19990101")).when(n % 13 == 2, F.lit('"19990102"')).otherwise(F.concat(F.lit('"'), F.date_add(F.lit("1999-01-01").cast("date"), (n % 300).cast("int")).cast("string"), F.lit('"')))
     platform = F.when(n % 5 == 0, F.lit("小说 A")).when(n % 5 == 1, F.lit("漫画 B")).otherwise(F.col("p_type"))
-    tags = F.when(n % 7 == 0, F.lit('["GalGame", " ", 3]')).when(n % 7 == 1, F.lit("null")).otherwise(F.concat(F.lit('[" '), F.col("p_brand"), F.lit('"]')))
+    tags = F.when(n % 7 == 0, F.lit('["GalGame", " ", 3]')).when(n % 7 == 1, F.lit("null")).when(n % 7 == 2, F.lit('"Brand#1"')).when(n % 7 == 3, F.concat(F.lit('["x", "'), F.col("p_brand"), F.lit('", "x"]'))).otherwise(F.concat(F.lit('[" '), F.col("p_brand"), F.lit('"]')))
     box = F.concat(F.lit('[{"key": "a", "value": " '), F.col("p_brand"), F.lit('"}, {"key": "", "value": ""}, 7, {"key": "b", "value": [{"v": "x"}, {"v": 1}, {"v": "y"}]}]'))
     body = F.concat(F.lit('{"id": '), n.cast("string"), F.lit(', "type": '), (n % 7).cast("string"), F.lit(', "name": '), name, F.lit(', "date": '), date, F.lit(', "platform": "'), platform, F.lit('", "nsfw": '), F.when(n % 3 == 0, F.lit("true")).otherwise(F.lit("1")),
         F.lit(', "eps": '), F.when(n % 4 == 0, F.lit('"12"')).otherwise(F.col("p_size").cast("string")), F.lit(', "images": {"large": "https://img.example.org/'), n.cast("string"), F.lit('.jpg"}, "meta_tags": '), tags, F.lit(', "metatag": ["other"], "infobox": '), box, F.lit("}"))
@@ -52,9 +52,10 @@ def classify_subject(v):
     return g.map_subjects(subject_payloads(v)).groupBy("subject_type").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT p_partkey AS id_source, CASE p_partkey % 7 WHEN 0 THEN 'GalGame' WHEN 1 THEN '' ELSE p_brand END AS tags {GOOD}")
+@query("SELECT p_partkey AS id_source, CASE p_partkey % 7 WHEN 0 THEN 'GalGame' WHEN 1 THEN 'other' WHEN 2 THEN '' WHEN 3 THEN concat('x,', coalesce(internal_name, p_brand), ',x') ELSE coalesce(internal_name, p_brand) END AS tags FROM {part} LEFT JOIN {name_mapping} ON external_name = p_brand WHERE p_partkey % 29 > 1")
 def subject_tags(v):
-    return subject_payloads(v).where("p IS NOT NULL").select("id_source", F.array_join(g.subject_tags(), ",").alias("tags"))
+    rows = subject_payloads(v).where("p IS NOT NULL").select("id_source", g.subject_tags().alias("tags"))
+    return g.normalized_lists(rows, "tags", "id_source", v.name_mapping).select("id_source", F.array_join("tags", ",").alias("tags"))
 
 
 @query(f"SELECT p_partkey AS id_source, concat('a=', p_brand, ';b=x,y') AS infobox {GOOD}")
@@ -79,13 +80,14 @@ def map_episodes(v):
 
 def person_payloads(v, kind):
     n = F.col("s_suppkey")
-    body = F.to_json(F.struct(n.alias("id"), F.col("s_name").alias("name"), (n % 6).alias("type"), (n % 5).alias("blood_type"), F.when(n % 2 == 0, n % 100 + 1900).alias("birth_year"), F.when(n % 3 == 0, F.array(F.lit(" actor "), F.lit(""), F.lit("writer"))).alias("career")))
+    body = F.to_json(F.struct(n.alias("id"), F.col("s_name").alias("name"), (n % 6).alias("type"), (n % 5).alias("blood_type"), F.when(n % 2 == 0, n % 100 + 1900).alias("birth_year"), F.when(n % 3 == 0, F.array(F.lit(" actor "), F.lit(""), F.lit("SMALL"))).alias("career")))
     return t.parsed(v.supplier.select(n.alias("id_source"), body.alias("value")), kind).drop("value")
 
 
-@query("SELECT s_suppkey AS id_source, s_name AS name, CASE s_suppkey % 6 WHEN 1 THEN 'Individual' WHEN 2 THEN 'Company' WHEN 3 THEN 'Group' ELSE '' END AS type, CASE WHEN s_suppkey % 3 = 0 THEN 'actor,writer' ELSE '' END AS career, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey % 100 + 1900 ELSE -1 END AS birth_year FROM {supplier}")
+@query("SELECT s_suppkey AS id_source, s_name AS name, CASE s_suppkey % 6 WHEN 1 THEN 'Individual' WHEN 2 THEN 'Company' WHEN 3 THEN 'Group' ELSE '' END AS type, CASE WHEN s_suppkey % 3 = 0 THEN 'actor,Novel' ELSE '' END AS career, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey % 100 + 1900 ELSE -1 END AS birth_year FROM {supplier}")
 def map_staff(v):
-    return g.map_people(person_payloads(v, "person")).select("id_source", "name", "type", F.array_join("career", ",").alias("career"), F.coalesce("birth.year", F.lit(-1).cast("long")).alias("birth_year"))
+    people = g.normalized_lists(g.map_people(person_payloads(v, "person")), "career", "id_source", v.name_mapping)
+    return people.select("id_source", "name", "type", F.array_join("career", ",").alias("career"), F.coalesce("birth.year", F.lit(-1).cast("long")).alias("birth_year"))
 
 
 @query("SELECT s_suppkey AS id_source, s_name AS name, CASE s_suppkey % 6 WHEN 1 THEN 'Character' WHEN 2 THEN 'Mech' WHEN 3 THEN 'Ship' WHEN 4 THEN 'Organization' ELSE '' END AS type, CASE s_suppkey % 5 WHEN 1 THEN 'A' WHEN 2 THEN 'B' WHEN 3 THEN 'AB' WHEN 4 THEN 'O' ELSE '' END AS blood_type FROM {supplier}")
