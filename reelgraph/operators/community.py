@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.order import allowed, ordering, placed
 from ..functions.text import contains
-from ..sources.shared import shared_path
+from ..sources.shared import stored
 from .edges import hidden_authors, pairs
 
 #: Target kinds in the order in which a row's columns are looked at.
@@ -100,12 +100,10 @@ def positions(rows: DataFrame, order: list[Column], name: str = "position") -> D
     """Adds the place of each row in the whole order, from 1. Rows are dealt by ranges and numbered within; what comes
     before a range is summed over the ranges, of which there are as many as partitions."""
     dealt = rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id())
-    path = shared_path(rows.sparkSession, "ranges")
-    dealt.write.parquet(path)
-    stored = rows.sparkSession.read.schema(dealt.schema).parquet(path)
-    counts = stored.groupBy("range").agg(F.count("*").alias("n"))
+    kept = stored(dealt)
+    counts = kept.groupBy("range").agg(F.count("*").alias("n"))
     before = counts.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
-    inside = stored.withColumn("inside", F.row_number().over(Window.partitionBy("range").orderBy(*order)))
+    inside = kept.withColumn("inside", F.row_number().over(Window.partitionBy("range").orderBy(*order)))
     return inside.join(F.broadcast(before), "range").withColumn(name, F.col("before") + F.col("inside")).drop("range", "before", "inside")
 
 

@@ -8,6 +8,8 @@ from ..operators import community as c
 from ..operators import derive as d
 from ..operators import edges as e
 from ..operators import ingest as g
+from ..operators import moderation as m
+from ..operators import threads as th
 from .registry import query
 
 BLOCKED = "(SELECT user_id AS viewer_id, target_id AS author_id FROM {block} UNION SELECT target_id, user_id FROM {block})"
@@ -278,29 +280,83 @@ def derive_notifications(v):
     return d.derive_notifications(v.comment, c.first_per_key(v.reaction, ["user_id", "target_type", "target_id", "reaction_type"]), v.follow, owners).fillna(-1, ["source_id"])
 
 
-def moderation(v):
-    return v.report.where("comment_id IS NOT NULL AND status = 'resolved'").select(F.col("comment_id").alias("id"), F.when(F.col("id") % 2 == 0, "hide").when(F.col("id") % 3 == 0, "hide").otherwise("lock").alias("action_type"))
+def moderated(v):
+    """Tables that moderation changes: posts, comments, and the activities that show one of them."""
+    shown = v.activity.where("post_id IS NOT NULL").select("id", "post_id", F.lit(None).cast("long").alias("comment_id"), "feed_policy")
+    return {"post": v.post, "comment": v.comment, "activity": shown.unionByName(v.comment_activity.select("id", "post_id", "comment_id", "feed_policy"))}
 
 
-@query("SELECT k.id, is_hidden OR coalesce(hide, FALSE) AS is_hidden, coalesce(lk, FALSE) AS is_locked FROM {comment} k LEFT JOIN (SELECT comment_id, bool_or(id % 2 = 0 OR id % 3 = 0) AS hide, bool_or(NOT (id % 2 = 0 OR id % 3 = 0)) AS lk FROM {report} WHERE comment_id IS NOT NULL AND status = 'resolved' GROUP BY 1) a ON a.comment_id = k.id")
+def states(tables):
+    """(kind, id, is_hidden, is_locked) of the tables after moderation."""
+    hidden = {"post": F.col("feed_policy") == "hidden", "activity": F.col("feed_policy") == "hidden", "comment": F.col("is_hidden")}
+    one = [rows.select(F.lit(kind).alias("kind"), "id", hidden[kind].alias("is_hidden"), (F.lit(False) if kind == "activity" else F.col("is_locked")).alias("is_locked")) for kind, rows in tables.items()]
+    return one[0].unionByName(one[1]).unionByName(one[2])
+
+
+SHOWN_BY = "(SELECT id, post_id, CAST(NULL AS BIGINT) AS comment_id, feed_policy FROM {activity} WHERE post_id IS NOT NULL UNION ALL SELECT id, post_id, comment_id, feed_policy FROM {comment_activity})"
+
+
+def state_sql(hide, lock):
+    """What hide and lock lists (SQL for: kind, id) leave."""
+    of = lambda x, kind, key: f"EXISTS (SELECT 1 FROM {x} h WHERE h.kind = '{kind}' AND h.id = {key})"
+    return f"""SELECT 'post' AS kind, p.id, p.feed_policy = 'hidden' OR {of(hide, 'post', 'p.id')} AS is_hidden, {of(lock, 'post', 'p.id')} AS is_locked FROM {{post}} p
+    UNION ALL SELECT 'comment', k.id, k.is_hidden OR {of(hide, 'comment', 'k.id')}, k.is_locked OR {of(lock, 'comment', 'k.id')} FROM {{comment}} k
+    UNION ALL SELECT 'activity', a.id, a.feed_policy = 'hidden' OR {of(hide, 'activity', 'a.id')} OR {of(hide, 'post', 'a.post_id')} OR {of(hide, 'comment', 'a.comment_id')}, FALSE FROM {SHOWN_BY} a"""
+
+
+ACTED = "(SELECT CASE WHEN comment_id IS NOT NULL THEN 'comment' ELSE 'post' END AS kind, coalesce(comment_id, post_id + CASE WHEN id % 5 = 0 THEN 100000000 ELSE 0 END) AS id, id % 2 = 0 OR id % 3 = 0 AS hides FROM {report} WHERE status = 'resolved')"
+
+
+@query(state_sql(f"(SELECT * FROM {ACTED} x WHERE hides)", f"(SELECT * FROM {ACTED} x WHERE NOT hides)")
+    + f" UNION ALL SELECT concat('acted ', kind), x.id, hides, NOT hides FROM {ACTED} x WHERE kind = 'comment' AND EXISTS (SELECT 1 FROM {{comment}} k WHERE k.id = x.id) OR kind = 'post' AND EXISTS (SELECT 1 FROM {{post}} p WHERE p.id = x.id)")
 def apply_moderation(v):
-    return d.apply_moderation(v.comment, moderation(v)).select("id", "is_hidden", "is_locked")
+    n = F.col("id")
+    post = F.col("post_id") + F.when(n % 5 == 0, 100_000_000).otherwise(0)
+    actions = v.report.where("status = 'resolved'").select(F.when(F.col("comment_id").isNotNull(), "comment").otherwise("post").alias("target_type"), F.coalesce("comment_id", post).alias("target_id"), F.when((n % 2 == 0) | (n % 3 == 0), "hide").otherwise("lock").alias("action_type"), F.lit(7).alias("moderator_id"))
+    tables, done = m.apply_moderation(moderated(v), actions)
+    hides = F.col("action_type") == "hide"
+    rows = done.select(F.concat(F.lit("acted "), F.when(F.col("post_id").isNotNull(), "post").otherwise("comment")).alias("kind"), F.coalesce("post_id", "comment_id").alias("id"), hides.alias("is_hidden"), (~hides).alias("is_locked"))
+    return states(tables).unionByName(rows)
+
+
+REPORTS = """(SELECT id, reporter_id, status, CASE WHEN id % 5 > 1 THEN post_id END AS post_id, CASE WHEN id % 5 > 1 THEN comment_id END AS comment_id, CASE WHEN id % 5 = 0 THEN id END AS activity_id, CASE WHEN id % 5 = 1 THEN id END AS review_id, id % 90 AS reported_user_id FROM {report})"""
+RESOLVED = f"(SELECT r.*, CASE WHEN id % 8 = 4 THEN NULL WHEN id % 3 = 0 THEN 'lock' ELSE 'hide' END AS action_type FROM {REPORTS} r WHERE status = 'pending' AND id % 4 = 0)"
+
+
+def by_type(action):
+    kinds = " UNION ALL ".join(f"SELECT '{k}' AS kind, {k}_id AS id FROM {RESOLVED} x WHERE action_type = '{action}' AND {k}_id IS NOT NULL" for k in ("post", "comment", "activity"))
+    return f"(SELECT * FROM ({kinds}) y)"
 
 
-@query("SELECT id, CASE WHEN status = 'pending' AND id % 4 < 2 THEN CASE WHEN id % 4 = 0 THEN 'resolved' ELSE 'rejected' END ELSE status END AS status, CASE WHEN status = 'pending' AND id % 4 < 2 THEN 7 ELSE -1 END AS resolved_by, status = 'pending' AND id % 4 = 0 AS acted FROM {report}")
+@query(state_sql(by_type("hide"), by_type("lock")) + f""" UNION ALL SELECT concat('report ', CASE WHEN status = 'pending' AND id % 4 < 2 THEN CASE WHEN id % 4 = 0 THEN 'resolved' ELSE 'rejected' END ELSE status END), id, status = 'pending' AND id % 4 < 2, FALSE FROM {REPORTS} r
+    UNION ALL SELECT concat_ws(' ', 'action', action_type, CASE WHEN post_id IS NOT NULL THEN 'post' WHEN comment_id IS NOT NULL THEN 'comment' WHEN activity_id IS NOT NULL THEN 'activity' ELSE 'review' END, CAST(reported_user_id AS STRING)), id, TRUE, TRUE FROM {RESOLVED} x WHERE action_type IS NOT NULL""")
 def apply_reports(v):
-    resolutions = v.report.where("id % 4 < 2").select("id", F.when(F.col("id") % 4 == 0, "resolved").otherwise("rejected").alias("status"), F.lit("hide").alias("action_type"), F.lit(7).alias("moderator_id"))
-    reports, actions = d.apply_reports(v.report, resolutions)
-    return reports.join(actions.select(F.col("report_id").alias("id"), F.lit(True).alias("acted")), "id", "left").fillna(False, ["acted"]).fillna(-1, ["resolved_by"]).select("id", "status", "resolved_by", "acted")
+    reports = v.spark.sql(REPORTS[1:-1], report=v.report)
+    n = F.col("id")
+    action = F.when(n % 8 == 4, None).when(n % 3 == 0, "lock").otherwise("hide")
+    resolutions = v.report.where("id % 4 < 2").select("id", F.when(n % 4 == 0, "resolved").otherwise("rejected").alias("status"), action.alias("action_type"), F.lit(7).alias("moderator_id"))
+    tables, done, actions = m.apply_reports(moderated(v), reports, resolutions)
+    told = done.select(F.concat(F.lit("report "), "status").alias("kind"), "id", F.col("resolved_by").isNotNull().alias("is_hidden"), F.lit(False).alias("is_locked"))
+    kind = F.coalesce(*[F.when(F.col(f"{k}_id").isNotNull(), F.lit(k)) for k in ("post", "comment", "activity", "review")])
+    rows = actions.select(F.concat_ws(" ", F.lit("action"), "action_type", kind, F.col("target_user_id").cast("string")).alias("kind"), F.col("report_id").alias("id"), F.lit(True).alias("is_hidden"), F.lit(True).alias("is_locked"))
+    return states(tables).unionByName(told).unionByName(rows)
 
 
-DELETED = "(id % 5 = 0)"
+TURNS = "(SELECT k.*, id // 1000 AS conv, CASE WHEN id % 5 <> 2 AND NOT is_hidden AND NOT is_locked THEN id * 7919 % 10007 END AS number FROM {comment} k)"
+#: Conversations are chains: a comment is kept if from it on to the end some comment isn't deleted before the one it answers.
+KEPT = f"(SELECT *, number IS NOT NULL AND max(CAST(bad AS INT)) OVER (PARTITION BY conv ORDER BY id DESC) = 0 AS gone FROM (SELECT *, number IS NULL OR coalesce(NOT coalesce(lead(number) OVER (PARTITION BY conv ORDER BY id) < number, FALSE) AND lead(id) OVER (PARTITION BY conv ORDER BY id) IS NOT NULL, FALSE) AS bad FROM {TURNS} t) x)"
 
 
-@query(f"""SELECT k.id, CASE WHEN {DELETED} THEN 0 ELSE length(content) END AS n, is_hidden OR {DELETED} AS is_hidden, (SELECT count(*) FROM {{comment}} q WHERE q.parent_id = k.id AND (q.id % 5 <> 0 OR EXISTS (SELECT 1 FROM {{comment}} z WHERE z.parent_id = q.id))) AS reply_count FROM {{comment}} k
-    WHERE NOT {DELETED} OR EXISTS (SELECT 1 FROM {{comment}} q WHERE q.parent_id = k.id)""")
+@query(f"""SELECT 'comment' AS kind, k.id, CASE WHEN number IS NULL THEN length(content) ELSE 0 END AS n, is_hidden OR number IS NOT NULL AS is_hidden, is_spoiler AND number IS NULL AS is_spoiler, greatest(0, reply_count - (SELECT count(*) FROM {KEPT} g WHERE g.parent_id = k.id AND g.gone)) AS reply_count FROM {KEPT} k WHERE NOT gone
+    UNION ALL SELECT 'post', p.id, 0, FALSE, FALSE, CASE WHEN reply_count > 0 THEN greatest(0, reply_count - (SELECT count(*) FROM {KEPT} g WHERE g.post_id = p.id AND g.gone)) ELSE reply_count END FROM {{post}} p
+    UNION ALL SELECT 'activity', a.id, 0, feed_policy = 'hidden' OR number IS NOT NULL, FALSE, 0 FROM {{comment_activity}} a JOIN {KEPT} k ON k.id = a.comment_id WHERE NOT gone""")
 def comment_deletes(v):
-    return d.comment_deletes(v.comment, v.comment.where("id % 5 = 0")).select("id", F.length("content").cast("long").alias("n"), "is_hidden", "reply_count")
+    list_ = v.comment.where("id % 5 <> 2").select("id", (F.col("id") * 7919 % 10007).alias("number"))
+    comments, posts, activities = th.comment_deletes(v.comment, list_.unionByName(list_.withColumn("number", F.lit(20000).cast("long"))), v.post, v.comment_activity)
+    zero, no = F.lit(0).cast("long"), F.lit(False)
+    rows = comments.select(F.lit("comment").alias("kind"), "id", F.length("content").cast("long").alias("n"), "is_hidden", "is_spoiler", F.col("reply_count").cast("long").alias("reply_count"))
+    rows = rows.unionByName(posts.select(F.lit("post").alias("kind"), "id", zero.alias("n"), no.alias("is_hidden"), no.alias("is_spoiler"), "reply_count"))
+    return rows.unionByName(activities.select(F.lit("activity").alias("kind"), "id", zero.alias("n"), (F.col("feed_policy") == "hidden").alias("is_hidden"), no.alias("is_spoiler"), zero.alias("reply_count")))
 
 
 @query("""SELECT coalesce(o.user_id, w.user_id) AS user_id, coalesce(o.subject_id, w.subject_id) AS subject_id, coalesce(w.status, o.status) AS status, CASE WHEN o.user_id IS NULL THEN 'created' WHEN w.user_id IS NOT NULL THEN 'updated' END AS event

@@ -75,14 +75,6 @@ def test_frontier(spark):
     assert run("skskf", 2, 2) == (14, "end")
 
 
-def test_deleted_comments(spark):
-    c = spark.createDataFrame([(1, None, "a", False, 1), (2, 1, "b", False, 0), (3, None, "c", False, 0)], "id long, parent_id long, content string, is_hidden boolean, reply_count long")
-    left = {r["id"]: r for r in derive.comment_deletes(c, spark.createDataFrame([(1,), (3,)], "id long")).collect()}
-    assert set(left) == {1, 2} and left[1]["content"] == "" and left[1]["is_hidden"] and left[1]["reply_count"] == 1
-    gone = {r["id"]: r for r in derive.comment_deletes(c, spark.createDataFrame([(2,)], "id long")).collect()}
-    assert set(gone) == {1, 3} and gone[1]["reply_count"] == 0 and not gone[1]["is_hidden"]
-
-
 def test_upsert_twice_is_once(spark):
     old = spark.createDataFrame([(1, "s", "1", "a", "n")], "id int, info_source string, id_source string, title string, note string")
     new = spark.createDataFrame([(9, "s", "1", "b"), (2, "s", "2", "c")], "id int, info_source string, id_source string, title string")
@@ -127,14 +119,6 @@ def test_snapshot_keeps_old_when_empty(spark):
     assert tables.replace_snapshot(old, old.limit(0)).count() == 1
 
 
-def test_rejected_reports_carry_no_action(spark):
-    reports = spark.createDataFrame([(1, "pending", 5), (2, "pending", 6), (3, "resolved", 7)], "id long, status string, post_id long")
-    done = spark.createDataFrame([(1, "rejected", "hide", 9), (2, "resolved", "hide", 9), (3, "rejected", "hide", 9)], "id long, status string, action_type string, moderator_id long")
-    out, actions = derive.apply_reports(reports, done)
-    assert {r["id"]: r["status"] for r in out.collect()} == {1: "rejected", 2: "resolved", 3: "resolved"}
-    assert column(actions, "report_id") == [2]
-
-
 def test_first_line_and_empty_post(spark):
     posts = spark.createDataFrame([(1, "a\nb", None), (2, "", 5), (3, None, 6)], "id long, content string, subject_id long")
     marks = spark.createDataFrame([(i, 1, i, None, None, i) for i in (1, 2, 3)], "id long, user_id long, post_id long, review_id long, collection_id long, created_at int")
@@ -199,10 +183,6 @@ def test_repeated_keys_in_a_batch(spark):
     patches = spark.createDataFrame([(1, 7, None, 1), (1, None, "c", 2), (1, 8, None, 3), (3, 1, "x", 4), (3, 2, "y", 5)], "id long, place int, relation string, number int")
     out, unknown = derive.patch_items(items, patches)
     assert sorted(tuple(r) for r in out.collect()) == [(1, 8, "c"), (2, 6, "b")] and column(unknown, "id") == [3]
-    reports = spark.createDataFrame([(1, "pending", 5)], "id long, status string, post_id long")
-    twice = spark.createDataFrame([(1, "rejected", None, 3), (1, "resolved", "hide", 4)], "id long, status string, action_type string, moderator_id long")
-    done, actions = derive.apply_reports(reports, twice)
-    assert column(done, "status") == ["resolved"] and actions.count() == 1
     old = spark.createDataFrame([], "user_id long, subject_id long, status string")
     new = spark.createDataFrame([(1, 7, "wish", 1), (1, 7, "done", 2)], "user_id long, subject_id long, status string, id long")
     subjects = spark.createDataFrame([(7, "anime")], "id long, subject_type string")
