@@ -9,6 +9,7 @@ from ..operators import audit as a
 from ..operators import ingest as g
 from ..sources import tables as t
 from ..sources.shared import shared_path
+from ..sources.versions import VersionedTable
 from ..streaming import jobs
 from .registry import query
 
@@ -365,10 +366,16 @@ def stream_errors(v):
     return run_to_table(v, jobs.stream_errors(outcomes), "complete").select("task", "entity", "retry_count")
 
 
-@query("SELECT event_type AS target_type, event_id % 50 AS target_id, CAST(greatest(0, sum(CASE WHEN event_id % 3 = 0 THEN -1 ELSE 1 END)) AS BIGINT) AS n FROM events GROUP BY 1, 2")
+STEP = "(SELECT event_type AS target_type, event_id % 50 AS target_id, ts, event_id, CASE WHEN event_id % 5 < 2 THEN 1 ELSE -1 END AS delta FROM events)"
+
+
+@query(f"""SELECT target_type, target_id, CAST(max(total) - least(0, min(so_far)) AS BIGINT) AS n FROM (SELECT *, sum(delta) OVER (PARTITION BY target_type, target_id) AS total, sum(delta) OVER (PARTITION BY target_type, target_id ORDER BY ts, event_id) AS so_far FROM {STEP} x) y GROUP BY 1, 2""")
 def stream_counters(v):
-    changes = event_stream(v).select(F.col("event_type").alias("target_type"), (F.col("event_id") % 50).alias("target_id"), F.when(F.col("event_id") % 3 == 0, -1).otherwise(1).alias("delta"))
-    return run_to_table(v, jobs.stream_counters(changes), "complete")
+    step = F.when(F.col("event_id") % 5 < 2, 1).otherwise(-1)
+    changes = event_stream(v).select(F.col("event_type").alias("target_type"), (F.col("event_id") % 50).alias("target_id"), "ts", F.col("event_id").alias("id"), step.alias("delta"))
+    table = VersionedTable(v.spark, shared_path(v.spark, "counters"), "target_type string, target_id bigint, n bigint", jobs.TARGET, 8)
+    jobs.stream_counters(changes, table, shared_path(v.spark, "progress"))
+    return table.read()
 
 
 @query("SELECT DISTINCT concat(event_type, ':', CAST(event_id % 400 AS STRING)) AS dedupe_key FROM events WHERE event_type <> 'view' UNION ALL SELECT '' FROM events WHERE event_type = 'view'")
@@ -379,13 +386,8 @@ def stream_dedupe(v):
 
 @query("SELECT id, max(title) AS title FROM (SELECT user_id AS id, max(event_type) AS title FROM events GROUP BY 1 UNION ALL SELECT c_custkey, 'a' FROM customer) x GROUP BY 1")
 def stream_upsert(v):
-    state = [v.customer.select(F.lit("s").alias("info_source"), F.col("c_custkey").alias("id_source"), F.lit("a").alias("title"))]
-
-    def merge(batch):
-        new = batch.groupBy(F.lit("s").alias("info_source"), F.col("user_id").alias("id_source")).agg(F.max("event_type").alias("title"))
-        path = shared_path(v.spark, "subjects")
-        t.upsert(state[-1], new).write.parquet(path)
-        state.append(v.spark.read.parquet(path))
-
-    jobs.stream_upsert(event_stream(v), merge, shared_path(v.spark, "progress"))
-    return state[-1].select(F.col("id_source").alias("id"), "title")
+    table = VersionedTable(v.spark, shared_path(v.spark, "subjects"), "info_source string, id_source bigint, title string", t.IDENTITY, 8)
+    table.create(v.customer.select(F.lit("s").alias("info_source"), F.col("c_custkey").alias("id_source"), F.lit("a").alias("title")))
+    landed = event_stream(v).select(F.lit("s").alias("info_source"), F.col("user_id").alias("id_source"), F.col("event_type").alias("title"))
+    jobs.stream_upsert(landed.withColumn("place", F.col("title")), table, shared_path(v.spark, "progress"), place=["place"])
+    return table.read().select(F.col("id_source").alias("id"), "title")

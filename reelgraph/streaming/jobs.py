@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.community import first_per_key
+from ..sources.tables import upsert
+from ..sources.versions import VersionedTable
 
 
 def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
@@ -15,9 +17,11 @@ def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], che
     stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(each).trigger(availableNow=True).start().awaitTermination()
 
 
-def stream_upsert(stream: DataFrame, merge: Callable[[DataFrame], None], checkpoint: str) -> None:
-    """merge gets each batch of new rows and must be idempotent: a batch can come twice after a failure."""
-    run_available(stream, lambda batch, _: merge(batch), checkpoint)
+def stream_upsert(stream: DataFrame, table: VersionedTable, checkpoint: str, place: list[str] | None = None) -> None:
+    """Upserts all that has landed into a table, each batch once: one that comes again after a failure is known by its
+    number, and the table tells where it stands. `place` names the columns by which the last row of a key in a batch
+    wins. Only the buckets of a batch's keys are read and written."""
+    run_available(stream, lambda batch, number: table.merge(number, batch, lambda old, new: upsert(old, new, table.keys, place=place)), checkpoint)
 
 
 def stream_dedupe(activities: DataFrame, delay: str | None = None) -> DataFrame:
@@ -36,9 +40,39 @@ def stream_errors(outcomes: DataFrame) -> DataFrame:
     return outcomes.where("outcome = 'failed'").groupBy("task", "entity").agg(F.count("*").alias("retry_count"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"))
 
 
-def stream_counters(changes: DataFrame) -> DataFrame:
-    """Running counts per target of (target_type, target_id, delta), shown as 0 where the sum is below."""
-    return changes.groupBy("target_type", "target_id").agg(F.greatest(F.lit(0), F.sum("delta")).alias("n"))
+TARGET = ["target_type", "target_id"]
+
+
+def floored_steps(changes: DataFrame, span: str = "1 minute") -> DataFrame:
+    """(target_type, target_id, total, least): what steps (ts, id, delta) in the order of (ts, id) do to a count that never
+    falls below 0 at any step: from n they lead to greatest(n + total, least).
+
+    Steps of that kind are closed under composition, so each target's steps are summed up by spans of time (total of the
+    span, and what it leads to from 0 or less), and the spans' sums in order: no task holds more of a hot target than a
+    span's steps, or a row for each span."""
+    running = Window.partitionBy(*TARGET, "span").orderBy("ts", "id")
+    steps = changes.select(*TARGET, "ts", "id", "delta", F.window("ts", span)["start"].alias("span")).withColumn("so_far", F.sum("delta").over(running))
+    spans = steps.groupBy(*TARGET, "span").agg(F.sum("delta").alias("total"), (F.sum("delta") - F.min("so_far")).alias("least"))
+    spans = spans.withColumn("before", F.sum("total").over(Window.partitionBy(*TARGET).orderBy("span")))
+    return spans.groupBy(*TARGET).agg(F.sum("total").alias("total"), (F.max(F.col("least") - F.col("before")) + F.sum("total")).alias("least"))
+
+
+def counted(old: DataFrame, steps: DataFrame) -> DataFrame:
+    """Counts (target_type, target_id, n) after floored_steps; targets without one start at 0."""
+    both = old.select(*TARGET, "n").join(steps, TARGET, "full")
+    n = F.coalesce("n", F.lit(0))
+    return both.select(*TARGET, F.coalesce(F.greatest(n + F.col("total"), "least"), n).cast("long").alias("n"))
+
+
+def stream_counters(stream: DataFrame, table: VersionedTable, checkpoint: str, span: str = "1 minute") -> None:
+    """Running counts per target of (target_type, target_id, ts, id, delta), never below 0 at any step: within a batch in
+    the order of (ts, id), batch after batch. The counts are a table (target_type, target_id, n); batches count once."""
+    run_available(stream, lambda batch, number: table.merge(number, floored_steps(batch, span), counted), checkpoint)
+
+
+def batch_counters(changes: DataFrame, span: str = "1 minute") -> DataFrame:
+    """The batch twin of stream_counters, for all changes at once."""
+    return floored_steps(changes, span).select(*TARGET, F.greatest("total", "least").cast("long").alias("n"))
 
 
 def batch_dedupe(activities: DataFrame) -> DataFrame:
