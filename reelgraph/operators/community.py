@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,11 +75,26 @@ def following_edges(follows: DataFrame, blocks: DataFrame, mutes: DataFrame, inc
     return edges if include_self is None else edges.unionByName(include_self.select(F.col("user_id").alias("viewer_id"), F.col("user_id").alias("author_id"))).distinct()
 
 
-def following_feed(visible: DataFrame, edges: DataFrame, since: Column | None = None) -> DataFrame:
+#: Followers of an author that meet that author's rows in one place; those of an author with more are dealt to several.
+FAN_OUT = 100_000
+
+
+def fan_out(edges: DataFrame, rows: DataFrame, limit: int = FAN_OUT) -> DataFrame:
+    """edges (viewer_id, author_id) joined with rows (author_id, ...). An author whom more than `limit` follow is cut into
+    slices: viewers go to one each, the author's rows to all. So no task has more than some `limit` edges of an author."""
+    hot = edges.groupBy("author_id").agg(F.count("*").alias("n")).where(F.col("n") > limit)
+    hot = hot.select("author_id", F.ceil(F.col("n") / limit).cast("int").alias("slices"))
+    slice_ = F.pmod(F.xxhash64("viewer_id"), F.col("slices")).cast("int")
+    dealt = edges.join(hot, "author_id", "left").select(*edges.columns, F.coalesce(slice_, F.lit(0)).alias("slice"))
+    copies = rows.join(hot, "author_id", "left").withColumn("slice", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1))).drop("slices")
+    return dealt.join(copies, ["author_id", "slice"]).drop("slice")
+
+
+def following_feed(visible: DataFrame, edges: DataFrame, since: Column | None = None, limit: int = FAN_OUT) -> DataFrame:
     """Every visible activity, or those from `since` on, of every author a viewer sees: one row an edge and activity, so
     give a time where a first page (`feed_top_k`) does not do."""
     visible = visible if since is None else visible.where(F.col("created_at") >= since)
-    return edges.join(visible.withColumnRenamed("user_id", "author_id"), "author_id")
+    return fan_out(edges, visible.withColumnRenamed("user_id", "author_id"), limit)
 
 
 def feed_order(order: str | None) -> list[Column]:
@@ -89,11 +106,11 @@ def top(rows: DataFrame, by: str, k: int, name: str = "rank", order: str | None
     return placed(rows, by, feed_order(order), name).where(F.col(name) <= k)
 
 
-def feed_top_k(visible: DataFrame, edges: DataFrame, k: int = PAGE, order: str | None = None) -> DataFrame:
+def feed_top_k(visible: DataFrame, edges: DataFrame, k: int = PAGE, order: str | None = None, limit: int = FAN_OUT) -> DataFrame:
     """First page of each viewer's feed. An author's first k are enough for any viewer, so they are cut before the fan-out,
     which then has at most k rows an edge."""
     first = top(visible.withColumnRenamed("user_id", "author_id"), "author_id", k, "place", order).drop("place")
-    return top(edges.join(first, "author_id"), "viewer_id", k, order=order)
+    return top(fan_out(edges, first, limit), "viewer_id", k, order=order)
 
 
 def positions(rows: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
@@ -107,18 +124,38 @@ def positions(rows: DataFrame, order: list[Column], name: str = "position") -> D
     return inside.join(F.broadcast(before), "range").withColumn(name, F.col("before") + F.col("inside")).drop("range", "before", "inside")
 
 
-def global_feed(visible: DataFrame, viewers: DataFrame, hidden: DataFrame, k: int = PAGE, order: str | None = None) -> DataFrame:
+#: Rows of the ranked whole that all viewers look at in a round, at most.
+ROUND = 4096
+
+
+def global_feed(visible: DataFrame, viewers: DataFrame, hidden: DataFrame, k: int = PAGE, order: str | None = None, most: int = ROUND) -> DataFrame:
     """First page of all visible activities for each viewer (viewer_id), less hidden authors'.
 
-    No page holds more than an author's first k, so only these are ranked. Of them a viewer who hides h authors sees no
-    further than k + h * k: each viewer reads as far as the own h needs, all together k rows a viewer and a hidden edge.
-    """
+    No page holds more than an author's first k, so only these are ranked. The ranking is read in rounds: the first 4 k
+    rows, then eight times as many in each round, `most` at most. A round's rows go to all tasks as one list, of which a
+    viewer takes what the own hidden authors leave; whoever still lacks rows goes on to the next round. Viewers aren't
+    joined by position, so no key holds all of them, and a row holds no more than a round."""
     first = top(visible.withColumnRenamed("user_id", "author_id"), "author_id", k, "place", order).drop("place")
-    head = positions(first, feed_order(order))
-    mine = hidden.groupBy("viewer_id").agg(F.count("*").alias("h"))
-    need = viewers.join(mine, "viewer_id", "left").select("viewer_id", F.explode(F.sequence(F.lit(1).cast("long"), (F.coalesce("h", F.lit(0)) + 1) * k)).alias("position"))
-    seen = need.join(head, "position").join(hidden, ["viewer_id", "author_id"], "left_anti")
-    return top(seen, "viewer_id", k, order=order)
+    head = stored(positions(first, feed_order(order)))
+    columns = [c for c in head.columns if c != "position"]
+    total, done, size = head.count(), 0, 4 * k
+    lacking = viewers.select("viewer_id", F.lit(k).alias("lacks"))
+    out: list[DataFrame] = []
+    while done < total or not out:
+        some = head.where((F.col("position") > done) & (F.col("position") <= done + size))
+        # One row, no longer than a round.
+        ranked = some.agg(F.transform(F.array_sort(F.collect_list(F.struct("position", F.struct(*columns).alias("row")))), lambda x: x["row"]).alias("ranked")).withColumn("round", F.lit(0))
+        mine = hidden.join(F.broadcast(some.select("author_id").distinct()), "author_id", "left_semi").groupBy("viewer_id").agg(F.collect_set("author_id").alias("hides"))
+        seen = lacking.join(mine, "viewer_id", "left").withColumn("round", F.lit(0)).join(F.broadcast(ranked), "round")
+        left = F.when(F.col("hides").isNull(), F.slice("ranked", 1, F.col("lacks"))).otherwise(F.slice(F.filter("ranked", lambda x: ~F.array_contains("hides", x["author_id"])), 1, F.col("lacks")))
+        got = stored(seen.select("viewer_id", "lacks", left.alias("page")))
+        rank = F.lit(k) - F.col("lacks") + F.col("pos") + 1
+        out.append(got.select("viewer_id", "lacks", F.posexplode("page")).select("viewer_id", rank.cast("int").alias("rank"), "col.*"))
+        done, size = done + size, min(most, 8 * size)
+        lacking = got.select("viewer_id", (F.col("lacks") - F.size("page")).alias("lacks")).where("lacks > 0")
+        if lacking.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, out)
 
 
 def user_activities(activities: DataFrame, visible: DataFrame | None = None, activity_type: str | None = None, order: str | None = None) -> DataFrame:

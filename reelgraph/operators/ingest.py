@@ -188,21 +188,40 @@ def window_result(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("task").agg(F.count("*").alias("processed"), n("synced"), n("skipped"), n("failed"))
 
 
-def sync_frontier(outcomes: DataFrame, end: DataFrame, skips: int = 50, errors: int = 20) -> DataFrame:
+def run_before(ranges: DataFrame, resets: str, inside: str) -> DataFrame:
+    """What a run counts when a range (task, range) begins, from each range's number of resets and the length of the run it
+    ends with: its last one after a reset, or all of it without."""
+    order = Window.partitionBy("task").orderBy("range")
+    so_far = F.sum(F.col(inside)).over(Window.partitionBy("task", f"{resets} so far").orderBy("range"))
+    return ranges.withColumn(f"{resets} so far", F.count_if(F.col(resets) > 0).over(order)).withColumn("ends with", so_far).withColumn(f"{inside} before", F.coalesce(F.lag("ends with").over(order), F.lit(0))).drop("ends with", f"{resets} so far")
+
+
+def sync_frontier(outcomes: DataFrame, end: DataFrame, skips: int = 50, errors: int = 20, size: int = SHARD) -> DataFrame:
     """(task, cursor, stopped): where a scan over (task, entity, outcome) stops.
 
     `skips` entities skipped since the last synced one (failures neither count nor break the run) or `errors` failures
     running stop it; the cursor is then the last synced entity before the stop, or the one before the first if there is
     none; a scan that runs through ends at the window's end (task, end_id).
+
+    Entities are taken in ranges of `size` ids. A range tells with which run it ends; laid after each other, a row a range,
+    these tell with which run a range begins, and its own rows do the rest. No task holds more than a range of rows, or a
+    row for each range of a scan.
     """
-    order = Window.partitionBy("task").orderBy("entity")
-    runs = outcomes.withColumn("s", F.sum((F.col("outcome") == "synced").cast("int")).over(order)).withColumn("e", F.sum((F.col("outcome") != "failed").cast("int")).over(order))
-    inside = lambda run, kind: F.sum((F.col("outcome") == kind).cast("int")).over(Window.partitionBy("task", run).orderBy("entity"))
-    runs = runs.withColumn("skipping", inside("s", "skipped")).withColumn("failing", inside("e", "failed"))
-    hit = F.when((F.col("skipping") >= skips) & (F.col("outcome") == "skipped"), F.struct("entity", F.lit("skips").alias("why"))).when(F.col("failing") >= errors, F.struct("entity", F.lit("errors").alias("why")))
+    rows = outcomes.select("task", "entity", "outcome", F.floor(F.col("entity") / size).alias("range"))
+    own = Window.partitionBy("task", "range").orderBy("entity")
+    synced, failed = F.col("outcome") == "synced", F.col("outcome") == "failed"
+    last = {"synced": F.max(F.when(synced, F.col("entity"))), "worked": F.max(F.when(~failed, F.col("entity")))}
+    ends = rows.groupBy("task", "range").agg(*[c.alias(f"last {name}") for name, c in last.items()])
+    after = lambda name, kind: F.count_if((F.col("outcome") == kind) & (F.coalesce(F.col("entity") > F.col(f"last {name}"), F.lit(True))))
+    tails = rows.join(ends, ["task", "range"]).groupBy("task", "range").agg(F.count("last synced").alias("synced"), F.count("last worked").alias("worked"), after("synced", "skipped").alias("skips"), after("worked", "failed").alias("fails"))
+    starts = run_before(run_before(tails, "synced", "skips"), "worked", "fails").select("task", "range", "skips before", "fails before")
+    runs = rows.withColumn("s", F.count_if(synced).over(own)).withColumn("e", F.count_if(~failed).over(own)).join(starts, ["task", "range"])
+    inside = lambda run, kind, before: F.count_if(F.col("outcome") == kind).over(Window.partitionBy("task", "range", run).orderBy("entity")) + F.when(F.col(run) == 0, F.col(before)).otherwise(0)
+    runs = runs.withColumn("skipping", inside("s", "skipped", "skips before")).withColumn("failing", inside("e", "failed", "fails before"))
+    hit = F.when((F.col("skipping") >= skips) & (F.col("outcome") == "skipped"), F.struct("entity", F.lit("skips").alias("why"))).when((F.col("failing") >= errors) & failed, F.struct("entity", F.lit("errors").alias("why")))
     stops = runs.groupBy("task").agg(F.min(hit).alias("stop"), F.min("entity").alias("start"))
-    last = outcomes.where("outcome = 'synced'").join(stops, "task").where("stop IS NULL OR entity < stop.entity").groupBy("task").agg(F.max("entity").alias("last"))
-    out = stops.join(last, "task", "left").join(end, "task", "left")
+    done = outcomes.where("outcome = 'synced'").join(stops, "task").where("stop IS NULL OR entity < stop.entity").groupBy("task").agg(F.max("entity").alias("last"))
+    out = stops.join(done, "task", "left").join(end, "task", "left")
     cursor = F.when(F.col("stop").isNull(), F.col("end_id")).otherwise(F.coalesce("last", F.col("start") - 1))
     return out.select("task", cursor.alias("cursor"), F.coalesce("stop.why", F.lit("end")).alias("stopped"))
 

@@ -210,7 +210,7 @@ def window_result(v):
         SELECT *, count(*) FILTER (WHERE outcome = 'synced') OVER (PARTITION BY task ORDER BY entity) AS s, count(*) FILTER (WHERE outcome <> 'failed') OVER (PARTITION BY task ORDER BY entity) AS e FROM {outcome}) a) b GROUP BY task) y""")
 def sync_frontier(v):
     end = v.outcome.groupBy("task").agg(F.max("entity").cast("long").alias("end_id"))
-    return g.sync_frontier(v.outcome.withColumn("entity", F.col("entity").cast("long")), end, 4, 3)
+    return g.sync_frontier(v.outcome.withColumn("entity", F.col("entity").cast("long")), end, 4, 3, 8)
 
 
 @query("SELECT task, entity, 1 AS retry_count, CAST(ts AS STRING) AS first_at FROM {outcome} WHERE outcome = 'failed'")

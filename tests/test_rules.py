@@ -67,7 +67,9 @@ def test_frontier(spark):
         names = {"s": "synced", "k": "skipped", "f": "failed"}
         rows = spark.createDataFrame([("t", i + 10, names[c]) for i, c in enumerate(text)], "task string, entity long, outcome string")
         end = spark.createDataFrame([("t", 9 + len(text))], "task string, end_id long")
-        return tuple(ingest.sync_frontier(rows, end, skips, errors).first())[1:]
+        found = {tuple(ingest.sync_frontier(rows, end, skips, errors, size).first())[1:] for size in (1, 2, 3, 16_384)}
+        assert len(found) == 1
+        return found.pop()
 
     assert run("skfkk", 3, 9) == (10, "skips")  # failures don't break a run of skips
     assert run("kkk", 3, 9) == (9, "skips")  # nothing synced before
@@ -75,6 +77,31 @@ def test_frontier(spark):
     assert run("skskf", 2, 2) == (14, "end")
 
 
+def test_frontier_of_random_scans_over_borders_of_ranges(spark):
+    import random
+
+    draw, rows, want = random.Random(9), [], {}
+    skips, errors = 6, 4
+    for task in range(60):
+        first, n = draw.randrange(50), draw.randrange(1, 120)
+        weights = draw.choice(((6, 3, 1), (1, 6, 1), (1, 1, 6), (2, 9, 9), (1, 0, 9)))
+        skipping = failing = 0
+        cursor, why = first - 1, "end"
+        for k, outcome in enumerate(draw.choices(("synced", "skipped", "failed"), weights, k=n)):
+            rows.append((f"t{task}", first + k, outcome))
+            if why == "end":
+                failing = failing + 1 if outcome == "failed" else 0
+                skipping = 0 if outcome == "synced" else skipping + (outcome == "skipped")
+                cursor = first + k if outcome == "synced" else cursor
+                why = "skips" if skipping >= skips else "errors" if failing >= errors else "end"
+        want[f"t{task}"] = (first + n - 1 if why == "end" else cursor, why)
+    df = spark.createDataFrame(rows, "task string, entity long, outcome string").repartition(4)
+    end = df.groupBy("task").agg(F.max("entity").alias("end_id"))
+    assert set(w for _, w in want.values()) == {"end", "skips", "errors"}
+    for size in (1, 5, 1000):
+        assert {r["task"]: (r["cursor"], r["stopped"]) for r in ingest.sync_frontier(df, end, skips, errors, size).collect()} == want
+
+
 def test_upsert_twice_is_once(spark):
     old = spark.createDataFrame([(1, "s", "1", "a", "n")], "id int, info_source string, id_source string, title string, note string")
     new = spark.createDataFrame([(9, "s", "1", "b"), (2, "s", "2", "c")], "id int, info_source string, id_source string, title string")
@@ -160,6 +187,29 @@ def test_global_feed_of_one_who_hides_the_largest_author(spark):
     assert got == {8: {n + 1: 1299 - n for n in range(5)}, 9: {n + 1: 499 - n for n in range(5)}}
 
 
+def test_author_followed_by_all(spark):
+    """A hot author's edges are dealt to several places, none of which holds many more than the limit."""
+    edges_ = spark.range(3000).select(F.col("id").alias("viewer_id"), F.lit(1).cast("long").alias("author_id")).unionByName(spark.range(50).select(F.col("id").alias("viewer_id"), (F.col("id") + 2).alias("author_id")))
+    visible = spark.createDataFrame([(i, i % 5, i) for i in range(40)], "id long, user_id long, created_at int")
+    rows = visible.withColumnRenamed("user_id", "author_id")
+    plain = sorted((r["viewer_id"], r["id"]) for r in edges_.join(rows, "author_id").collect())
+    assert sorted((r["viewer_id"], r["id"]) for r in community.following_feed(visible, edges_, limit=100).collect()) == plain
+    pages = [sorted((r["viewer_id"], r["rank"], r["id"]) for r in community.feed_top_k(visible, edges_, 3, limit=n).collect()) for n in (100, 10**6)]
+    assert pages[0] == pages[1] and {v for v, *_ in pages[0]} == set(range(3000))
+    hot = community.fan_out(edges_, rows, 100).groupBy("author_id", F.pmod(F.xxhash64("viewer_id"), F.lit(30))).agg(F.countDistinct("viewer_id").alias("n"))
+    assert hot.agg(F.max("n")).first()[0] < 200
+
+
+def test_global_feed_of_one_who_hides_thousands(spark):
+    visible = spark.range(6000).select("id", (F.col("id") % 3000).alias("user_id"), F.col("id").cast("int").alias("created_at"))
+    viewers = spark.createDataFrame([(-1,), (-2,), (-3,)], "viewer_id long")
+    hidden = spark.range(3, 3000).select(F.lit(-1).cast("long").alias("viewer_id"), F.col("id").alias("author_id")).unionByName(spark.range(3000).select(F.lit(-2).cast("long").alias("viewer_id"), F.col("id").alias("author_id")))
+    for most in (100, 4096):
+        rows = {(r["viewer_id"], r["rank"]): r["id"] for r in community.global_feed(visible, viewers, hidden, 4, most=most).collect()}
+        assert rows == {(-1, 1): 3002, (-1, 2): 3001, (-1, 3): 3000, (-1, 4): 2} | {(-3, n + 1): 5999 - n for n in range(4)}
+    assert not community.global_feed(visible.limit(0), viewers, hidden, 4).count()
+
+
 def test_feeds_in_other_orders(spark):
     visible = spark.createDataFrame([(i, i % 3, i * 7 % 50) for i in range(50)], "id long, user_id long, created_at int")
     viewers = spark.createDataFrame([(8,)], "viewer_id long")
