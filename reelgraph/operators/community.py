@@ -69,6 +69,44 @@ def visible_activities(activities: DataFrame, marks: DataFrame, reviews: DataFra
     return public.join(hidden, "id", "left_anti")
 
 
+def touched_activities(activities: DataFrame, changed: dict[str, DataFrame], reviews: DataFrame, items: DataFrame) -> DataFrame:
+    """(id): activities whose visibility may follow from changed rows. changed: for mark, review, collection, item or
+    activity the ids (id) that were added, altered or deleted. References are gone back over: from a mark or collection to
+    the reviews and items that hang on it, from all of these to the activities that show them."""
+    ids = {kind: rows.select("id").distinct() for kind, rows in changed.items()}
+    via = lambda rows, key, kind: rows.join(ids[kind].select(F.col("id").alias(key)), key, "left_semi").select("id")
+    reached = {kind: [rows] for kind, rows in ids.items()}
+    for rows, kind, keys in ((reviews, "review", ("mark",)), (items, "item", ("mark", "collection"))):
+        for parent in keys:
+            if parent in ids:
+                reached.setdefault(kind, []).append(via(rows, f"{parent}_id", parent))
+    refs = [rows.select(F.lit(f"{kind}_id").alias("kind"), F.col("id").alias("ref")) for kind, some in reached.items() for rows in some if kind != "activity"]
+    found = [ids["activity"]] if "activity" in ids else []
+    if refs:
+        shown = F.explode(F.filter(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).cast("long").alias("ref")) for k in ("mark_id", "review_id", "collection_id", "item_id")]), lambda x: x["ref"].isNotNull()))
+        found.append(activities.select("id", shown.alias("x")).select("id", "x.*").join(reduce(DataFrame.unionByName, refs).distinct(), ["kind", "ref"], "left_semi").select("id"))
+    return reduce(DataFrame.unionByName, found).distinct() if found else activities.select("id").limit(0)
+
+
+def visible_changes(seen: DataFrame, activities: DataFrame, changed: dict[str, DataFrame], marks: DataFrame, reviews: DataFrame, collections: DataFrame, items: DataFrame) -> DataFrame:
+    """(id, change): what is to be added to and deleted from the visible ids `seen` after rows have changed; tables are as
+    they are now, changed as for `touched_activities`. Only the touched activities are looked at, and of the other tables
+    only what these refer to."""
+    touched = stored(touched_activities(activities, changed, reviews, items))
+    mine = stored(activities.join(touched, "id", "left_semi"))
+    part = lambda rows, *keys: rows.join(reduce(DataFrame.unionByName, [some.where(F.col(k).isNotNull()).select(F.col(k).cast("long").alias("id")) for some, k in keys]).distinct(), "id", "left_semi")
+    r, i = part(reviews, (mine, "review_id")), part(items, (mine, "item_id"))
+    m, c = part(marks, (mine, "mark_id"), (r, "mark_id"), (i, "mark_id")), part(collections, (mine, "collection_id"), (i, "collection_id"))
+    now = visible_activities(mine, m, r, c, i).select("id")
+    before = seen.join(touched, "id", "left_semi").select("id")
+    return now.join(before, "id", "left_anti").withColumn("change", F.lit("add")).unionByName(before.join(now, "id", "left_anti").withColumn("change", F.lit("delete")))
+
+
+def with_changes(seen: DataFrame, change_set: DataFrame) -> DataFrame:
+    """The visible ids after a change set."""
+    return seen.join(change_set.where("change = 'delete'"), "id", "left_anti").select("id").unionByName(change_set.where("change = 'add'").select("id"))
+
+
 def following_edges(follows: DataFrame, blocks: DataFrame, mutes: DataFrame, include_self: DataFrame | None = None) -> DataFrame:
     """(viewer_id, author_id) of whom a viewer sees: followed, not hidden, and oneself if `include_self` (user_id) is given."""
     edges = pairs(follows, "follower_id", "following_id").join(hidden_authors(blocks, mutes), ["viewer_id", "author_id"], "left_anti")

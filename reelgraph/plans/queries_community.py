@@ -78,6 +78,20 @@ def activity_public(v):
     return visible(v).select("id", "user_id", "activity_type")
 
 
+#: Tables as they were: every seventh mark and fifth collection had its flag turned, every third activity was hidden.
+BEFORE = {"mark": ("is_public", "id % 7 = 0", "NOT is_public"), "collection": ("is_public", "id % 5 = 0", "NOT is_public"), "activity": ("feed_policy", "id % 3 = 0", "'hidden'")}
+
+
+@query(f"SELECT id FROM {VISIBLE} x")
+def activity_public_delta(v):
+    """The visible ids before some rows changed, brought up to date by the changes alone."""
+    tables = {k: getattr(v, k) for k in ("activity", "mark", "review", "collection", "item")}
+    old = {k: rows.withColumn(BEFORE[k][0], F.expr(f"CASE WHEN {BEFORE[k][1]} THEN {BEFORE[k][2]} ELSE {BEFORE[k][0]} END")) if k in BEFORE else rows for k, rows in tables.items()}
+    seen = c.visible_activities(*old.values()).select("id")
+    changed = {k: tables[k].where(where).select("id") for k, (_, where, _) in BEFORE.items()}
+    return c.with_changes(seen, c.visible_changes(seen, tables["activity"], changed, tables["mark"], tables["review"], tables["collection"], tables["item"]))
+
+
 @query(f"SELECT viewer_id, a.id, a.user_id AS author_id FROM {EDGES} e JOIN {VISIBLE} a ON a.user_id = author_id")
 def following_feed(v):
     return c.following_feed(visible(v), edges(v)).select("viewer_id", "id", "author_id")

@@ -26,10 +26,14 @@ def subject_payloads(v):
     platform = F.when(n % 5 == 0, F.lit("小说 A")).when(n % 5 == 1, F.lit("漫画 B")).otherwise(F.col("p_type"))
     tags = F.when(n % 7 == 0, F.lit('["GalGame", " ", 3]')).when(n % 7 == 1, F.lit("null")).when(n % 7 == 2, F.lit('"Brand#1"')).when(n % 7 == 3, F.concat(F.lit('["x", "'), F.col("p_brand"), F.lit('", "x"]'))).otherwise(F.concat(F.lit('[" '), F.col("p_brand"), F.lit('"]')))
     box = F.concat(F.lit('[{"key": "a", "value": " '), F.col("p_brand"), F.lit('"}, {"key": "", "value": ""}, 7, {"key": "b", "value": [{"v": "x"}, {"v": 1}, {"v": "y"}]}]'))
-    body = F.concat(F.lit('{"id": '), n.cast("string"), F.lit(', "type": '), (n % 7).cast("string"), F.lit(', "name": '), name, F.lit(', "date": '), date, F.lit(', "platform": "'), platform, F.lit('", "nsfw": '), F.when(n % 3 == 0, F.lit("true")).otherwise(F.lit("1")),
+    body = F.concat(F.lit('{"id": '), (n + 1).cast("string"), F.lit(', "type": '), (n % 7).cast("string"), F.lit(', "name": '), name, F.lit(', "date": '), date, F.lit(', "platform": "'), platform, F.lit('", "nsfw": '), F.when(n % 3 == 0, F.lit("true")).otherwise(F.lit("1")),
         F.lit(', "eps": '), F.when(n % 4 == 0, F.lit('"12"')).otherwise(F.col("p_size").cast("string")), F.lit(', "images": {"large": "https://img.example.org/'), n.cast("string"), F.lit('.jpg"}, "meta_tags": '), tags, F.lit(', "metatag": ["other"], "infobox": '), box, F.lit("}"))
     value = F.when(n % 29 == 0, F.lit("[1, 2]")).when(n % 29 == 1, F.lit("{broken")).otherwise(body)
-    return t.parsed(v.part.select(n.alias("id_source"), value.alias("value")), "subject").drop("value")
+    return v.part.select(n.alias("id_source"), value.alias("value"))
+
+
+def subject_rows(v):
+    return t.quarantined(t.parsed(subject_payloads(v), "subject"))[0]
 
 
 GOOD = "FROM {part} WHERE p_partkey % 29 > 1"
@@ -37,38 +41,45 @@ PLATFORM = "CASE p_partkey % 5 WHEN 0 THEN '小说 A' WHEN 1 THEN '漫画 B' ELS
 CLASS = f"CASE p_partkey % 7 WHEN 1 THEN CASE p_partkey % 5 WHEN 0 THEN 'novel' WHEN 1 THEN 'manga' ELSE 'book' END WHEN 2 THEN 'anime' WHEN 3 THEN 'music' WHEN 4 THEN 'game' ELSE 'other' END"
 
 
-@query("SELECT p_partkey AS id_source, p_partkey % 29 > 1 AS is_object FROM {part}")
+@query("SELECT CASE p_partkey % 29 WHEN 0 THEN 'not an object' WHEN 1 THEN 'not JSON' ELSE CASE WHEN p_partkey % 31 = 5 THEN 'empty' WHEN p_partkey % 31 = 6 THEN 'no id' ELSE 'read' END END AS outcome, count(*) AS n FROM {part} GROUP BY 1")
 def read_payloads(v):
-    return subject_payloads(v).select("id_source", F.col("p").isNotNull().alias("is_object"))
+    """Payloads are landed as files and read from there; what can't be used is read from the table of rejects."""
+    landed, rejects = shared_path(v.spark, "landed"), shared_path(v.spark, "rejects")
+    n = F.col("id_source")
+    odd = F.when((n % 31 == 5) & (n % 29 > 1), F.lit("  ")).when((n % 31 == 6) & (n % 29 > 1), F.lit('{"id": "x"}')).otherwise(F.col("value"))
+    subject_payloads(v).select(odd.alias("value")).write.text(landed)
+    good = t.read_payloads(v.spark, landed, "subject", rejects)
+    rows = good.select(F.lit("read").alias("outcome")).unionByName(v.spark.read.parquet(rejects).select(F.col("reason").alias("outcome")))
+    return rows.groupBy("outcome").agg(F.count("*").alias("n"))
 
 
 @query(f"""SELECT p_partkey AS id_source, {CLASS} AS subject_type, CASE WHEN p_partkey % 17 = 0 THEN '' ELSE p_name END AS title, CAST(CASE WHEN p_partkey % 13 IN (0, 1) THEN NULL WHEN p_partkey % 13 = 2 THEN DATE '1999-01-02' ELSE DATE '1999-01-01' + CAST(p_partkey % 300 AS INT) END AS STRING) AS date,
     {PLATFORM} AS platform, p_partkey % 3 = 0 AS nsfw, CASE WHEN p_partkey % 4 = 0 THEN -1 ELSE CAST(p_size AS BIGINT) END AS eps, concat('https://img.example.org/', CAST(p_partkey AS STRING), '.jpg') AS image_original {GOOD}""")
 def map_subjects(v):
-    return g.map_subjects(subject_payloads(v)).fillna(-1, ["eps"]).select("id_source", "subject_type", "title", F.col("date").cast("string").alias("date"), "platform", "nsfw", "eps", "image_original")
+    return g.map_subjects(subject_rows(v)).fillna(-1, ["eps"]).select("id_source", "subject_type", "title", F.col("date").cast("string").alias("date"), "platform", "nsfw", "eps", "image_original")
 
 
 @query(f"SELECT {CLASS} AS subject_type, count(*) AS n {GOOD} GROUP BY 1")
 def classify_subject(v):
-    return g.map_subjects(subject_payloads(v)).groupBy("subject_type").agg(F.count("*").alias("n"))
+    return g.map_subjects(subject_rows(v)).groupBy("subject_type").agg(F.count("*").alias("n"))
 
 
 @query("SELECT p_partkey AS id_source, CASE p_partkey % 7 WHEN 0 THEN 'GalGame' WHEN 1 THEN 'other' WHEN 2 THEN '' WHEN 3 THEN concat('x,', coalesce(internal_name, p_brand), ',x') ELSE coalesce(internal_name, p_brand) END AS tags FROM {part} LEFT JOIN {name_mapping} ON external_name = p_brand WHERE p_partkey % 29 > 1")
 def subject_tags(v):
-    rows = subject_payloads(v).where("p IS NOT NULL").select("id_source", g.subject_tags().alias("tags"))
+    rows = subject_rows(v).select("id_source", g.subject_tags().alias("tags"))
     return g.normalized_lists(rows, "tags", "id_source", v.name_mapping).select("id_source", F.array_join("tags", ",").alias("tags"))
 
 
 @query(f"SELECT p_partkey AS id_source, concat('a=', p_brand, ';b=x,y') AS infobox {GOOD}")
 def map_infobox(v):
     box = F.transform(g.infobox(F.col("p.infobox")), lambda i: F.concat(i["key"], F.lit("="), F.array_join(i["value"], ",")))
-    return subject_payloads(v).where("p IS NOT NULL").select("id_source", F.array_join(box, ";").alias("infobox"))
+    return subject_rows(v).select("id_source", F.array_join(box, ";").alias("infobox"))
 
 
 def episode_payloads(v):
     n = F.col("id")
-    body = F.to_json(F.struct(n.alias("id"), F.concat(F.lit(" ep "), F.col("sort").cast("string")).alias("name"), (n % 8).alias("type"), F.col("ep_num").alias("ep"), F.col("sort"), (n % 3 * 60 - 60).alias("duration_seconds"), F.when(n % 4 == 0, "2001-02-30").otherwise("2001-02-03").alias("airdate")))
-    return t.parsed(v.episode.select(n.alias("id_source"), "subject_id", body.alias("value")), "episode").drop("value")
+    body = F.to_json(F.struct((n + 1).alias("id"), F.concat(F.lit(" ep "), F.col("sort").cast("string")).alias("name"), (n % 8).alias("type"), F.col("ep_num").alias("ep"), F.col("sort"), (n % 3 * 60 - 60).alias("duration_seconds"), F.when(n % 4 == 0, "2001-02-30").otherwise("2001-02-03").alias("airdate")))
+    return t.quarantined(t.parsed(v.episode.select(n.alias("id_source"), "subject_id", body.alias("value")), "episode"))[0]
 
 
 EPISODES = "SELECT id AS id_source, concat('ep ', CAST(sort AS STRING)) AS title, CASE id % 8 WHEN 0 THEN 'EP' WHEN 1 THEN 'SP' WHEN 2 THEN 'OP' WHEN 3 THEN 'ED' WHEN 4 THEN 'PV/CM' WHEN 5 THEN 'MAD' WHEN 6 THEN 'ETC' ELSE '' END AS type, CAST(coalesce(ep_num, -1) AS BIGINT) AS ep_num, CAST(CASE WHEN id % 3 = 2 THEN 60 ELSE -1 END AS BIGINT) AS duration, CASE WHEN id % 4 = 0 THEN NULL ELSE '2001-02-03' END AS date FROM {episode}"
@@ -81,8 +92,8 @@ def map_episodes(v):
 
 def person_payloads(v, kind):
     n = F.col("s_suppkey")
-    body = F.to_json(F.struct(n.alias("id"), F.col("s_name").alias("name"), (n % 6).alias("type"), (n % 5).alias("blood_type"), F.when(n % 2 == 0, n % 100 + 1900).alias("birth_year"), F.when(n % 3 == 0, F.array(F.lit(" actor "), F.lit(""), F.lit("SMALL"))).alias("career")))
-    return t.parsed(v.supplier.select(n.alias("id_source"), body.alias("value")), kind).drop("value")
+    body = F.to_json(F.struct((n + 1).alias("id"), F.col("s_name").alias("name"), (n % 6).alias("type"), (n % 5).alias("blood_type"), F.when(n % 2 == 0, n % 100 + 1900).alias("birth_year"), F.when(n % 3 == 0, F.array(F.lit(" actor "), F.lit(""), F.lit("SMALL"))).alias("career")))
+    return t.quarantined(t.parsed(v.supplier.select(F.col("s_suppkey").alias("id_source"), body.alias("value")), kind))[0]
 
 
 @query("SELECT s_suppkey AS id_source, s_name AS name, CASE s_suppkey % 6 WHEN 1 THEN 'Individual' WHEN 2 THEN 'Company' WHEN 3 THEN 'Group' ELSE '' END AS type, CASE WHEN s_suppkey % 3 = 0 THEN 'actor,Novel' ELSE '' END AS career, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey % 100 + 1900 ELSE -1 END AS birth_year FROM {supplier}")

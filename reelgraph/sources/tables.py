@@ -35,11 +35,33 @@ def read_jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, hig
 
 
 def parsed(lines: DataFrame, kind: str, column: str = "value") -> DataFrame:
-    """Payload texts as struct `p`; what isn't a JSON object becomes null."""
+    """Payload texts as struct `p`; what isn't a JSON object becomes null, and `rejected` says why: empty, not JSON, not an
+    object, or no id (where the payload has one that is no whole number above 0)."""
     obj = F.try_parse_json(F.col(column))
     fields = [F.try_variant_get(obj, f"$.{name}", "variant").alias(name) for name in T._parse_datatype_string(PAYLOADS[kind]).fieldNames()]
     is_object = F.coalesce(F.schema_of_variant(obj).startswith("OBJECT"), F.lit(False))
-    return lines.withColumn("p", F.when(is_object, F.struct(*fields)))
+    id_ = F.try_variant_get(obj, "$.id", "variant")
+    named = F.coalesce((F.schema_of_variant(id_) == "BIGINT") & (F.try_variant_get(id_, "$", "bigint") > 0), F.lit(False))
+    why = F.when(F.coalesce(F.trim(F.col(column)), F.lit("")) == "", "empty").when(obj.isNull(), "not JSON").when(~is_object, "not an object").when(id_.isNotNull() & ~named, "no id")
+    return lines.withColumn("rejected", why).withColumn("p", F.when(F.col("rejected").isNull(), F.struct(*fields)))
+
+
+def quarantined(rows: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
+    """Parsed rows in two: those with a payload, and those without, as they have landed, with the reason. Together they are
+    all rows."""
+    good = rows.where("rejected IS NULL").drop("rejected", column)
+    return good, rows.where("rejected IS NOT NULL").drop("p").withColumnRenamed(column, "landed")
+
+
+def read_payloads(spark: SparkSession, path: str, kind: str, rejects: str | None = None) -> DataFrame:
+    """Landed payload files (a JSON object a line) of a kind as rows (file, p). Lines that can't be used are appended to the
+    table at `rejects` (file, landed, reason, at), by reason, and not lost; without a path they raise no error but are left
+    out. A file's place is kept with each row of either kind."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    good, bad = quarantined(parsed(lines, kind))
+    if rejects:
+        bad.select("file", "landed", F.col("rejected").alias("reason"), F.current_timestamp().alias("at")).write.mode("append").partitionBy("reason").parquet(rejects)
+    return good
 
 
 def merge_pages(pages: DataFrame, key: str = "subject_id") -> DataFrame:

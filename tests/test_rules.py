@@ -127,9 +127,66 @@ def test_cover_hosts(spark):
     assert column(df, "v") == [urls[0], urls[1], None, None, None, None]
 
 
+def test_rejected_payloads_are_kept(spark, tmp_path):
+    lines = ['{"id": 1, "name": "a"}', "", "   ", "{", "[1]", "5", '{"id": "x"}', '{"id": 0}', '{"id": 2.5}', '{"name": "no id asked for"}', '{"id": 3}', "null"]
+    (tmp_path / "a.json").write_text("\n".join(lines) + "\n")
+    for _ in range(2):
+        rows = tables.read_payloads(spark, str(tmp_path / "a.json"), "subject", str(tmp_path / "rejects")).collect()
+    bad = spark.read.parquet(str(tmp_path / "rejects")).collect()
+    assert len(rows) + len(bad) / 2 == len(lines) == 12 and all(r["file"].endswith("a.json") for r in [*rows, *bad])
+    assert sorted((r["reason"], r["landed"]) for r in bad)[::2] == sorted([("empty", ""), ("empty", "   "), ("not JSON", "{"), ("not an object", "[1]"), ("not an object", "5"), ("not an object", "null"), ("no id", '{"id": "x"}'), ("no id", '{"id": 0}'), ("no id", '{"id": 2.5}')])
+    assert tables.read_payloads(spark, str(tmp_path / "a.json"), "subject").count() == 3
+
+
+def test_visible_activities_follow_changes(spark):
+    import random
+
+    draw = random.Random(4)
+    flag = lambda: draw.random() < 0.6
+    some = lambda n: draw.choice((None, draw.randrange(n)))
+    t = {"mark": {i: [i, flag()] for i in range(60)}, "collection": {i: [i, flag()] for i in range(30)}, "review": {i: [i, draw.randrange(70), flag()] for i in range(40)}, "item": {i: [i, draw.randrange(70), draw.randrange(35)] for i in range(50)}}
+    t["activity"] = {i: [i, draw.choice(("public", "public", "private")), draw.choice(("normal", "normal", "hidden")), some(70), some(45), some(35), some(55)] for i in range(400)}
+    schemas = {"mark": "id long, is_public boolean", "collection": "id long, is_public boolean", "review": "id long, mark_id long, is_public boolean", "item": "id long, mark_id long, collection_id long", "activity": "id long, visibility string, feed_policy string, mark_id long, review_id long, collection_id long, item_id long"}
+    frames = lambda: {k: spark.createDataFrame([tuple(r) for r in rows.values()], schemas[k]) for k, rows in t.items()}
+    full = lambda f: {r["id"] for r in community.visible_activities(f["activity"], f["mark"], f["review"], f["collection"], f["item"]).select("id").collect()}
+    seen = full(frames())
+    for _ in range(3):
+        changed = {k: set() for k in t}
+        for kind, n in (("mark", 6), ("collection", 3), ("review", 4), ("activity", 9)):
+            for i in draw.sample(sorted(t[kind]), n):
+                changed[kind].add(i)
+                if draw.random() < 0.2:
+                    del t[kind][i]
+                elif kind == "activity":
+                    t[kind][i][2] = draw.choice(("normal", "hidden"))
+                else:
+                    t[kind][i][-1] = not t[kind][i][-1]
+        new = 1000 + len(seen)
+        t["activity"][new] = [new, "public", "normal", None, None, None, draw.randrange(50)]
+        i = draw.randrange(50)
+        t["item"][i] = [i, draw.randrange(60), draw.randrange(30)]
+        changed["activity"].add(new)
+        changed["item"].add(i)
+        f = frames()
+        ids = {k: spark.createDataFrame([(i,) for i in v], "id long") for k, v in changed.items()}
+        old = spark.createDataFrame([(i,) for i in seen], "id long")
+        touched = community.touched_activities(f["activity"], ids, f["review"], f["item"]).count()
+        delta = community.visible_changes(old, f["activity"], ids, f["mark"], f["review"], f["collection"], f["item"])
+        after = {r["id"] for r in community.with_changes(old, delta).collect()}
+        assert after == full(f) and after != seen and touched < 300
+        seen = after
+
+
+def test_orphans_of_a_parent_that_many_name(spark):
+    child = spark.range(2000).select("id", F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 50 == 1, 99).when(F.col("id") % 50 == 2, None).otherwise(F.col("id") % 40).cast("long").alias("parent_id"))
+    parent = spark.range(40).select("id")
+    got = audit.audit_orphans([("r", child, "parent_id", parent, "id")])
+    assert {int(r["key"]) for r in got.collect()} == {i for i in range(2000) if i % 3 and i % 50 == 1}
+
+
 def test_payload_types(spark):
     text = ['{"id": 1, "name": " A ", "type": 2, "date": "2001-02-03", "nsfw": true, "infobox": [{"key": "k", "value": ["x"]}]}', '{"name": 5, "type": "2", "date": "2001-02-30", "nsfw": 1, "eps": true}', "[1]", "{", None]
-    rows = tables.parsed(spark.createDataFrame([(t,) for t in text], "value string"), "subject")
+    rows, _ = tables.quarantined(tables.parsed(spark.createDataFrame([(t,) for t in text], "value string"), "subject"))
     out = ingest.map_subjects(rows).collect()
     assert [r["title"] for r in out] == ["A", ""] and [r["subject_type"] for r in out] == ["anime", "other"]
     assert [r["date"] for r in out] == [datetime.date(2001, 2, 3), None] and [r["nsfw"] for r in out] == [True, False] and out[1]["eps"] is None
