@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.order import down, up
+from ..functions.order import allowed, down, ordering, up
 from ..functions.text import LEAST_SIMILARITY, contains, filled, similarity_of, trigrams
 
 TYPES = ("anime", "galgame")
@@ -47,6 +49,28 @@ def page(rows: DataFrame, order: list[Column], number: int = 1, size: int = 16,
     return rows.orderBy(*order).offset((number - 1) * size).limit(size).crossJoin(F.broadcast(total))
 
 
+#: By what the catalog can be sorted.
+CATALOG_ORDERS = ("date", "title", "updated_at", "created_at")
+
+
+def catalog_list(subjects: DataFrame, order: str | None = None, number: int = 1, size: int = 16, **filters: Any) -> DataFrame:
+    """Page `number` of the filtered catalog with the `place` of each row in the whole list: by last update, newest first, if
+    `order` is none of CATALOG_ORDERS. Only the page is fetched from the sort, and numbered."""
+    by = ordering(allowed(order, CATALOG_ORDERS, "-updated_at"))
+    first = (number - 1) * size
+    rows = catalog_filter(subjects, **filters).orderBy(*by).offset(first).limit(size)
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(*by)) + first)
+
+
+def page_result(rows: DataFrame, order: list[Column], number: int = 1, size: int = 16, most: int = 64) -> DataFrame:
+    """A page as one row (total, number, results): a page past the end has no results but the total all the same."""
+    size = min(size, most)
+    some = rows.orderBy(*order).offset((number - 1) * size).limit(size)
+    results = some.withColumn("at", F.row_number().over(Window.orderBy(*order))).agg(F.array_sort(F.collect_list(F.struct("at", *rows.columns))).alias("results"))
+    total = rows.agg(F.count("*").alias("total"))
+    return total.withColumn("number", F.lit(number)).join(results.withColumn("number", F.lit(number)), "number").select("total", "number", "results")
+
+
 def section_counts(subjects: DataFrame, episodes: DataFrame, staff_links: DataFrame, character_links: DataFrame) -> DataFrame:
     out = subjects
     for name, rows in (("episodes_count", episodes), ("staff_count", staff_links), ("characters_count", character_links)):
@@ -181,12 +205,17 @@ def display_meta(subjects: DataFrame) -> DataFrame:
 
 
 def catalog_cards(subjects: DataFrame) -> DataFrame:
-    """Title, year, poster and excerpt as a list shows them."""
+    """Title, year, images, excerpt, source and content as a list shows them. Columns that subjects lack are null."""
+    given = lambda c, kind: F.col(c) if c in subjects.columns else F.lit(None).cast(kind)
     column = lambda c: filled(F.col(c)) if c in subjects.columns else F.lit(None).cast("string")
     text = F.trim(F.coalesce(column("description"), F.lit("")))
     excerpt = F.when(F.length(text) <= 180, text).otherwise(F.concat(F.rtrim(F.substring(text, 1, 177)), F.lit("...")))
     title = F.coalesce(column("title"), column("title_cn"), F.lit("Untitled"))
     poster = F.coalesce(column("image_thumbnail"), column("image_original"), F.lit(""))
-    return subjects.select("id", title.alias("display_title"), F.year("date").alias("year"), poster.alias("poster"), excerpt.alias("excerpt"), "subject_type")
+    images = F.struct(poster.alias("poster"), F.coalesce(column("image_thumbnail"), F.lit("")).alias("thumbnail"), F.coalesce(column("image_original"), F.lit("")).alias("original"))
+    episodes = F.coalesce(F.nullif(given("total_episodes", "int"), F.lit(0)), given("eps", "int"))
+    source = F.struct(given("info_source", "string").alias("provider"), given("id_source", "string").alias("id"))
+    content = F.struct(given("series", "boolean").alias("series"), episodes.alias("episodes"), given("volumes", "int").alias("volumes"))
+    return subjects.select("id", title.alias("display_title"), F.year("date").alias("year"), images.alias("images"), excerpt.alias("excerpt"), "subject_type", source.alias("source"), content.alias("content"))
 
 

@@ -152,6 +152,24 @@ def calendar_flatten(days: DataFrame) -> DataFrame:
     return rows.groupBy("subject_id").agg(F.max_by(F.struct("weekday_en", "doing"), F.struct("pos", "place")).alias("x")).select("subject_id", "x.*")
 
 
+def calendar_count(days: DataFrame) -> DataFrame:
+    """(n): valid items of all weekday groups, repeats included."""
+    items = days.select(F.explode(elements(F.try_variant_get(F.col("p"), "$.items", "variant"))).alias("item"))
+    return items.select(int_of(F.try_variant_get(F.col("item"), "$.id", "variant")).alias("id")).where("id IS NOT NULL").agg(F.count("*").alias("n"))
+
+
+#: Content types and endings of covers.
+CONTENT_TYPES = {"image/jpeg": ".jpg", "image/png": ".png", "image/webp": ".webp"}
+ENDINGS = {".jpg": ".jpg", ".jpeg": ".jpg", ".png": ".png", ".webp": ".webp"}
+
+
+def cover_extension(url: Column, content_type: Column) -> Column:
+    """The ending of a cover's file: by its content type, else by its URL's path, else .jpg."""
+    named = lambda names, x: F.create_map(*[F.lit(p) for pair in names.items() for p in pair])[x]
+    path = F.lower(F.regexp_extract(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), r"[^/.][^/]*?(\.[^./]+)$", 1))
+    return F.coalesce(named(CONTENT_TYPES, content_type), named(ENDINGS, path), F.lit(".jpg"))
+
+
 def cover_pick(images: dict[str, Column], hosts: list[str]) -> Column:
     """The first non-empty image if its URL is http(s) on an allowed host or a subdomain of one; else null."""
     url = F.coalesce(*[filled(images[s]) for s in IMAGE_SIZES if s in images])
@@ -234,6 +252,11 @@ def shard_plan(ranges: DataFrame, done: DataFrame, size: int = SHARD) -> DataFra
     return out.select("task", "first", "last", F.greatest("first", F.coalesce(F.col("current_id") + 1, "first")).alias("resume"))
 
 
+def next_windows(states: DataFrame, batch: int) -> DataFrame:
+    """(task, first, last): the next `batch` ids of each scan (task, current_id, status) that isn't running."""
+    return states.where("coalesce(status, 'idle') <> 'running'").select("task", (F.col("current_id") + 1).alias("first"), (F.col("current_id") + batch).alias("last"))
+
+
 def shard_progress(states: DataFrame) -> DataFrame:
     """(task, share) of (task, shard 'a-b', current_id): ids done over all ids."""
     a, b = (F.element_at(F.split("shard", "-"), k).cast("long") for k in (1, 2))
@@ -246,9 +269,16 @@ def sync_errors(outcomes: DataFrame) -> DataFrame:
     return outcomes.where("outcome = 'failed'").groupBy("task", "entity").agg(F.count("*").alias("retry_count"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"))
 
 
+#: Counters of a job, one for each step that is reported.
+COUNTERS = ("processed", "synced", "skipped", "failed")
+
+
 def job_rollup(progress: DataFrame) -> DataFrame:
-    """(job, steps, last_label, started_at) of (job, step, label, ts): no step counts below zero."""
-    return progress.groupBy("job").agg(F.sum(F.greatest(F.lit(0), "step")).alias("steps"), F.max_by("label", F.struct("ts", "label")).alias("last_label"), F.min("ts").alias("started_at"))
+    """(job, processed, synced, skipped, failed, last_label, started_at) of (job, the four steps, label, ts): no step counts
+    below zero, a null step not at all; the label is the last one that isn't empty."""
+    sums = [F.coalesce(F.sum(F.greatest(F.lit(0), F.col(c))), F.lit(0)).alias(c) for c in COUNTERS]
+    label = F.max_by(filled(F.col("label").cast("string")), F.when(filled(F.col("label").cast("string")).isNotNull(), F.struct("ts", F.col("label").cast("string"))))
+    return progress.groupBy("job").agg(*sums, F.coalesce(label, F.lit("")).alias("last_label"), F.min("ts").alias("started_at"))
 
 
 def initial_cursor(rows: DataFrame, states: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.order import allowed, down, ordering, placed
+from ..functions.order import allowed, down, ordering, placed, up
 from ..functions.text import contains
 from .catalog import TYPES, scored
 from .edges import hidden_authors
@@ -50,10 +50,14 @@ def public_library(marks: DataFrame, subjects: DataFrame, status: str | None = N
     return placed(rows, "user_id", ordering(allowed(order, PUBLIC_ORDERS, "-id")))
 
 
-def library_search(marks: DataFrame, subjects: DataFrame, keyword: str) -> DataFrame:
-    """Own marks whose subject's titles hold the keyword or are similar to it, with the score."""
-    found = scored(subjects.where(F.col("subject_type").isin(*TYPES)), keyword).select(F.col("id").alias("subject_id"), "title", "score")
-    return marks.join(found, "subject_id").orderBy(F.desc("score"), down("created_at"), F.desc("id"))
+def library_search(marks: DataFrame, subjects: DataFrame, keyword: str, status: str | None = None, subject_type: str | None = None, tagged: DataFrame | None = None) -> DataFrame:
+    """Own marks whose subject's titles hold the keyword or are similar to it, with the score and the `place` in their
+    user's list, highest scores first; filters as in `library_list`."""
+    wanted = subjects.where(F.col("subject_type").isin(*TYPES) if subject_type is None else (F.col("subject_type") == subject_type) & F.col("subject_type").isin(*TYPES))
+    found = scored(wanted, keyword).select(F.col("id").alias("subject_id"), "title", "score")
+    rows = marks if status is None else marks.where(F.col("status") == status)
+    rows = rows if tagged is None else rows.join(tagged.select(F.col("mark_id").alias("id")), "id", "left_semi")
+    return placed(rows.join(found, "subject_id"), "user_id", [F.desc("score"), down("created_at"), F.desc("id")])
 
 
 def local_day(zone: Column, at: Column) -> Column:
@@ -115,6 +119,16 @@ def progress_summary(marks: DataFrame, episodes: DataFrame, progress: DataFrame)
     return out.fillna(0, ["total_episodes", "finished_count"]).withColumn("finished_ids", F.coalesce("finished_ids", F.array().cast("array<bigint>")))
 
 
+def episode_progress(marks: DataFrame, episodes: DataFrame, progress: DataFrame) -> DataFrame:
+    """(id, user_id, episode_id, title, type, ep_num, sort, date, is_finished, place): each mark with the episodes of the
+    kind EP of its subject in their order, and whether the mark has finished them. Columns that episodes lack are left."""
+    shown = [c for c in ("title", "type", "ep_num", "sort", "date") if c in episodes.columns]
+    own = episodes.where("type = 'EP'").select(F.col("id").alias("episode_id"), "subject_id", *shown)
+    done = progress.where("is_finished").select(F.col("mark_id").alias("id"), "episode_id").distinct().withColumn("is_finished", F.lit(True))
+    rows = marks.select("id", "user_id", "subject_id").join(own, "subject_id").join(done, ["id", "episode_id"], "left").fillna(False, ["is_finished"])
+    return placed(rows, "id", [up("sort"), up("ep_num"), F.asc("episode_id")])
+
+
 def nested(rows: DataFrame, name: str, *columns: str) -> DataFrame:
     """Child rows of each mark as a sorted array of structs."""
     return rows.groupBy("mark_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
@@ -167,12 +181,14 @@ def reviews_list(reviews: DataFrame, marks: DataFrame, keyword: str | None = Non
 
 
 def subject_reviews(reviews: DataFrame, marks: DataFrame, viewers: DataFrame, blocks: DataFrame, likes: DataFrame) -> DataFrame:
-    """(viewer_id, id, subject_id, likes): public reviews each viewer may see; a block hides, a mute doesn't.
+    """(viewer_id, id, subject_id, likes, place): public reviews each viewer may see, last updated first within a subject; a
+    block hides, a mute doesn't.
 
     Only reviews of subjects in `viewers` (viewer_id, subject_id) are paired with viewers.
     """
     rows = reviews_of(reviews, marks, public=True).join(viewers, "subject_id").withColumnRenamed("user_id", "author_id")
     seen = rows.join(hidden_authors(blocks), ["viewer_id", "author_id"], "left_anti")
+    seen = placed(seen, ("viewer_id", "subject_id"), ordering("-updated_at"))
     return seen.join(likes.where("target_type = 'review'").select(F.col("target_id").alias("id"), "likes"), "id", "left").fillna(0, ["likes"])
 
 

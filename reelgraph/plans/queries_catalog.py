@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.order import down
@@ -125,6 +128,31 @@ def display_meta(v):
     return c.display_meta(rows).select("id", "meta")
 
 
-@query("SELECT id, coalesce(nullif(title_cn, ''), nullif(title, ''), 'Untitled') AS display_title, coalesce(CAST(year(date) AS INT), -1) AS year, subject_type FROM {subject}")
+@query("""SELECT id, coalesce(nullif(title_cn, ''), nullif(title, ''), 'Untitled') AS display_title, coalesce(CAST(year(date) AS INT), -1) AS year, subject_type, concat(CASE WHEN id % 3 = 0 THEN '' ELSE concat('t', id_source) END, '|', CASE WHEN id % 6 = 0 THEN '' ELSE concat('o', id_source) END) AS images, CASE WHEN id % 3 = 0 THEN CASE WHEN id % 6 = 0 THEN '' ELSE concat('o', id_source) END ELSE concat('t', id_source) END AS poster,
+    CASE WHEN length(trim(content)) <= 180 THEN trim(content) ELSE concat(rtrim(substr(trim(content), 1, 177)), '...') END AS excerpt, concat(info_source, ':', id_source) AS source, concat(CASE WHEN id % 4 = 0 THEN 'series' ELSE 'single' END, ':', coalesce(CAST(coalesce(nullif(total_episodes, 0), eps) AS STRING), '-'), ':', coalesce(CAST(volumes AS STRING), '-')) AS content
+    FROM (SELECT s.*, coalesce(d.text, '') AS content FROM {subject} s LEFT JOIN documents d ON d.doc_id = s.id) x""")
 def catalog_cards(v):
-    return c.catalog_cards(v.subject.select("id", F.col("title_cn").alias("title"), F.col("title").alias("title_cn"), "date", "subject_type")).fillna(-1, ["year"]).select("id", "display_title", "year", "subject_type")
+    image = lambda name, n: F.when(F.col("id") % n == 0, "").otherwise(F.concat(F.lit(name), "id_source"))
+    rows = v.subject.join(v.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("description")), "id", "left").withColumns({"image_thumbnail": image("t", 3), "image_original": image("o", 6), "series": F.col("id") % 4 == 0})
+    cards = c.catalog_cards(rows.withColumns({"title": F.col("title_cn"), "title_cn": F.col("title")})).fillna(-1, ["year"])
+    text = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("-"))
+    content = F.concat_ws(":", F.when(F.col("content.series"), "series").otherwise("single"), text("content.episodes"), text("content.volumes"))
+    return cards.select("id", "display_title", "year", "subject_type", F.concat_ws("|", "images.thumbnail", "images.original").alias("images"), "images.poster", "excerpt", F.concat_ws(":", "source.provider", "source.id").alias("source"), content.alias("content"))
+
+
+SORTED = {"-updated_at": "updated_minute DESC, id DESC", "updated_at": "updated_minute, id DESC", "-date": "date DESC NULLS FIRST, id DESC", "date": "date ASC NULLS LAST, id DESC", "title": "title, id DESC", "-title": "title DESC, id DESC", "created_at": "brand, id DESC", "-created_at": "brand DESC, id DESC", "rating": "updated_minute DESC, id DESC"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS sorted, id, CAST(place AS INT) AS place FROM (SELECT id, row_number() OVER (ORDER BY {order}) AS place FROM {{subject}} WHERE subject_type IN ('anime', 'galgame') AND nsfw = FALSE) x WHERE place BETWEEN 11 AND 20" for name, order in SORTED.items()))
+def catalog_list(v):
+    rows = v.subject.withColumnsRenamed({"updated_minute": "updated_at"}).withColumn("created_at", F.col("brand"))
+    out = [c.catalog_list(rows, name, 2, 10, nsfw=False).select(F.lit(name).alias("sorted"), "id", "place") for name in SORTED]
+    return reduce(DataFrame.unionByName, out)
+
+
+@query("""SELECT number, total, coalesce(ids, '') AS ids FROM (SELECT count(*) AS total FROM {subject} WHERE subject_type IN ('anime', 'galgame')) t CROSS JOIN (VALUES (2), (100000)) AS p(number)
+    LEFT JOIN (SELECT 2 AS number, string_agg(CAST(id AS STRING), ',' ORDER BY date DESC NULLS FIRST, id DESC) AS ids FROM (SELECT id, date, row_number() OVER (ORDER BY date DESC NULLS FIRST, id DESC) AS n FROM {subject} WHERE subject_type IN ('anime', 'galgame')) x WHERE n BETWEEN 17 AND 32) y USING (number)""")
+def page_result(v):
+    rows = c.catalog_filter(v.subject).select("id", "date")
+    pages = [c.page_result(rows, [down("date"), F.desc("id")], n) for n in (2, 100_000)]
+    return pages[0].unionByName(pages[1]).select("number", "total", F.array_join(F.transform("results", lambda r: r["id"].cast("string")), ",").alias("ids"))

@@ -124,14 +124,37 @@ def flatten_actors(v):
     return g.flatten_actors(listed(v), "subject_id", "list")
 
 
-@query("SELECT subject_id, CASE WHEN weekday_en = '' THEN 'Sunday' ELSE weekday_en END AS weekday_en, CAST(CASE WHEN collection_doing % 4 = 0 THEN 0 ELSE collection_doing END AS BIGINT) AS doing FROM {calendar_subject}")
-def calendar_flatten(v):
+def calendar_days(v):
+    """Weekday groups as landed, with items that aren't objects; the first one repeats all subjects of the others."""
     day = F.array_position(F.array(*[F.lit(d) for d in ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]]), F.col("weekday_en"))
     rows = v.calendar_subject.withColumn("pos", F.when(day == 0, 7).otherwise(day)).withColumn("en", F.when(day == 0, "Sunday").otherwise(F.col("weekday_en")))
     item = F.concat(F.lit('{"id": '), F.col("subject_id").cast("string"), F.lit(', "collection": {"doing": '), F.when(F.col("collection_doing") % 4 == 0, F.lit("-3")).otherwise(F.col("collection_doing").cast("string")), F.lit("}}"))
     twice = rows.unionByName(rows.where("pos < 7").withColumn("pos", F.lit(0)).withColumn("en", F.lit("Early")))
     days = twice.groupBy("pos", "en").agg(F.concat(F.lit('{"weekday": {"en": "'), F.first("en"), F.lit('"}, "items": ["bad", '), F.array_join(F.collect_list(item), ", "), F.lit("]}")).alias("value"))
-    return g.calendar_flatten(days.select("pos", F.try_parse_json("value").alias("p"))).select("subject_id", "weekday_en", "doing")
+    return days.select("pos", F.try_parse_json("value").alias("p"))
+
+
+@query("SELECT subject_id, CASE WHEN weekday_en = '' THEN 'Sunday' ELSE weekday_en END AS weekday_en, CAST(CASE WHEN collection_doing % 4 = 0 THEN 0 ELSE collection_doing END AS BIGINT) AS doing FROM {calendar_subject}")
+def calendar_flatten(v):
+    return g.calendar_flatten(calendar_days(v)).select("subject_id", "weekday_en", "doing")
+
+
+@query("SELECT count(*) + count(*) FILTER (WHERE weekday_en NOT IN ('', 'Sunday')) AS n FROM {calendar_subject}")
+def calendar_count(v):
+    return g.calendar_count(calendar_days(v))
+
+
+@query("SELECT page_id, CASE page_id % 5 WHEN 0 THEN '.png' WHEN 1 THEN '.webp' WHEN 2 THEN '.png' WHEN 3 THEN '.jpg' ELSE '.jpg' END AS ending FROM pages")
+def cover_extension(v):
+    n = F.col("page_id")
+    url = F.concat(F.lit("https://img.example.org/a.b/"), n.cast("string"), F.when(n % 5 == 2, ".PNG?x=.webp").when(n % 5 == 3, ".jpeg").when(n % 5 == 4, "").otherwise(".gif"))
+    return v.pages.select("page_id", g.cover_extension(url, F.when(n % 5 == 0, "image/png").when(n % 5 == 1, "image/webp").otherwise("text/html")).alias("ending"))
+
+
+@query("SELECT event_type AS task, max(event_id) + 1 AS first, max(event_id) + 1000 AS last FROM events WHERE event_type <> 'view' GROUP BY 1")
+def next_windows(v):
+    states = v.events.groupBy(F.col("event_type").alias("task")).agg(F.max("event_id").alias("current_id"))
+    return g.next_windows(states.withColumn("status", F.when(F.col("task") == "view", "running").when(F.col("task") == "click", "done")), 1000)
 
 
 @query("SELECT page_id, CASE WHEN url LIKE '%://tionsh.example.net/%' OR url LIKE '%.tionsh.example.net/%' OR url LIKE '%.example.org/%' THEN url END AS cover FROM pages")
@@ -229,9 +252,11 @@ def sync_errors(v):
     return g.sync_errors(v.outcome).select("task", F.col("entity").cast("long").alias("entity"), F.col("retry_count").cast("int").alias("retry_count"), *text("first_at"))
 
 
-@query("SELECT event_type AS job, CAST(sum(greatest(0, CAST(floor(value) AS BIGINT) - 20)) AS BIGINT) AS steps, arg_max(event_id, ts) AS last_label FROM events GROUP BY 1")
+@query("SELECT event_type AS job, CAST(sum(greatest(0, step)) AS BIGINT) AS processed, CAST(sum(CASE WHEN event_id % 3 = 0 THEN greatest(0, step) ELSE 0 END) AS BIGINT) AS synced, CAST(sum(CASE WHEN event_id % 3 = 1 THEN greatest(0, step) ELSE 0 END) AS BIGINT) AS skipped, CAST(sum(CASE WHEN event_id % 3 = 2 THEN greatest(0, step) ELSE 0 END) AS BIGINT) AS failed, CAST(coalesce(arg_max(event_id, ts) FILTER (WHERE event_id % 2 = 0), 0) AS STRING) AS last_label, CAST(min(ts) AS STRING) AS started_at FROM (SELECT *, CAST(floor(value) AS BIGINT) - 20 AS step FROM events) x GROUP BY 1")
 def job_rollup(v):
-    return g.job_rollup(v.events.select(F.col("event_type").alias("job"), (F.floor("value") - 20).alias("step"), F.col("event_id").alias("label"), "ts")).select("job", "steps", "last_label")
+    step, n = F.floor("value") - 20, F.col("event_id")
+    rows = v.events.select(F.col("event_type").alias("job"), step.alias("processed"), *[F.when(n % 3 == k, step).alias(name) for k, name in enumerate(g.COUNTERS[1:])], F.when(n % 2 == 0, n.cast("string")).otherwise("").alias("label"), "ts")
+    return g.job_rollup(rows).select("job", *g.COUNTERS, "last_label", *text("started_at"))
 
 
 SHARDS = "(SELECT o_orderpriority AS task, CAST(min(o_orderkey) AS BIGINT) AS start_id, CAST(min(o_orderkey) AS BIGINT) + count(*) * 10 AS end_id FROM orders GROUP BY 1)"

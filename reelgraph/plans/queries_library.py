@@ -43,9 +43,13 @@ def public_library(v):
     return in_each_order(lambda o: library.public_library(v.mark, v.subject, "done", "red", order=o), PUBLIC)
 
 
-@query(f"SELECT m.id, m.user_id, f.title, round(f.score, 9) AS score FROM {{mark}} m JOIN {FOUND} f ON f.id = m.subject_id")
+@query(f"""SELECT m.id, m.user_id, f.title, round(f.score, 9) AS score, 'all' AS kind, CAST(row_number() OVER (PARTITION BY m.user_id ORDER BY score DESC, created_at DESC, m.id DESC) AS INT) AS place FROM {{mark}} m JOIN {FOUND} f ON f.id = m.subject_id
+    UNION ALL SELECT m.id, m.user_id, f.title, round(f.score, 9), 'some', CAST(row_number() OVER (PARTITION BY m.user_id ORDER BY score DESC, created_at DESC, m.id DESC) AS INT) FROM {{mark}} m JOIN {FOUND} f ON f.id = m.subject_id JOIN {{subject}} s ON s.id = m.subject_id
+    WHERE m.status = 'done' AND s.subject_type = 'anime' AND m.id IN (SELECT mark_id FROM {{mark_tag}} JOIN {{user_tag}} u ON u.id = tag_id WHERE name LIKE 'Brand#1%')""")
 def library_search(v):
-    return library.library_search(v.mark, v.subject, "red widget").select("id", "user_id", "title", F.round("score", 9).alias("score"))
+    tagged = v.mark_tag.join(v.user_tag.where("name LIKE 'Brand#1%'").select(F.col("id").alias("tag_id")), "tag_id", "left_semi")
+    shown = lambda rows, kind: rows.select("id", "user_id", "title", F.round("score", 9).alias("score"), F.lit(kind).alias("kind"), "place")
+    return shown(library.library_search(v.mark, v.subject, "red widget"), "all").unionByName(shown(library.library_search(v.mark, v.subject, "red widget", "done", "anime", tagged), "some"))
 
 
 @query(f"SELECT user_id, CAST(day AS STRING) AS day, count(*) AS marks FROM {LOCAL} x WHERE day >= DATE '1997-01-01' AND day < DATE '1998-01-01' GROUP BY 1, 2")
@@ -79,6 +83,11 @@ def progress_summary(v):
     return rows.select("id", "total_episodes", "finished_count", F.array_join(F.transform("finished_ids", lambda i: i.cast("string")), ",").alias("finished_ids"))
 
 
+@query("SELECT m.id, e.id AS episode_id, g.mark_id IS NOT NULL AS is_finished, CAST(row_number() OVER (PARTITION BY m.id ORDER BY sort, ep_num NULLS LAST, e.id) AS INT) AS place FROM {mark} m JOIN {episode} e ON e.subject_id = m.subject_id AND e.type = 'EP' LEFT JOIN {progress} g ON g.mark_id = m.id AND g.episode_id = e.id")
+def episode_progress(v):
+    return library.episode_progress(v.mark, v.episode, v.progress).select("id", "episode_id", "is_finished", "place")
+
+
 CARDS = """(SELECT m.id, m.user_id, m.subject_id, coalesce(t.tags, '') AS tags, coalesce(d.details, '') AS details FROM {mark} m LEFT JOIN (SELECT mark_id, string_agg(name, ',' ORDER BY name, tag_id) AS tags FROM {mark_tag} JOIN {user_tag} u ON u.id = tag_id GROUP BY 1) t ON t.mark_id = m.id
     LEFT JOIN (SELECT mark_id, string_agg(key, ',' ORDER BY id) AS details FROM {rating_detail} GROUP BY 1) d ON d.mark_id = m.id)"""
 
@@ -127,12 +136,12 @@ def public_reviews(v):
 HIDES = "(SELECT user_id AS viewer_id, target_id AS author_id FROM {block} UNION SELECT target_id, user_id FROM {block})"
 
 
-@query(f"""SELECT a.viewer_id, r.id, m.subject_id, 0 AS likes FROM {{review}} r JOIN {{mark}} m ON m.id = r.mark_id JOIN (SELECT DISTINCT user_id AS viewer_id, subject_id FROM {{activity}} WHERE subject_id IS NOT NULL) a ON a.subject_id = m.subject_id
+@query(f"""SELECT a.viewer_id, r.id, m.subject_id, 0 AS likes, CAST(row_number() OVER (PARTITION BY a.viewer_id, m.subject_id ORDER BY r.updated_at DESC, r.id DESC) AS INT) AS place FROM {{review}} r JOIN {{mark}} m ON m.id = r.mark_id JOIN (SELECT DISTINCT user_id AS viewer_id, subject_id FROM {{activity}} WHERE subject_id IS NOT NULL) a ON a.subject_id = m.subject_id
     WHERE r.is_public AND m.is_public AND NOT EXISTS (SELECT 1 FROM {HIDES} h WHERE h.viewer_id = a.viewer_id AND h.author_id = m.user_id)""")
 def subject_reviews(v):
     viewers = v.activity.where("subject_id IS NOT NULL").select(F.col("user_id").alias("viewer_id"), "subject_id").distinct()
     rows = library.subject_reviews(v.review, v.mark, viewers, v.block, community.like_counts(v.reaction))
-    return rows.select("viewer_id", "id", "subject_id", F.col("likes").cast("int").alias("likes"))
+    return rows.select("viewer_id", "id", "subject_id", F.col("likes").cast("int").alias("likes"), "place")
 
 
 COUNTED = f"(SELECT k.*, (SELECT count(*) FROM {{item}} i WHERE i.collection_id = k.id) AS item_count, coalesce(likes, 0) AS reaction_count FROM {{collection}} k LEFT JOIN {LIKES} l ON l.target_type = 'activity' AND l.target_id = k.id)"
