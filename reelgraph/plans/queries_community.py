@@ -252,21 +252,41 @@ def sync_jobs_list(v):
 
 
 M = "JOIN {mark} m ON m.id ="
-ON_WHAT = "CASE WHEN post_id IS NOT NULL THEN concat('post_comment:', CAST(post_id AS STRING)) WHEN review_id IS NOT NULL THEN concat('review_comment:', CAST(review_id AS STRING)) WHEN collection_id IS NOT NULL THEN concat('collection_comment:', CAST(collection_id AS STRING)) ELSE concat('activity_comment:', CAST(activity_id AS STRING)) END"
 
 
-@query(f"""SELECT 'user_subject_created' AS activity_type, user_id, id AS source_id, CASE WHEN is_public THEN 'public' ELSE 'private' END AS visibility, concat('user_subject:', CAST(user_id AS STRING), ':', CAST(subject_id AS STRING)) AS group_key, concat('user_subject_created:', CAST(id AS STRING)) AS dedupe_key FROM {{mark}}
-    UNION ALL SELECT 'review_created', m.user_id, r.id, CASE WHEN r.is_public AND m.is_public THEN 'public' ELSE 'private' END, concat('review:', CAST(m.subject_id AS STRING)), concat('review_created:', CAST(r.id AS STRING)) FROM {{review}} r {M} r.mark_id
-    UNION ALL SELECT 'collection_created', user_id, id, CASE WHEN is_public THEN 'public' ELSE 'private' END, concat('collection:', CAST(user_id AS STRING)), concat('collection_created:', CAST(id AS STRING)) FROM {{collection}}
-    UNION ALL SELECT 'collection_item_added', k.user_id, i.id, CASE WHEN k.is_public AND m.is_public THEN 'public' ELSE 'private' END, concat('collection:', CAST(k.id AS STRING)), concat('collection_item_added:', CAST(i.id AS STRING)) FROM {{item}} i {M} i.mark_id JOIN {{collection}} k ON k.id = i.collection_id
-    UNION ALL SELECT 'post_created', author_id, id, visibility, concat('post:', CAST(author_id AS STRING)), concat('post_created:', CAST(id AS STRING)) FROM {{post}}
-    UNION ALL SELECT 'comment_created', author_id, id, visibility, {ON_WHAT}, concat('comment_created:', CAST(id AS STRING)) FROM {{comment}}
-    UNION ALL SELECT 'user_followed', follower_id, -1, 'public', concat('follow:', CAST(follower_id AS STRING)), concat('user_followed:', CAST(follower_id AS STRING), ':', CAST(following_id AS STRING)) FROM {{follow}}""")
+SNAPSHOT = """struct_pack(id := CAST(s.id AS VARCHAR), subject_type := s.subject_type, title := s.title, title_cn := s.title_cn, date := CAST(s.date AS VARCHAR), image_thumbnail := NULL, platform := s.platform, nsfw := s.nsfw)"""
+OF_MARK = "struct_pack(id := m.id, status := m.status, simple_rating := m.simple_rating, rating := CASE WHEN m.rating IS NOT NULL THEN printf('%.1f', m.rating) END, comment := m.comment, is_public := m.is_public)"
+BOTH = f"subject := {SNAPSHOT}, user_subject := {OF_MARK}"
+JSON = "CAST(to_json(struct_pack({0})) AS VARCHAR)"
+S = "JOIN {subject} s ON s.id = m.subject_id"
+SEEN = "CASE WHEN {0} THEN 'public' ELSE 'private' END"
+ID = "CAST({0} AS STRING)"
+
+
+def act(kind, user, source, subject, message, seen, group, key, metadata, rows):
+    return f"""SELECT '{kind}' AS activity_type, {user} AS user_id, {source} AS source_id, coalesce({subject}, -1) AS subject_id, {message} AS message, {seen} AS visibility, 'normal' AS feed_policy, {group} AS group_key, {key} AS dedupe_key, {JSON.format(metadata)} AS metadata FROM {rows}"""
+
+
+ACTS = [
+    act("user_subject_created", "m.user_id", "m.id", "m.subject_id", "concat('Added ''', s.title, ''' to collection')", SEEN.format("m.is_public"), f"concat('user_subject:', {ID.format('m.user_id')}, ':', {ID.format('m.subject_id')})", f"concat('user_subject_created:', {ID.format('m.id')})", BOTH, f"{{mark}} m {S}"),
+    act("user_subject_updated", "m.user_id", "m.id", "m.subject_id", "concat('Updated collection status for ''', s.title, '''')", SEEN.format("m.is_public"), f"concat('user_subject:', {ID.format('m.user_id')}, ':', {ID.format('m.subject_id')})", "''", BOTH, f"(SELECT * FROM {{mark}} WHERE id % 4 = 1) m {S}"),
+    act("review_created", "m.user_id", "r.id", "m.subject_id", "concat('Posted a review for ''', s.title, ''': ', r.title)", SEEN.format("r.is_public AND m.is_public"), f"concat('review:', {ID.format('m.subject_id')})", f"concat('review_created:', {ID.format('r.id')})", BOTH + ", review := struct_pack(id := r.id, title := r.title)", f"{{review}} r {M} r.mark_id {S}"),
+    act("collection_created", "k.user_id", "k.id", "NULL", "concat('Created collection ''', k.name, '''')", SEEN.format("k.is_public"), f"concat('collection:', {ID.format('k.user_id')})", f"concat('collection_created:', {ID.format('k.id')})", "collection := struct_pack(id := k.id, name := k.name, simple_rating := NULL, note := k.note)", "{collection} k"),
+    act("collection_item_added", "k.user_id", "i.id", "m.subject_id", "concat('Added ''', s.title, ''' to collection ''', k.name, '''')", SEEN.format("k.is_public AND m.is_public"), f"concat('collection:', {ID.format('k.id')})", f"concat('collection_item_added:', {ID.format('i.id')})", BOTH + ', collection := struct_pack(id := k.id, name := k.name), collection_item := struct_pack(id := i.id, relation := NULL, "order" := i.place)', f"{{item}} i {M} i.mark_id {S} JOIN {{collection}} k ON k.id = i.collection_id"),
+    act("post_created", "author_id", "id", "subject_id", "'Posted a status'", "visibility", f"concat('post:', {ID.format('author_id')})", f"concat('post_created:', {ID.format('id')})", "post := struct_pack(id := id, subject_id := CAST(subject_id AS VARCHAR))", "{post}"),
+    act("comment_created", "author_id", "id", "NULL", "concat('Commented on a ', kind)", "visibility", "concat(kind, '_comment:', CAST(target AS STRING))", f"concat('comment_created:', {ID.format('id')})", "target := struct_pack(type := kind, id := target), comment := struct_pack(id := id)",
+        "(SELECT *, coalesce(post_id, review_id, collection_id, activity_id) AS target, CASE WHEN post_id IS NOT NULL THEN 'post' WHEN review_id IS NOT NULL THEN 'review' WHEN collection_id IS NOT NULL THEN 'collection' ELSE 'activity' END AS kind FROM {comment}) k"),
+    act("user_followed", "follower_id", "-1", "NULL", "'Followed a user'", "'public'", f"concat('follow:', {ID.format('follower_id')})", f"concat('user_followed:', {ID.format('follower_id')}, ':', {ID.format('following_id')})", "target_user := struct_pack(id := following_id)", "{follow}"),
+]
+
+
+@query(" UNION ALL ".join(ACTS))
 def derive_activities(v):
-    return d.derive_activities(v.mark, v.review, v.collection, v.item, v.post, v.comment, v.follow).fillna(-1, ["source_id"])
+    rows = d.derive_activities(v.mark, v.review, v.collection, v.item, v.post, v.comment, v.follow, v.subject, v.mark.where("id % 4 = 1").select("id"))
+    return rows.fillna(-1, ["source_id", "subject_id"])
 
 
-@query("""SELECT m.id, concat('{"title":"', title, '","date":', CASE WHEN date IS NULL THEN 'null' ELSE concat('"', CAST(date AS STRING), '"') END, ',"rating":"', printf('%.1f', rating), '","status":"', status, '"}') AS metadata FROM {mark} m JOIN {subject} s ON s.id = m.subject_id""")
+@query(f"SELECT m.id, {JSON.format(BOTH)} AS metadata FROM {{mark}} m {S}")
 def activity_metadata(v):
     return d.activity_metadata(v.mark, v.subject)
 
@@ -373,10 +393,34 @@ def comment_deletes(v):
     return rows.unionByName(activities.select(F.lit("activity").alias("kind"), "id", zero.alias("n"), (F.col("feed_policy") == "hidden").alias("is_hidden"), no.alias("is_spoiler"), zero.alias("reply_count")))
 
 
-@query("""SELECT coalesce(o.user_id, w.user_id) AS user_id, coalesce(o.subject_id, w.subject_id) AS subject_id, coalesce(w.status, o.status) AS status, CASE WHEN o.user_id IS NULL THEN 'created' WHEN w.user_id IS NOT NULL THEN 'updated' END AS event
-    FROM (SELECT user_id, subject_id, status FROM {mark} WHERE id % 3 <> 0) o FULL JOIN (SELECT user_id, subject_id, 'wish' AS status FROM {mark} WHERE id % 2 = 0 AND subject_id IN (SELECT id FROM {subject} WHERE subject_type IN ('anime', 'galgame'))) w ON w.user_id = o.user_id AND w.subject_id = o.subject_id""")
+def watched(rows):
+    """Marks with dates: every eleventh would end before it starts."""
+    start = F.to_date(F.col("created_at"))
+    return rows.withColumns({"watch_start_date": start, "watch_end_date": F.when(F.col("id") % 5 != 0, F.date_add(start, F.when(F.col("id") % 11 == 0, -1).otherwise(3)))})
+
+
+WATCHED = "(SELECT m.*, CAST(created_at AS DATE) AS starts, CASE WHEN id % 5 <> 0 THEN CAST(created_at AS DATE) + CASE WHEN id % 11 = 0 THEN -1 ELSE 3 END END AS ends FROM {mark} m)"
+
+
+@query(f"""SELECT coalesce(o.user_id, w.user_id) AS user_id, coalesce(o.subject_id, w.subject_id) AS subject_id, CASE WHEN w.user_id IS NULL THEN o.status ELSE 'wish' END AS status, coalesce(CASE WHEN w.user_id IS NULL THEN o.simple_rating ELSE 4 END, -1) AS simple_rating, CASE WHEN w.user_id IS NULL THEN round(o.rating, 6) ELSE -1 END AS rating,
+    CASE WHEN w.user_id IS NULL THEN o.comment ELSE '' END AS comment, coalesce(CAST(CASE WHEN w.user_id IS NULL THEN o.starts ELSE w.starts END AS STRING), '') AS starts, coalesce(CAST(CASE WHEN w.user_id IS NULL THEN o.ends ELSE w.ends END AS STRING), '') AS ends, CASE WHEN w.user_id IS NULL THEN o.is_public ELSE TRUE END AS is_public, CASE WHEN o.user_id IS NULL THEN 'created' WHEN w.user_id IS NOT NULL THEN 'updated' END AS event
+    FROM (SELECT * FROM {WATCHED} a WHERE id % 3 <> 0) o FULL JOIN (SELECT * FROM {WATCHED} b WHERE id % 2 = 0 AND coalesce(starts <= ends, TRUE) AND subject_id IN (SELECT id FROM {{subject}} WHERE subject_type IN ('anime', 'galgame'))) w ON w.user_id = o.user_id AND w.subject_id = o.subject_id""")
 def merge_marks(v):
-    return d.merge_marks(v.mark.where("id % 3 <> 0"), v.mark.where("id % 2 = 0").withColumn("status", F.lit("wish")), v.subject)
+    new = watched(v.mark.where("id % 2 = 0")).select("id", "user_id", "subject_id", F.lit("wish").alias("status"), F.lit(4).alias("simple_rating"), "watch_start_date", "watch_end_date")
+    rows = d.merge_marks(watched(v.mark.where("id % 3 <> 0")), new, v.subject)
+    day = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return rows.fillna(-1, ["simple_rating", "rating"]).select("user_id", "subject_id", "status", "simple_rating", F.round("rating", 6).alias("rating"), "comment", day("watch_start_date").alias("starts"), day("watch_end_date").alias("ends"), "is_public", "event")
+
+
+@query(f"""SELECT id, CASE WHEN id % 4 = 0 THEN 'done' ELSE status END AS status, CASE WHEN id % 4 = 0 THEN -1 ELSE coalesce(simple_rating, -1) END AS simple_rating, coalesce(CAST(CASE WHEN id % 6 = 0 AND (ends IS NULL OR starts + 1 <= ends) THEN starts + 1 ELSE starts END AS STRING), '') AS starts,
+    CASE WHEN id % 6 = 0 AND (ends IS NULL OR starts + 1 <= ends) THEN 'moved' ELSE comment END AS comment, CAST((CASE WHEN id % 4 = 0 AND coalesce(starts <= ends, TRUE) THEN 1 ELSE 0 END) + (CASE WHEN id % 6 = 0 AND (ends IS NULL OR starts + 1 <= ends) THEN 1 ELSE 0 END) AS BIGINT) AS events FROM (SELECT * FROM {WATCHED} w WHERE coalesce(starts <= ends, TRUE)) x""")
+def patch_marks(v):
+    marks = watched(v.mark).where(d.ordered_dates())
+    patch = lambda where, number, fields, **values: marks.where(where).select("id", F.lit(number).alias("number"), F.array(*map(F.lit, fields)).alias("fields"), *[values.get(c, F.lit(None)).cast(marks.schema[c].dataType).alias(c) for c in d.SET_FIELDS])
+    patches = patch("id % 6 = 0", 2, ["watch_start_date", "comment"], watch_start_date=F.date_add("watch_start_date", 1), comment=F.lit("moved")).unionByName(patch("id % 4 = 0", 1, ["status", "simple_rating"], status=F.lit("done"))).unionByName(patch("id % 9 = 0", 3, ["none of them"]))
+    out, done = d.patch_marks(marks, patches)
+    events = done.groupBy("id").agg(F.count("*").alias("events"))
+    return out.join(events, "id", "left").fillna(-1, ["simple_rating"]).fillna(0, ["events"]).select("id", "status", "simple_rating", F.coalesce(F.col("watch_start_date").cast("string"), F.lit("")).alias("starts"), "comment", "events")
 
 
 @query("SELECT id, CASE WHEN id % 7 = 0 THEN 99 ELSE place END AS place, CASE WHEN id % 21 = 0 THEN 'sequel' WHEN id % 5 = 0 THEN 'prequel' ELSE '' END AS relation FROM {item} UNION ALL SELECT -id, -1, 'unknown' FROM {item} WHERE id % 35 = 0")
