@@ -174,7 +174,7 @@ def test_urls(spark):
         host, path = urlfilter.split_url(u)
         want = rule_of(host, path, URL_RULES)
         assert (r["host"], r["path"], r["rule"]) == (host, path, want and want[0])
-        assert r["verdict"] == (want[1] if want else "block" if r["score"] >= 0.5 else "allow")
+        assert r["verdict"] == (want[1] if want else "block" if r["score"] >= 0.5 else "allow") and (r["score"] is None) == bool(want)
     by = {r["page_id"]: r for r in out}
     assert (by[0]["host"], by[0]["path"], by[0]["rule"], by[0]["verdict"]) == ("a.example.com", "/en/1", "example.com/en/", "block")
     assert by[11]["verdict"] == "block" and by[12]["verdict"] == "allow" and by[2]["rule"] is None and by[9]["path"] == ""
@@ -191,6 +191,42 @@ def test_url_model_on_held_out_labels():
     assert urlfilter.train([]).score("a.example", "/") == 0.5
 
 
+#: Host, path and rule can be said in SQL, for DuckDB; the verdict of the model can't.
+RULES_SQL = """WITH u AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM u),
+r AS (SELECT * FROM (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')) AS t(rule_host, rule_path, verdict))
+SELECT page_id, host, path, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(verdict, length(rule_host || rule_path)) AS verdict FROM h LEFT JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id, host, path"""
+
+
+def test_rules_of_all_pages_as_duckdb_finds_them(spark):
+    import duckdb
+
+    from reelgraph.llm.queries import op4_url_filter
+
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW pages AS SELECT * FROM '{DATA}/pages.parquet'")
+    want = {r[0]: r[1:] for r in c.sql(RULES_SQL).fetchall()}
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"] if r["rule"] else None) for r in op4_url_filter(spark, DATA).collect()}
+    assert got == want
+
+
+def test_urls_that_tell_nothing_are_allowed_under_any_ending():
+    import random
+
+    draw = random.Random(11)
+    model = urlfilter.train(urlfilter.LABELLED)
+    blocked = lambda host, path: model.score(host, path) >= 0.5
+    syllable = lambda: "".join(draw.choice("bcdfghklmnprstvw") + draw.choice("aeiou") for _ in range(draw.randrange(2, 5)))
+    found = []
+    for ending in ("com", "net", "org", "io", "fr", "biz"):
+        for prefix in ("", "www.", "m.", "blog."):
+            hosts = [f"{prefix}{syllable()}.{draw.choice(('example.', ''))}{ending}" for _ in range(100)]
+            assert sum(blocked(h, draw.choice(("/", "/en/12", "/de/7.html", "/about"))) for h in hosts) < 5
+            told = [f"{prefix}{draw.choice((f'{w}-{syllable()}', f'{syllable()}-{w}'))}.{ending}" for w in ("casino", "jackpot", "viagra", "bookmaker", "adult", "warez", "betting", "spam")]
+            found += [blocked(h, "/en/12") for h in told]
+    assert sum(found) > 0.9 * len(found)
+
+
 def plain_alignment(a, b):
     best, table = 0, [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(1, len(a) + 1):
