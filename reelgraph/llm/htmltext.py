@@ -33,7 +33,9 @@ MAIN = set("article main".split())
 #: Whole class names, ids and roles of what is no article text.
 DROPPED_WORDS = set(
     "ad ads advert adverts advertisement sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs sidebar "
-    "cookie-banner cookie-notice consent newsletter popup modal comments comment-list disqus_thread share sharing pagination search complementary contentinfo".split()
+    "cookie-banner cookie-notice consent newsletter popup modal comments comment-list disqus_thread share sharing pagination search complementary contentinfo "
+    "user-comments reader-comments commentlist comments-list comments-area comments-section comment-section comment-thread comment-form comment-respond respond discussion replies "
+    "share-buttons share-bar social-share social-sharing social-links subscribe subscribe-box newsletter-signup related related-posts related-articles read-more-links recommended".split()
 )
 #: Elements whose text may be that of many articles on its own: inside an article they are cut only with what holds them.
 TEXT = set("p h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody thead caption pre blockquote figcaption html body".split()) | INLINE | MAIN

@@ -30,6 +30,8 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "
 #: Costs of the channel, as log probabilities: a sign for a letter, a mark left out, a digit or like sign left out, a
 #: letter of three or more in a row left out.
 SIGN, LEFT_OUT, LOST, STRETCHED = -1.0, -0.5, -8.0, -0.3
+#: Words of one character in a row that may be a word spaced out.
+LEAST_SPACED = 3
 #: Signs after which what all paths share is settled; a longer word may be several.
 LONGEST = 48
 #: Bounds of what is learned from: labelled texts of each kind (about), and features.
@@ -136,7 +138,7 @@ def disguised(words: Words) -> np.ndarray:
 
 
 def spaced(words: Words) -> Iterator[tuple[int, str]]:
-    """(text, letters) of runs of four or more words of one character each."""
+    """(text, letters) of runs of LEAST_SPACED or more words of one character each."""
     # By code points: a word has as many as it has bytes that don't continue one.
     points = np.concatenate(([0], np.cumsum((words.data & 0xC0) != 0x80)))
     single = points[words.ends] - points[words.starts] == 1
@@ -147,7 +149,7 @@ def spaced(words: Words) -> Iterator[tuple[int, str]]:
         docs = words.doc[a:b]
         for k in np.unique(docs).tolist():
             own = np.flatnonzero(docs == k) + a
-            if len(own) >= 4:
+            if len(own) >= LEAST_SPACED:
                 yield k, "".join(words.text(x) for x in own.tolist())
 
 

@@ -35,5 +35,5 @@ def test_run_on_odd_rows(spark, odd, empty, tmp_path):
 
 def test_names():
     names = list(queries.queries())
-    assert [n.split("_")[0] for n in names] == [*(f"op{k}" for k in range(1, 11)), "pipeline"]
+    assert [n.split("_")[0] for n in names] == [*(f"op{k}" for k in range(1, 14)), "pipeline"]
     assert set(queries.oracle_sql()) <= set(names)

@@ -105,6 +105,8 @@ def test_page_text():
 def test_raw_and_named_elements():
     assert text('<p>a<script src="a.js"/>var x = "<p>code";</script>b<svg/>c</p>') == "abc"
     assert text('<article class="post has-sidebar"><h2 id="comments">Comments on law</h2><section id="social-history"><p>x</p></section><div id="comments"><p>reader</p></div></article>') == "Comments on law x"
+    for name in ("user-comments", "commentlist", "comment-section", "social-share", "subscribe-box", "related-posts"):
+        assert text(f'<article><p>x</p><div class="block {name}"><p>reader</p></div><section id="{name}"><b>y</b></section><div class="{name}ish">z</div></article>') == "x z"
     assert text("<div></p>a</div></article>b<a <b") == "a b<a <b"
     assert text('<article><p class="ad">a</p><ul><li id="sidebar">b<li>c</ul><p>d') == "c d"
 
