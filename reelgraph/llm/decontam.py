@@ -2,7 +2,7 @@
 
 Word n-grams of the items, with and without gaps, that are rare in the corpus are the seeds. A document with two seeds
 of an item near each other, or one of a short item, is aligned with it by Smith-Waterman over words; the score is the
-share of the item's best possible one.
+share of the item's best possible one. Items too short for a seed are found where a document is nothing but them.
 """
 
 from __future__ import annotations
@@ -62,6 +62,10 @@ class Items:
         self.place = first - np.searchsorted(words.doc, self.item)
         self.known = Known(seeds)
         self.row = np.searchsorted(self.known.keys, seeds)
+        #: Items without a seed, by all their words.
+        self.tiny: dict[tuple[int, ...], list[int]] = {}
+        for i in np.flatnonzero((self.sizes > 0) & (self.sizes < GRAM)).tolist():
+            self.tiny.setdefault(tuple(self.hashes[i].tolist()), []).append(i)
 
     def keep_rare(self, counts: dict[int, int]) -> None:
         """Drops an item's seeds that are common beside its other ones. Every item keeps half of its seeds or more."""
@@ -151,7 +155,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) ->
     """One row per document and item whose best alignment scores `least` or more: (doc_id, item_id, score, first_word,
     last_word, passage), the passage in lower-cased words, counted from 0.
 
-    Null and empty texts and items hold nothing; items of fewer than three words are never found. A null doc_id is kept
+    Null and empty texts and items hold nothing. An item of one or two words is found, with score 1, in the documents that
+    have these words in this order and no others: as part of a longer text they tell nothing. A null doc_id is kept
     as null. Repeated rows give repeated rows. Empty tables give none. Texts of any length are aligned in windows, and
     an alignment holds one row of its table. The benchmark is read in blocks of bounded size (BLOCK_BYTES; one, for most
     benchmarks), each of which meets all documents; every document is aligned with every item it may hold, in its task.
@@ -178,7 +183,8 @@ def leaks_of_block(docs: DataFrame, items: Items, least: float) -> DataFrame:
         for batch in runs_of(batches, "text"):
             words = Words(batch.column("text").to_pylist())
             hashes = words.full()
-            starts = np.searchsorted(words.doc, np.arange(batch.num_rows))
+            edges = np.searchsorted(words.doc, np.arange(batch.num_rows + 1))
+            starts, sizes = edges[:-1], np.diff(edges)
             best: dict[tuple[int, int], tuple[float, int, int, int]] = {}
             for doc, item, a, b in near(words, items, least):
                 so_far = best.get((doc, item), (0.0,))[0]
@@ -187,6 +193,10 @@ def leaks_of_block(docs: DataFrame, items: Items, least: float) -> DataFrame:
                 score, first, last = align(items.hashes[item], hashes[a:b])
                 if score >= least and score > so_far:
                     best[doc, item] = (score, a + first - int(starts[doc]), a + last - int(starts[doc]), a + first)
+            for doc in np.flatnonzero((sizes > 0) & (sizes < GRAM)).tolist() if items.tiny else ():
+                a, n = int(starts[doc]), int(sizes[doc])
+                for item in items.tiny.get(tuple(hashes[a : a + n].tolist()), ()):
+                    best[doc, item] = (1.0, 0, n - 1, a)
             ids = batch.column("doc_id").to_pylist()
             out = [(ids[d], items.ids[i], s, f, e, " ".join(words.text(k) for k in range(w, w + e - f + 1))) for (d, i), (s, f, e, w) in sorted(best.items())]
             if out:

@@ -259,6 +259,19 @@ def test_leaks(spark, odd, empty):
     assert decontam.keep_clean(odd, bench).count() == odd.count() and decontam.keep_clean(odd, bench).columns == odd.columns
 
 
+def test_items_too_short_for_a_seed(spark):
+    """Held against the words of each pair: equal ones, and nothing else."""
+    bench = spark.createDataFrame([(1, "Two words"), (2, "one"), (3, "two, words."), (4, " - "), (5, None), (6, "words two"), (7, "zwölf ")], "item_id long, text string")
+    texts = ["two WORDS!", "two words more", "so two words", "one", "(One)", "one one", "", " ... ", None, "Zwölf", "two", "words, two"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = lambda t: "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()
+    want = sorted((d, r["item_id"]) for d, t in enumerate(texts) for r in bench.collect() if words(t) and words(t) == words(r["text"]))
+    rows = decontam.leaks(docs, bench).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in rows) == want and len(want) == 6
+    assert {(r["score"], r["first_word"], r["last_word"], r["passage"]) for r in rows if r["item_id"] == 1} == {(1.0, 0, 1, "two words")}
+    assert sorted(r["doc_id"] for r in decontam.keep_clean(docs, bench).collect()) == sorted(set(range(len(texts))) - {d for d, _ in want})
+
+
 def test_rows_are_judged_by_their_text(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
