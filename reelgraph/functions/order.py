@@ -27,6 +27,20 @@ def allowed(given: str | None, names: Iterable[str], default: str) -> str:
     return given if given and given.removeprefix("-") in set(names) else default
 
 
+def listed(rows: DataFrame, by: str, order: str | list[str] | None, names: Iterable[str], default: str, last: Iterable[str] = ()) -> DataFrame:
+    """Adds the place of each row in its own list, in an order by name (`allowed`). For a list of orders a row comes once for
+    each, named in `sorted`: rows are computed and dealt once, and only sorted anew."""
+    by_name = lambda o: ordering(allowed(o, names, default), last=last)
+    if order is None or isinstance(order, str):
+        return placed(rows, by, by_name(order))
+    out, places = rows, [f"place {k}" for k in range(len(order))]
+    for one, name in zip(order, places, strict=True):
+        out = placed(out, by, by_name(one), name)
+    if not order:
+        return rows.limit(0).withColumns({"sorted": F.lit(""), "place": F.lit(0)})
+    return out.select(*[F.col(f"`{c}`") for c in rows.columns if c not in ("sorted", "place")], F.inline(F.array(*[F.struct(F.lit(o).alias("sorted"), F.col(f"`{p}`").alias("place")) for o, p in zip(order, places, strict=True)])))
+
+
 def placed(rows: DataFrame, by: str | tuple[str, ...], order: list[Column], name: str = "place") -> DataFrame:
     """Adds the place of each row in its own list, from 1."""
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*([by] if isinstance(by, str) else by)).orderBy(*order)))

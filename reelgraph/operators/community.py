@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.order import allowed, ordering, placed
+from ..functions.order import allowed, listed, ordering, placed
 from ..functions.text import contains
 from ..sources.shared import stored
 from .edges import hidden_authors, pairs
@@ -196,12 +196,12 @@ def global_feed(visible: DataFrame, viewers: DataFrame, hidden: DataFrame, k: in
     return reduce(DataFrame.unionByName, out)
 
 
-def user_activities(activities: DataFrame, visible: DataFrame | None = None, activity_type: str | None = None, order: str | None = None) -> DataFrame:
+def user_activities(activities: DataFrame, visible: DataFrame | None = None, activity_type: str | None = None, order: str | list[str] | None = None) -> DataFrame:
     """Own activities (all), or the visible ones if they are given, with their `place` in their user's list: newest first
     if `order` is none of ACTIVITY_ORDERS."""
     rows = activities if visible is None else visible
     rows = rows if activity_type is None else rows.where(F.col("activity_type") == activity_type)
-    return placed(rows, "user_id", ordering(allowed(order, ACTIVITY_ORDERS, "-created_at")))
+    return listed(rows, "user_id", order, ACTIVITY_ORDERS, "-created_at")
 
 
 def posts_public(posts: DataFrame, keyword: str | None = None, subject_id: int | None = None) -> DataFrame:
@@ -210,11 +210,11 @@ def posts_public(posts: DataFrame, keyword: str | None = None, subject_id: int |
     return rows if keyword is None else rows.where(contains(F.col("content"), keyword))
 
 
-def posts_list(posts: DataFrame, viewers: DataFrame, hidden: DataFrame, key: str = "subject_id", keyword: str | None = None, order: str | None = None) -> DataFrame:
+def posts_list(posts: DataFrame, viewers: DataFrame, hidden: DataFrame, key: str = "subject_id", keyword: str | None = None, order: str | list[str] | None = None) -> DataFrame:
     """Public posts of the key each viewer asks for, less hidden authors', with their `place` in the viewer's list: by last
     activity, newest first and those without any last, if `order` is none of POST_ORDERS."""
     rows = for_viewers(posts_public(posts, keyword), viewers, hidden, key)
-    return placed(rows, "viewer_id", ordering(allowed(order, POST_ORDERS, "-last_activity_at"), last=("last_activity_at",)))
+    return listed(rows, "viewer_id", order, POST_ORDERS, "-last_activity_at", ("last_activity_at",))
 
 
 def comments_public(comments: DataFrame) -> DataFrame:

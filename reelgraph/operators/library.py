@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.order import allowed, down, ordering, placed, up
+from ..functions.order import down, listed, ordering, placed, up
 from ..functions.text import contains
 from .catalog import TYPES, scored
 from .edges import hidden_authors
@@ -30,24 +30,24 @@ def any_contains(keyword: str, *columns: str) -> Column:
     return out
 
 
-def library_list(marks: DataFrame, subjects: DataFrame, status: str | None = None, subject_type: str | None = None, tagged: DataFrame | None = None, order: str | None = None) -> DataFrame:
+def library_list(marks: DataFrame, subjects: DataFrame, status: str | None = None, subject_type: str | None = None, tagged: DataFrame | None = None, order: str | list[str] | None = None) -> DataFrame:
     """Own marks of the types that a library lists, with their `place` in their user's list (newest first, if `order` is
-    none of MARK_ORDERS); only those in tagged (mark_id), if given: by semi-join, so that no mark is doubled."""
+    none of MARK_ORDERS; for several orders see `listed`); only those in tagged (mark_id), if given: by semi-join, so that no mark is doubled."""
     rows = with_subject(marks, subjects).where(F.col("subject_type").isin(*TYPES))
     rows = rows if status is None else rows.where(F.col("status") == status)
     rows = rows if subject_type is None else rows.where(F.col("subject_type") == subject_type)
     rows = rows if tagged is None else rows.join(tagged.select(F.col("mark_id").alias("id")), "id", "left_semi")
-    return placed(rows, "user_id", ordering(allowed(order, MARK_ORDERS, "-created_at")))
+    return listed(rows, "user_id", order, MARK_ORDERS, "-created_at")
 
 
-def public_library(marks: DataFrame, subjects: DataFrame, status: str | None = None, keyword: str | None = None, subject_type: str | None = None, order: str | None = None) -> DataFrame:
+def public_library(marks: DataFrame, subjects: DataFrame, status: str | None = None, keyword: str | None = None, subject_type: str | None = None, order: str | list[str] | None = None) -> DataFrame:
     """Public marks, of all subject types, with their `place` in their user's list (`-id` if `order` is none of
     PUBLIC_ORDERS)."""
     rows = with_subject(marks.where("is_public"), subjects)
     rows = rows if status is None else rows.where(F.col("status") == status)
     rows = rows if subject_type is None else rows.where(F.col("subject_type") == subject_type)
     rows = rows if keyword is None else rows.where(any_contains(keyword, "title", "title_cn", "comment"))
-    return placed(rows, "user_id", ordering(allowed(order, PUBLIC_ORDERS, "-id")))
+    return listed(rows, "user_id", order, PUBLIC_ORDERS, "-id")
 
 
 def library_search(marks: DataFrame, subjects: DataFrame, keyword: str, status: str | None = None, subject_type: str | None = None, tagged: DataFrame | None = None) -> DataFrame:
@@ -173,11 +173,11 @@ def reviews_of(reviews: DataFrame, marks: DataFrame, keyword: str | None = None,
     return rows if keyword is None else rows.where(any_contains(keyword, "title", "content"))
 
 
-def reviews_list(reviews: DataFrame, marks: DataFrame, keyword: str | None = None, public: bool = False, order: str | None = None) -> DataFrame:
+def reviews_list(reviews: DataFrame, marks: DataFrame, keyword: str | None = None, public: bool = False, order: str | list[str] | None = None) -> DataFrame:
     """Own or public reviews with their `place` in their user's list: newest first, or by `-id` if public, unless `order`
     is one of REVIEW_ORDERS."""
     rows = reviews_of(reviews, marks, keyword, public)
-    return placed(rows, "user_id", ordering(allowed(order, REVIEW_ORDERS, "-id" if public else "-created_at")))
+    return listed(rows, "user_id", order, REVIEW_ORDERS, "-id" if public else "-created_at")
 
 
 def subject_reviews(reviews: DataFrame, marks: DataFrame, viewers: DataFrame, blocks: DataFrame, likes: DataFrame) -> DataFrame:
@@ -199,12 +199,12 @@ def collection_counts(collections: DataFrame, items: DataFrame, likes: DataFrame
     return collections.join(n, "id", "left").join(liked, "id", "left").fillna(0, ["item_count", "reaction_count"])
 
 
-def collections_list(counted: DataFrame, keyword: str | None = None, public: bool = False, order: str | None = None) -> DataFrame:
+def collections_list(counted: DataFrame, keyword: str | None = None, public: bool = False, order: str | list[str] | None = None) -> DataFrame:
     """Own or public collections (collection_counts) with their `place` in their user's list: by `id`, or `-id` if public,
     unless `order` is one of COLLECTION_ORDERS. A keyword is looked for in names, in public lists in notes as well."""
     rows = counted.where("is_public") if public else counted
     rows = rows if keyword is None else rows.where(any_contains(keyword, *(("name", "note") if public else ("name",))))
-    return placed(rows, "user_id", ordering(allowed(order, COLLECTION_ORDERS, "-id" if public else "id")))
+    return listed(rows, "user_id", order, COLLECTION_ORDERS, "-id" if public else "id")
 
 
 def collection_items(items: DataFrame, marks: DataFrame, subjects: DataFrame, public: bool = False) -> DataFrame:

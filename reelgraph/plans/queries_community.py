@@ -128,11 +128,7 @@ SHOWN = f"(SELECT w.viewer_id, p.* FROM (SELECT DISTINCT user_id AS viewer_id, s
 def posts_public(v):
     viewers = v.activity.where("subject_id IS NOT NULL").select(F.col("user_id").alias("viewer_id"), "subject_id").distinct()
     posts = v.post.withColumnsRenamed({"last_activity_minute": "last_activity_at", "created_minute": "created_at"})
-    out = None
-    for name in POSTS:
-        some = c.posts_list(posts, viewers, e.hidden_authors(v.block, v.mute), keyword="th", order=name).select(F.lit(name).alias("sorted"), "viewer_id", "id", "author_id", "place")
-        out = some if out is None else out.unionByName(some)
-    return out
+    return c.posts_list(posts, viewers, e.hidden_authors(v.block, v.mute), keyword="th", order=list(POSTS)).select("sorted", "viewer_id", "id", "author_id", "place")
 
 
 @query(f"SELECT viewer_id, k.id, CASE WHEN is_hidden THEN -1 ELSE k.author_id END AS shown_author, CAST(row_number() OVER (PARTITION BY viewer_id, w.post_id ORDER BY created_minute, k.id) AS INT) AS place FROM (SELECT DISTINCT user_id AS viewer_id, post_id FROM {{activity}} WHERE post_id IS NOT NULL) w JOIN {{comment}} k ON k.post_id = w.post_id WHERE k.visibility = 'public' AND (NOT is_hidden OR reply_count > 0) AND NOT EXISTS (SELECT 1 FROM {HIDDEN} h WHERE h.viewer_id = w.viewer_id AND h.author_id = k.author_id)")

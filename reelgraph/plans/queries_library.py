@@ -19,11 +19,7 @@ def orders(rows, spec):
 
 
 def in_each_order(f, spec):
-    out = None
-    for name in spec:
-        some = f(name).select(F.lit(name).alias("sorted"), "id", "user_id", "title", "place")
-        out = some if out is None else out.unionByName(some)
-    return out
+    return f(list(spec)).select("sorted", "id", "user_id", "title", "place")
 
 
 LISTED = {"-created_at": "created_at DESC NULLS FIRST, id DESC", "updated_at": "updated_at ASC NULLS LAST, id DESC", "simple_rating": "simple_rating ASC NULLS LAST, id DESC", "-simple_rating": "simple_rating DESC NULLS FIRST, id DESC", "-rating": "rating DESC NULLS FIRST, id DESC", "email": "created_at DESC NULLS FIRST, id DESC"}

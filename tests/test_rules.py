@@ -303,3 +303,18 @@ def test_followers_newest_first(spark):
     profiles = spark.createDataFrame([(1, "a")], "user_id long, nickname string")
     got = sorted(tuple(r[c] for c in ("kind", "user_id", "place", "other_id", "nickname")) for r in edges.follow_lists(follows, profiles).collect())
     assert got == [("follower", 1, 1, 9, ""), ("follower", 9, 1, 2, ""), ("follower", 9, 2, 1, "a"), ("following", 1, 1, 9, ""), ("following", 2, 1, 9, ""), ("following", 9, 1, 1, "a")]
+
+
+def test_lists_in_several_orders(spark):
+    """Each order gives what it gives alone, unknown ones too; the table is scanned once, and a `place` of its own is replaced."""
+    from reelgraph.functions.order import listed
+
+    rows = spark.createDataFrame([(1, 1, 5, 9), (2, 1, None, 9), (3, 1, 4, 9), (4, 2, 1, 9)], "id long, user_id long, n int, place int")
+    orders = ["n", "-n", "id", "unknown"]
+    got = listed(rows, "user_id", orders, ("n", "id"), "-id")
+    assert got.columns == ["id", "user_id", "n", "sorted", "place"]
+    want = {(o, r["id"], r["place"]) for o in orders for r in listed(rows, "user_id", o, ("n", "id"), "-id").collect()}
+    assert {(r["sorted"], r["id"], r["place"]) for r in got.collect()} == want and len(want) == 16 and got.count() == 16
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+    assert listed(rows, "user_id", [], ("n", "id"), "-id").count() == 0
