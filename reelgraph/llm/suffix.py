@@ -1,14 +1,15 @@
 """Operator 3: removal of long strings that occur earlier in the corpus, by sorting sampled suffixes.
 
 Only a sample of the suffixes is sorted: those that start where a locally smallest hash of `SEED` bytes stands. Each
-string of `WIDTH` bytes holds such a place, and equal strings hold it at equal distance, so the order and the equality
-of all other suffixes up to depth `WIDTH` are *induced* from the sampled ones to their right:
+string of `WIDTH` bytes holds such a place, and equal strings hold it at equal distance, so the equality of
+all other strings of that length is settled from the sampled ones to their right. Hashes are sorted, not texts: nothing is
+in suffix order.
 
 1. A sampled suffix carries the run of strings that it decides as one tuple (hash of the seed, hash of the whole run,
    document, place). Spark's sort, which spills to disk, brings equal seeds and, within them, equal runs together. A
    run that occurred before is removed whole; a seed with one kind of run has no more repeats.
 2. The first of each kind of run under a seed of several kinds is sorted by seed once more, now with its bytes. Within
-   a seed the single strings are induced from the sampled suffix and compared. Seeds with very many kinds are cut up:
+   a seed the single strings are laid out from the sampled suffix and compared. Seeds with very many kinds are cut up:
    there each single string is sorted by a hash of its own.
 
 Tasks merge equal tuples before they send them, so that a string in a third of all documents reaches the sort a few
