@@ -8,7 +8,7 @@ from ..functions.text import cleaned
 from ..operators import audit as a
 from ..operators import ingest as g
 from ..sources import tables as t
-from ..sources.shared import shared_path
+from ..sources.shared import shared_path, spread
 from ..sources.versions import VersionedTable
 from ..streaming import jobs
 from .registry import query
@@ -29,7 +29,7 @@ def subject_payloads(v):
     body = F.concat(F.lit('{"id": '), (n + 1).cast("string"), F.lit(', "type": '), (n % 7).cast("string"), F.lit(', "name": '), name, F.lit(', "date": '), date, F.lit(', "platform": "'), platform, F.lit('", "nsfw": '), F.when(n % 3 == 0, F.lit("true")).otherwise(F.lit("1")),
         F.lit(', "eps": '), F.when(n % 4 == 0, F.lit('"12"')).otherwise(F.col("p_size").cast("string")), F.lit(', "images": {"large": "https://img.example.org/'), n.cast("string"), F.lit('.jpg"}, "meta_tags": '), tags, F.lit(', "metatag": ["other"], "infobox": '), box, F.lit("}"))
     value = F.when(n % 29 == 0, F.lit("[1, 2]")).when(n % 29 == 1, F.lit("{broken")).otherwise(body)
-    return v.part.select(n.alias("id_source"), value.alias("value"))
+    return spread(v.part, "p_partkey").select(n.alias("id_source"), value.alias("value"))
 
 
 def subject_rows(v):
@@ -79,7 +79,7 @@ def map_infobox(v):
 def episode_payloads(v):
     n = F.col("id")
     body = F.to_json(F.struct((n + 1).alias("id"), F.concat(F.lit(" ep "), F.col("sort").cast("string")).alias("name"), (n % 8).alias("type"), F.col("ep_num").alias("ep"), F.col("sort"), (n % 3 * 60 - 60).alias("duration_seconds"), F.when(n % 4 == 0, "2001-02-30").otherwise("2001-02-03").alias("airdate")))
-    return t.quarantined(t.parsed(v.episode.select(n.alias("id_source"), "subject_id", body.alias("value")), "episode"))[0]
+    return t.quarantined(t.parsed(spread(v.episode, "id").select(n.alias("id_source"), "subject_id", body.alias("value")), "episode"))[0]
 
 
 EPISODES = "SELECT id AS id_source, concat('ep ', CAST(sort AS STRING)) AS title, CASE id % 8 WHEN 0 THEN 'EP' WHEN 1 THEN 'SP' WHEN 2 THEN 'OP' WHEN 3 THEN 'ED' WHEN 4 THEN 'PV/CM' WHEN 5 THEN 'MAD' WHEN 6 THEN 'ETC' ELSE '' END AS type, CAST(coalesce(ep_num, -1) AS BIGINT) AS ep_num, CAST(CASE WHEN id % 3 = 2 THEN 60 ELSE -1 END AS BIGINT) AS duration, CASE WHEN id % 4 = 0 THEN NULL ELSE '2001-02-03' END AS date FROM {episode}"
@@ -93,7 +93,7 @@ def map_episodes(v):
 def person_payloads(v, kind):
     n = F.col("s_suppkey")
     body = F.to_json(F.struct((n + 1).alias("id"), F.col("s_name").alias("name"), (n % 6).alias("type"), (n % 5).alias("blood_type"), F.when(n % 2 == 0, n % 100 + 1900).alias("birth_year"), F.when(n % 3 == 0, F.array(F.lit(" actor "), F.lit(""), F.lit("SMALL"))).alias("career")))
-    return t.quarantined(t.parsed(v.supplier.select(F.col("s_suppkey").alias("id_source"), body.alias("value")), kind))[0]
+    return t.quarantined(t.parsed(spread(v.supplier, "s_suppkey").select(F.col("s_suppkey").alias("id_source"), body.alias("value")), kind))[0]
 
 
 @query("SELECT s_suppkey AS id_source, s_name AS name, CASE s_suppkey % 6 WHEN 1 THEN 'Individual' WHEN 2 THEN 'Company' WHEN 3 THEN 'Group' ELSE '' END AS type, CASE WHEN s_suppkey % 3 = 0 THEN 'actor,Novel' ELSE '' END AS career, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey % 100 + 1900 ELSE -1 END AS birth_year FROM {supplier}")

@@ -37,13 +37,17 @@ def read_jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, hig
 def parsed(lines: DataFrame, kind: str, column: str = "value") -> DataFrame:
     """Payload texts as struct `p`; what isn't a JSON object becomes null, and `rejected` says why: empty, not JSON, not an
     object, or no id (where the payload has one that is no whole number above 0)."""
-    obj = F.try_parse_json(F.col(column))
+    # A row that is exploded comes out as a column: a text is parsed once, and not anew for each use of a field.
+    lines = lines.select("*", F.explode(F.array(F.try_parse_json(column))).alias("parsed"))
+    obj = F.col("parsed")
     fields = [F.try_variant_get(obj, f"$.{name}", "variant").alias(name) for name in T._parse_datatype_string(PAYLOADS[kind]).fieldNames()]
-    is_object = F.coalesce(F.schema_of_variant(obj).startswith("OBJECT"), F.lit(False))
+    # What has been parsed and begins with a brace is an object; its schema would be made of all that it holds.
+    is_object = F.coalesce(F.col(column).rlike(r"^[ \t\r\n]*\{"), F.lit(False))
     id_ = F.try_variant_get(obj, "$.id", "variant")
     named = F.coalesce((F.schema_of_variant(id_) == "BIGINT") & (F.try_variant_get(id_, "$", "bigint") > 0), F.lit(False))
     why = F.when(F.coalesce(F.trim(F.col(column)), F.lit("")) == "", "empty").when(obj.isNull(), "not JSON").when(~is_object, "not an object").when(id_.isNotNull() & ~named, "no id")
-    return lines.withColumn("rejected", why).withColumn("p", F.when(F.col("rejected").isNull(), F.struct(*fields)))
+    rows = lines.select(*[c for c in lines.columns if c != "parsed"], why.alias("rejected"), F.explode(F.array(F.struct(*fields))).alias("p"))
+    return rows.withColumn("p", F.when(F.col("rejected").isNull(), F.col("p")))
 
 
 def quarantined(rows: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
