@@ -21,3 +21,13 @@ def test_a_payload_is_parsed_once(spark):
 
 def test_a_small_table_is_dealt_to_all_tasks(spark):
     assert spread(spark.range(1000).coalesce(1), "id").rdd.getNumPartitions() == 4
+
+
+def test_events_are_not_paired_with_all_orders(spark):
+    from reelgraph.plans.fixture_views import Views
+
+    from .conftest import DATA
+
+    asked = Views(spark, DATA).activity.where("subject_id IS NOT NULL").select("user_id", "subject_id").distinct()
+    # The one that is left gives each event the number of orders, which is one row.
+    assert asked._jdf.queryExecution().executedPlan().toString().count("NestedLoopJoin") == 1
