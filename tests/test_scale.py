@@ -31,3 +31,20 @@ def test_events_are_not_paired_with_all_orders(spark):
     asked = Views(spark, DATA).activity.where("subject_id IS NOT NULL").select("user_id", "subject_id").distinct()
     # The one that is left gives each event the number of orders, which is one row.
     assert asked._jdf.queryExecution().executedPlan().toString().count("NestedLoopJoin") == 1
+
+
+def test_shuffles_grow_with_the_input(spark):
+    from reelgraph.plans.fixture_views import DEALT, Views
+
+    from .conftest import DATA
+
+    names = ["spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
+    old = {n: spark.conf.get(n) for n in names}
+    try:
+        spark.conf.set(names[1], "20000")
+        spark.conf.set(names[2], "1")
+        splits = Views(spark, DATA).lineitem.rdd.getNumPartitions()
+        assert splits > 1 and int(spark.conf.get(names[0])) >= DEALT * splits
+    finally:
+        for n, value in old.items():
+            spark.conf.set(n, value)
