@@ -26,9 +26,9 @@ ROWS = 64
 UNKNOWN = "und"
 #: Likeness to the landmarks is taken piece by piece, as the n-grams of a long text would fill the bins.
 PIECE = 4096
-#: The least likeness of a known language: MARGIN times the likeness that all but SHARE of about SAMPLE held-out texts per
-#: language have. With fewer than FEWEST such texts there is no bound.
-SHARE, MARGIN, FEWEST = 0.05, 0.55, 20
+#: The least likeness of a known language: MARGIN times the likeness that all but SHARE of the held-out texts have, to one
+#: of STEPS steps. With fewer than FEWEST such texts there is no bound.
+SHARE, MARGIN, FEWEST, STEPS = 0.05, 0.55, 20, 10_000
 #: A piece with fewer n-grams than VARIED times the root of its bytes repeats a few characters and is like nothing.
 VARIED = 0.5
 
@@ -157,22 +157,28 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def least_likeness(docs: DataFrame, model: Model | None) -> float:
-    """The least likeness of a known language, from held-out rows that have a lang and a letter; a bounded draw of them
-    by a hash of the id. 0 without a model or with too few rows."""
-    rows = docs.where(held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()} if model else {}
-    if sum(counts.values()) < FEWEST:
-        return 0.0
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, min(SAMPLE, ALL_SAMPLE / len(counts)) / n))]), F.col("lang"))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1_000_000)) / 1_000_000
+    """The least likeness of a known language, from all held-out rows that have a lang and a letter. Likenesses are counted
+    in STEPS steps from 0 to 1, so that no task and no driver holds them all; each lang weighs the same up to SAMPLE rows or
+    an equal part of ALL_SAMPLE, as its rows weigh less where it has more. 0 without a model or with too few rows."""
 
     def likenesses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in runs_of(batches, "text", 4 << 20):
-            yield pa.RecordBatch.from_arrays([pa.array(model.likeness([lowered(t) for t in batch.column("text").to_pylist()]))], ["likeness"])
+            like = model.likeness([lowered(t) for t in batch.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(np.floor(like * STEPS).astype(np.int64))], ["lang", "step"])
 
-    likeness = rows.where(draw < share).select("text").mapInArrow(likenesses, "likeness double")
-    bound = likeness.agg(F.percentile("likeness", F.lit(SHARE)).alias("bound")).collect()[0]["bound"]
-    return MARGIN * (bound or 0.0)
+    if model is None:
+        return 0.0
+    rows = docs.where(held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    counted = rows.select("lang", "text").mapInArrow(likenesses, "lang string, step bigint").groupBy("lang", "step").agg(F.count("*").alias("n")).collect()
+    counts: dict[str, int] = {}
+    for r in counted:
+        counts[r["lang"]] = counts.get(r["lang"], 0) + r["n"]
+    if sum(counts.values()) < FEWEST:
+        return 0.0
+    weights = np.zeros(STEPS + 1)
+    for r in counted:
+        weights[r["step"]] += r["n"] * min(1.0, min(SAMPLE, ALL_SAMPLE / len(counts)) / counts[r["lang"]])
+    return MARGIN * float(np.searchsorted(np.cumsum(weights), SHARE * weights.sum())) / STEPS
 
 
 def keep_known(docs: DataFrame, least: float = 0.0) -> DataFrame:
