@@ -48,3 +48,26 @@ def test_shuffles_grow_with_the_input(spark):
     finally:
         for n, value in old.items():
             spark.conf.set(n, value)
+
+
+def joins(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_snapshots_meet_the_texts_of_subjects_last(spark):
+    from reelgraph.operators import derive
+    from reelgraph.plans.fixture_views import Views
+
+    from .conftest import DATA
+
+    v = Views(spark, DATA)
+    rows = derive.derive_activities(v.mark, v.review, v.collection, v.item, v.post, v.comment, v.follow, v.subject)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tree = rows._jdf.queryExecution().optimizedPlan().toString().split("Union", 1)[1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Above a join by mark there is the one by subject, below it none.
+    for part in tree.split("review_created AS activity_type")[1:]:
+        lines = [line for line in part.splitlines() if "Join Inner" in line][:2]
+        assert "subject_id" in lines[0] and "mark_id" in lines[1]
