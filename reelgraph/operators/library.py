@@ -121,12 +121,15 @@ def progress_summary(marks: DataFrame, episodes: DataFrame, progress: DataFrame)
 
 def episode_progress(marks: DataFrame, episodes: DataFrame, progress: DataFrame) -> DataFrame:
     """(id, user_id, episode_id, title, type, ep_num, sort, date, is_finished, place): each mark with the episodes of the
-    kind EP of its subject in their order, and whether the mark has finished them. Columns that episodes lack are left."""
+    kind EP of its subject in their order, and whether the mark has finished them. Columns that episodes lack are left.
+
+    Episodes get their places once a subject, not once a mark, and a mark carries the ids that it has finished (no more
+    than its subject has episodes); so marks meet episodes last, and the pairs are neither shuffled nor sorted."""
     shown = [c for c in ("title", "type", "ep_num", "sort", "date") if c in episodes.columns]
-    own = episodes.where("type = 'EP'").select(F.col("id").alias("episode_id"), "subject_id", *shown)
-    done = progress.where("is_finished").select(F.col("mark_id").alias("id"), "episode_id").distinct().withColumn("is_finished", F.lit(True))
-    rows = marks.select("id", "user_id", "subject_id").join(own, "subject_id").join(done, ["id", "episode_id"], "left").fillna(False, ["is_finished"])
-    return placed(rows, "id", [up("sort"), up("ep_num"), F.asc("episode_id")])
+    own = placed(episodes.where("type = 'EP'").select(F.col("id").alias("episode_id"), "subject_id", *shown), "subject_id", [up("sort"), up("ep_num"), F.asc("episode_id")])
+    done = progress.where("is_finished").groupBy(F.col("mark_id").alias("id")).agg(F.collect_set("episode_id").alias("finished"))
+    rows = marks.select("id", "user_id", "subject_id").join(done, "id", "left").join(own, "subject_id")
+    return rows.withColumn("is_finished", F.coalesce(F.array_contains("finished", F.col("episode_id")), F.lit(False))).drop("finished")
 
 
 def nested(rows: DataFrame, name: str, *columns: str) -> DataFrame:

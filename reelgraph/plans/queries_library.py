@@ -81,6 +81,7 @@ def progress_summary(v):
 
 @query("SELECT m.id, e.id AS episode_id, g.mark_id IS NOT NULL AS is_finished, CAST(row_number() OVER (PARTITION BY m.id ORDER BY sort, ep_num NULLS LAST, e.id) AS INT) AS place FROM {mark} m JOIN {episode} e ON e.subject_id = m.subject_id AND e.type = 'EP' LEFT JOIN {progress} g ON g.mark_id = m.id AND g.episode_id = e.id")
 def episode_progress(v):
+    v.keep("mark")
     return library.episode_progress(v.mark, v.episode, v.progress).select("id", "episode_id", "is_finished", "place")
 
 

@@ -71,3 +71,16 @@ def test_snapshots_meet_the_texts_of_subjects_last(spark):
     for part in tree.split("review_created AS activity_type")[1:]:
         lines = [line for line in part.splitlines() if "Join Inner" in line][:2]
         assert "subject_id" in lines[0] and "mark_id" in lines[1]
+
+
+def test_places_of_episodes_are_made_once_a_subject(spark):
+    from reelgraph.operators import library
+
+    marks = spark.createDataFrame([(1, 5, 10), (2, 6, 10), (3, 5, 11), (4, 5, 12)], "id long, user_id long, subject_id long")
+    episodes = spark.createDataFrame([(100, 10, "EP", 2, 1), (101, 10, "EP", 1, None), (102, 10, "EP", 1, 9), (103, 10, "SP", 0, 0), (110, 11, "EP", None, None)], "id long, subject_id long, type string, sort int, ep_num int")
+    progress = spark.createDataFrame([(1, 100, True), (1, 100, True), (1, 101, False), (2, None, True), (3, 110, True), (None, 110, True), (3, 100, True)], "mark_id long, episode_id long, is_finished boolean")
+    rows = library.episode_progress(marks, episodes, progress)
+    want = {(1, 102, 1, False), (1, 101, 2, False), (1, 100, 3, True), (2, 102, 1, False), (2, 101, 2, False), (2, 100, 3, False), (3, 110, 1, True)}
+    assert {tuple(r) for r in rows.select("id", "episode_id", "place", "is_finished").collect()} == want
+    windows = [line for line in plan(rows).splitlines() if "Window [row_number()" in line]
+    assert len(windows) == 1 and "windowspecdefinition(subject_id#" in windows[0]
