@@ -168,8 +168,9 @@ def collection_items(v):
 @query("""SELECT m.id AS mark_id, e.episode_id, CASE WHEN k > 1 THEN 'repeated' ELSE 'unknown' END AS problem FROM {mark} m JOIN (SELECT mark_id, episode_id, count(*) AS k FROM {progress} GROUP BY 1, 2) e ON e.mark_id = m.id
     LEFT JOIN {episode} x ON x.id = e.episode_id AND x.type = 'EP' AND x.subject_id = m.subject_id WHERE x.id IS NULL""")
 def invalid_members(v):
-    valid = v.mark.select(F.col("id").alias("mark_id"), "subject_id").join(v.episode.where("type = 'EP'").select(F.col("id").alias("episode_id"), "subject_id"), "subject_id").select("mark_id", "episode_id")
-    return audit.invalid_members(v.progress.select("mark_id", "episode_id"), valid, "mark_id", "episode_id")
+    v.keep("mark")
+    marks, episodes = v.mark.select(F.col("id").alias("mark_id"), "subject_id"), v.episode.where("type = 'EP'").select(F.col("id").alias("episode_id"), "subject_id")
+    return audit.invalid_members(v.progress.select("mark_id", "episode_id"), marks, episodes, "mark_id", "episode_id", "subject_id")
 
 
 @query("SELECT parent, child, CAST(row_number() OVER (PARTITION BY parent ORDER BY first, child) - 1 AS INT) AS place FROM (SELECT l_orderkey AS parent, l_partkey AS child, min(l_linenumber) AS first FROM lineitem GROUP BY 1, 2) x")

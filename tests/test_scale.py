@@ -84,3 +84,14 @@ def test_places_of_episodes_are_made_once_a_subject(spark):
     assert {tuple(r) for r in rows.select("id", "episode_id", "place", "is_finished").collect()} == want
     windows = [line for line in plan(rows).splitlines() if "Window [row_number()" in line]
     assert len(windows) == 1 and "windowspecdefinition(subject_id#" in windows[0]
+
+
+def test_members_are_looked_up_by_their_owners(spark):
+    from reelgraph.operators import audit
+
+    asked = spark.createDataFrame([(1, 10), (1, 11), (1, 10), (2, 10), (3, 10), (None, 10), (1, 99), (1, None), (4, 12), (4, 12), (4, 12)], "m long, e long")
+    parents = spark.createDataFrame([(1, 7), (2, 8), (4, None)], "m long, s long")
+    members = spark.createDataFrame([(10, 7), (11, 7), (12, None)], "e long, s long")
+    rows = audit.invalid_members(asked, parents, members, "m", "e", "s")
+    want = [(1, 10, "repeated"), (1, 99, "unknown"), (1, None, "unknown"), (2, 10, "unknown"), (3, 10, "unknown"), (4, 12, "repeated"), (4, 12, "unknown"), (None, 10, "unknown")]
+    assert sorted(map(tuple, rows.collect()), key=str) == sorted(want, key=str)
