@@ -95,3 +95,13 @@ def test_members_are_looked_up_by_their_owners(spark):
     rows = audit.invalid_members(asked, parents, members, "m", "e", "s")
     want = [(1, 10, "repeated"), (1, 99, "unknown"), (1, None, "unknown"), (2, 10, "unknown"), (3, 10, "unknown"), (4, 12, "repeated"), (4, 12, "unknown"), (None, 10, "unknown")]
     assert sorted(map(tuple, rows.collect()), key=str) == sorted(want, key=str)
+
+
+def test_folded_marks_are_read_twice_and_made_once(spark):
+    from reelgraph.operators import derive
+
+    marks = spark.createDataFrame([(1, "a", True), (2, "b", True)], "id long, status string, is_public boolean")
+    patches = spark.createDataFrame([(1, 2, ["status"], "y", None), (1, 1, ["status", "is_public"], "x", False)], "id long, number int, fields array<string>, status string, is_public boolean")
+    out, done = derive.patch_marks(marks, patches)
+    assert {tuple(r) for r in out.collect()} == {(1, "y", False), (2, "b", True)} and sorted(map(tuple, done.collect())) == [(1, 1), (1, 2)]
+    assert "Join" not in plan(out) and "Join" not in plan(done)
