@@ -256,9 +256,14 @@ def sorted_tuples(tuples: DataFrame) -> DataFrame:
     return rows.where(kind != MARK).select("seed", "d", "t", "at", kind.alias("kind"), "later", "several", "cut_up")
 
 
-def repeated(texts: DataFrame) -> DataFrame:
-    """(d, t, runs) for each document (d, t, text) that has any: the packed runs of starts of strings that occur before."""
-    found = sorted_tuples(texts.mapInArrow(sample, TUPLES))
+def repeated(rows: DataFrame, d: str, t: str) -> DataFrame:
+    """(d, t, runs) for each document of rows (d and t name it, text) that has any: the packed runs of starts of strings that
+    occur before.
+
+    The rows meet their open runs here, and all their runs where they are cut. They come along here with all their columns,
+    so that both are one and the same shuffle for Spark, which then makes it once."""
+    text = [F.col(f"`{d}`").alias("d"), F.col(f"`{t}`").alias("t"), F.col("text").cast("binary").alias("text")]
+    found = sorted_tuples(rows.select(*text).mapInArrow(sample, TUPLES))
     whole = F.col("kind") == WHOLE
     is_open = (F.col("kind") == OPEN) | (whole & ~F.col("later") & F.col("several"))
     repeats = (F.col("kind") == REPEAT) | (whole & F.col("later"))
@@ -269,7 +274,10 @@ def repeated(texts: DataFrame) -> DataFrame:
 
     # No more than a document has places.
     runs = one.where("open").groupBy("d", "t").agg(F.collect_set(F.struct("seed", "at")).alias("runs"))
-    pieces = texts.join(runs, ["d", "t"]).select("d", "t", "text", "runs").mapInArrow(opened, "seed bigint, d bigint, t bigint, at bigint, bytes binary")
+    own = f"runs {uuid.uuid4().hex}"
+    rest = F.struct(*[F.col(f"`{c}`") for c in rows.columns if c not in (d, t, "text")]).alias("rest")
+    met = rows.join(runs.select(F.col("d").alias(d), F.col("t").alias(t), F.col("runs").alias(own)), [d, t])
+    pieces = met.select(*text, F.col(f"`{own}`").alias("runs"), rest).mapInArrow(opened, "seed bigint, d bigint, t bigint, at bigint, bytes binary")
     two = pieces.repartition("seed").sortWithinPartitions("seed").mapInArrow(settled, "d bigint, t bigint, at bigint")
     return one.where("NOT open").select("d", "t", "at").unionByName(two).groupBy("d", "t").agg(F.collect_list("at").alias("runs"))
 
@@ -328,7 +336,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     texts = named(docs, [docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("binary").alias("text")], "d", "t", "copy")
-    joined = texts.join(repeated(texts.select("d", "t", "text")), ["d", "t"], "left").select("doc_id", "text", "runs", "copy")
+    joined = texts.join(repeated(texts, "d", "t"), ["d", "t"], "left").select("doc_id", "text", "runs", "copy")
     return joined.mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
 
 
@@ -356,7 +364,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([new[c] if c in new else rows.column(k) for k, c in enumerate(names)], names)
 
     texts = named(docs, [docs[f"`{c}`"] for c in names], d, t, copy)
-    gone = repeated(texts.select(F.col(f"`{d}`").alias("d"), F.col(f"`{t}`").alias("t"), F.col("text").cast("binary").alias("text")))
+    gone = repeated(texts, d, t)
     joined = texts.join(gone.select(F.col("d").alias(d), F.col("t").alias(t), F.col("runs").alias(runs_name)), [d, t], "left")
     return joined.select(*[F.col(f"`{c}`") for c in names], f"`{runs_name}`", f"`{copy}`").mapInArrow(cut, schema)
 

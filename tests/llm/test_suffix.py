@@ -78,3 +78,17 @@ def test_cut_texts(spark, odd):
     left = out.collect()
     assert not [r for r in left if r["doc_id"] == 4] and len(left) == odd.count() - 2
     assert [r["n_chars"] for r in left if r["doc_id"] == 3] == [27]
+
+
+def test_texts_are_shuffled_once(spark):
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    docs = spark.createDataFrame([(1, "a" * 150, "x"), (2, "b" + "a" * 150, "y")], "doc_id long, text string, lang string")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for rows in (suffix.remove_repeats(docs), suffix.cut_repeats(docs)):
+            assert rows.count() >= 1
+            assert rows._jdf.queryExecution().executedPlan().toString().count("ReusedExchange") == 1
+    finally:
+        for k, value in old.items():
+            spark.conf.unset(k) if value is None else spark.conf.set(k, value)
