@@ -31,6 +31,8 @@ ORDERS = random_words(29, POSITIONS).astype(np.uint32)
 NAMED_BY = 5
 #: Members of a long list are compared by blocks of about this many.
 BLOCK = 512
+#: Hashes of a text, the smallest ones, that go with it to its lists. Texts of fewer shingles are compared there exactly.
+SKETCH = 4096
 
 
 def least_shared(similarity: float) -> int:
@@ -92,54 +94,89 @@ def tallied(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(of, "a bigint, b bigint, shared int")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of texts, by their hashes, whose sets of shingles are alike by `similarity` or more. Only texts that
-    are in a pair are cut into shingles; a set holds four bytes of each hash."""
+def shingle_sets(docs: DataFrame, texts: DataFrame, width: int, most: int | None = None) -> DataFrame:
+    """(t, shingles) for each text of (t): four bytes of the hash of each of its shingles, sorted, once each; the first
+    `most` of them."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in runs_of(batches, "text", 4 << 20):
-            made = [np.unique(np.concatenate([h.astype(np.uint32) for h in shingle_hashes(t or b"", width)] or [np.zeros(0, np.uint32)])).tobytes() for t in rows.column("text").cast(pa.binary()).to_pylist()]
+            made = [np.unique(np.concatenate([h.astype(np.uint32) for h in shingle_hashes(t or b"", width)] or [np.zeros(0, np.uint32)]))[:most].tobytes() for t in rows.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([rows.column("t"), pa.array(made, pa.binary())], ["t", "shingles"])
 
+    cut = docs.select(F.xxhash64("text").alias("t"), "text").join(texts, "t", "left_semi").mapInArrow(sets, "t bigint, shingles binary")
+    return stored(cut.groupBy("t").agg(F.first("shingles").alias("shingles")))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of texts, by their hashes, whose sets of shingles are alike by `similarity` or more. Only texts that
+    are in a pair are cut into shingles; a set holds four bytes of each hash."""
+
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             ok = []
             for x, y in zip(rows.column("x"), rows.column("y"), strict=True):
-                one, two = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
-                common = len(np.intersect1d(one, two, assume_unique=True))
-                ok.append(common >= similarity * (len(one) + len(two) - common))
+                common, whole = overlap(np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32))
+                ok.append(common >= similarity * whole)
             yield rows.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct())
-    cut = docs.select(F.xxhash64("text").alias("t"), "text").join(ids, "t", "left_semi").mapInArrow(sets, "t bigint, shingles binary")
-    known = stored(cut.groupBy("t").agg(F.first("shingles").alias("shingles")))
+    known = shingle_sets(docs, stored(pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct()), width)
     side = lambda name, of: known.select(F.col("t").alias(name), F.col("shingles").alias(of))
     return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(alike, "a bigint, b bigint")
 
 
-def met_across(mixed: DataFrame, least: int) -> DataFrame:
-    """Pairs (a, b) of different groups that share a list and at least `least` positional bytes, of rows (key, t, root,
-    bytes, n), n the members of the list. A list is compared by pairs of blocks of about BLOCK members, so that no task
-    holds one whole; pairs of one group, which are linked already, are not given."""
+def overlap(one: np.ndarray, two: np.ndarray) -> tuple[int, int]:
+    """What two sets have in common, and the size of both together."""
+    common = len(np.intersect1d(one, two, assume_unique=True))
+    return common, len(one) + len(two) - common
+
+
+def judged(one: np.ndarray, two: np.ndarray, similarity: float, most: int) -> bool | None:
+    """If two sets are alike by `similarity`, given the `most` smallest hashes of each. Null: a set may go on beyond what is
+    given, and the hashes up to there are no more than six deviations below."""
+    cut = [s for s in (one, two) if len(s) >= most]
+    if not cut:
+        common, whole = overlap(one, two)
+        return common >= similarity * whole
+    last = min(s[-1] for s in cut)
+    common, whole = overlap(*[s[: np.searchsorted(s, last, "right")] for s in (one, two)])
+    return None if common >= similarity * whole - 6 * math.sqrt(whole * similarity * (1 - similarity)) else False
+
+
+def met_across(mixed: DataFrame, least: int, similarity: float) -> DataFrame:
+    """Pairs (a, b, sure) of different groups that share a list and at least `least` positional bytes, of rows (key, k, t,
+    root, bytes, shingles, n), k the place of the list's bytes and n its members. A list is compared by pairs of blocks of
+    about BLOCK members, so that no task holds one whole; a pair is looked at in the first list that it shares.
+
+    Sure pairs are links: they are checked here, and of those of two blocks as many are given as join all groups that they
+    link, fewer than the blocks have members. Texts of more than SKETCH shingles give pairs that are to be checked yet."""
+    most = SKETCH
 
     def of(rows: pa.Table) -> pa.Table:
-        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-        block, t, root = (rows.column(c).to_numpy() for c in ("block", "t", "root"))
+        i, j, k = (rows.column(c)[0].as_py() for c in ("i", "j", "k"))
+        block, t, root = (rows.column(c).to_numpy().copy() for c in ("block", "t", "root"))
         wide = positional(rows.column("bytes"))
+        data, ends = byte_runs(rows.column("shingles"))
+        sets = [data[a:b].view(np.uint32) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
         left, right, found = np.flatnonzero(block == i), np.flatnonzero(block == j), []
         for x in left.tolist():
             others = right[right > x] if i == j else right
             others = others[root[others] != root[x]]
-            near = others[(wide[others] == wide[x]).sum(axis=1) >= least]
-            found.append(np.stack((np.minimum(t[near], t[x]), np.maximum(t[near], t[x]))))
-        pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pairs[0], "b": pairs[1]})
+            same = wide[others] == wide[x]
+            first = same.reshape(len(same), POSITIONS // NAMED_BY, NAMED_BY).all(axis=2).argmax(axis=1)
+            for y in others[(same.sum(axis=1) >= least) & (first == k)].tolist():
+                if root[x] != root[y] and (sure := judged(sets[x], sets[y], similarity, most)) is not False:
+                    found.append((min(t[x], t[y]), max(t[x], t[y]), bool(sure)))
+                    if sure:
+                        root[root == root[y]] = root[x]
+        a, b, sure = zip(*found, strict=True) if found else ((), (), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "sure": pa.array(sure, pa.bool_())})
 
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = mixed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("t", F.lit(7)), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    spread = dealt.select("key", "t", "root", "bytes", "block", other).select("key", "t", "root", "bytes", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return spread.groupBy("key", "i", "j").applyInArrow(of, "a bigint, b bigint").distinct()
+    columns = ("key", "k", "t", "root", "bytes", "shingles", "block")
+    spread = dealt.select(*columns, other).select(*columns, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return spread.groupBy("key", "i", "j").applyInArrow(of, "a bigint, b bigint, sure boolean")
 
 
 def classes(marked: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -147,12 +184,13 @@ def classes(marked: DataFrame, docs: DataFrame, width: int, similarity: float) -
 
     First each text is paired with the first text of one of its lists, the one with which it shares most bytes: one pair a
     text, however large a group. With the links of SimHash fingerprints these give groups; then all pairs of different
-    groups that share a list are looked at, and there the tally alone says what is checked.
+    groups that share a list are looked at, and there the tally alone says what is checked. What is checked and no link
+    leaves no row, as there are as many such pairs as the square of a group of texts that are partly alike.
     """
     least = least_shared(similarity)
     texts = stored(marked.where("bytes IS NOT NULL").groupBy("t").agg(F.first("fp").alias("fp"), F.first("bytes").alias("bytes")))
     keys = F.array(*[F.xxhash64(F.lit(k), F.substring("bytes", 1 + NAMED_BY * k, NAMED_BY)) for k in range(POSITIONS // NAMED_BY)])
-    index = texts.select("t", F.explode(keys).alias("key"))
+    index = texts.select("t", F.posexplode(keys).alias("k", "key"))
     first = F.min(F.struct(F.xxhash64("t", F.lit(3)).alias("h"), F.col("t").alias("head"))).alias("m")
     shared = stored(index.groupBy("key").agg(F.count("*").alias("n"), first).where("n > 1").select("key", "n", "m.head"))
     listed = stored(index.join(shared, "key"))
@@ -168,12 +206,13 @@ def classes(marked: DataFrame, docs: DataFrame, width: int, similarity: float) -
 
     placed = texts.join(rooted, "fp").select("t", "root", "bytes")
     several = listed.join(placed.select("t", "root"), "t").groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key", "n")
-    mixed = listed.select("key", "t").join(stored(several), "key").join(placed, "t")
-    across = stored(met_across(mixed, least))
+    members = stored(listed.select("key", "k", "t").join(stored(several), "key"))
+    sketches = shingle_sets(docs, members.select("t").distinct(), width, SKETCH)
+    across = stored(met_across(members.join(placed, "t").join(sketches, "t"), least, similarity))
     if across.isEmpty():
         return rooted
     place = lambda name, of: placed.select(F.col("t").alias(name), F.col("root").alias(of))
-    close = verified(across, docs, width, similarity)
+    close = across.where("sure").select("a", "b").unionByName(verified(across.where("NOT sure").select("a", "b"), docs, width, similarity))
     later = components(close.join(place("a", "x"), "a").join(place("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
     return rooted.join(later.select(F.col("node").alias("root"), F.col("root").alias("whole")), "root", "left").select("fp", F.coalesce("whole", "root").alias("root"))
 

@@ -101,3 +101,41 @@ def test_rows_without_an_id_of_their_own(spark):
     rows = [(1, say(1)), (1, say(2)), (1, say(1)), (None, say(3)), (None, say(3)), (None, say(4)), (None, say(2)), (2, say(1)), (3, None), (3, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in nearcopies.keep_one_of_each(df).collect()) == sorted([(1, say(1)), (1, say(2)), (0, say(3)), (0, say(4)), (3, "")])
+
+
+def test_pairs_grow_with_a_group_not_with_its_square(spark, monkeypatch):
+    """Texts that are partly alike meet in many lists and reach the tally, but only SimHash links any."""
+    pairs, stored = [], nearcopies.stored
+
+    def counted(rows):
+        kept = stored(rows)
+        pairs.extend([kept.count()] if "b" in kept.columns else [])
+        return kept
+
+    monkeypatch.setattr(nearcopies, "stored", counted)
+    passage = " ".join(f"p{k}" for k in range(260))
+    texts = [(i, f"{passage} {' '.join(f'own{i}x{k}' for k in range(44))}") for i in range(150)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    sets = [shingles(t) for _, t in texts]
+    assert 0.7 < likeness(sets[0], sets[1]) < 0.8
+    fps = [simhash.fingerprint(t.encode(), 5) for _, t in texts]
+    alone = {i for i, x in enumerate(fps) if sum((x ^ y).bit_count() <= 2 for y in fps) == 1}
+    kept = {r["doc_id"] for r in nearcopies.keep_one_of_each(df).collect()}
+    assert len(alone) > 100 and alone <= kept
+    assert pairs and max(pairs) <= 5 * len(texts), pairs
+
+
+@pytest.mark.parametrize("most", [24, 96])
+def test_long_texts_are_sifted_by_their_smallest_hashes(spark, monkeypatch, most):
+    texts = corpus(17)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    whole = {r["doc_id"] for r in nearcopies.keep_one_of_each(df).collect()}
+    monkeypatch.setattr(nearcopies, "SKETCH", most)
+    assert whole == {r["doc_id"] for r in nearcopies.keep_one_of_each(df).collect()}
+    rng = np.random.default_rng(3)
+    for share in rng.uniform(0.05, 1, 300):
+        one, two = (np.unique(np.concatenate((rng.integers(0, 2**32, 2000, np.uint32), both))) for both in [rng.integers(0, 2**32, int(share * 40000), np.uint32)] * 2)
+        common, every = nearcopies.overlap(one, two)
+        got = nearcopies.judged(one[:most], two[:most], 0.8, most)
+        assert got is not True and (got is None or common < 0.8 * every)
+        assert nearcopies.judged(one, two, 0.8, 10**6) == (common >= 0.8 * every)
