@@ -116,3 +116,13 @@ def test_folded_marks_are_read_twice_and_made_once(spark):
     out, done = derive.patch_marks(marks, patches)
     assert {tuple(r) for r in out.collect()} == {(1, "y", False), (2, "b", True)} and sorted(map(tuple, done.collect())) == [(1, 1), (1, 2)]
     assert "Join" not in plan(out) and "Join" not in plan(done)
+
+
+def test_a_delta_of_visible_ids_makes_its_views_once(spark):
+    from reelgraph import catalogue
+
+    from .conftest import DATA
+
+    out = catalogue.queries()["activity_public_delta"](spark, DATA)
+    # Each view is written once; what is read after that are the written ones.
+    assert not [f for f in out.inputFiles() if f.startswith(f"file://{DATA}")]
