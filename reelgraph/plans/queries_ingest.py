@@ -375,9 +375,42 @@ def audit_orphans(v):
     return a.audit_orphans([("mark of review", v.review, "mark_id", v.mark.where("id % 2 = 0"), "id"), ("post of comment", v.comment, "post_id", v.post.where("id % 3 <> 0"), "id")])
 
 
-@query("SELECT 'reaction' AS rule, concat_ws(':', CAST(user_id AS STRING), target_type, CAST(target_id AS STRING), reaction_type) AS key FROM {reaction} GROUP BY user_id, target_type, target_id, reaction_type HAVING count(*) > 1 UNION ALL SELECT 'mark', concat_ws(':', CAST(user_id AS STRING), CAST(subject_id AS STRING)) FROM {mark} GROUP BY user_id, subject_id HAVING count(*) > 1")
+#: The declared unique keys of all tables there are, but for those of `audit_identity`: rule, table, key and the rows it holds for.
+#: As in a database, a target that is null repeats nothing.
+UNIQUE = [
+    ("reaction", "reaction", ["user_id", "target_type", "target_id", "reaction_type"], None),
+    ("mark", "mark", ["user_id", "subject_id"], None),
+    ("rating detail", "rating_detail", ["mark_id", "key"], None),
+    ("tag", "user_tag", ["user_id", "name"], None),
+    ("tag of mark", "mark_tag", ["mark_id", "tag_id"], None),
+    ("progress", "progress", ["mark_id", "episode_id"], None),
+    ("item", "item", ["collection_id", "mark_id"], None),
+    ("staff", "subject_staff", ["subject_id", "staff_id", "role"], None),
+    ("character", "subject_character", ["subject_id", "character_id", "role"], None),
+    ("actor", "subject_actor", ["subject_id", "character_id", "actor_id"], None),
+    ("relation", "subject_subject", ["source_id", "target_id", "relation"], None),
+    ("calendar", "calendar_subject", ["subject_id"], None),
+    *[(f"bookmark of {kind}", "bookmark", ["user_id", f"{kind}_id"], f"{kind}_id IS NOT NULL") for kind in ("post", "review", "collection")],
+    ("activity", "activity", ["dedupe_key"], "dedupe_key <> ''"),
+    ("follow", "follow", ["follower_id", "following_id"], None),
+    ("block", "block", ["user_id", "target_id"], None),
+    ("mute", "mute", ["user_id", "target_id"], None),
+    ("user of profile", "profile", ["user_id"], None),
+    ("nickname", "profile", ["nickname"], None),
+    ("name mapping", "name_mapping", ["external_name"], None),
+]
+
+
+def more_than_once(rule, table, keys, where):
+    return f"SELECT '{rule}' AS rule, concat_ws(':', {', '.join(f'CAST({k} AS STRING)' for k in keys)}) AS key FROM {{{table}}} WHERE {where or 'TRUE'} GROUP BY {', '.join(keys)} HAVING count(*) > 1"
+
+
+@query(" UNION ALL ".join(more_than_once(*u) for u in UNIQUE))
 def audit_unique_keys(v):
-    return a.audit_unique_keys({"reaction": (v.reaction, ["user_id", "target_type", "target_id", "reaction_type"]), "mark": (v.mark, ["user_id", "subject_id"])})
+    """Marks, a join of lineitem and orders that six of the tables are made of, are made once, of the columns that their keys
+    are made of."""
+    v.keep_columns("mark", "id", "user_id", "subject_id")
+    return a.audit_unique_keys({rule: (getattr(v, table).where(where or "TRUE"), keys) for rule, table, keys, where in UNIQUE})
 
 
 def event_stream(v):

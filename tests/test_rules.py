@@ -318,3 +318,32 @@ def test_lists_in_several_orders(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
     assert listed(rows, "user_id", [], ("n", "id"), "-id").count() == 0
+
+
+def test_all_declared_unique_keys_are_checked(spark):
+    from reelgraph.plans import queries_ingest
+    from reelgraph.plans.fixture_views import Views
+
+    from .conftest import DATA
+
+    v = Views(spark, DATA)
+    # Per table: a key twice, one of its own, and keys without a target, which repeat nothing.
+    texts = {
+        "reaction": "user_id, target_type, target_id, reaction_type FROM VALUES (1, 'post', 2, 'like'), (1, 'post', 2, 'like'), (1, 'post', 2, 'agree')", "mark": "id, user_id, subject_id FROM VALUES (1, 1, 2), (2, 1, 2), (3, 1, 3)",
+        "rating_detail": "mark_id, key FROM VALUES (1, 'art'), (1, 'art'), (1, 'story')", "user_tag": "user_id, name FROM VALUES (1, 'x'), (1, 'x'), (2, 'x')", "mark_tag": "mark_id, tag_id FROM VALUES (1, 2), (1, 2), (2, 2)",
+        "progress": "mark_id, episode_id FROM VALUES (1, 2), (1, 2), (1, 3)", "item": "collection_id, mark_id FROM VALUES (1, 2), (1, 2), (2, 2)", "subject_staff": "subject_id, staff_id, role FROM VALUES (1, 2, ''), (1, 2, ''), (1, 2, 'x')",
+        "subject_character": "subject_id, character_id, role FROM VALUES (1, 2, ''), (1, 2, ''), (1, 2, 'x')", "subject_actor": "subject_id, character_id, actor_id FROM VALUES (1, 2, 3), (1, 2, 3), (1, 2, 4)",
+        "subject_subject": "source_id, target_id, relation FROM VALUES (1, 2, 'A'), (1, 2, 'A'), (2, 1, 'A')", "calendar_subject": "subject_id FROM VALUES (1), (1), (2)",
+        "bookmark": "user_id, post_id, review_id, collection_id FROM VALUES (1, 2, null, null), (1, 2, null, null), (1, null, 3, null), (1, null, 3, null), (1, null, null, 4), (1, null, null, 4), (2, null, null, 4)",
+        "activity": "dedupe_key FROM VALUES ('a'), ('a'), (''), (''), (null), (null), ('b')", "follow": "follower_id, following_id FROM VALUES (1, 2), (1, 2), (2, 1)", "block": "user_id, target_id FROM VALUES (1, 2), (1, 2), (2, 1)",
+        "mute": "user_id, target_id FROM VALUES (1, 2), (1, 2), (2, 1)", "profile": "user_id, nickname FROM VALUES (1, 'n'), (1, 'm'), (2, 'n')", "name_mapping": "external_name FROM VALUES ('x'), ('x'), ('y')",
+    }
+    for name, text in texts.items():
+        columns, rows = text.split(" FROM ")
+        v.made[name] = spark.sql(f"SELECT * FROM {rows} AS x({columns})")
+    found = sorted(tuple(r) for r in queries_ingest.audit_unique_keys(v).collect())
+    want = {
+        "reaction": "1:post:2:like", "mark": "1:2", "rating detail": "1:art", "tag": "1:x", "tag of mark": "1:2", "progress": "1:2", "item": "1:2", "staff": "1:2:", "character": "1:2:", "actor": "1:2:3", "relation": "1:2:A", "calendar": "1",
+        "bookmark of post": "1:2", "bookmark of review": "1:3", "bookmark of collection": "1:4", "activity": "a", "follow": "1:2", "block": "1:2", "mute": "1:2", "user of profile": "1", "nickname": "n", "name mapping": "x",
+    }
+    assert found == sorted(want.items())

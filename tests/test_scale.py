@@ -1,5 +1,7 @@
 """What plans must not do at size, on small fixtures."""
 
+import time
+
 from reelgraph.operators import ingest
 from reelgraph.sources import tables
 from reelgraph.sources.shared import spread
@@ -126,3 +128,20 @@ def test_a_delta_of_visible_ids_makes_its_views_once(spark):
     out = catalogue.queries()["activity_public_delta"](spark, DATA)
     # Each view is written once; what is read after that are the written ones.
     assert not [f for f in out.inputFiles() if f.startswith(f"file://{DATA}")]
+
+
+def test_what_a_stored_table_shuffled_is_freed(spark):
+    from pyspark.sql import functions as F
+    from reelgraph.sources.shared import stored
+
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(blocks.getAllFiles()) if f.getName().startswith("shuffle_") and f.getName().endswith(".data")}
+    before, grouped = shuffled(), spark.range(1000).groupBy((F.col("id") % 10).alias("k")).agg(F.count("*").alias("n"))
+    rows = stored(grouped)
+    for _ in range(100):
+        if shuffled() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffled() <= before
+    # Other queries keep theirs.
+    assert rows.count() == grouped.count() == 10 and not shuffled() <= before
