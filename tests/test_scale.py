@@ -145,3 +145,49 @@ def test_what_a_stored_table_shuffled_is_freed(spark):
     assert shuffled() <= before
     # Other queries keep theirs.
     assert rows.count() == grouped.count() == 10 and not shuffled() <= before
+
+
+def test_marks_are_shuffled_once_for_all_that_is_done_with_them(spark):
+    from reelgraph.operators import derive
+    from reelgraph.plans.fixture_views import Views
+
+    from .conftest import DATA
+
+    v = Views(spark, DATA)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = joins(derive.derive_activities(v.mark, v.review, v.collection, v.item, v.post, v.comment, v.follow, v.subject, v.mark.select("id")))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Marks with what is done with them, and the subjects.
+    assert text.count("Exchange hashpartitioning(subject_id") == 2 and "hashpartitioning(mark_id" not in text
+
+
+def test_what_is_done_with_marks_keeps_repeated_and_odd_rows(spark):
+    import json
+
+    from reelgraph.operators import derive
+
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    marks = table([(1, 5, 10, True), (2, 5, None, True), (3, 6, 11, False), (3, 7, 11, True), (4, 5, 99, True), (5, None, 10, None)], "id long, user_id long, subject_id long, is_public boolean").selectExpr("*", "7.25D AS rating")
+    reviews = table([(21, 1, None, True), (22, 1, "t", False), (23, 3, "u", True), (24, 8, "v", True), (25, None, "w", True)], "id long, mark_id long, title string, is_public boolean")
+    collections = table([(70, 9, "c", True), (71, 9, None, False)], "id long, user_id long, name string, is_public boolean")
+    items = table([(700, 70, 1, 0, "x"), (701, 71, 1, 1, None), (702, 72, 1, 2, None), (703, 70, 2, 3, None), (704, 70, 5, 4, None)], "id long, collection_id long, mark_id long, place int, relation string")
+    subjects = table([(10, "ten"), (11, None)], "id long, title string").selectExpr("*", "'' AS subject_type", "'' AS title_cn", "DATE '2001-02-03' AS date", "'' AS platform", "false AS nsfw")
+    posts, comments, follows = table([], "id long, author_id long, visibility string"), table([], "id long, author_id long, visibility string, post_id long"), table([], "follower_id long, following_id long")
+    updates = table([(1,), (1,), (3,), (8,), (None,)], "id long")
+    found = derive.derive_activities(marks, reviews, collections, items, posts, comments, follows, subjects, updates).where("activity_type <> 'collection_created'").collect()
+    shown = sorted((r["activity_type"], r["user_id"] or 0, r["source_id"] or 0, r["subject_id"], r["message"], r["visibility"], r["dedupe_key"]) for r in found)
+    who = ((6, "private"), (7, "public"))
+    assert shown == sorted(
+        [("user_subject_created", 5, 1, 10, "Added 'ten' to collection", "public", "user_subject_created:1"), ("user_subject_created", 0, 5, 10, "Added 'ten' to collection", "private", "user_subject_created:5")]
+        + [("user_subject_created", u, 3, 11, "Added '' to collection", seen, "user_subject_created:3") for u, seen in who] + [("user_subject_updated", u, 3, 11, "Updated collection status for ''", seen, "") for u, seen in who]
+        + 2 * [("user_subject_updated", 5, 1, 10, "Updated collection status for 'ten'", "public", "")]
+        + [("review_created", 5, 21, 10, "Posted a review for 'ten': ", "public", "review_created:21"), ("review_created", 5, 22, 10, "Posted a review for 'ten': t", "private", "review_created:22")]
+        + [("review_created", u, 23, 11, "Posted a review for '': u", seen, "review_created:23") for u, seen in who]
+        + [("collection_item_added", 9, 700, 10, "Added 'ten' to collection 'c'", "public", "collection_item_added:700"), ("collection_item_added", 9, 701, 10, "Added 'ten' to collection ''", "private", "collection_item_added:701"), ("collection_item_added", 9, 704, 10, "Added 'ten' to collection 'c'", "private", "collection_item_added:704")]
+    )
+    data = {r["dedupe_key"]: json.loads(r["metadata"]) for r in found}
+    assert data["review_created:22"]["review"] == {"id": 22, "title": "t"} and set(data["user_subject_created:1"]) == {"subject", "user_subject"}
+    assert data["user_subject_created:1"]["user_subject"] == {"id": 1, "status": None, "simple_rating": None, "rating": "7.3", "comment": None, "is_public": True}
+    assert data["collection_item_added:700"]["collection_item"] == {"id": 700, "relation": "x", "order": 0} and data["collection_item_added:701"]["collection"] == {"id": 71, "name": None}
