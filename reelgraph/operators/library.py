@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.order import down, listed, ordering, placed, up
 from ..functions.text import contains
+from ..sources.shared import stored
 from .catalog import TYPES, scored
 from .edges import hidden_authors
 
@@ -148,9 +149,14 @@ def library_cards(marks: DataFrame, mark_tags: DataFrame, tags: DataFrame, detai
 
 
 def subject_context(asked: DataFrame, marks: DataFrame, mark_tags: DataFrame, tags: DataFrame, details: DataFrame, reviews: DataFrame, progress: DataFrame) -> DataFrame:
-    """asked (user_id, subject_id) with the mark, if there is one, and its tags, details, reviews and finished ids."""
-    cards = library_cards(marks.select("id", "user_id", "subject_id", "status"), mark_tags, tags, details).withColumnRenamed("id", "mark_id")
-    cards = cards.join(nested(reviews.select("mark_id", "id"), "reviews", "id"), "mark_id", "left").join(nested(progress.where("is_finished").select("mark_id", "episode_id"), "finished", "episode_id"), "mark_id", "left")
+    """asked (user_id, subject_id) with the mark, if there is one, and its tags, details, reviews and finished ids.
+
+    The marks that are asked for are found first, and of all other tables only what is theirs is put together."""
+    mine = stored(marks.select("id", "user_id", "subject_id", "status").join(asked.select("user_id", "subject_id"), ["user_id", "subject_id"], "left_semi"))
+    ids = mine.select(F.col("id").alias("mark_id"))
+    theirs = lambda rows, *columns: rows.select("mark_id", *columns).join(ids, "mark_id", "left_semi")
+    cards = library_cards(mine, theirs(mark_tags, "tag_id"), tags, theirs(details, "id", "key", "value")).withColumnRenamed("id", "mark_id")
+    cards = cards.join(nested(theirs(reviews, "id"), "reviews", "id"), "mark_id", "left").join(nested(theirs(progress.where("is_finished"), "episode_id"), "finished", "episode_id"), "mark_id", "left")
     out = asked.join(cards, ["user_id", "subject_id"], "left")
     kinds = dict(cards.dtypes)
     for name in ("tags", "details", "reviews", "finished"):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import audit, community, library
+from ..sources.shared import stored
 from .queries_catalog import FOUND
 from .registry import query
 
@@ -98,7 +99,10 @@ def library_cards(v):
 @query(f"""SELECT a.user_id, a.subject_id, coalesce(x.id, -1) AS mark_id, coalesce(tags, '') AS tags, coalesce(details, '') AS details, (SELECT count(*) FROM {{review}} r WHERE r.mark_id = x.id) AS reviews, (SELECT count(*) FROM {{progress}} g WHERE g.mark_id = x.id) AS finished
     FROM (SELECT DISTINCT user_id, subject_id FROM {{activity}} WHERE subject_id IS NOT NULL) a LEFT JOIN {CARDS} x ON x.user_id = a.user_id AND x.subject_id = a.subject_id""")
 def subject_context(v):
-    asked = v.activity.where("subject_id IS NOT NULL").select("user_id", "subject_id").distinct()
+    """What is asked for and the marks that it asks for, joins of lineitem and orders, are made once; tags, details, reviews and
+    progress are views of marks, and so are made of these alone."""
+    asked = stored(v.activity.where("subject_id IS NOT NULL").select("user_id", "subject_id").distinct())
+    v.keep_columns("mark", "id", "user_id", "subject_id", "status", rows=v.mark.join(asked, ["user_id", "subject_id"], "left_semi"))
     rows = library.subject_context(asked, v.mark, v.mark_tag, v.user_tag, v.rating_detail, v.review, v.progress)
     return rows.fillna(-1, ["mark_id"]).select("user_id", "subject_id", "mark_id", F.array_join("tags.name", ",").alias("tags"), F.array_join("details.key", ",").alias("details"), F.size("reviews").cast("long").alias("reviews"), F.size("finished").cast("long").alias("finished"))
 

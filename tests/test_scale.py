@@ -191,3 +191,32 @@ def test_what_is_done_with_marks_keeps_repeated_and_odd_rows(spark):
     assert data["review_created:22"]["review"] == {"id": 22, "title": "t"} and set(data["user_subject_created:1"]) == {"subject", "user_subject"}
     assert data["user_subject_created:1"]["user_subject"] == {"id": 1, "status": None, "simple_rating": None, "rating": "7.3", "comment": None, "is_public": True}
     assert data["collection_item_added:700"]["collection_item"] == {"id": 700, "relation": "x", "order": 0} and data["collection_item_added:701"]["collection"] == {"id": 71, "name": None}
+
+
+def test_a_context_is_made_of_the_marks_that_are_asked_for(spark):
+    from reelgraph.plans import queries_library
+    from reelgraph.plans.fixture_views import Views
+
+    from .conftest import DATA
+
+    all_, v = Views(spark, DATA), Views(spark, DATA)
+    queries_library.subject_context(v)
+    asked = all_.activity.where("subject_id IS NOT NULL").select("user_id", "subject_id")
+    wanted = {r["id"] for r in all_.mark.join(asked, ["user_id", "subject_id"], "left_semi").select("id").collect()}
+    assert {r["id"] for r in v.mark.select("id").collect()} == wanted and 0 < len(wanted) < all_.mark.count() / 2
+
+
+def test_a_context_keeps_repeated_and_odd_rows(spark):
+    from reelgraph.operators import library
+
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    asked = table([(1, 10), (1, 11), (2, 10), (2, 10), (None, 10), (3, None)], "user_id long, subject_id long")
+    marks = table([(100, 1, 10, "done"), (101, 2, 10, "wish"), (102, 2, 11, "done"), (103, None, 10, "done"), (None, 1, 11, "done")], "id long, user_id long, subject_id long, status string")
+    tags, mark_tags = table([(5, "b"), (6, "a"), (7, "c")], "id long, name string"), table([(100, 5), (100, 6), (102, 7), (None, 7), (101, 9)], "mark_id long, tag_id long")
+    details, reviews = table([(2, 100, "x", 1.0), (1, 100, "y", 2.0), (3, 102, "x", 1.0)], "id long, mark_id long, key string, value double"), table([(8, 101), (9, 101), (10, 102)], "id long, mark_id long")
+    progress = table([(100, 1, True), (100, 2, False), (101, 3, True), (102, 4, True), (None, 5, True)], "mark_id long, episode_id long, is_finished boolean")
+    rows = library.subject_context(asked, marks, mark_tags, tags, details, reviews, progress)
+    found = [(r["user_id"], r["subject_id"], r["mark_id"], r["status"], [t["name"] for t in r["tags"]], [d["key"] for d in r["details"]], [x["id"] for x in r["reviews"]], [e["episode_id"] for e in r["finished"]]) for r in rows.collect()]
+    none = (None, None, [], [], [], [])
+    want = [(1, 10, 100, "done", ["a", "b"], ["y", "x"], [], [1]), (1, 11, None, "done", [], [], [], []), (2, 10, 101, "wish", [], [], [8, 9], [3]), (2, 10, 101, "wish", [], [], [8, 9], [3]), (None, 10, *none), (3, None, *none)]
+    assert sorted(found, key=str) == sorted(want, key=str)
